@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cytofold.llm import decontam, html_text, langid, quality, secret_scan, simhash, topk, toxicity
+from cytofold.llm import decontam, html_text, langid, pieces, quality, secret_scan, simhash, suffix_dedup, topk, toxicity
+
+
+#: Model file of the encoder; any SentencePiece BPE model can take its place.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +26,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens, and the hash of the text decoded from the ids."""
+    model = pieces.PieceModel.load(PIECE_MODEL)
+    encoded = pieces.encode(_table(spark, sf_dir, "documents"), model)
+    decoded = pieces.decode(encoded, model)
+    return decoded.select("doc_id", "ids", "n_tokens", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = secret_scan.fit_markov(secret_scan.labelled_samples(docs))
@@ -36,6 +49,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(_table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=100)
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(_table(spark, sf_dir, "pages"))
 
@@ -50,7 +67,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_simhash, op4_secrets, op5_language, op6_topk, op8_html, op9_decontam, op10_quality)
+    for f in (
+        op1_toxicity, op2_simhash, op3_sentencepiece, op4_secrets, op5_language,
+        op6_topk, op7_suffix_dedup, op8_html, op9_decontam, op10_quality,
+    )
 }
 #: DuckDB SQL where SQL can express the operator.
 ORACLES: dict[str, str] = {
