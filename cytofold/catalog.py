@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from cytofold.plans import level_queries, name_queries, pixel_queries, table_queries
+
+FLAGSHIP = "a01_objects_to_cells"
+_MODULES = (level_queries, table_queries, name_queries, pixel_queries)
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in _MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
