@@ -169,3 +169,43 @@ def parse_bbox(text: Column) -> Column:
     numbers = F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?)"), 1)
     names = ("y0", "x0", "y1", "x1")
     return F.when(F.size(numbers) == 4, F.struct(*(F.get(numbers, k).cast("double").cast("int").alias(n) for k, n in enumerate(names))))
+
+
+def label_name(organelle: Column, method: Column | None = None, length: int | None = None) -> Column:
+    """Stored name of a label: lower case, spaces as underscores, ``_seg`` at the
+    end; the legacy form cuts the organelle to ``length`` characters."""
+    low = F.replace(F.lower(F.trim(organelle)), F.lit(" "), F.lit("_"))
+    low = low if length is None else F.substr(low, F.lit(1), F.lit(length))
+    return F.concat_ws("_", low, *([] if method is None else [F.lower(method)]), F.lit("seg"))
+
+
+def marker_of(label: Column, dyes: tuple[str, ...] = ("SPY", "Dye", "Live")) -> Column:
+    """The marker in a free-text label: what follows the last comma, without a
+    parenthesis and without trailing words that name a dye."""
+    last = F.trim(F.element_at(F.split(label, ","), -1))
+    bare = F.trim(F.regexp_replace(last, r"\([^)]*\)", ""))
+    return F.trim(F.regexp_replace(bare, r"(?:[ _]+(?:" + "|".join(dyes) + r")\S*)+$", ""))
+
+
+def best_source(files: DataFrame, token: str, folder: str, priority: tuple[str, ...], aliases: dict[str, str] | None = None) -> DataFrame:
+    """One path for each token (any case, aliases resolved) from the first folder in ``priority`` that has it."""
+    name = F.col(token)
+    for long, short in (aliases or {}).items():
+        name = F.when(F.col(token) == long, F.lit(short)).otherwise(name)
+    rank = F.array_position(F.array(*(F.lit(p) for p in priority)), F.col(folder))
+    known = files.withColumns({"_token": F.lower(name), "_rank": rank}).where("_rank > 0")
+    return known.groupBy("_token").agg(F.min_by("path", F.struct("_rank", "path")).alias("path")).withColumnRenamed("_token", token)
+
+
+def bridge_custom(cells: DataFrame, gene: str, control_type: str = "neg_ctrl") -> DataFrame:
+    """Custom perturbation tables: barcode stands in for a missing sgRNA, ``gene``
+    for a missing gene name, and control rows take their type as gene name."""
+    names = set(cells.columns)
+    out = cells
+    if "barcode" in names:
+        out = out.withColumn("sgRNA", F.coalesce("sgRNA", "barcode") if "sgRNA" in names else F.col("barcode"))
+    if gene in names:
+        out = out.withColumn("gene_name", F.coalesce("gene_name", gene) if "gene_name" in names else F.col(gene))
+    if "row_type" in names:
+        out = out.withColumn("gene_name", F.when(F.col("row_type") == control_type, control_type).otherwise(F.col("gene_name")))
+    return out

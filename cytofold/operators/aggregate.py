@@ -105,3 +105,38 @@ def marker_table(cells: DataFrame, channel: str, experiment: str, is_control: Co
 def wide(long: DataFrame, key: str, name: Column, names: list[str], value: str = "value") -> DataFrame:
     """One column for each of ``names``; the names are given, so nothing is collected."""
     return long.withColumn("_name", name).groupBy(key).pivot("_name", names).agg(F.first(value, ignorenulls=True))
+
+
+def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys (all parts known) of more than one row and how many."""
+    return df.where(" and ".join(f"`{k}` is not null" for k in keys)).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df``, or an error that names a few duplicate keys."""
+    found = duplicate_keys(df, keys).limit(5).collect()
+    if found:
+        raise ValueError(f"duplicate {keys}: {[tuple(r)[:-1] for r in found]}")
+    return df
+
+
+def system_coverage(cells: DataFrame, first: Column, second: Column) -> DataFrame:
+    """Cells by whether their first and second (id, box) system is valid."""
+    return cells.groupBy(F.coalesce(first, F.lit(False)).alias("first"), F.coalesce(second, F.lit(False)).alias("second")).agg(F.count("*").alias("n_cells"))
+
+
+def check_outputs(rows: DataFrame, key: list[str], required: list[str], channel: str, cap_key: str, cap: int) -> DataFrame:
+    """(check, n_bad) of an output table: duplicate keys, missing columns, channels
+    beyond the first, groups above the cap. One scan for the counts of groups each."""
+    spark = rows.sparkSession
+    missing = spark.createDataFrame([("missing_columns", len([c for c in required if c not in rows.columns]))], "check string, n_bad long")
+    dup = duplicate_keys(rows, key).agg(F.lit("duplicate_keys").alias("check"), F.count("*").alias("n_bad"))
+    channels = rows.agg(F.lit("extra_channels").alias("check"), F.greatest(F.lit(0), F.count_distinct(channel) - 1).alias("n_bad"))
+    over = rows.groupBy(cap_key).agg(F.count("*").alias("n")).where(F.col("n") > cap).agg(F.lit("groups_over_cap").alias("check"), F.count("*").alias("n_bad"))
+    return missing.unionByName(dup).unionByName(channels).unionByName(over)
+
+
+def timing_summary(steps: DataFrame, step: str = "step", seconds: str = "seconds") -> DataFrame:
+    """Mean, median, largest and total seconds of each step."""
+    c = F.col(seconds)
+    return steps.groupBy(step).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.max(c).alias("max"), F.sum(c).alias("total"))

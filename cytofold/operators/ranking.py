@@ -87,3 +87,22 @@ def relabel(df: DataFrame, clusters: DataFrame, gene: str, unassigned: str | Non
     named = F.coalesce(F.when(F.col(gene) == control, F.lit(control)), F.col("_complex"), F.lit(unassigned))
     out = joined.withColumn("complex", named).drop("_gene", "_complex")
     return out if unassigned is not None else out.where(F.col("complex").isNotNull())
+
+
+def seeded_sample(df: DataFrame, keys: list[str], ids: list[str], n: int) -> DataFrame:
+    """n rows of each key (all, if fewer) in an order seeded by the key itself:
+    the same key always yields the same rows, whatever else is in the table."""
+    seed = F.crc32(F.concat_ws("|", *(F.col(k).cast("string") for k in keys)).cast("binary"))
+    return keep_first(df, keys, F.xxhash64(seed, *ids), *ids, n=n)
+
+
+def preview(df: DataFrame, ids: list[str], share: float, seed: int = 42) -> DataFrame:
+    """About ``share`` of the rows, the same ones each time."""
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), *ids), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def limit_objects(pixels: DataFrame, keys: list[str], label: str, n: int) -> DataFrame:
+    """Pixels of at most n objects of each key, chosen among the distinct labels
+    in an order seeded by the key."""
+    chosen = seeded_sample(pixels.select(*keys, label).distinct(), keys, [label], n)
+    return pixels.join(chosen, [*keys, label], "left_semi")

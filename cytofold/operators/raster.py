@@ -64,6 +64,15 @@ def erode(mask: DataFrame, key: str, n: int) -> DataFrame:
     return sent.groupBy(key, "y", "x").agg(F.count("*").alias("_n")).where(F.col("_n") == 2 * n + 1).select(key, "y", "x")
 
 
+def dilate(mask: DataFrame, key: str, n: int) -> DataFrame:
+    """Pixels within n steps (square) of the mask, clipped to height and width."""
+    steps = F.sequence(F.lit(-n), F.lit(n))
+    px = mask.select(key, "y", "x", "height", "width").distinct()
+    wide = px.select(key, "y", F.explode(F.transform(steps, lambda d: F.col("x") + d)).alias("x"), "height", "width").distinct()
+    tall = wide.select(key, F.explode(F.transform(steps, lambda d: F.col("y") + d)).alias("y"), "x", "height", "width").distinct()
+    return tall.where("y >= 0 and x >= 0 and y < height and x < width").select(key, "y", "x", "height", "width")
+
+
 def tile_grid(images: DataFrame, tile: int, overlap: int) -> DataFrame:
     """One row for each tile of each image (image, height, width): its span with
     overlap and the core that it owns. Cores cover the image without gaps."""

@@ -156,4 +156,40 @@ def s13_json_config(spark, sf_dir):
     return parsed.agg(F.count("*").alias("n"), F.sum("p.k").alias("total"))
 
 
+@query(
+    """SELECT c_custkey, replace(lower(c_mktsegment), ' ', '_') || '_frangi_seg' AS full_name, left(replace(lower(c_mktsegment), ' ', '_'), 5) || '_seg' AS legacy,
+    c_mktsegment AS marker FROM customer"""
+)
+def p21_label_names(spark, sf_dir):
+    seg = F.col("c_mktsegment")
+    label = F.concat(F.lit("early, late endosome, "), seg, F.lit(" (mouse 488) SPY555"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", N.label_name(seg, F.lit("frangi")).alias("full_name"), N.label_name(seg, length=5).alias("legacy"), N.marker_of(label).alias("marker")
+    )
+
+
+@query(
+    """WITH f AS (SELECT lower(CASE p_brand WHEN 'Brand#11' THEN 'B11' ELSE p_brand END) AS token, CASE p_size % 3 WHEN 0 THEN 'cell-b' WHEN 1 THEN 'cell-a' ELSE 'other' END AS folder, p_name || p_partkey AS path FROM part),
+    r AS (SELECT token, path, row_number() OVER (PARTITION BY token ORDER BY folder <> 'cell-a', path) AS rn FROM f WHERE folder <> 'other')
+    SELECT token AS p_brand, path FROM r WHERE rn = 1"""
+)
+def p20_best_source(spark, sf_dir):
+    folder = F.element_at(F.array(F.lit("cell-b"), F.lit("cell-a"), F.lit("other")), (F.col("p_size") % 3 + 1).cast("int"))
+    files = table(spark, sf_dir, "part").select("p_brand", folder.alias("folder"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("path"))
+    return N.best_source(files, "p_brand", "folder", ("cell-a", "cell-b"), {"Brand#11": "B11"})
+
+
+@query(
+    """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'ctl' ELSE c_name END AS "sgRNA",
+    CASE WHEN c_nationkey = 3 THEN 'neg_ctrl' ELSE c_mktsegment END AS gene_name FROM (SELECT * FROM customer)"""
+)
+def p03_bridge_custom(spark, sf_dir):
+    k = F.col("c_custkey") % 5
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(k > 1, F.col("c_name")).alias("sgRNA"), F.when(k == 1, "ctl").alias("barcode"), F.col("c_mktsegment").alias("target"),
+        F.when(F.col("c_nationkey") == 3, "neg_ctrl").otherwise("sample").alias("row_type"),
+    )
+    return N.bridge_custom(rows, "target").select("c_custkey", "sgRNA", "gene_name")
+
+
 QUERIES, ORACLES = query.queries, query.oracles

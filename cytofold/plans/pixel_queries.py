@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cytofold.operators import network as W
 from cytofold.operators import pixels as P
 from cytofold.operators import raster as T
+from cytofold.operators import tiles as K
 from cytofold.plans.registry import Registry, rounded
 from cytofold.plans.stand_in import PIXELS_SQL, pixels, table
 
@@ -216,4 +217,76 @@ def i25_erode(spark, sf_dir):
     return T.erode(pixels(spark, sf_dir), "cell_id", 1)
 
 
+@query(
+    f"""WITH {PIXELS_SQL}, k(a) AS (VALUES (-1), (0), (1)),
+    c AS (SELECT DISTINCT cell_id, organelle, label, 2 * y + k.a AS y, 2 * x + j.a AS x FROM px, k, k j)
+    SELECT cell_id, organelle, label, sum(CASE WHEN abs(y % 2) + abs(x % 2) = 1 THEN -1 ELSE 1 END)::BIGINT AS euler_number FROM c GROUP BY ALL"""
+)
+def fm10_euler_number(spark, sf_dir):
+    return P.euler_number(pixels(spark, sf_dir))
+
+
+@query(
+    f"""WITH {PIXELS_SQL}, m AS (SELECT DISTINCT cell_id, organelle, label, y, x FROM px),
+    b AS (SELECT a.cell_id, a.organelle, a.label, a.y, a.x FROM m a LEFT JOIN m n ON a.cell_id = n.cell_id AND a.organelle = n.organelle AND a.label = n.label AND abs(a.y - n.y) + abs(a.x - n.x) = 1
+      GROUP BY ALL HAVING count(n.y) < 4),
+    c AS (SELECT a.cell_id, a.organelle, a.label, a.y, a.x, 1 + 2 * count(*) FILTER (abs(a.y - n.y) + abs(a.x - n.x) = 1) + 10 * count(*) FILTER (abs(a.y - n.y) = 1 AND abs(a.x - n.x) = 1) AS code
+      FROM b a LEFT JOIN b n ON a.cell_id = n.cell_id AND a.organelle = n.organelle AND a.label = n.label AND abs(a.y - n.y) <= 1 AND abs(a.x - n.x) <= 1 GROUP BY ALL)
+    SELECT cell_id, organelle, label, round(sum(CASE WHEN code IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN code IN (21, 33) THEN sqrt(2) WHEN code IN (13, 23) THEN (1 + sqrt(2)) / 2 ELSE 0 END), 6) AS perimeter
+    FROM c GROUP BY ALL"""
+)
+def fm18_perimeter(spark, sf_dir):
+    return rounded(P.perimeter(pixels(spark, sf_dir)))
+
+
+@query()
+def fm06_area_filled(spark, sf_dir):
+    return P.area_filled(pixels(spark, sf_dir).where("organelle = 'a'"), "cell_id")
+
+
+def _tiles(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("tile"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.transform("embedding", lambda v: v.cast("double")).alias("pixels"))
+
+
+@query()
+def i01_equalised_tiles(spark, sf_dir):
+    return K.map_tiles(_tiles(spark, sf_dir), K.equalised, block=4)
+
+
+@query()
+def i03_gaussian_tiles(spark, sf_dir):
+    return K.map_tiles(_tiles(spark, sf_dir), K.gaussian, sigma=1.0)
+
+
+@query()
+def i04_vesselness_tiles(spark, sf_dir):
+    return K.map_tiles(_tiles(spark, sf_dir), K.vesselness, sigmas=(1.0, 2.0))
+
+
+@query()
+def i06_log_mask_tiles(spark, sf_dir):
+    return K.map_tiles(_tiles(spark, sf_dir), K.log_mask)
+
+
+@query()
+def i12_blob_tiles(spark, sf_dir):
+    return K.map_tiles(_tiles(spark, sf_dir), K.blobs, sigmas=(1.0, 1.5))
+
+
+@query()
+def i18_watershed_tiles(spark, sf_dir):
+    return K.map_tiles(_tiles(spark, sf_dir), K.split_touching)
+
+
+@query()
+def i19_thinned_tiles(spark, sf_dir):
+    return K.map_tiles(_tiles(spark, sf_dir), K.thinned)
+
+
+@query()
+def fn04_branches(spark, sf_dir):
+    return K.branch_table(_tiles(spark, sf_dir))
+
+
 QUERIES, ORACLES = query.queries, query.oracles

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cytofold.functions import features
+from cytofold.operators import aggregate as A
 from cytofold.operators import joins as J
 from cytofold.operators import sets as U
 from cytofold.plans.registry import Registry, rounded
 from cytofold.plans.stand_in import CELLS_SQL, OBJECTS_SQL, cells, objects, table
+from cytofold.sources import tables as S
 
 query = Registry()
 
@@ -226,4 +228,56 @@ def p15_parse_names(spark, sf_dir):
     return features.parse_names(made, organelles)
 
 
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def p08_duplicate_keys(spark, sf_dir):
+    return A.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT l_returnflag = 'A' AS first, l_linestatus = 'F' AS second, count(*) AS n_cells FROM lineitem GROUP BY ALL")
+def p07_system_coverage(spark, sf_dir):
+    return A.system_coverage(table(spark, sf_dir, "lineitem"), F.col("l_returnflag") == "A", F.col("l_linestatus") == "F")
+
+
+@query(
+    """SELECT 'missing_columns' AS "check", 1 AS n_bad UNION ALL SELECT 'duplicate_keys', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
+    UNION ALL SELECT 'extra_channels', count(DISTINCT l_returnflag) - 1 FROM lineitem UNION ALL SELECT 'groups_over_cap', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_suppkey HAVING count(*) > 600)"""
+)
+def a19_check_outputs(spark, sf_dir):
+    return A.check_outputs(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_orderkey", "nope"], "l_returnflag", "l_suppkey", 600)
+
+
+@query(
+    """SELECT event_type AS step, count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(max(value), 6) AS max, round(sum(value), 4) AS total
+    FROM events GROUP BY event_type"""
+)
+def a21_timing_summary(spark, sf_dir):
+    out = A.timing_summary(table(spark, sf_dir, "events").select(F.col("event_type").alias("step"), F.col("value").alias("seconds")))
+    return rounded(out.withColumn("total", F.round("total", 4)))
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS k FROM orders) SELECT o_orderkey FROM r WHERE k % 7 = 3"""
+)
+def s06_interleaved_slice(spark, sf_dir):
+    return S.interleaved_slice(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 3, 7).select("o_orderkey")
+
+
+@query("SELECT DISTINCT split_part(p_type, ' ', 1) || '_seg' AS label, split_part(p_type, ' ', 1) AS organelle FROM part WHERE split_part(p_type, ' ', 1) <> 'PROMO'")
+def s10_discover_labels(spark, sf_dir):
+    labels = table(spark, sf_dir, "part").select(F.concat(F.substring_index("p_type", " ", 1), F.lit("_seg")).alias("label"))
+    return S.discover_labels(labels, ["PROMO_seg"], "^(.*)_seg$")
+
+
+@query(
+    """WITH e AS (SELECT n_nationkey AS position, m AS label FROM nation, (SELECT DISTINCT c_mktsegment AS m FROM customer)),
+    p AS (SELECT c_nationkey AS position, c_mktsegment AS label, max(c_custkey % 4) AS n FROM customer WHERE c_custkey % 13 < 2 GROUP BY ALL)
+    SELECT position, label, CASE WHEN label = 'BUILDING' THEN 'protected' WHEN n IS NULL THEN 'missing' WHEN n = 0 THEN 'empty' ELSE 'with-data' END AS status FROM e LEFT JOIN p USING (position, label)"""
+)
+def s12_label_status(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    expected = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("position")).join(F.broadcast(c.select(F.col("c_mktsegment").alias("label")).distinct()))
+    present = c.where("c_custkey % 13 < 2").select(F.col("c_nationkey").alias("position"), F.col("c_mktsegment").alias("label"), (F.col("c_custkey") % 4).alias("n_objects"))
+    return S.label_status(expected, present, ["BUILDING"])
+
+
 QUERIES, ORACLES = query.queries, query.oracles
