@@ -110,7 +110,7 @@ def p19_wells(spark, sf_dir):
     k = (F.col("c_custkey") % 3).cast("string")
     form = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("A"), k)).otherwise(F.concat(F.lit("A/"), k))
     rows = table(spark, sf_dir, "customer").select("c_custkey", N.canonical_well(form).alias("well"))
-    return rows.select("c_custkey", "well", N.bare_well(F.concat("well", F.lit("_ops0125_20260219"))).alias("bare"))
+    return rows.select("c_custkey", "well", N.bare_well(F.concat("well", F.lit("_exp12_20260219"))).alias("bare"))
 
 
 @query(
