@@ -75,9 +75,11 @@ def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
     return low[start], start, stop - start, (times > 1).astype(np.int64)
 
 
-def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, suffix length, common prefix with the suffix before) of all
-    suffixes of the collection in sorted order, built column by column.
+def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(longer, lcp) of the sorted suffixes of the collection, built column by
+    column: for each rank the rank of the suffix that is one symbol longer (-1 if
+    there is none), and the common prefix with the suffix before. Rank i of the
+    first ranks is the empty suffix of string i. Strings have 254 bytes at most.
 
     ``bwt`` holds the symbol before each suffix (0: none yet, or the string is
     complete). A round writes the next symbols, sorts the transform stably by
@@ -93,61 +95,73 @@ def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code = np.zeros(256, np.uint16 if len(used) > 254 else np.uint8)
     code[used] = np.arange(1, len(used) + 1)
     bwt = np.zeros(k, code.dtype)
-    lcp = np.zeros(k, np.int16)
-    tag = np.arange(k, dtype=np.int64) << 16  # string and suffix length
-    who, at = np.arange(k), np.arange(k)  # strings with symbols left, and where their longest suffix stands
+    lcp = np.zeros(k + 1, np.uint8)  # one more, so that ranges may end there
+    place = np.zeros(k + len(flat), np.int32)
+    counted = np.arange(k + len(flat), dtype=np.int32)
+    who, at = np.arange(k), np.arange(k)  # strings with symbols left; where their longest suffix stands
     for done in range(int(sizes.max(initial=0))):
         left = sizes[who] > done
-        who, at = who[left], at[left]
+        if not left.all():
+            who, at = who[left], at[left]
         bwt[at] = code[flat[ends[who] - 1 - done]]
-        order = np.argsort(bwt, kind="stable")
-        none = np.searchsorted(bwt[order], 1)
-        order = order[none:]
-        place = np.empty(len(bwt), np.int64)
-        place[order] = np.arange(len(order))
-        new = place[at]
-        symbol = bwt[order]
-        same = np.r_[False, symbol[1:] == symbol[:-1], False]
-        before = _between(lcp, order[np.maximum(new - 1, 0)], at, same[new])
-        after = _between(lcp, at, order[np.minimum(new + 1, len(order) - 1)], same[new + 1])
+        order = _by_symbol(bwt)
+        n = len(order)
+        place[order] = counted[:n]
+        new = place[at].astype(np.int64)
+        here = bwt[at]
+        low, high = order[np.maximum(new - 1, 0)], order[np.minimum(new + 1, n - 1)]
+        before = _between(lcp, low, at, (new > 0) & (bwt[low] == here))
+        after = _between(lcp, at, high, (new < n - 1) & (bwt[high] == here))
         new += k
-        total = k + len(order)
-        old = np.ones(total, bool)
+        old = np.ones(k + n + 1, bool)
         old[new] = False
-        bwt, lcp, tag = _insert(bwt, old, total), _insert(lcp, old, total), _insert(tag, old, total)
+        bwt, lcp = _insert(bwt, old[:-1]), _insert(lcp, old)
         lcp[new] = before
-        inner = new + 1 < total
-        lcp[new[inner] + 1] = after[inner]
-        tag[new] = (who << 16) | (done + 1)
+        lcp[new + 1] = after
+        lcp[-1] = 0
         at = new
-    return tag >> 16, tag & 0xFFFF, lcp
+    longer = np.full(len(bwt), -1, np.int64)
+    longer[_by_symbol(bwt)] = np.arange(k, len(bwt))
+    return longer, lcp[:-1]
 
 
-def _insert(x: np.ndarray, old: np.ndarray, total: int) -> np.ndarray:
-    out = np.zeros(total, x.dtype)
+def _by_symbol(bwt: np.ndarray) -> np.ndarray:
+    """Ranks of the suffixes that a symbol precedes, by symbol and then rank."""
+    return np.argsort(bwt, kind="stable")[len(bwt) - np.count_nonzero(bwt) :]
+
+
+def _insert(x: np.ndarray, old: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(old), x.dtype)
     out[old] = x
     return out
 
 
 def _between(lcp: np.ndarray, low: np.ndarray, high: np.ndarray, same: np.ndarray) -> np.ndarray:
     """1 + the least lcp in (low, high] where ``same``, else 0."""
-    out = np.zeros(len(low), np.int16)
+    out = np.zeros(len(low), np.uint8)
     at = np.flatnonzero(same)
     if len(at):
-        padded = np.r_[lcp, np.int16(0)]
-        pairs = np.c_[low[at] + 1, high[at] + 1].ravel()
-        out[at] = 1 + np.minimum.reduceat(padded, pairs)[::2]
+        pairs = np.empty(2 * len(at), np.int64)
+        pairs[::2], pairs[1::2] = low[at] + 1, high[at] + 1
+        out[at] = 1 + np.minimum.reduceat(lcp, pairs)[::2]
     return out
 
 
 def repeated_windows(strings: list[bytes], doc: np.ndarray, pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(string, window) of all windows of ``length`` bytes; and whether an equal one starts earlier, by (doc, place)."""
-    who, size, lcp = build(strings)
-    group = np.cumsum(lcp < length)
-    full = size >= length
-    who, size, group = who[full], size[full], group[full]
-    total = np.fromiter(map(len, strings), np.int64, len(strings))
-    window = total[who] - size
+    longer, lcp = build(strings)
+    k = len(strings)
+    group_of = np.cumsum(lcp < length)
+    size = np.fromiter(map(len, strings), np.int64, k)
+    live, rank, whos, windows, groups = np.arange(k), np.arange(k), [], [], []
+    for n in range(1, int(size.max(initial=0)) + 1):
+        more = size[live] >= n
+        live, rank = live[more], longer[rank[more]]
+        if n >= length:
+            whos.append(live)
+            windows.append(size[live] - n)
+            groups.append(group_of[rank])
+    who, window, group = np.concatenate(whos), np.concatenate(windows), np.concatenate(groups)
     place = pos[who] + window
     order = np.lexsort((place, doc[who], group))
     who, window, group, place = who[order], window[order], group[order], place[order]
@@ -162,7 +176,7 @@ class Collections:
     (kind 0, doc_id, a, b): bytes a to b are removed; (kind 1, doc_id, a, g1, g2):
     the window at a, of that fingerprint, is the first of its share of a dealt anchor."""
 
-    def __init__(self, length: int, most: int = 20_000) -> None:
+    def __init__(self, length: int, most: int = 2_000) -> None:
         self.length, self.most = length, most
 
     def __call__(self, batches):
@@ -228,7 +242,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     return map_batches(docs.where("doc_id is not null and text is not null").select("doc_id", "text"), make, "doc_id long, z binary")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, share_rows: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     Bytes are those of the text in UTF-8 (null: empty). A byte is removed if a
@@ -237,7 +251,9 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     Rows with a null doc_id are returned whole and make nothing else repeat.
     Rows that repeat one doc_id and text are one document and have one result
     each; rows of one doc_id with different texts take no part in each other's
-    order (equal places are equal). Other columns are not read.
+    order (equal places are equal). Other columns are not read. Stretches of one
+    anchor are dealt to collections of about ``share_rows``, by default an eighth
+    of the rows of a shuffle partition.
     """
     if length < ANCHOR:
         raise ValueError(f"length must be {ANCHOR} at least")
@@ -265,7 +281,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     copies = base.where("copy").select("doc_id").distinct()
     found = found.join(copies, "doc_id", "left_anti").checkpoint()
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    most = max(128, found.count() // (8 * partitions))
+    most = share_rows or max(128, found.count() // (8 * partitions))
     shares = F.ceil(F.col("n") / most).cast("int")
     share = F.pmod(F.xxhash64("doc_id", "place"), shares).cast("int")
     at = found.select("doc_id", F.struct("h", share.alias("share"), (shares > 1).alias("dealt"), F.shiftright("place", 9).alias("pos"), F.col("place").bitwiseAND(255).cast("int").alias("count")).alias("x"))
