@@ -1,10 +1,10 @@
 """SimHash fingerprints and their exact near-duplicate groups.
 
 Fingerprints are taken per document in Arrow batches. Distinct fingerprints are
-dealt into groups; every pair of groups is one task, which sorts both sides by
-population counts, cuts them into tiles and compares tiles by exclusive-or and
-bit counts. A pair of tiles is skipped if its population counts differ beyond
-the radius: counts of the four 16-bit lanes are used, since the sum of their
+dealt into groups; every pair of groups is one task, which cuts both sides into
+tiles of equal population counts and compares tiles by exclusive-or and bit
+counts. A pair of tiles is skipped if its population counts differ beyond the
+radius: counts of the four 16-bit lanes are used, since the sum of their
 differences is a lower bound of the differing bits as the total count is, only
 closer. A task returns a spanning forest of the links it finds, never all
 pairs, so large groups of near copies stay linear.
@@ -25,7 +25,7 @@ from cytofold.llm.text import map_batches
 from cytofold.operators.graph import connected_components
 
 SEED = 42
-TILE = 1024
+BLOCK = 1 << 20  # pairs compared at once
 
 
 def fingerprint(text: str, words: int = 4) -> int:
@@ -55,40 +55,47 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), lambda: each, "doc_id long, fp long")
 
 
-def _lanes(fp: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fp.view(np.uint16).reshape(-1, 4)).astype(np.int16)
-
-
-class _Side:
-    """Fingerprints sorted by the counts of their lanes, in tiles with the range of each count."""
+class _Tiles:
+    """Fingerprints in tiles of equal population counts of their four 16-bit lanes."""
 
     def __init__(self, fp: np.ndarray) -> None:
-        lanes = _lanes(fp)
-        order = np.lexsort(lanes.T[::-1])
-        self.fp, lanes = fp[order], lanes[order]
-        cuts = np.arange(0, len(fp), TILE)
-        self.low, self.high = np.minimum.reduceat(lanes, cuts), np.maximum.reduceat(lanes, cuts)
+        lanes = np.bitwise_count(fp.view(np.uint16).reshape(-1, 4)).astype(np.int64)
+        code = lanes @ np.array([32**3, 32**2, 32, 1])
+        order = np.argsort(code, kind="stable")
+        self.fp = fp[order]
+        _, self.start, self.size = np.unique(code[order], return_index=True, return_counts=True)
+        self.counts = lanes[order][self.start].astype(np.int16)
 
-    def tile(self, k: int) -> np.ndarray:
-        return self.fp[k * TILE : (k + 1) * TILE]
+    def rows(self, tiles: np.ndarray) -> np.ndarray:
+        """Positions of all fingerprints of some tiles."""
+        size = self.size[tiles]
+        ends = np.cumsum(size)
+        return np.arange(ends[-1]) + np.repeat(self.start[tiles] - ends + size, size)
 
 
 def links_between(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within ``radius`` between a and b (within
     a, if b is None): two arrays of fingerprints."""
-    x = _Side(a)
-    y = x if b is None else _Side(b)
+    none = np.zeros(0, np.uint64)
+    if not len(a) or b is not None and not len(b):
+        return none, none
+    x = _Tiles(a)
+    y = x if b is None else _Tiles(b)
     offset = 0 if b is None else len(a)
     label = np.arange(len(a) + (0 if b is None else len(b)))
     src, dst = [], []
-    for i in range(len(x.low)):
-        gap = np.maximum(0, np.maximum(x.low[i] - y.high, y.low - x.high[i])).sum(axis=1)
-        near = np.flatnonzero(gap <= radius)
-        for j in near[near >= i] if b is None else near:
-            hit = np.bitwise_count(x.tile(i)[:, None] ^ y.tile(j)[None, :]) <= radius
-            p, q = np.nonzero(hit)
-            p, q = p + i * TILE, q + j * TILE
-            if b is None and i == j:
+    for i in range(len(x.start)):
+        near = np.flatnonzero(np.abs(y.counts - x.counts[i]).sum(axis=1) <= radius)
+        near = near[near >= i] if b is None else near
+        if not len(near):
+            continue
+        others = y.rows(near)
+        step = max(1, BLOCK // len(others))
+        for begin in range(x.start[i], x.start[i] + x.size[i], step):
+            own = np.arange(begin, min(begin + step, x.start[i] + x.size[i]))
+            p, q = np.nonzero(np.bitwise_count(x.fp[own][:, None] ^ y.fp[others][None, :]) <= radius)
+            p, q = own[p], others[q]
+            if b is None:
                 p, q = p[p < q], q[p < q]
             while len(p):
                 left, right = label[p], label[q + offset]
@@ -98,15 +105,14 @@ def links_between(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.
                     break
                 # every component takes one link to a smaller one at most: no cycles
                 big, small = np.maximum(left, right), np.minimum(left, right)
-                _, first = np.unique(big, return_index=True)
+                big, first = np.unique(big, return_index=True)
                 src.append(x.fp[p[first]])
                 dst.append(y.fp[q[first]])
                 to = np.arange(len(label))
-                to[big[first]] = small[first]
-                while (step := to[to] != to).any():
-                    to = to[to] if step.any() else to
+                to[big] = small[first]
+                while (to[to] != to).any():
+                    to = to[to]
                 label = to[label]
-    none = np.zeros(0, np.uint64)
     return (np.concatenate(src), np.concatenate(dst)) if src else (none, none)
 
 
@@ -128,7 +134,7 @@ def near_links(fps: DataFrame, radius: int = 4, group_rows: int = 1 << 19, min_g
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         fp, g = part["fp"].to_numpy().view(np.uint64), part["g"].to_numpy()
         a, b = part["a"].iat[0], part["b"].iat[0]
-        src, dst = links_between(fp[g == a], None if a == b else fp[g == b], radius) if a == b or len(set(g)) == 2 else (np.zeros(0, np.uint64),) * 2
+        src, dst = links_between(fp[g == a], None if a == b else fp[g == b], radius)
         return pd.DataFrame({"src": src.view(np.int64), "dst": dst.view(np.int64)})
 
     return sent.groupBy("a", "b").applyInPandas(compare, "src long, dst long")
@@ -149,7 +155,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     ensure_checkpoint_dir(docs.sparkSession)
     rows = fingerprints(docs, words).checkpoint()
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("low")).checkpoint()
-    links = near_links(least.select("fp"), radius)
+    links = near_links(least.select("fp"), radius).checkpoint()  # read twice by the components
     comps = connected_components(links)
     named = least.join(comps, least.fp == comps.node).select("fp", "component", "low")
     smallest = named.groupBy("component").agg(F.min("low").alias("best"))
