@@ -19,6 +19,7 @@ that different tasks scan.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,9 +32,12 @@ from pyspark.sql.types import StringType, StructField, StructType
 from cytofold.llm.text import map_batches, texts_of
 
 SPACE = "▁"
-WORDS_KEPT = 1_000_000
-PAIRS_KEPT = 4_000_000
+#: Words and pairs that a process remembers, about 100 MB; full tables begin anew.
+WORDS_KEPT = 300_000
+PAIRS_KEPT = 500_000
 State = tuple[int, int, int]  # start, end, piece
+#: The tables of the model in use: a worker that serves many tasks keeps one set.
+_REMEMBERED: dict[int, tuple[dict[str, bytes], dict[int, bool]]] = {}
 
 
 @dataclass
@@ -55,9 +59,12 @@ class PieceModel:
             raise ValueError("pieces with white space inside or at their end are not supported")
         alone = "" if any("\n" in p for p in self.ids) else "\n"
         self.unit = re.compile(f"{alone}|{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" if alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.pairs: dict[int, bool] = {}
+        own = zlib.crc32("\n".join(self.names).encode("utf-8", "replace"))
+        if own not in _REMEMBERED:
+            _REMEMBERED.clear()
+            _REMEMBERED[own] = ({}, {})
+        self.words, self.pairs = _REMEMBERED[own]
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
-        self.words: dict[str, bytes] = {}
 
     def __getstate__(self):
         return (self.names, self.scores, self.kinds, self.unknown, self.dummy_prefix)
@@ -399,7 +406,9 @@ def decode(encoded: DataFrame, model: PieceModel) -> DataFrame:
         own = shared.value
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            text = [None if x is None else own.decode(x) for x in batch.column("ids").to_pylist()]
+            ids = batch.column("ids")
+            flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
+            text = [own.decode(flat[a:b].tolist()) if known else None for a, b, known in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)]
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*batch.schema.names, "decoded"])
 
         return each
