@@ -134,16 +134,14 @@ def _counts(batches: Iterable[pa.RecordBatch]):
     for batch in batches:
         for text, y in zip(texts_of(batch.column("text")), batch.column("y").to_pylist(), strict=True):
             by[y].update(entries_of(fold(text)))
-    names = list(by[1])  # an entry of no toxic document cannot be chosen
+    # every count: whether an entry is toxic elsewhere, the task cannot know
+    names = list(by[0].keys() | by[1].keys())
     for k in range(0, len(names), 50_000):
         part = names[k : k + 50_000]
         yield pa.RecordBatch.from_pydict(
             {"entry": part, "pos": [by[1][x] for x in part], "neg": [by[0][x] for x in part]},
             pa.schema([("entry", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())]),
         )
-    own = Counter({x: n for x, n in by[0].items() if n > 1 and x not in by[1]})
-    if own:
-        yield pa.RecordBatch.from_pydict({"entry": list(own), "pos": [0] * len(own), "neg": list(own.values())}, pa.schema([("entry", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())]))
 
 
 def choose_entries(found: list[tuple[str, int, int]], toxic: int, clean: int, purity: float, max_entries: int) -> dict[str, float]:

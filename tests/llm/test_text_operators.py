@@ -86,6 +86,20 @@ def test_toxicity_edges(spark, docs):
     assert toxicity.drop_toxic(docs, model).schema == docs.schema
 
 
+def test_toxicity_model_does_not_depend_on_partitions(spark):
+    rng = random.Random(3)
+    rows, marks = [], []
+    for k in range(500):
+        bad = k % 4 == 0
+        words = [rng.choice(WORDS) for _ in range(20)] + ["grobian"] * bad + ["ordinary"] * (k % 20 < 2)  # ordinary: a tenth of either class
+        rows.append((k, " ".join(words)))
+        marks.append((k, 1, int(bad)))
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string"), labels(spark, marks)
+    one, many = (toxicity.fit_toxicity(docs.repartition(n), marked) for n in (1, 250))
+    assert one.weights == many.weights and not any(x.startswith("ordi") for x in many.weights)
+    assert np.allclose(one.curve, many.curve)
+
+
 # --- SimHash ---
 
 
