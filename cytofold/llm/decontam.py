@@ -5,6 +5,10 @@ become typed placeholders, other words are lower-cased. Windows of template
 words are hash-joined. What stood in the placeholders is kept as slots: within
 an item's match every benchmark value must map to one value of the document, so
 a re-parameterised question is caught and a chance meeting of templates is not.
+
+An item without a window of enough literal words (sums, lists of names) has no
+template to go by: it is matched as a whole, word by word with its values, by
+windows of values that together cover it.
 """
 
 from __future__ import annotations
@@ -85,6 +89,17 @@ class Canonical:
         at = np.flatnonzero(literal[n:] - literal[:-n] >= literals)
         return at, mix(total[at])
 
+    def exact_windows(self, value: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of all windows of n words with their values."""
+        count = len(value) - n + 1
+        if count <= 0:
+            return np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            total = np.full(count, n, np.uint64)
+            for k in range(n):
+                total = total * np.uint64(0x9E3779B97F4A7C15) + value[k : k + count]
+        return mix(total ^ _EXACT)
+
 
 def _slots(kind: np.ndarray, value: np.ndarray, at: int, n: int) -> list[int]:
     part = slice(at, at + n)
@@ -92,6 +107,7 @@ def _slots(kind: np.ndarray, value: np.ndarray, at: int, n: int) -> list[int]:
 
 
 _WINDOW = "w long, pos int, slots array<long>"
+_EXACT = np.uint64(0xD6E8FEB86659FD93)  # keeps windows of values apart from those of templates
 
 
 def _least(n: int) -> int:
@@ -100,8 +116,11 @@ def _least(n: int) -> int:
 
 def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
     """item_id, w, pos, slots, n_item (windows of the item), size (words of a
-    window: n, or all of a shorter item's). Items with null id or text, and items
-    without two literal words, have none."""
+    window: n, or all of a shorter item's), length (words of the item), exact.
+
+    An item without a window of enough literal words has exact windows instead:
+    as many as cover it, side by side and one at its end. Items with null id or
+    text, and items of one word, have none."""
 
     def run(batches):
         canon = Canonical()
@@ -113,18 +132,27 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
                 if size < 2:
                     continue
                 at, w = canon.windows(template, kind, size, max(2, _least(size)) if size < n else _least(n))
-                rows += [(item, h, p, _slots(kind, value, p, size), len(at), size) for p, h in zip(at.tolist(), w.view(np.int64).tolist(), strict=True)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["item_id", "w", "pos", "slots", "n_item", "size"])
+                exact, n_item = not len(at), len(at)
+                if exact:
+                    n_item = len(template) - size + 1
+                    at = np.unique(np.r_[np.arange(0, n_item, size), n_item - 1])
+                    w = canon.exact_windows(value, size)[at]
+                rows += [
+                    (item, h, p, [] if exact else _slots(kind, value, p, size), n_item, size, len(template), exact)
+                    for p, h in zip(at.tolist(), w.view(np.int64).tolist(), strict=True)
+                ]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+            names = ["item_id", "w", "pos", "slots", "n_item", "size", "length", "exact"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    return rows.mapInArrow(run, f"item_id long, {_WINDOW}, n_item int, size int")
+    return rows.mapInArrow(run, f"item_id long, {_WINDOW}, n_item int, size int, length int, exact boolean")
 
 
-def document_windows(docs: DataFrame, n: int, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """doc_id, w, pos, slots of the windows of every text. ``wanted``: sorted
-    hashes to keep (a bounded broadcast); None keeps all for a shuffled join."""
+def document_windows(docs: DataFrame, n: int, sizes: list[int], exact_sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
+    """doc_id, w, pos, slots of the windows of every text: of templates in
+    ``sizes``, of values in ``exact_sizes``. ``wanted``: sorted hashes to keep (a bounded broadcast); None keeps all for a shuffled join."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
@@ -136,8 +164,12 @@ def document_windows(docs: DataFrame, n: int, sizes: list[int], wanted: np.ndarr
             ids, ws, ps, ss = [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
                 template, kind, value = canon.words(text)
-                for size in sizes:
-                    at, w = canon.windows(template, kind, size, max(2, _least(size)) if size < n else _least(n))
+                for size, exact in [(k, False) for k in sizes] + [(k, True) for k in exact_sizes]:
+                    if exact:
+                        w = canon.exact_windows(value, size)
+                        at = np.arange(len(w))
+                    else:
+                        at, w = canon.windows(template, kind, size, max(2, _least(size)) if size < n else _least(n))
                     if hashes is not None:
                         near = np.flatnonzero(marks[(w >> np.uint64(42)).astype(np.int64)])
                         near = near[hashes[np.minimum(np.searchsorted(hashes, w[near]), len(hashes) - 1)] == w[near]] if len(hashes) else near[:0]
@@ -145,25 +177,31 @@ def document_windows(docs: DataFrame, n: int, sizes: list[int], wanted: np.ndarr
                     ids += [doc] * len(at)
                     ws += w.view(np.int64).tolist()
                     ps += at.tolist()
-                    ss += [_slots(kind, value, p, size) for p in at.tolist()]
+                    ss += [[]] * len(at) if exact else [_slots(kind, value, p, size) for p in at.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ws, pa.int64()), pa.array(ps, pa.int32()), pa.array(ss, pa.list_(pa.int64()))], ["doc_id", "w", "pos", "slots"])
 
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, f"doc_id long, {_WINDOW}")
 
 
-def judge(pos: np.ndarray, item_pos: np.ndarray, slots: list, item_slots: list, n_item: int, size: int) -> tuple[int, int, int, int]:
+def judge(pos: np.ndarray, item_pos: np.ndarray, slots: list, item_slots: list, n_item: int, size: int, length: int = 0) -> tuple[int, int, int, int]:
     """(windows matched in consistent slots, longest run of them, first and last
     word position in the document) of the best place where the item occurs.
 
-    Matches are cut into places where they lie further apart than the item is
-    long. In a place each benchmark value takes the document value that it meets
-    most often; windows with another value do not count.
+    ``length``: words of the item. Matches are cut into places where they lie
+    further apart than the item is long; those that lie as in the item are a
+    place too, so that a verbatim copy stands alone among other copies. In a
+    place each benchmark value takes the document value that it meets most
+    often; windows with another value do not count.
     """
     order = np.lexsort((item_pos, pos))
     pos, item_pos = pos[order], item_pos[order]
-    cuts = np.flatnonzero(np.diff(pos) > n_item + size) + 1
+    gaps = np.diff(pos)
+    places = [x for wide in {n_item + size, max(length, n_item + size)} for x in np.split(np.arange(len(pos)), np.flatnonzero(gaps > wide) + 1)]
+    shift = pos - item_pos
+    lined = np.argsort(shift, kind="stable")
+    places += np.split(lined, np.flatnonzero(np.diff(shift[lined])) + 1)
     best = (0, 0, 0, 0)
-    for rows in np.split(np.arange(len(pos)), cuts):
+    for rows in places:
         votes: dict = {}
         for k in rows:
             for b, d in zip(item_slots[order[k]], slots[order[k]], strict=False):
@@ -185,7 +223,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, share: float
 
     A document contains an item if ``share`` of the item's windows of ``n``
     template words meet in consistent slots, or ``run`` windows in a row do (13
-    words). Other documents have no row. Rows with null id or text have none;
+    words); an item without such windows (``benchmark_windows``) if all of its
+    words stand in it in order. Other documents have no row. Rows with null id or text have none;
     repeated rows count once; an empty benchmark gives an empty result. Up to
     ``max_broadcast`` windows of the benchmark are broadcast as hashes; beyond
     that, all windows of the documents are joined by a shuffle.
@@ -194,13 +233,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, share: float
 
     ensure_checkpoint_dir(docs.sparkSession)
     items = benchmark_windows(benchmark, n).withColumnsRenamed({"pos": "item_pos", "slots": "item_slots"}).checkpoint()
-    facts = items.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()
+    sizes_of = lambda exact: F.collect_set(F.when(F.col("exact") == exact, F.col("size")))
+    facts = items.agg(F.count("*").alias("n"), sizes_of(False).alias("sizes"), sizes_of(True).alias("exact_sizes")).first()
     small = facts["n"] <= max_broadcast
     wanted = np.unique(items.select("w").toPandas()["w"].to_numpy(np.int64).view(np.uint64)) if small else None
-    found = document_windows(docs, n, sorted(facts["sizes"]), wanted)
-    met = found.join(F.broadcast(items) if small else items, "w")
+    found = document_windows(docs, n, sorted(facts["sizes"]), sorted(facts["exact_sizes"]), wanted)
+    every = found.join(F.broadcast(items) if small else items, "w")
+    if facts["exact_sizes"]:
+        every = every.checkpoint()  # the matches, used twice: documents are read once
+    met = every.where(~F.col("exact"))
     match = F.struct("pos", "item_pos", "slots", "item_slots").alias("match")
-    pairs = met.groupBy("doc_id", "item_id").agg(F.collect_set(match).alias("matches"), F.max("n_item").alias("n_item"), F.max("size").alias("size"))
+    pairs = met.groupBy("doc_id", "item_id").agg(F.collect_set(match).alias("matches"), F.max("n_item").alias("n_item"), F.max("size").alias("size"), F.max("length").alias("length"))
     distinct = F.size(F.array_distinct(F.col("matches.item_pos")))
     maybe = pairs.where((distinct >= F.col("n_item") * share) | (distinct >= run))
 
@@ -210,7 +253,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, share: float
             out = []
             for r in rows:
                 m = r["matches"]
-                out.append(judge(np.array([x["pos"] for x in m]), np.array([x["item_pos"] for x in m]), [x["slots"] for x in m], [x["item_slots"] for x in m], r["n_item"], r["size"]))
+                out.append(judge(np.array([x["pos"] for x in m]), np.array([x["item_pos"] for x in m]), [x["slots"] for x in m], [x["item_slots"] for x in m], r["n_item"], r["size"], r["length"]))
             frame = pd.DataFrame(out, columns=["matched", "longest_run", "first_word", "last_word"], dtype="int32")
             frame.insert(0, "doc_id", [r["doc_id"] for r in rows])
             frame.insert(1, "item_id", [r["item_id"] for r in rows])
@@ -221,9 +264,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, share: float
 
     judged = map_batches(maybe, make, "doc_id long, item_id long, n_item int, matched int, longest_run int, first_word int, last_word int")
     part = (F.col("matched") / F.col("n_item")).alias("share")
-    return judged.where((F.col("matched") >= F.col("n_item") * share) | (F.col("longest_run") >= run)).select(
+    judged = judged.where((F.col("matched") >= F.col("n_item") * share) | (F.col("longest_run") >= run)).select(
         "doc_id", "item_id", "matched", "n_item", part, "longest_run", "first_word", "last_word"
     )
+    if not facts["exact_sizes"]:
+        return judged
+    first = F.col("pos") - F.col("item_pos")
+    covers = F.ceil(F.col("length") / F.col("size"))  # windows of the item: side by side, the last at its end
+    spots = every.where("exact").groupBy("doc_id", "item_id", "n_item", "size", "length", first.alias("first_word")).agg(F.collect_set("item_pos").alias("at"))
+    whole = spots.where(F.size("at") == covers).groupBy("doc_id", "item_id", "n_item", "length").agg(F.min("first_word").alias("first_word"))
+    last = (F.col("first_word") + F.col("length")).alias("last_word")
+    return judged.unionByName(whole.select("doc_id", "item_id", F.col("n_item").alias("matched"), "n_item", F.lit(1.0).alias("share"), F.col("n_item").alias("longest_run"), "first_word", last))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -348,6 +348,31 @@ def test_decontamination(spark):
     assert decontam.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_items_without_literal_windows_are_found_whole(spark):
+    items = ["Compute 12 + 34 - 5 * 7", "See Alice Bob Carol Dave Erin Frank", "1 2 3 4 5 6 7 8 9 10 11 12 13", "3.14 2.71"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(k, f"So it was: {item}. More of it.") for k, item in enumerate(items)]
+    docs += [(10, "So: " + items[2] + " and again: " + items[2]), (11, "1 2 3 4 5 6 7 8 9 10"), (12, "Compute 12 + 34 - 5 * 8"), (13, "1 2 3 4 5 6 7 0 8 9 10 11 12 13"), (14, "See Alice Bob Carol Erin Dave Frank")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for limit in (500_000, 0):
+        out = decontam.contaminated(df, bench, max_broadcast=limit).collect()
+        assert sorted((r.doc_id, r.item_id) for r in out) == [(0, 0), (1, 1), (2, 2), (3, 3), (10, 2)]
+        assert all(r.share == 1 and r.matched == r.n_item for r in out)
+        assert {r.doc_id: (r.first_word, r.last_word) for r in out}[2] == (3, 16)
+
+
+def test_literal_clauses_apart_are_one_place(spark):
+    rng = random.Random(5)
+    numbers = lambda: " ".join(str(rng.randint(1, 999)) for _ in range(40))
+    item = f"the quick brown fox {numbers()} over lazy dogs while {numbers()} every cold morning near"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"So said they: {item} at last."), (2, "the quick brown fox")], "doc_id long, text string")
+    out = decontam.contaminated(df, bench).collect()
+    assert [(r.doc_id, r.share) for r in out] == [(1, 1.0)]
+    pos = np.array([0, 1, 2, 30, 31, 32, 60, 61, 62])
+    assert decontam.judge(pos, pos, [[]] * 9, [[]] * 9, 9, 5, 67)[0] == 9
+
+
 def test_slots_must_be_consistent():
     pos = np.arange(6)
     same = decontam.judge(pos, pos, [[7]] * 6, [[1]] * 6, 6, 5)
