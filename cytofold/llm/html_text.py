@@ -2,8 +2,8 @@
 
 Markup is stripped into lines, one for each block of the page. Every line has
 the length of its text, or zero if it stands in boilerplate or is mostly links.
-Sums over sliding windows of lines rise at the surge point and fall at the dive
-point of a stretch of text; lines with text between the two are kept.
+Sums over sliding windows of lines rise at the first surge point and fall at the
+last dive point of the text; all lines with a length between the two are kept.
 """
 
 from __future__ import annotations
@@ -43,12 +43,14 @@ _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([
 def _is_boiler(name: str, attr: str, in_article: bool) -> bool:
     if name in BOILER or name == "header" and not in_article:
         return True
-    if name in ("html", "body", "article", "main") or not attr or attr.isspace():
+    if name in ("html", "body", "main") or not attr or attr.isspace():
         return False
     for key, *values in _ATTR.findall(attr):
         value = next((v for v in values if v), "")
         key = key.lower()
-        if key in ("class", "id") and HINTS.search(value) or key == "role" and value.lower() in ROLES:
+        # an article carries its topics as classes ("category-social"): only a whole class counts
+        hint = any(map(HINTS.fullmatch, value.split())) if name == "article" else HINTS.search(value)
+        if key in ("class", "id") and hint or key == "role" and value.lower() in ROLES:
             return True
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
             return True
@@ -136,29 +138,17 @@ def main_text(page: str | None, window: int = 3) -> str:
         return ""
     size = np.array([0 if bad else len(text) for text, _, bad, _ in lines])
     inside = np.array([here for *_, here in lines])
-    if (size * inside).any():
+    share = np.array([min(1.0, n / len(text)) for text, n, *_ in lines])
+    size = np.where(~inside & (share > 0.5), 0, size)
+    if 2 * size[inside].sum() > size.sum():
         size = size * inside  # the page says where its article is
-    else:
-        share = np.array([min(1.0, n / len(text)) for text, n, *_ in lines])
-        size = np.where(share > 0.5, 0, size)
     # sum over the window that begins at each line; it surges where text comes into view
     sums = np.convolve(size, np.ones(window, np.int64))[window - 1 :] if len(size) else size
-    keep, k = [], 0
-    stretches = []
-    while k < len(size):
-        if not sums[k]:
-            k += 1
-            continue
-        surge = k
-        while k < len(size) and sums[k]:
-            k += 1
-        stretches.append((surge, k))  # the dive: nothing in view any more
-    if stretches and not inside[size > 0].all():
-        weight = [int(size[a:b].sum()) for a, b in stretches]
-        stretches = [x for x, w in zip(stretches, weight, strict=True) if 5 * w >= max(weight)]
-    for surge, dive in stretches:
-        keep += [lines[j][0] for j in range(surge, dive) if size[j]]
-    return "\n\n".join(keep)
+    seen = np.flatnonzero(sums)
+    if not len(seen):
+        return ""
+    surge, dive = seen[0], seen[-1] + 1  # after the dive nothing is in view any more
+    return "\n\n".join(lines[j][0] for j in range(surge, dive) if size[j])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -312,6 +312,25 @@ def test_long_page_without_article():
     assert got.startswith("Paragraph 0") and got.endswith("counts as text.") and got.count("\n\n") == 19
 
 
+def test_text_beyond_boilerplate_is_kept():
+    bar = "".join(f"<p><a href=/{k}>Share it here {k}</a></p>" for k in range(4))
+    box = "<div class='related'>" + "".join(f"<p>Related story {k}</p>" for k in range(4)) + "</div>"
+    body = [f"Paragraph {k} has a fair number of words in it, so it counts as text." for k in range(30)]
+    want = ["The title", *body, "A closing line."]
+    page = f"<body><h1>The title</h1>{bar}" + "".join(f"<p>{x}</p>" for x in body) + f"{box}<p>A closing line.</p><footer>f</footer></body>"
+    assert html_text.main_text(page).split("\n\n") == want
+
+
+def test_article_must_hold_most_of_the_text():
+    body = [f"Paragraph {k} has a fair number of words in it." for k in range(8)]
+    text = "<div class='text'>" + "".join(f"<p>{x}</p>" for x in body) + "</div>"
+    got = html_text.main_text(f"<body>{text}<article class='card'><p>A teaser</p></article></body>").split("\n\n")
+    assert got == [*body, "A teaser"]
+    assert html_text.main_text(f"<body>{text}<article class='card related'><p>A teaser</p></article></body>").split("\n\n") == body
+    post = f"<article class='post category-social tag-comments'>{text}</article><div><p>A line beside it</p></div>"
+    assert html_text.main_text(post).split("\n\n") == body
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<p>a", "x"), (None, None, "<p>" * 3000 + "deep", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html_text.extract_main_text(pages).collect()) == [("", 0), ("a", 1), ("deep", 4)]
