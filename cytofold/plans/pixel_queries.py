@@ -209,6 +209,18 @@ def i23_stitch(spark, sf_dir):
     return T.stitch(edges, offsets)
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey * 100 + l_linenumber AS s, l_orderkey * 100 + l_partkey % 9 + 50 AS t FROM lineitem WHERE l_linenumber > 0),
+    b AS (SELECT s, t FROM e UNION SELECT t, s FROM e), r AS (SELECT s, s AS t FROM b UNION SELECT r.s, b.t FROM r JOIN b ON r.t = b.s) SELECT s AS label, min(t) AS merged FROM r GROUP BY s"""
+)
+def i23_stitch_orders(spark, sf_dir):
+    """One tile for each order, all of lineitem."""
+    li = table(spark, sf_dir, "lineitem")
+    edges = li.select(F.col("l_orderkey").alias("tile_a"), F.col("l_linenumber").cast("long").alias("label_a"), F.col("l_orderkey").alias("tile_b"), (F.col("l_partkey") % 9 + 50).alias("label_b"))
+    offsets = li.select(F.col("l_orderkey").alias("tile")).distinct().withColumn("offset", F.col("tile") * 100)
+    return T.stitch(edges, offsets)
+
+
 @query(
     f"""WITH {PIXELS_SQL}, m AS (SELECT DISTINCT cell_id, y, x FROM px) SELECT a.cell_id, a.y, a.x FROM m a JOIN m b ON a.cell_id = b.cell_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1
     GROUP BY ALL HAVING count(*) = 9"""

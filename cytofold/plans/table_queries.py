@@ -280,4 +280,72 @@ def s12_label_status(spark, sf_dir):
     return S.label_status(expected, present, ["BUILDING"])
 
 
+# The same operators over whole tables: what is missing follows from the balances.
+
+
+def _balance(name, step):
+    return F.floor(F.col(name) / step)
+
+
+@query(
+    """SELECT c_custkey, c_nationkey, c_mktsegment FROM customer c WHERE c_custkey IN (SELECT s_suppkey FROM supplier)
+    OR EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = c.c_nationkey AND floor(s.s_acctbal / 100) = floor(c.c_acctbal / 100))"""
+)
+def j04_semi_either_whole(spark, sf_dir):
+    targets = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_nationkey").alias("c_nationkey"), _balance("s_acctbal", 100).alias("slot"))
+    own = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", _balance("c_acctbal", 100).alias("slot"))
+    return J.semi_either(own, targets, ("c_custkey",), ("c_nationkey", "slot")).drop("slot")
+
+
+_WHOLE_SQL = """f AS (SELECT DISTINCT c_mktsegment AS source, floor(c_acctbal / 500)::BIGINT AS feature FROM customer),
+    g AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY feature) AS position FROM f)"""
+
+
+def _whole_features(spark, sf_dir):
+    from pyspark.sql import Window
+
+    f = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("source"), _balance("c_acctbal", 500).alias("feature")).distinct()
+    return f.withColumn("position", F.row_number().over(Window.partitionBy("source").orderBy("feature")))
+
+
+@query(f"WITH {_WHOLE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY source, position) AS rn FROM g) SELECT feature, source AS first_source, position::INTEGER AS first_position FROM r WHERE rn = 1")
+def u02_features_in_any_whole(spark, sf_dir):
+    return U.features_in_any(_whole_features(spark, sf_dir), "source", "feature", "position")
+
+
+@query(
+    f"""WITH {_WHOLE_SQL} SELECT feature, arg_min(position, source)::INTEGER AS position FROM g GROUP BY feature
+    HAVING count(DISTINCT source) = (SELECT count(DISTINCT source) FROM g)"""
+)
+def u03_features_in_all_whole(spark, sf_dir):
+    return U.features_in_all(_whole_features(spark, sf_dir), "source", "feature", "position")
+
+
+@query("SELECT floor(c_acctbal)::BIGINT AS k FROM customer EXCEPT SELECT floor(s_acctbal)::BIGINT FROM supplier")
+def u04_missing_from_whole(spark, sf_dir):
+    have = table(spark, sf_dir, "supplier").select(_balance("s_acctbal", 1).alias("k"))
+    return U.missing_from(table(spark, sf_dir, "customer").select(_balance("c_acctbal", 1).alias("k")).distinct(), have)
+
+
+@query(
+    """WITH f AS (SELECT DISTINCT c_nationkey AS source, floor(c_acctbal / 10)::BIGINT AS feature FROM customer),
+    w AS (SELECT feature FROM f WHERE source = (SELECT min(source) FROM f)), p AS (SELECT DISTINCT source FROM f)
+    SELECT source, feature FROM p, w EXCEPT SELECT source, feature FROM f"""
+)
+def s11_incomplete_positions_whole(spark, sf_dir):
+    f = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("source"), _balance("c_acctbal", 10).alias("feature")).distinct()
+    return U.incomplete_positions(f, "source", "feature")
+
+
+@query(
+    """WITH c AS (SELECT c_nationkey AS position, floor(c_acctbal / 100)::BIGINT::VARCHAR AS label, greatest(floor(c_acctbal), 0)::BIGINT AS n FROM customer),
+    e AS (SELECT n_nationkey AS position, label FROM nation, (SELECT DISTINCT label FROM c)), p AS (SELECT position, label, max(n) AS n FROM c GROUP BY ALL)
+    SELECT position, label, CASE WHEN label = '0' THEN 'protected' WHEN n IS NULL THEN 'missing' WHEN n = 0 THEN 'empty' ELSE 'with-data' END AS status FROM e LEFT JOIN p USING (position, label)"""
+)
+def s12_label_status_whole(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("position"), _balance("c_acctbal", 100).cast("string").alias("label"), F.greatest(_balance("c_acctbal", 1), F.lit(0)).alias("n_objects"))
+    expected = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("position")).join(F.broadcast(c.select("label").distinct()))
+    return S.label_status(expected, c, ["0"])
+
+
 QUERIES, ORACLES = query.queries, query.oracles
