@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cytofold.operators.graph import connected_components
+
 OBJECT = ("cell_id", "organelle", "label")
 # Whole compartments and sessions that make no contact pair.
 COMPARTMENTS = ("cell_membrane", "cell", "cp_cell_membrane", "cp_cell")
@@ -121,23 +123,53 @@ def edge_distances(centroids: DataFrame, edges: DataFrame, name: str, sy: float
     return centroids.join(e, "cell_id").groupBy(*OBJECT).agg(F.min(d).alias(name))
 
 
+def nucleus_direction(centroids: DataFrame, nucleus: DataFrame, sy: float = 1.0, sx: float = 1.0) -> DataFrame:
+    """cell_id, organelle, label, distance_from_nucleus_centroid, angle_from_nucleus (atan2 of dy and dx) of each object.
+
+    ``nucleus``: cell_id, y, x of its pixels. Cells without a nucleus have no row."""
+    n = nucleus.select("cell_id", "y", "x").distinct().groupBy("cell_id").agg((F.avg("y") * sy).alias("_ny"), (F.avg("x") * sx).alias("_nx"))
+    dy, dx = F.col("centroid_y") - F.col("_ny"), F.col("centroid_x") - F.col("_nx")
+    return centroids.join(n, "cell_id").select(*OBJECT, F.hypot(dy, dx).alias("distance_from_nucleus_centroid"), F.atan2(dy, dx).alias("angle_from_nucleus"))
+
+
 def radial_position(to_nucleus: Column, to_edge: Column) -> Column:
     """0 at the nucleus, 1 at the cell's edge, 0.5 if both distances are 0, null without a nucleus."""
     total = to_nucleus + to_edge
     return F.when(total == 0, 0.5).otherwise(to_nucleus / total)
 
 
+def _overlap(mask: DataFrame) -> DataFrame:
+    """(cell_id, y, x, organelle_a, organelle_b) of each pixel that a pair of organelles shares."""
+    b = mask.withColumnRenamed("organelle", "organelle_b")
+    pair = mask.withColumnRenamed("organelle", "organelle_a").join(b, ["cell_id", "y", "x"]).where("organelle_a < organelle_b")
+    signal = lambda c: F.coalesce(*(F.when(F.col(c).contains(s), s) for s in SAME_SIGNAL))
+    return pair.where(~F.coalesce(signal("organelle_a") != signal("organelle_b"), F.lit(False)))
+
+
+def _contact_mask(px: DataFrame) -> DataFrame:
+    return px.where(~F.col("organelle").isin(*COMPARTMENTS)).select("cell_id", "organelle", "y", "x").distinct()
+
+
+def contact_sites(px: DataFrame) -> DataFrame:
+    """cell_id, organelle_a, organelle_b, n_contacts: 4-connected parts of each pair's overlap, pairs as in ``contacts``."""
+    pair = _overlap(_contact_mask(px))
+    at = lambda y, x: F.struct("cell_id", "organelle_a", "organelle_b", y.alias("y"), x.alias("x"))
+    y, x = F.col("y"), F.col("x")
+    spots = pair.select(at(y, x).alias("src"), F.explode(F.array(at(y + 1, x), at(y, x + 1))).alias("dst"))
+    own = pair.select(at(y, x).alias("src"), at(y, x).alias("dst"))  # parts of one pixel
+    edges = spots.join(own.select("dst"), "dst", "left_semi").select("src", "dst").unionByName(own)
+    roots = connected_components(edges).select("component.*").distinct()
+    return roots.groupBy("cell_id", "organelle_a", "organelle_b").agg(F.count("*").alias("n_contacts"))
+
+
 def contacts(px: DataFrame, sy: float = 1.0, sx: float = 1.0) -> DataFrame:
     """cell_id, organelle_a, organelle_b, overlap_area, overlap_frac_a, overlap_frac_b
     of each pair (a < b) of organelles that share pixels in a cell.
 
     Whole compartments make no pair, nor do two signals of one source."""
-    mask = px.where(~F.col("organelle").isin(*COMPARTMENTS)).select("cell_id", "organelle", "y", "x").distinct()
+    mask = _contact_mask(px)
     size = mask.groupBy("cell_id", "organelle").agg(F.count("*").alias("_size"))
-    b = mask.withColumnRenamed("organelle", "organelle_b")
-    pair = mask.withColumnRenamed("organelle", "organelle_a").join(b, ["cell_id", "y", "x"]).where("organelle_a < organelle_b")
-    signal = lambda c: F.coalesce(*(F.when(F.col(c).contains(s), s) for s in SAME_SIGNAL))
-    pair = pair.where(~F.coalesce(signal("organelle_a") != signal("organelle_b"), F.lit(False)))
+    pair = _overlap(mask)
     shared = pair.groupBy("cell_id", "organelle_a", "organelle_b").agg(F.count("*").alias("_n"))
     out = shared
     for k in "ab":

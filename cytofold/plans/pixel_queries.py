@@ -56,6 +56,17 @@ def fc_contacts(spark, sf_dir):
     return rounded(P.contacts(pixels(spark, sf_dir), 0.5, 0.25), 9)
 
 
+@query()
+def fc_contact_sites(spark, sf_dir):
+    return P.contact_sites(pixels(spark, sf_dir))
+
+
+@query()
+def fl03_nucleus_direction(spark, sf_dir):
+    px = pixels(spark, sf_dir)
+    return P.nucleus_direction(P.shape(px.where("organelle = 'a'"), 0.5, 0.25), px.where("organelle = 'b'"), 0.5, 0.25)
+
+
 @query(
     f"""WITH {PIXELS_SQL}, m AS (SELECT DISTINCT cell_id, organelle, y, x FROM px), s(dy, dx) AS (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)),
     n AS (SELECT m.*, y + dy AS ny, x + dx AS nx FROM m, s WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7)
