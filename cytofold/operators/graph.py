@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark) -> None:
     """Keep the folder the cluster names in ``spark.checkpoint.dir``; set a local
-    one only where none is named, as in tests on one machine."""
+    one only where none is named and all work is on one machine, as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(named)
 
 
+#: Edges from which hubs are joined apart.
+HUBS_FROM = 200_000
+
+
+def join_one_row(rows: DataFrame, one: DataFrame, key: str, count: str, total: int | None = None, how: str = "left", share: int = 1_000) -> DataFrame:
+    """``rows`` joined with ``one``, which has one row for a value of ``key`` and in
+    ``count`` how many of ``rows`` have it. Values that more than 1 in ``share`` rows
+    have, fewer than ``share`` of them at any size, meet their row by broadcast, so
+    that no task gets all rows of such a value; the others by an ordinary join.
+    ``rows`` is read more than once and should be a table or checkpoint."""
+    total = rows.count() if total is None else total
+    often = F.col(count) * share > total
+    hot = one.where(often)
+    warm = rows.join(F.broadcast(hot), key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.where(~often), key, how)
+    return warm.unionByName(cold)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable from each node of ``edges``.
 
@@ -28,26 +50,26 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     a null end are left out; a self-loop yields its node; an empty table yields
     an empty one. Each round is checkpointed, so lost executors repeat little.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(edges.sparkSession)
     start = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     nodes = start.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     now = start.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
-    if not now.isEmpty():
-        for _ in range(max_rounds):
-            # large star: every larger neighbour of u is tied to the smallest node around u
-            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-            # small star: u and its smaller neighbours are tied to the smallest of them
-            low = large.groupBy("u").agg(F.min("v").alias("m"))
-            tied = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-            new = tied.where("u <> v").distinct().checkpoint()
-            done = _signature(new) == _signature(now)
-            now = new
-            if done:
-                break
-        else:
+    seen = _signature(now)
+    for _ in range(max_rounds if seen[0] else 0):
+        # large star: every larger neighbour of u is tied to the smallest node around u
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        tied = both.join(low, "u") if seen[0] < HUBS_FROM else join_one_row(both, low, "u", "n", 2 * seen[0], "inner")
+        large = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: u and its smaller neighbours are tied to the smallest of them
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        tied = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        now = tied.where("u <> v").distinct().checkpoint()
+        last, seen = seen, _signature(now)
+        if seen == last:
+            break
+    else:
+        if seen[0]:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.groupBy("u").agg(F.min("v").alias("root"))
     return nodes.join(roots, nodes.node == roots.u, "left").select("node", F.coalesce("root", "node").alias("component"))
