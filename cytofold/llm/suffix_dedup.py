@@ -22,11 +22,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytofold.llm.text import map_batches, mix
-from cytofold.operators.graph import ensure_checkpoint_dir
+from cytofold.operators.graph import ensure_checkpoint_dir, join_one_row
 
 ANCHOR = 32
 MOST_WINDOWS = 128  # of a stretch; longer ones (periodic text) are cut
@@ -172,9 +172,10 @@ def repeated_windows(strings: list[bytes], doc: np.ndarray, pos: np.ndarray, len
 
 
 class Collections:
-    """Rows (h, dealt, doc_id, pos, part) sorted by anchor and share, in; marks out:
-    (kind 0, doc_id, a, b): bytes a to b are removed; (kind 1, doc_id, a, g1, g2):
-    the window at a, of that fingerprint, is the first of its share of a dealt anchor."""
+    """Rows (h, share, dealt, doc_id, v, pos, part) sorted by anchor and share, in;
+    marks out, each with doc_id and v: (kind 0, a, b): bytes a to b are removed;
+    (kind 1, a, b, g1, g2): the window at a, of that fingerprint, is the first of
+    its share of a dealt anchor. Marks of kind 0 have keys of their own there, which spread them."""
 
     def __init__(self, length: int, most: int = 2_000) -> None:
         self.length, self.most = length, most
@@ -182,67 +183,98 @@ class Collections:
     def __call__(self, batches):
         held, rows = [], 0
         for batch in batches:
-            part = [c.to_pylist() for c in batch.columns]
-            held.append(part)
+            held.append([c.to_pylist() for c in batch.columns])
             rows += batch.num_rows
             if rows >= self.most:
-                cols = [sum((p[k] for p in held), []) for k in range(6)]
+                cols = [sum((p[k] for p in held), []) for k in range(7)]
                 key = (cols[0][-1], cols[1][-1])
                 cut = rows
                 while cut and (cols[0][cut - 1], cols[1][cut - 1]) == key:
                     cut -= 1
                 if cut:
-                    yield self.marks([c[:cut] for c in cols])
+                    yield from self.collections([c[:cut] for c in cols])
                     held, rows = [[c[cut:] for c in cols]], rows - cut
                 else:
                     held = [cols]
         if rows:
-            yield self.marks([sum((p[k] for p in held), []) for k in range(6)])
+            yield from self.collections([sum((p[k] for p in held), []) for k in range(7)])
+
+    def collections(self, cols: list[list]):
+        """Marks of whole anchors' shares, about ``most`` rows at a time."""
+        keys, begin = list(zip(cols[0], cols[1], strict=True)), 0
+        while begin < len(keys):
+            end = min(begin + self.most, len(keys))
+            while end < len(keys) and keys[end] == keys[end - 1]:
+                end += 1
+            yield self.marks([c[begin:end] for c in cols])
+            begin = end
 
     def marks(self, cols: list[list]) -> pa.RecordBatch:
-        anchor, _, dealt, doc, pos, part = cols
+        anchor, _, dealt, doc, version, pos, part = cols
         length, out = self.length, []
         first: dict[tuple, int] = {}
         for k in sorted(range(len(doc)), key=lambda k: (doc[k], pos[k])):
-            own = first.setdefault((anchor[k], part[k]), k)
-            if own != k and (doc[own], pos[own]) != (doc[k], pos[k]):
-                out.append((0, doc[k], pos[k], pos[k] + len(part[k]), 0, 0))  # an equal stretch starts earlier
+            own = first.setdefault((anchor[k], part[k], 0), k)
+            if own != k and (doc[own], pos[own]) == (doc[k], pos[k]):
+                first[anchor[k], part[k], k] = k  # another text of the doc_id: neither is earlier
+            elif own != k:
+                out.append((0, doc[k], version[k], pos[k], pos[k] + len(part[k]), -1 - doc[k], pos[k]))  # an equal stretch starts earlier
         shared: dict = {}
-        for a, _ in first:
+        for a, _, _ in first:
             shared[a] = shared.get(a, 0) + 1
-        rows = [k for (a, p), k in first.items() if shared[a] > 1 or dealt[k] or len({p[i : i + length] for i in range(len(p) - length + 1)}) < len(p) - length + 1]
+        rows = [k for (a, p, _), k in first.items() if shared[a] > 1 or dealt[k] or len({p[i : i + length] for i in range(len(p) - length + 1)}) < len(p) - length + 1]
         if rows:
             strings = [part[k] for k in rows]
             d, s = np.array([doc[k] for k in rows]), np.array([pos[k] for k in rows])
             at, later = repeated_windows(strings, d, s, length)
-            which, start = at[later, 0], s[at[later, 0]] + at[later, 1]
-            order = np.lexsort((start, d[which]))
-            which, start = which[order], start[order]
-            own = d[which]
-            cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (start[1:] > start[:-1] + length)]) if len(own) else np.zeros(0, int)
-            last = np.r_[cut[1:], len(own)] - 1 if len(own) else cut
-            out += [(0, x, a, b + length, 0, 0) for x, a, b in zip(own[cut].tolist(), start[cut].tolist(), start[last].tolist(), strict=True)]
+            # runs of removed windows, stretch by stretch
+            which, window = at[later, 0], at[later, 1]
+            order = np.lexsort((window, which))
+            which, window = which[order], window[order]
+            cut = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (window[1:] > window[:-1] + length)]) if len(which) else np.zeros(0, int)
+            last = np.r_[cut[1:], len(which)] - 1 if len(which) else cut
+            for j, a, b in zip(which[cut].tolist(), window[cut].tolist(), window[last].tolist(), strict=True):
+                k = rows[j]
+                out.append((0, doc[k], version[k], pos[k] + a, pos[k] + b + length, -1 - doc[k], pos[k] + a))
             split = np.array([dealt[k] for k in rows])
-            keep = ~later & split[at[:, 0]]
-            for j, w in at[keep].tolist():
-                g = xxhash.xxh3_128_intdigest(strings[j][w : w + length])
-                out.append((1, int(d[j]), int(s[j]) + w, 0, (g >> 64) - (1 << 63), (g & ((1 << 64) - 1)) - (1 << 63)))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = [pa.int32(), *[pa.int64()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["kind", "doc_id", "a", "b", "g1", "g2"])
+            for j, w in at[~later & split[at[:, 0]]].tolist():
+                k, g = rows[j], xxhash.xxh3_128_intdigest(strings[j][w : w + length])
+                out.append((1, doc[k], version[k], pos[k] + w, pos[k] + w + length, (g >> 64) & ((1 << 63) - 1), (g & ((1 << 64) - 1)) - (1 << 63)))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 7
+        kinds = [pa.int32(), *[pa.int64()] * 6]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["kind", "doc_id", "v", "a", "b", "g1", "g2"])
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, z: the text's bytes, compressed, since the shuffle's own codec hardly shrinks text."""
+    """doc_id, v, z: the text's bytes, compressed, since the shuffle's own codec hardly shrinks text."""
 
     def make():
         press = zstandard.ZstdCompressor(level=3)
-        return lambda batch: pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "z"])
-
-    return map_batches(docs.where("doc_id is not null and text is not null").select("doc_id", "text"), make, "doc_id long, z binary")
-
-
-def remove_repeats(docs: DataFrame, length: int = 100, share_rows: int | None = None) -> DataFrame:
+        return lambda batch: pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("v"), pa.array([press.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "v", "z"])
+
+    return map_batches(docs, make, "doc_id long, v long, z binary")
+
+
+def _dealt(h: np.ndarray, doc: np.ndarray, place: np.ndarray, share_rows: int, hot: int) -> tuple[np.ndarray, ...]:
+    """(h, share, doc, place) of a batch's stretches. An anchor with more than
+    ``hot`` stretches in the batch is known to repeat: its rows are cut into shares of
+    their own, and one row of place -1 tells share 0, where the others meet."""
+    share = np.zeros(len(h), np.int32)
+    order = np.argsort(h, kind="stable")
+    start = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[start, len(h)])
+    told = []
+    for a, n in zip(start[size > hot].tolist(), size[size > hot].tolist(), strict=True):
+        told.append(h[order[a]])
+        for part in np.array_split(order[a : a + n], -(-n // share_rows)):
+            mark = mix(h[part[:1]].view(np.uint64) + doc[part[:1]].view(np.uint64) * _MULTIPLIER + place[part[:1]].view(np.uint64))
+            share[part] = int(mark[0] >> np.uint64(33)) | 1
+    told_h = np.array(told, np.int64)
+    more = np.full(len(told), -1, np.int64)
+    return np.r_[h, told_h], np.r_[share, np.zeros(len(told), np.int32)], np.r_[doc, more], np.r_[place, more]
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, share_rows: int | None = None, max_broadcast: int = 500_000, hot: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     Bytes are those of the text in UTF-8 (null: empty). A byte is removed if a
@@ -250,86 +282,105 @@ def remove_repeats(docs: DataFrame, length: int = 100, share_rows: int | None =
     smaller doc_id or before in the same row; strings are judged on the input.
     Rows with a null doc_id are returned whole and make nothing else repeat.
     Rows that repeat one doc_id and text are one document and have one result
-    each; rows of one doc_id with different texts take no part in each other's
-    order (equal places are equal). Other columns are not read. Stretches of one
-    anchor are dealt to collections of about ``share_rows``, by default an eighth
-    of the rows of a shuffle partition.
+    each; rows of one doc_id with different texts are documents of their own that
+    take no part in each other's order (equal places are equal). Other columns
+    are not read. Stretches of one anchor are dealt to collections of about
+    ``share_rows`` rows, by default 2,000 (some 300 kB). Later copies of a whole text are left out of the search: by a
+    broadcast list of up to ``max_broadcast`` ids, else by a join after the search for anchors.
+    An anchor with more than ``hot`` stretches in one Arrow batch is dealt out there, before any shuffle.
     """
     if length < ANCHOR:
         raise ValueError(f"length must be {ANCHOR} at least")
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
+    share_rows = share_rows or 2_000
+    ensure_checkpoint_dir(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")).checkpoint()
-    origin = base.groupBy("sha").agg(F.min("doc_id").alias("origin"), F.count("*").alias("copies")).where("copies > 1").select("sha", "origin")
-    base = base.join(origin, "sha", "left").withColumn("copy", F.coalesce((F.col("doc_id") > F.col("origin")) & (F.col("n_bytes") >= length), F.lit(False)))
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    base = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha"), F.xxhash64("text").alias("v")).checkpoint()
+    ids = base.where("doc_id is not null")
+    # the text is part of a document's key only if some doc_id has several: a constant shuffles for nothing
+    several = not ids.groupBy("doc_id").agg((F.min("v") != F.max("v")).alias("x")).where("x").isEmpty()
+    version = F.xxhash64("text") if several else F.lit(0).cast("long")
+    if not several:
+        base = base.withColumn("v", F.lit(0).cast("long"))
+    origin = base.groupBy("sha").agg(F.min("doc_id").alias("origin"), F.count("*").alias("n")).where("n > 1")
+    base = join_one_row(base, origin, "sha", "n").drop("n")
+    base = base.withColumn("copy", F.coalesce((F.col("doc_id") > F.col("origin")) & (F.col("n_bytes") >= length), F.lit(False))).drop("origin").checkpoint()
+    copies = base.where("copy").select("doc_id", "v").distinct()
+    few = copies.limit(max_broadcast + 1).count() <= max_broadcast
+    searched = docs.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).select("doc_id", version.alias("v"), "text")
+    if few:
+        searched = searched.join(F.broadcast(copies), ["doc_id", "v"], "left_anti")
 
     def anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hs, ids, places = [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        hs, ids, vs, places = [], [], [], []
+        versions = batch.column("v").to_numpy()
+        for k, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
             h, start, count, twice = stretches(np.frombuffer(text.encode(), np.uint8), length)
             hs.append(h.view(np.int64))
             ids.append(np.full(len(h), doc, np.int64))
+            vs.append(np.full(len(h), versions[k], np.int64))
             places.append((start << 9) | (twice << 8) | count)
-        place = np.concatenate(places)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ids)), pa.array(place)], ["h", "doc_id", "place"])
+        h, share, doc, place = _dealt(np.concatenate(hs), np.concatenate(ids), np.concatenate(places), share_rows, hot)
+        v = np.concatenate([*vs, np.zeros(len(h) - sum(map(len, vs)), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, share, doc, v, place)], ["h", "share", "doc_id", "v", "place"])
 
-    every = map_batches(docs.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()), lambda: anchors, "h long, doc_id long, place long")
+    every = map_batches(searched, lambda: anchors, "h long, share int, doc_id long, v long, place long")
     # a stretch that holds its anchor twice may repeat itself
-    often = every.groupBy("h").agg(F.sum(F.shiftright("place", 8).bitwiseAND(1) + 1).alias("n")).where("n > 1")
-    found = every.join(often, "h")
-    copies = base.where("copy").select("doc_id").distinct()
-    found = found.join(copies, "doc_id", "left_anti").checkpoint()
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    most = share_rows or max(128, found.count() // (8 * partitions))
-    shares = F.ceil(F.col("n") / most).cast("int")
-    share = F.pmod(F.xxhash64("doc_id", "place"), shares).cast("int")
-    at = found.select("doc_id", F.struct("h", share.alias("share"), (shares > 1).alias("dealt"), F.shiftright("place", 9).alias("pos"), F.col("place").bitwiseAND(255).cast("int").alias("count")).alias("x"))
-    wanted = at.groupBy("doc_id").agg(F.collect_list("x").alias("xs"))
+    met = Window.partitionBy("h", "share")
+    weight = F.when(F.col("place") < 0, 1).otherwise(F.shiftright("place", 8).bitwiseAND(1) + 1)
+    found = every.withColumn("n", F.sum(weight).over(met)).withColumn("told", F.min("place").over(met) < 0).where("place >= 0 and (n > 1 or share <> 0)")
+    shares = F.ceil(F.col("n") / share_rows).cast("int")
+    part_of = F.when(F.col("share") != 0, F.col("share")).when(shares > 1, F.pmod(F.xxhash64("doc_id", "place"), shares).cast("int")).otherwise(0)
+    dealt = F.col("told") | (F.col("share") != 0) | (shares > 1)
+    found = found.select("doc_id", "v", F.struct("h", part_of.alias("share"), dealt.alias("dealt"), F.shiftright("place", 9).alias("pos"), F.col("place").bitwiseAND(255).cast("int").alias("count")).alias("x"))
+    if not few:
+        found = found.join(copies, ["doc_id", "v"], "left_anti")
+    wanted = found.groupBy("doc_id", "v").agg(F.collect_list("x").alias("xs"))
 
     def parts(batch: pa.RecordBatch) -> pa.RecordBatch:
         unpress, rows = zstandard.ZstdDecompressor(), []
-        for doc, z, xs in zip(batch.column("doc_id").to_pylist(), batch.column("z").to_pylist(), batch.column("xs").to_pylist(), strict=True):
+        for doc, v, z, xs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "v", "z", "xs")), strict=True):
             data = unpress.decompress(z)
             for x in xs:
-                cut = data[x["pos"] : x["pos"] + x["count"] + length - 1]
-                if len(cut) >= length:
-                    rows.append((x["h"], x["share"], x["dealt"], doc, x["pos"], cut))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h", "share", "dealt", "doc_id", "pos", "part"])
-
-    texts = map_batches(_packed(docs).join(wanted, "doc_id"), lambda: parts, "h long, share int, dealt boolean, doc_id long, pos long, part binary")
-    met = texts.repartition("h", "share").sortWithinPartitions("h", "share")
-    marks = met.mapInArrow(Collections(length), "kind int, doc_id long, a long, b long, g1 long, g2 long").checkpoint()
-    again = marks.where("kind = 1").select("g1", "g2", "doc_id", "a")
-    lead = again.groupBy("g1", "g2").agg(F.min(F.struct("doc_id", "a")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    later = again.join(lead, ["g1", "g2"]).where(F.struct("doc_id", "a") > F.col("lead")).select("doc_id", "a", (F.col("a") + length).alias("b"))
-    spans = marks.where("kind = 0").select("doc_id", "a", "b").unionByName(later)
-    spans = spans.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+                rows.append((x["h"], x["share"], x["dealt"], doc, v, x["pos"], data[x["pos"] : x["pos"] + x["count"] + length - 1]))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h", "share", "dealt", "doc_id", "v", "pos", "part"])
+
+    # the compressed texts are joined twice, here and below; Spark shuffles them once
+    packed = _packed(searched)
+    texts = map_batches(packed.join(wanted, ["doc_id", "v"]), lambda: parts, "h long, share int, dealt boolean, doc_id long, v long, pos long, part binary")
+    dealt_out = texts.repartition("h", "share").sortWithinPartitions("h", "share")
+    marks = dealt_out.mapInArrow(Collections(length), "kind int, doc_id long, v long, a long, b long, g1 long, g2 long")
+    # what is first in one share of a dealt anchor is held against the other shares; other marks stand alone
+    same = Window.partitionBy("g1", "g2")
+    place = F.struct("doc_id", "a")
+    spans = marks.withColumn("lead", F.min(F.when(F.col("kind") == 1, place)).over(same)).where((F.col("kind") == 0) | (place > F.col("lead")))
+    spans = spans.groupBy("doc_id", "v").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         unpress, rows = zstandard.ZstdDecompressor(), []
         for z, spans_ in zip(batch.column("z").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             data = unpress.decompress(z)
             runs: list[list[int]] = []
-            for a, b in sorted((x["a"], min(x["b"], len(data))) for x in spans_):
+            for a, b in sorted((x["a"], x["b"]) for x in spans_):
                 if runs and a <= runs[-1][1]:
                     runs[-1][1] = max(runs[-1][1], b)
-                elif a < b:
+                else:
                     runs.append([a, b])
             kept, last = [], 0
             for a, b in runs:
                 kept.append(data[last:a])
                 last = b
             kept.append(data[last:])
-            rows.append((hashlib.sha256(data).hexdigest(), sum(b - a for a, b in runs), len(runs), hashlib.sha256(b"".join(kept)).hexdigest()))
+            rows.append((sum(b - a for a, b in runs), len(runs), hashlib.sha256(b"".join(kept)).hexdigest()))
         cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int64(), pa.int64(), pa.string()], strict=True))], ["doc_id", "sha", "n_removed", "n_spans", "kept"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("v"), *(pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.string()], strict=True))], ["doc_id", "v", "n_removed", "n_spans", "kept"])
 
-    changed = map_batches(_packed(docs).join(spans, "doc_id"), lambda: cut, "doc_id long, sha string, n_removed long, n_spans long, kept string").dropDuplicates(["doc_id", "sha"])
+    # rows that repeat a document give its line again
+    changed = map_batches(packed.join(spans, ["doc_id", "v"]), lambda: cut, "doc_id long, v long, n_removed long, n_spans long, kept string").dropDuplicates(["doc_id", "v"])
     empty = hashlib.sha256(b"").hexdigest()
-    return base.join(changed, ["doc_id", "sha"], "left").select(
+    return base.join(changed, ["doc_id", "v"], "left").select(
         "doc_id", "n_bytes",
         F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(F.col("copy"), F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),

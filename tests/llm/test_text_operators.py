@@ -285,6 +285,29 @@ def test_suffix_dedup_edges(spark, docs):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_suffix_dedup_of_one_id_with_two_texts(spark, few):
+    rng = random.Random(7)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(2))
+    rows = [(1, a), (2, b), (5, a), (5, f"zz {b} yy"), (5, a), (6, f"zz {b} yy"), (None, a)]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), max_broadcast=few).collect()
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in out if r.doc_id)
+    assert got == [(1, 400, 0, 0), (2, 400, 0, 0), (5, 400, 400, 1), (5, 400, 400, 1), (5, 406, 400, 1), (6, 406, 406, 1)]
+    assert [r.n_removed for r in out if r.doc_id is None] == [0]
+
+
+def test_suffix_dedup_of_hot_stretches(spark):
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(160))
+    rows = [(k, str(rng.random()) * 3 + line[rng.randint(0, 9) :] + str(rng.random())) for k in range(150)]
+    h, share, doc, place = suffix_dedup._dealt(np.repeat(np.arange(3), [1, 3, 9]), np.arange(13), np.arange(13) * 512, 4, 4)
+    assert list(h) == [0, 1, 1, 1, *[2] * 10] and list(share[:4]) == [0] * 4 and share[4:13].all() and share[13] == 0
+    assert len(set(share[4:13].tolist())) == 3 and place[13] == -1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs, 100, 20, hot=4).collect()}
+    assert out == slow_removal(rows, 100)
+
+
 # --- HTML ---
 
 
