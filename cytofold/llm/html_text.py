@@ -1,15 +1,19 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of the page. Every line has
-the length of its text, or zero if it stands in boilerplate or is mostly links.
-Sums over sliding windows of lines rise at the first surge point and fall at the
-last dive point of the text; all lines with a length between the two are kept.
+Markup is stripped into lines, one for each block of the page; what stands in
+boilerplate elements goes with it. Every other line has the length of its text,
+zero if it is mostly links; where an article holds most of the text, lines in it
+weigh more and lines outside it less. Lengths are summed over sliding windows of the lines that have
+one. The text begins at the surge point, the first line from which the sum
+reaches the threshold, and ends at the dive point, the last line up to which it
+does; lines with a length between the two are kept.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +37,15 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attr>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attr>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)"
+    r"|<(?P<broken>/?[a-zA-Z][^>]*)(?:>|\Z)",  # a quote that nothing closes
     re.S,
 )
+_BROKEN = re.compile(r"(/?)([a-zA-Z][^\s/>]*)(.*)", re.S)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
+#: Where an article holds most of the text, its characters count so many times, and of other lines one in so many.
+ARTICLE = 128
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 
@@ -61,94 +70,101 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters within links, boilerplate?, in article or main?) of each non-empty block in page order."""
     lines: list[tuple[str, int, bool, bool]] = []
     stack: list[tuple[str, bool]] = []  # open elements and whether each is boilerplate
+    blocks: list[int] = []  # where the stack holds elements that are not inline
+    count: Counter[str] = Counter()  # open elements by name, so that a stray closing tag is known at once
     parts: list[str] = []
     linked: list[str] = []
-    boiler = article = links = 0
+    boiler = 0
     raw = None
 
     def close_line() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            lines.append((text, len(" ".join(html.unescape("".join(linked)).split())), boiler > 0, article > 0))
+            lines.append((text, len(" ".join(html.unescape("".join(linked)).split())), boiler > 0, count["article"] + count["main"] > 0))
         parts.clear()
         linked.clear()
 
     def leave(k: int) -> None:
-        nonlocal boiler, article, links
-        for name, bad in reversed(stack[k:]):
+        nonlocal boiler
+        for name, bad in stack[k:]:
             boiler -= bad
-            article -= name in ("article", "main")
-            links -= name == "a"
+            count[name] -= 1
         del stack[k:]
+        while blocks and blocks[-1] >= k:
+            blocks.pop()
 
     at = 0
     while at < len(page):
         if raw:
-            end = re.compile(rf"</{raw}(?=[\s/>]|$)", re.I).search(page, at)
+            end = _RAW_END[raw].search(page, at)
             at, raw = (end.start() if end else len(page)), None
             continue
         token = _TOKEN.search(page, at)
         piece = page[at : token.start() if token else len(page)]
         if piece:
             parts.append(piece)
-            if links:
+            if count["a"]:
                 linked.append(piece)
         if not token:
             break
         at = max(token.end(), token.start() + 1)
-        name = (token["name"] or "").lower()
+        close, name, attr = token["close"], token["name"], token["attr"]
+        if token["broken"]:
+            close, name, attr = _BROKEN.match(token["broken"]).groups()
         if not name:
             continue
+        name = name.lower()
         if name == "br":
             parts.append(" ")
             continue
         if name not in INLINE:
             close_line()
-        if token["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    leave(k)
-                    break
+        if close:
+            if count[name]:
+                leave(next(k for k in reversed(range(len(stack))) if stack[k][0] == name))
             continue
         if name in RAW:
             raw = name
             continue
-        if name in VOID or token["attr"].endswith("/") and name not in BOILER:
+        if name in VOID or attr.endswith("/") and name not in BOILER:
             continue
-        if name in _CLOSES_P or name == "li":
-            same = "li" if name == "li" else "p"
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == same:
-                    leave(k)
-                if stack[k : k + 1] == [] or stack[k][0] not in INLINE:
-                    break
-        bad = _is_boiler(name, token["attr"], article > 0)
+        if blocks and stack[blocks[-1]][0] == ("li" if name == "li" else "p") and (name == "li" or name in _CLOSES_P):
+            leave(blocks[-1])
+        bad = _is_boiler(name, attr, count["article"] + count["main"] > 0)
+        if name not in INLINE:
+            blocks.append(len(stack))
         stack.append((name, bad))
         boiler += bad
-        article += name in ("article", "main")
-        links += name == "a"
+        count[name] += 1
     close_line()
     return lines
 
 
-def main_text(page: str | None, window: int = 3) -> str:
-    """Blocks of the main text, joined by two line feeds; empty if there is none."""
+def main_text(page: str | None, window: int = 3, share: float = 0.125, most: int = 120) -> str:
+    """Blocks of the main text, joined by two line feeds; empty if there is none.
+
+    The threshold of the window sums is ``share`` of the largest one, ``most`` at
+    most, so that a line of a marked article always reaches it; a title or a
+    closing line shares its window with the paragraphs beside it."""
     lines = lines_of(page or "")
     if not lines:
         return ""
     size = np.array([0 if bad else len(text) for text, _, bad, _ in lines])
     inside = np.array([here for *_, here in lines])
-    share = np.array([min(1.0, n / len(text)) for text, n, *_ in lines])
-    size = np.where(~inside & (share > 0.5), 0, size)
+    links = np.array([min(1.0, n / len(text)) for text, n, *_ in lines])
+    size = np.where(~inside & (links > 0.5), 0, size)
     if 2 * size[inside].sum() > size.sum():
-        size = size * inside  # the page says where its article is
-    # sum over the window that begins at each line; it surges where text comes into view
-    sums = np.convolve(size, np.ones(window, np.int64))[window - 1 :] if len(size) else size
-    seen = np.flatnonzero(sums)
-    if not len(seen):
+        size = np.where(inside, size * ARTICLE, size // ARTICLE)
+    at = np.flatnonzero(size)
+    if not len(at):
         return ""
-    surge, dive = seen[0], seen[-1] + 1  # after the dive nothing is in view any more
-    return "\n\n".join(lines[j][0] for j in range(surge, dive) if size[j])
+    total = np.r_[0, np.cumsum(size[at])]
+    k = np.arange(len(at))
+    ahead = total[np.minimum(k + window, len(at))] - total[k]  # sums of the windows that begin at each line
+    behind = total[k + 1] - total[np.maximum(k + 1 - window, 0)]  # and of those that end there
+    threshold = min(share * ahead.max(), most)
+    surge, dive = np.flatnonzero(ahead >= threshold)[0], np.flatnonzero(behind >= threshold)[-1]
+    return "\n\n".join(lines[j][0] for j in at[surge : dive + 1])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -354,6 +355,48 @@ def test_article_must_hold_most_of_the_text():
     assert html_text.main_text(post).split("\n\n") == body
 
 
+def slow_surge_and_dive(lines, window=3, share=0.125, most=120):
+    """The kept lines of a page without article, links or boilerplate, window by window."""
+    lines = [x for x in lines if x]
+    if not lines:
+        return []
+    threshold = min(most, share * max(sum(map(len, lines[k : k + window])) for k in range(len(lines))))
+    surge = next(k for k in range(len(lines)) if sum(map(len, lines[k : k + window])) >= threshold)
+    dive = next(k for k in reversed(range(len(lines))) if sum(map(len, lines[max(0, k + 1 - window) : k + 1])) >= threshold)
+    return lines[surge : dive + 1]
+
+
+def test_surge_and_dive_against_brute_force():
+    rng = random.Random(12)
+    cut = 0
+    for _ in range(300):
+        sizes = [rng.choice([0, 1, 4, 9, 30, 90, 400]) if rng.random() < 0.5 else rng.choice([1, 3, 5]) for _ in range(rng.randint(0, 30))]
+        lines = ["".join(rng.choice("abc") for _ in range(n)) for n in sizes]
+        want = slow_surge_and_dive(lines)
+        cut += len(want) < sum(map(bool, lines))
+        assert html_text.main_text("".join(f"<div class='x{k}'>{x}</div>" for k, x in enumerate(lines))) == "\n\n".join(want)
+    assert cut > 50  # without surge and dive all lines would stay
+
+
+def test_odd_pages_without_article():
+    body = [f"Paragraph {k} of the story has a good number of words in it, so that it counts as running text." for k in range(9)]
+    before, after = ["Top", "Start", "Log in", "Weather", "Sport"], ["Up", "Imprint", "Help", "About us", "2026"]
+    page = "".join(f"<div class='q{k}'>{x}</div>" for k, x in enumerate([*before, *body, *after]))
+    got = html_text.main_text(f"<body>{page}</body>").split("\n\n")
+    assert [x for x in got if x in body] == body and got == [*before[-2:], *body, *after[:2]]  # what shares a window with text stays
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x" + "</p>" * 20_000, "<b>" * 20_000 + "<p>x" * 20_000, "<div><b>" * 20_000 + "</div>x</span>" * 20_000, '<b class="q>' * 20_000])
+def test_broken_markup_takes_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 5
+
+
+def test_an_open_quote_is_no_text():
+    assert html_text.main_text('x < y and <b class="q>oops</b> tail') == "x < y and oops tail"
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<p>a", "x"), (None, None, "<p>" * 3000 + "deep", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html_text.extract_main_text(pages).collect()) == [("", 0), ("a", 1), ("deep", 4)]
