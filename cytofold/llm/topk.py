@@ -1,12 +1,16 @@
 """Exact top-k inner products by Fagin's threshold algorithm.
 
-Candidates are dealt into blocks, queries into blocks of their own, and every
-pair of blocks is one task. A task keeps its candidates sorted along every
-dimension and walks all lists from both ends at once; rows met for the first
-time are scored in full for the whole block of queries. After each step the
-bound of a query, the best score that an unseen row could have given where the
-lists stand, is held against its k-th score, and a query stops when the bound
-cannot beat it. Blocks' results, k rows a query and block, are merged.
+Candidates are dealt into blocks. A task receives a block, sorts its rows along
+every dimension once, and then serves the queries that follow it. A query walks
+each list from the end that the sign of its own component favours; the lists
+that hold up its bound most are walked first. Rows met for the first time are
+scored in full. The bound is the best score that a row not yet met could have
+where the lists stand; the query stops when it cannot beat the k-th score.
+
+A query that has met a large part of the block without stopping scores the rest
+at once, together with the others like it, in one matrix product: walking on
+would meet the same rows one by one. Blocks' results, k rows a query and block,
+are merged.
 """
 
 from __future__ import annotations
@@ -14,57 +18,113 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EXACT = float(1 << 53)
+NONE = np.iinfo(np.int64).min + 1  # its negative is a long too
+
+
+class Block:
+    """Rows (integers) with their ids, and the order of the rows along every dimension."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray) -> None:
+        self.rows, self.ids = rows, ids
+        self.order = np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T.astype(np.int32))  # one list a dimension
+        self.high = float(np.abs(rows).max(initial=0))
+        self.floats = rows.astype(np.float64)
+        self.norm = math.sqrt(np.square(self.floats).sum(axis=1).max(initial=0))
+
+    def numbers(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, rows) in floats, which are exact while scores are small, or else in Python's integers."""
+        if float(np.abs(query).max(initial=0)) * self.high * self.rows.shape[1] < EXACT:
+            return query.astype(np.float64), self.floats
+        return query.astype(object), self.rows.astype(object)
+
+
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    sort = np.lexsort((ids, -score))[:k]
+    return score[sort], ids[sort]
 
 
-def threshold_topk(query: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, row_ids: np.ndarray, k: int, first: int = 32):
+def walk(q: np.ndarray, own: int, block: Block, x: np.ndarray, k: int, first: int, part: float) -> tuple[np.ndarray, np.ndarray, int, bool]:
+    """(scores, ids, rows scored, stopped?) of the k best rows met by one query
+    when its bound stops it, all lists end, or over ``part`` of the rows is met."""
+    n = len(x)
+    used = np.flatnonzero(q != 0)
+    weight, up = q[used], q[used] > 0
+    depth, step = np.zeros(len(used), np.int64), first
+    seen, met = np.zeros(n, bool), 0
+    score, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    length = math.sqrt(float((weight * weight).sum()))
+    while len(used) and n:
+        heads = block.order[used, np.where(up, n - 1 - depth, depth)]
+        share = weight * x[heads, used]  # what each list can still give
+        bound = min(share.sum(), length * block.norm * (1 + 1e-9) + 1)
+        if len(score) == k and score[-1] > bound:
+            return score, ids, met, True
+        if met > part * n:
+            break
+        pick = np.argsort(-share)[: max(1, len(used) // 4)]
+        place = np.minimum(depth[pick][:, None] + np.arange(step), n - 1)
+        rows = block.order[used[pick][:, None], np.where(up[pick][:, None], n - 1 - place, place)].ravel()
+        rows = np.unique(rows[~seen[rows]])
+        seen[rows] = True
+        met += len(rows)
+        rows = rows[block.ids[rows] != own]
+        score, ids = _best(np.r_[score, (x[rows] @ q).astype(np.int64)], np.r_[ids, block.ids[rows]], k)
+        depth[pick] += step
+        if (depth >= n).any():
+            return score, ids, met, True  # a list has ended: every row was met
+        step *= 2
+    return score, ids, met, False
+
+
+def score_all(q: np.ndarray, own: np.ndarray, block: Block, x: np.ndarray, k: int, cells: int = 1 << 23):
+    """(position in q, score, id) of the k best rows of each query, by products of bounded size."""
+    at, scores, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, cells // max(1, len(x)))
+    for begin in range(0, len(q), step):
+        score = (q[begin : begin + step] @ x.T).astype(np.int64)
+        score[own[begin : begin + step, None] == block.ids[None, :]] = NONE
+        cut = np.partition(score, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(score), NONE)
+        r, c = np.nonzero((score >= cut[:, None]) & (score != NONE))  # ties of the k-th too
+        sort = np.lexsort((block.ids[c], -score[r, c], r))
+        r, c = r[sort], c[sort]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        r, c = r[rank < k], c[rank < k]
+        at.append(r + begin)
+        scores.append(score[r, c])
+        ids.append(block.ids[c])
+    return np.concatenate(at), np.concatenate(scores), np.concatenate(ids)
+
+
+def threshold_topk(query: np.ndarray, rows: np.ndarray | Block, query_ids: np.ndarray, row_ids: np.ndarray | None, k: int, first: int = 32, part: float = 0.5, count: list | None = None):
     """(query position, row id, score) of the k best rows of each query, ties to
-    the smaller id, a row of the query's own id left out. Integer matrices."""
-    n, dims = rows.shape
-    small = float(np.abs(query).max(initial=0)) * float(np.abs(rows).max(initial=0)) * dims < EXACT
-    kind = np.float64 if small else object  # floats are exact while small; else Python's integers
-    q, x = query.astype(kind), rows.astype(kind)
-    order = np.argsort(rows, axis=0, kind="stable")
-    seen = np.zeros(n, bool)
-    live = np.arange(len(q))
-    none = np.iinfo(np.int64).min + 1  # its negative is a long too
-    best_score = np.full((len(q), k), none, np.int64)
-    best_id = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
-    depth, done = 0, 0
-    while depth < (n + 1) // 2 and len(live):
-        done, depth = depth, min((n + 1) // 2, max(first, 2 * depth))
-        met = np.unique(np.r_[order[done:depth].ravel(), order[n - depth : n - done].ravel()])
-        met = met[~seen[met]]
-        seen[met] = True
-        if len(met):
-            score = (q[live] @ x[met].T).astype(np.int64)
-            ids = row_ids[met]
-            score[query_ids[live][:, None] == ids[None, :]] = none
-            if len(met) > k:  # keep whatever can reach the k-th place, ties too
-                cut = np.partition(score, len(met) - k, axis=1)[:, len(met) - k]
-                cut = np.maximum(cut, best_score[live, k - 1])
-            else:
-                cut = best_score[live, k - 1]
-            r, c = np.nonzero((score >= cut[:, None]) & (score != none))
-            pool_q = np.r_[np.repeat(np.arange(len(live)), k), r]
-            pool_s = np.r_[best_score[live].ravel(), score[r, c]]
-            pool_i = np.r_[best_id[live].ravel(), ids[c]]
-            sort = np.lexsort((pool_i, -pool_s, pool_q))
-            sizes = np.bincount(pool_q, minlength=len(live))
-            begin = np.r_[0, np.cumsum(sizes)[:-1]]
-            take = sort[(begin[:, None] + np.arange(k)).ravel()]
-            best_score[live] = pool_s[take].reshape(-1, k)
-            best_id[live] = pool_i[take].reshape(-1, k)
-        if depth < (n + 1) // 2:
-            low, high = x[order[depth, np.arange(dims)], np.arange(dims)], x[order[n - 1 - depth, np.arange(dims)], np.arange(dims)]
-            bound = np.maximum(q[live] * low, q[live] * high).sum(axis=1)
-            live = live[~((best_id[live, k - 1] != np.iinfo(np.int64).max) & (bound < best_score[live, k - 1]))]
-    at, place = np.nonzero(best_score != none)
-    return at, best_id[at, place], best_score[at, place]
+    the smaller id, rows of the query's own id left out. Integer matrices. Rows
+    met and whether the bound stopped the walk are added to ``count``."""
+    block = rows if isinstance(rows, Block) else Block(rows, row_ids)
+    q, x = block.numbers(query)
+    at, scores, ids, rest = [], [], [], []
+    for j in range(len(q)):
+        score, found, met, stopped = walk(q[j], query_ids[j], block, x, k, first, part)
+        if count is not None:
+            count.append((met, stopped))
+        if stopped:
+            at.append(np.full(len(score), j))
+            scores.append(score)
+            ids.append(found)
+        else:
+            rest.append(j)
+    if rest:
+        where, score, found = score_all(q[rest], query_ids[rest], block, x, k)
+        at.append(np.array(rest)[where])
+        scores.append(score)
+        ids.append(found)
+    at, scores, ids = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (at, scores, ids))
+    sort = np.lexsort((ids, -scores, at))
+    return at[sort], ids[sort], scores[sort]
 
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -81,30 +141,46 @@ def exact_topk(vectors: DataFrame, k: int = 20, every: int = 20, block_rows: int
     divisible by ``every``, the k best of all other rows by integer inner product
     (all, if fewer), ties to the smaller vec_id.
 
-    Vectors of different lengths have no inner product and do not meet. Rows
-    that repeat a query with equal vector count as one query; rows under the
-    query's own id are its own and no candidates; other repeated rows are each a
-    candidate. Empty tables give an empty result. Scores must fit in a long.
+    Each row is sent once, to its block of ``block_rows`` on average; each query
+    once to every block, where ``query_rows`` are served at a time. Vectors of
+    different lengths have no inner product and do not meet. Rows that repeat a
+    query with equal vector count as one query; rows under the query's own id are
+    its own and no candidates; other repeated rows are each a candidate. Empty
+    tables give an empty result. Scores must fit in a long.
     """
     from cytofold.operators.graph import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(vectors.sparkSession)
-    rows = integer_vectors(vectors).withColumn("dims", F.size("v")).checkpoint()
-    sizes = rows.agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).first()
-    blocks, query_blocks = max(1, math.ceil(sizes["n"] / block_rows)), max(1, math.ceil(sizes["q"] / query_rows))
-    deal = lambda n, seed: F.pmod(F.xxhash64("id", "v", F.lit(seed)), F.lit(n)).cast("int")
-    queries = rows.where(F.col("id") % every == 0).distinct().select("dims", "id", "v", deal(query_blocks, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
-    others = rows.select("dims", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), deal(blocks, 2).alias("cb"))
-
-    def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c) or not len(c["v"].iat[0]):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        ids = q["id"].to_numpy()
-        at, found, score = threshold_topk(np.stack(q["v"].to_numpy()), np.stack(c["v"].to_numpy()), ids, c["id"].to_numpy(), k)
-        return pd.DataFrame({"query_id": ids[at], "vec_id": found, "score": score})
-
-    keys = ("dims", "qb", "cb")
-    part = queries.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
+    rows = integer_vectors(vectors).withColumn("dims", F.size("v")).where("dims > 0").checkpoint()
+    blocks = max(1, math.ceil(rows.count() / block_rows))
+    own = F.pmod(F.xxhash64("id", "v", F.lit(2)), F.lit(blocks)).cast("int")
+    others = rows.select("dims", own.alias("block"), F.lit(0).alias("kind"), "id", "v")
+    queries = rows.where(F.col("id") % every == 0).distinct()
+    queries = queries.select("dims", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "v")
+
+    def serve(batches):
+        key, held, block = None, [], None
+        for batch in batches:
+            keys = np.c_[tuple(batch.column(c).to_numpy() for c in ("dims", "block", "kind"))]
+            edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
+            for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                dims, number, kind = keys[begin].tolist()
+                if key != (dims, number):
+                    key, held, block = (dims, number), [], None
+                run = batch.slice(begin, end - begin)
+                ids, v = run.column("id").to_numpy(), run.column("v").flatten().to_numpy().reshape(-1, dims)
+                if kind == 0:
+                    held.append((ids, v))
+                    continue
+                if block is None and held:  # all rows of the block have come: sort them, once
+                    block, held = Block(np.concatenate([x[1] for x in held]), np.concatenate([x[0] for x in held])), []
+                for at in range(0, len(ids) if block else 0, query_rows):
+                    mine = ids[at : at + query_rows]
+                    where, found, score = threshold_topk(v[at : at + query_rows], block, mine, None, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[where]), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    dealt = others.unionByName(queries).repartition("dims", "block").sortWithinPartitions("dims", "block", "kind")
+    part = dealt.mapInArrow(serve, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -35,6 +35,21 @@ def test_threshold_topk_with_ties():
             assert [(-int(a), b) for a, b in zip(score[at == k], found[at == k], strict=True)] == want
 
 
+def test_the_bound_stops_the_walk():
+    rng = np.random.default_rng(4)
+    ids = np.arange(6000)
+    falling = np.floor(64 * rng.normal(size=(6000, 32)) * 0.6 ** np.arange(32)).astype(np.int64)  # most weight in few dimensions
+    heavy = np.floor(64 * rng.normal(size=(6000, 12)) ** 3).astype(np.int64)  # long tails
+    for x in (falling, heavy):
+        count: list = []
+        at, found, score = topk.threshold_topk(x[::100], x, ids[::100], ids, 20, count=count)
+        assert np.mean([stopped for _, stopped in count]) > 0.9 and np.mean([met for met, _ in count]) < 0.4 * len(x)
+        for k, row in enumerate(range(0, 6000, 100)):
+            s = x @ x[row]
+            want = sorted((-int(s[j]), j) for j in range(6000) if j != row)[:20]
+            assert [(-int(a), int(b)) for a, b in zip(score[at == k], found[at == k], strict=True)] == want
+
+
 def test_exact_topk_edges(spark):
     rng = random.Random(2)
     rows = [(k, [rng.uniform(-1, 1) for _ in range(6)], 1, k) for k in range(130)]
