@@ -1,6 +1,7 @@
 """Corpus operators against brute force, on small tables with awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -233,6 +234,68 @@ def test_language_edges(spark, docs):
     assert model.predict("123 ... !") == ("und", 0.0)
 
 
+def slow_language(train, texts):
+    """Naive Bayes n-gram by n-gram; (best, share) of each text."""
+
+    def grams(text):
+        marked = re.sub(r"[\x00-\U0010ffff]", lambda m: m[0] if m[0].isalpha() and (m[0] >= "\x80" or "a" <= m[0] <= "z") else "\0", f" {text.lower()} ")
+        marked = re.sub("\0+", "\0", marked)
+        out = [(marked[k : k + n], n) for n in (1, 2, 3) for k in range(len(marked) - n + 1)]
+        return [g for g, n in out if "\0" not in g[1:-1] and g not in ("\0", "\0\0")]
+
+    def bucket(gram):
+        h = 0
+        for k, c in enumerate(gram):
+            h = (h * 0x1000003D + ord(c.replace("\0", chr(0))) + k + 1) % (1 << 64)
+        return int(langid.mix(np.array([h], np.uint64))[0] % langid.BUCKETS)
+
+    counts = {}
+    for text, lang in train:
+        for g in grams(text):
+            own = counts.setdefault(lang, {})
+            own[bucket(g)] = own.get(bucket(g), 0) + 1
+    size = {x: sum(c.values()) + 0.5 * langid.BUCKETS for x, c in counts.items()}
+    prior = {x: math.log(sum(y == x for _, y in train) / len(train)) for x in counts}
+    out = []
+    for text in texts:
+        found = grams(text or "")
+        total = {x: prior[x] + sum(math.log((counts[x].get(bucket(g), 0) + 0.5) / size[x]) for g in found) for x in sorted(counts)}
+        best = max(total, key=lambda x: total[x])
+        scale = max(1, math.sqrt(len(found)))
+        share = sum(math.exp((v - total[best]) / scale) for v in total.values())
+        out.append((best, 1 / share) if found else ("und", 0.0))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    rng = random.Random(14)
+    sounds = {f"l{k}": [rng.choice("abcdeéñß") + rng.choice("mnrst") for _ in range(6)] for k in range(7)}
+    make = lambda x: " ".join("".join(rng.choice(sounds[x]) for _ in range(3)) for _ in range(rng.randint(1, 9)))
+    rows = [(k, make(x), x) for k in range(140) for x in [f"l{min(6, k % 9)}"]]
+    rows += [(200, None, "l1"), (201, "42 + 1", "l2"), (202, "ÀB c", None), (None, make("l3"), None), (203, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = [(t, x) for i, t, x in rows if x and t is not None and not is_held_out(i)]
+    want = slow_language(train, [t for _, t, _ in rows])
+    model = langid.fit_language(docs)
+    for block in (256, 3, 1):  # all languages at once, and in steps
+        out = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict_language(docs, model, block).collect()}
+        assert len(out) == len(rows)
+        for (i, _, _), (lang, score) in zip(rows, want, strict=True):
+            assert out[i][0] == lang and abs(out[i][1] - score) < 1e-4
+
+
+def test_rare_languages_and_very_long_texts(spark):
+    rng = random.Random(15)
+    rows = [(k, " ".join(rng.choice(WORDS) for _ in range(12)), "en") for k in range(1000)]
+    rows += [(2000 + k, " ".join(rng.choice(["zvq", "qzw", "vvzq"]) for _ in range(12)), "rare") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_language(docs, max_train=50)
+    assert [r.lang_pred for r in langid.predict_language(docs, model).where("doc_id >= 2000").collect()] == ["rare"] * 8
+    long = " ".join(rng.choice(WORDS) for _ in range(20_000))
+    one, many = langid.Grams([long], piece=1 << 30), langid.Grams([long], piece=1000)
+    assert (one.bucket == many.bucket).all() and (one.count == many.count).all() and model.predict(long)[0] == "en"
+
+
 # --- suffix dedup ---
 
 
