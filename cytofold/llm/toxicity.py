@@ -1,13 +1,14 @@
 """Toxicity by a weighted lexicon.
 
 Texts are folded (lower case, homoglyphs to Latin letters, digits and signs
-inside a word to the letters they stand for) and matched by one Aho-Corasick
+of a word to the letters they stand for) and matched by one Aho-Corasick
 automaton over all lexicon entries. Entries are word stems or whole words with
 a weight; a match that lies inside an exception phrase does not count. The sum
 of weights, normalised by the length of the text, goes through a logistic curve.
 
-The lexicon, its weights and the curve are learned from labelled rows, so no
-language is built in. Empty and null texts have no match and get the curve's
+The lexicon, its weights, its exception phrases (an entry's word with a word
+beside it, where that pair stands in clean texts) and the curve are learned from
+labelled rows, so no language is built in. Empty and null texts have no match and get the curve's
 value at zero.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -39,10 +41,11 @@ HOMOGLYPHS = str.maketrans(
 )
 # Digits and signs written for letters.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
-# Phrases in which an entry of an English lexicon is harmless.
+# Phrases in which an entry of an English lexicon is harmless; more are learned.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "loser bracket", "pond scum", "not stupid")
 
-_LEET_INSIDE = re.compile(r"(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])")
+#: Signs are folded beside a letter; at the end of a word "!" is punctuation, and a number alone stays a number.
+_LEET = re.compile(r"(?<![^\W_])[0134578@$!]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578@$]+(?![^\W_])")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 _WORD = re.compile(r"[^\W\d_]+")
 STEM_MIN, STEM_MAX = 4, 8
@@ -54,7 +57,7 @@ def fold(text: str) -> str:
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower().translate(HOMOGLYPHS)
     else:
         text = text.lower()
-    return _LEET_INSIDE.sub(lambda m: "".join(LEET[c] for c in m[0]), text)
+    return _LEET.sub(lambda m: "".join(LEET[c] for c in m[0]), text)
 
 
 def entries_of(text: str) -> set[str]:
@@ -115,6 +118,21 @@ class ToxicityModel:
                     best[start] = (end, weight)
         return sorted((s, e, w) for s, (e, w) in best.items() if not any(a <= s and e <= b for a, b in harmless))
 
+    def neighbours(self, folded: str) -> set[str]:
+        """Pairs (two words, as an exception phrase) of each matched word and the word before or after it."""
+        found = self.matches(folded)
+        if not found:
+            return set()
+        words = [(m.start(), m.end()) for m in _WORD.finditer(folded)]
+        starts = [a for a, _ in words]
+        pairs = set()
+        for start, *_ in found:
+            k = bisect_right(starts, start) - 1
+            for a, b in ((k - 1, k), (k, k + 1)):
+                if a >= 0 and b < len(words) and folded[words[a][1] : words[b][0]] == " ":
+                    pairs.add(folded[words[a][0] : words[b][1]])
+        return pairs
+
     def features(self, text: str) -> tuple[float, float]:
         folded = fold(text)
         total = sum(w for *_, w in self.matches(folded))
@@ -144,7 +162,24 @@ def _counts(batches: Iterable[pa.RecordBatch]):
         )
 
 
-def choose_entries(found: list[tuple[str, int, int]], toxic: int, clean: int, purity: float, max_entries: int) -> dict[str, float]:
+def _phrases(model: ToxicityModel):
+    """For each batch, how many documents of each class hold each pair of an entry's word and a word beside it."""
+
+    def count(batches: Iterable[pa.RecordBatch]):
+        by = (Counter(), Counter())
+        for batch in batches:
+            for text, y in zip(texts_of(batch.column("text")), batch.column("y").to_pylist(), strict=True):
+                by[y].update(model.neighbours(fold(text)))
+        names = list(by[0].keys() | by[1].keys())
+        yield pa.RecordBatch.from_pydict(
+            {"entry": names, "pos": [by[1][x] for x in names], "neg": [by[0][x] for x in names]},
+            pa.schema([("entry", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())]),
+        )
+
+    return count
+
+
+def choose_entries(found: list[tuple[str, int, int]], toxic: int, clean: int, purity: float) -> dict[str, float]:
     """Weights of the chosen entries. An entry qualifies if, with the classes
     weighed equally, at least ``purity`` of its documents are toxic. Of nested
     stems the longest is kept that has 95 % of the documents of the shortest."""
@@ -164,7 +199,7 @@ def choose_entries(found: list[tuple[str, int, int]], toxic: int, clean: int, pu
         while longer := [x for x in children.get(entry, ()) if pos[x] >= 0.95 * first]:
             entry = max(longer, key=lambda x: (pos[x], x))
         chosen[entry] = weight[entry]
-    return dict(sorted(chosen.items(), key=lambda x: (-pos[x[0]], x[0]))[:max_entries])
+    return dict(sorted(chosen.items(), key=lambda x: (-pos[x[0]], x[0])))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -181,13 +216,16 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, max_train: int = 8_000, purity: float = 0.9, min_share: float = 0.005,
-    max_entries: int = 20_000, exceptions: tuple[str, ...] = EXCEPTIONS,
+    exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> ToxicityModel:
     """Learn from ``labels.toxic`` on rows that are not held out.
 
     At most about ``max_train`` labelled rows of each class are used (a bound on
     the fit only, which also makes their ids safe to broadcast; every row is scored). Rows with a null label, id or text are
-    left out. An entry needs ``min_share`` of the toxic rows, three at least.
+    left out. An entry needs ``min_share`` of the toxic rows, three at least, so
+    candidates number 1 / ``min_share`` times the entries of a toxic row at most.
+    A phrase of two words is an exception if an entry matches in it, three clean
+    rows hold it, and with the classes weighed equally ``purity`` of its rows are clean.
     Without rows of both classes the lexicon is empty and every score is 0.5 or less.
     """
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
@@ -204,15 +242,18 @@ def fit_toxicity(
         enough = counted.where(F.col("pos") >= max(3, math.ceil(min_share * toxic)))
         # rough purity first, so that what comes to the driver is a lexicon and not a vocabulary
         kept = enough.where((F.col("pos") + 0.1) / (toxic + 1) >= (F.col("neg") + 0.1) / (clean + 1))
-        found = [tuple(r) for r in kept.orderBy(F.desc("pos"), "entry").limit(10 * max_entries).collect()]
-        weights = choose_entries(found, toxic, clean, purity, max_entries)
+        weights = choose_entries([tuple(r) for r in kept.collect()], toxic, clean, purity)
+        counted = rows.mapInArrow(_phrases(ToxicityModel(weights, (0.0, 0.0, 0.0), exceptions)), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        p, n = (F.col("pos") + 0.1) / (toxic + 1), (F.col("neg") + 0.1) / (clean + 1)
+        harmless = counted.where((F.col("neg") >= 3) & (n / (p + n) >= purity)).orderBy("entry").collect()
+        exceptions = (*exceptions, *(r["entry"] for r in harmless))
         bare = ToxicityModel(weights, (0.0, 0.0, 0.0), exceptions)
 
         def features(batch: pa.RecordBatch) -> pa.RecordBatch:
             x = [bare.features(t) for t in texts_of(batch.column("text"))]
             return pa.RecordBatch.from_pydict({"a": [v[0] for v in x], "b": [v[1] for v in x], "y": batch.column("y")})
 
-        # distinct points with counts: copies weigh as rows
+        # two numbers for each row of the fit
         points = map_batches(rows, lambda: features, "a double, b double, y int").collect()
     finally:
         rows.unpersist()
@@ -221,7 +262,7 @@ def fit_toxicity(
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, held_out, score, predicted and n_matches of every row; other columns are not read."""
+    """doc_id, held_out, score and predicted of every row; other columns are not read."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 

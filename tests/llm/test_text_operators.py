@@ -54,7 +54,8 @@ def is_held_out(i):
 def test_fold_and_matches():
     model = toxicity.ToxicityModel({"idiot$": 5.0, "stup": 4.0, "trash$": 3.0}, (-1.0, 1.0, 1.0))
     found = lambda t: [w for *_, w in model.matches(toxicity.fold(t))]
-    assert found("an 1D10T") == [] and found("an Id10t!") == [5.0]
+    assert found("an 1D10T") == [5.0] and found("an Id10t!") == [5.0]  # at the edges of a word too
+    assert [toxicity.fold(x) for x in ("1diot", "@sshole", "a55", "5TUP1D!", "7 of 10", "$50", "b4")] == ["idiot", "asshole", "ass", "stupid!", "7 of 10", "$50", "ba"]
     assert found("stupidity") == [4.0] and found("unstupid") == []
     assert found("іdіоt") == [5.0]  # Cyrillic letters
     assert found("idiots") == []
@@ -79,6 +80,49 @@ def test_toxicity_held_out(spark):
     assert toxicity.drop_toxic(docs, model).count() == sum(1 - y for *_, y in marks)
 
 
+def test_exceptions_are_learned_from_clean_rows(spark):
+    rng = random.Random(13)
+    rows, marks = [], []
+    for k in range(800):
+        bad, fish = k % 4 == 0, k % 20 == 1  # a twentieth of the rows, all clean
+        words = [rng.choice(WORDS) for _ in range(30)] + ["clownish fool"] * (2 * bad) + ["clownish wrasse"] * fish
+        rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+        marks.append((k, 1, int(bad)))
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels(spark, marks), purity=0.85)
+    assert "clownish wrasse" in model.exceptions and "clownish fool" not in model.exceptions
+    assert model.score("the clownish fool") > 0.5 > model.score("a clownish wrasse over the walls")
+
+
+def slow_matches(model, folded):
+    """Entries place by place: at each start the heaviest that fits, outside exception phrases."""
+    whole = lambda a, b: (not a or not folded[a - 1].isalnum()) and (b == len(folded) or not folded[b].isalpha())
+    harmless = []
+    for phrase in map(toxicity.fold, model.exceptions):
+        harmless += [(a, a + len(phrase)) for a in range(len(folded)) if folded.startswith(phrase, a) and whole(a, a + len(phrase))]
+    out = []
+    for a in range(len(folded)):
+        if a and folded[a - 1].isalnum():
+            continue
+        fits = [(w, a + len(e.rstrip("$"))) for e, w in model.weights.items() if folded.startswith(e.rstrip("$"), a) and (e[-1] != "$" or whole(a, a + len(e) - 1))]
+        if fits:
+            weight = max(w for w, _ in fits)
+            ends = [b for w, b in fits if w == weight]
+            if not any(x <= a and b <= y for x, y in harmless for b in ends):
+                out.append((a, weight))
+    return out
+
+
+def test_matches_against_brute_force():
+    rng = random.Random(17)
+    weights = {"idio": 3.5, "idiot$": 5.0, "mor": 1.5, "moron$": 4.0, "scum$": 2.0, "trash$": 3.0, "tra": 0.5}
+    model = toxicity.ToxicityModel(weights, (-1.0, 1.0, 1.0), ("trash can", "pond scum", "not an idiot"))
+    bits = ["idiot", "Idi0t", "m0ron", "morons", "scum", "pond", "trash", "can", "not", "an", "tra", "x", "5cum", ".", "-", "é"]
+    for _ in range(400):
+        folded = toxicity.fold("".join(rng.choice(bits) + rng.choice([" ", " ", ""]) for _ in range(rng.randint(0, 14))))
+        assert [(a, w) for a, _, w in model.matches(folded)] == slow_matches(model, folded)
+
+
 def test_toxicity_edges(spark, docs):
     model = toxicity.fit_toxicity(docs, labels(spark))
     assert model.weights == {}
