@@ -6,7 +6,7 @@ import sentencepiece
 
 import corpus_pipeline
 from cytofold.llm.queries import PIECE_MODEL
-from tests.llm.test_text_operators import slow_components, slow_spans
+from tests.llm.test_text_operators import slow_similar, slow_spans
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,7 +26,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert 0 < sum(bool(insult.search(r.text)) for r in before)
     assert sum(bool(insult.search(r.text)) for r in after) == 0 and len(after) > 0.85 * len(before)
     before, after = kept["simhash_near_dedup"]
-    want = {i for i, _, c in slow_components([(r.doc_id, r.text) for r in before]) if i == c}
+    want = {i for i, c in slow_similar([(r.doc_id, r.text) for r in before]) if i == c}
     assert {r.doc_id for r in after} == want
     before, after = kept["benchmark_decontamination"]
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

@@ -179,6 +179,83 @@ def test_simhash(spark, docs):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def slow_similar(rows, words=5, radius=24, similarity=0.8):
+    """(doc_id, component_id) of every row, pair by pair."""
+    prints = []
+    for _, text in rows:
+        tokens = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode())
+        tokens = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in tokens]
+        shingles = list(dict.fromkeys(b" ".join(tokens[k : k + words]) for k in range(max(1, len(tokens) - words + 1)))) if tokens else []
+        hashes = [int.from_bytes(xxhash.xxh3_128_digest(x, 42), "little") for x in shingles]
+        count = [sum(h >> b & 1 for h in hashes) * 2 for b in range(128)]
+        fp = sum(1 << b for b in range(128) if count[b] > len(hashes) or hashes and count[b] == len(hashes) and hashes[0] >> b & 1)
+        prints.append((fp, len(hashes)))
+    part = list(range(len(rows)))
+    for a, (x, m) in enumerate(prints):
+        for b, (y, n) in enumerate(prints[:a]):
+            if part[a] != part[b] and ((x ^ y).bit_count() <= radius and min(m, n) >= similarity * max(m, n) or (x, m) == (y, n)):
+                part = [part[b] if p == part[a] else p for p in part]
+    low = {}
+    for (i, _), p in zip(rows, part, strict=True):
+        if i is not None:
+            low[p] = min(i, low.get(p, i))
+    return sorted(((i, low.get(p)) for (i, _), p in zip(rows, part, strict=True)), key=repr)
+
+
+def near_copy_rows(seed=21):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(600)]
+    rows = []
+    for k in range(25):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(60, 300))]
+        rows.append((k, " ".join(words)))
+        for j in range(rng.randint(0, 4)):  # copies with a word in forty or sixty changed
+            rows.append((1000 * (j + 1) + k, " ".join(w if rng.random() > rng.choice([0.015, 0.025]) else rng.choice(vocabulary) for w in words)))
+    return rows
+
+
+def test_similar_documents(spark, docs):
+    for rows in (awkward_rows(), near_copy_rows()):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert sorted((tuple(r) for r in simhash.similar_documents(df).collect()), key=repr) == slow_similar(rows)
+    rows = near_copy_rows(22) + [(10_000 + i, t) for i, t in near_copy_rows(23)]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    base = lambda i: i // 10_000 * 10_000 + i % 1000
+    near = {i for i in sets if i != base(i) and len(sets[i] & sets[base(i)]) >= 0.8 * len(sets[i] | sets[base(i)])}
+    assert {i for i in sets if i == base(i)} <= kept and len(near) > 30 and len(near & kept) <= 0.1 * len(near)
+    assert simhash.drop_near_duplicates(empty(spark)).count() == 0 and simhash.drop_near_duplicates(docs).schema == docs.schema
+
+
+def test_wide_links_span_components():
+    rng = np.random.default_rng(3)
+    seeds = rng.integers(0, 1 << 63, (300, 2), dtype=np.uint64)
+    near = np.repeat(seeds, 6, axis=0)
+    for k in range(8):
+        near[:, k % 2] ^= np.uint64(1) << rng.integers(0, 64, len(near), dtype=np.uint64)
+    x = np.c_[near, rng.integers(50, 90, len(near)).astype(np.uint64)]
+    rng.shuffle(x)
+    bits = np.bitwise_count(x[:, None, 0] ^ x[None, :, 0]).astype(int) + np.bitwise_count(x[:, None, 1] ^ x[None, :, 1])
+    n = x[:, 2].astype(float)
+    link = (bits <= 12) & (np.minimum.outer(n, n) >= 0.8 * np.maximum.outer(n, n) - 1e-9)
+
+    def component(links):
+        group = np.arange(len(x))
+        for _ in range(len(x)):
+            low = np.where(links, group[None, :], len(x)).min(axis=1)
+            if (low == group).all():
+                return group
+            group = np.minimum(low, group)
+
+    mine = np.eye(len(x), dtype=bool)
+    half = len(x) // 2
+    for a, b, i, j in ((x[:half], None, 0, 0), (x[half:], None, half, half), (x[:half], x[half:], 0, half)):
+        p, q = simhash.wide_links(a, b, 12, 0.8)
+        assert link[p + i, q + j].all() and len(p) < len(x)
+        mine[p + i, q + j] = mine[q + j, p + i] = True
+    assert (component(mine) == component(link)).all()
+
+
 def test_links_span_components_of_random_fingerprints():
     rng = np.random.default_rng(0)
     seeds = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
