@@ -17,6 +17,7 @@ in one of them is compared again over all of them by a grouped minimum.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from cytofold.llm.text import map_batches, mix
 from cytofold.operators.graph import ensure_checkpoint_dir, join_one_row
 
 ANCHOR = 32
+STRINGS = 300  # of a collection, more only if one anchor has more
 MOST_WINDOWS = 128  # of a stretch; longer ones (periodic text) are cut
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,7 +77,7 @@ def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
     return low[start], start, stop - start, (times > 1).astype(np.int64)
 
 
-def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def build(strings: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(longer, lcp) of the sorted suffixes of the collection, built column by
     column: for each rank the rank of the suffix that is one symbol longer (-1 if
     there is none), and the common prefix with the suffix before. Rank i of the
@@ -147,7 +149,7 @@ def _between(lcp: np.ndarray, low: np.ndarray, high: np.ndarray, same: np.ndarra
     return out
 
 
-def repeated_windows(strings: list[bytes], doc: np.ndarray, pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(strings: Sequence[bytes], doc: np.ndarray, pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(string, window) of all windows of ``length`` bytes; and whether an equal one starts earlier, by (doc, place)."""
     longer, lcp = build(strings)
     k = len(strings)
@@ -177,7 +179,7 @@ class Collections:
     (kind 1, a, b, g1, g2): the window at a, of that fingerprint, is the first of
     its share of a dealt anchor. Marks of kind 0 have keys of their own there, which spread them."""
 
-    def __init__(self, length: int, most: int = 2_000) -> None:
+    def __init__(self, length: int, most: int = 6_000) -> None:
         self.length, self.most = length, most
 
     def __call__(self, batches):
@@ -223,27 +225,41 @@ class Collections:
         for a, _, _ in first:
             shared[a] = shared.get(a, 0) + 1
         rows = [k for (a, p, _), k in first.items() if shared[a] > 1 or dealt[k] or len({p[i : i + length] for i in range(len(p) - length + 1)}) < len(p) - length + 1]
-        if rows:
-            strings = [part[k] for k in rows]
-            d, s = np.array([doc[k] for k in rows]), np.array([pos[k] for k in rows])
-            at, later = repeated_windows(strings, d, s, length)
-            # runs of removed windows, stretch by stretch
-            which, window = at[later, 0], at[later, 1]
-            order = np.lexsort((window, which))
-            which, window = which[order], window[order]
-            cut = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (window[1:] > window[:-1] + length)]) if len(which) else np.zeros(0, int)
-            last = np.r_[cut[1:], len(which)] - 1 if len(which) else cut
-            for j, a, b in zip(which[cut].tolist(), window[cut].tolist(), window[last].tolist(), strict=True):
-                k = rows[j]
-                out.append((0, doc[k], version[k], pos[k] + a, pos[k] + b + length, -1 - doc[k], pos[k] + a))
-            split = np.array([dealt[k] for k in rows])
-            for j, w in at[~later & split[at[:, 0]]].tolist():
-                k, g = rows[j], xxhash.xxh3_128_intdigest(strings[j][w : w + length])
-                out.append((1, doc[k], version[k], pos[k] + w, pos[k] + w + length, (g >> 64) & ((1 << 63) - 1), (g & ((1 << 64) - 1)) - (1 << 63)))
+        # a collection takes as many rounds as its longest string has symbols: anchors of equal lengths go together
+        longest: dict = {}
+        for k in rows:
+            longest[anchor[k]] = max(longest.get(anchor[k], 0), len(part[k]))
+        rows.sort(key=lambda k: (longest[anchor[k]], anchor[k]))
+        begin = 0
+        while begin < len(rows):
+            end = min(begin + STRINGS, len(rows))
+            while end < len(rows) and anchor[rows[end]] == anchor[rows[end - 1]]:
+                end += 1
+            out += self.transformed([(anchor[k], dealt[k], doc[k], version[k], pos[k], part[k]) for k in rows[begin:end]])
+            begin = end
         cols = list(zip(*out, strict=True)) if out else [[]] * 7
         kinds = [pa.int32(), *[pa.int64()] * 6]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["kind", "doc_id", "v", "a", "b", "g1", "g2"])
 
+    def transformed(self, rows: list[tuple]) -> list[tuple]:
+        """Marks of one collection by its transform and common prefixes."""
+        length, out = self.length, []
+        _, dealt, doc, version, pos, part = zip(*rows, strict=True)
+        at, later = repeated_windows(part, np.array(doc), np.array(pos), length)
+        # runs of removed windows, stretch by stretch
+        which, window = at[later, 0], at[later, 1]
+        order = np.lexsort((window, which))
+        which, window = which[order], window[order]
+        cut = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (window[1:] > window[:-1] + length)]) if len(which) else np.zeros(0, int)
+        last = np.r_[cut[1:], len(which)] - 1 if len(which) else cut
+        for k, a, b in zip(which[cut].tolist(), window[cut].tolist(), window[last].tolist(), strict=True):
+            out.append((0, doc[k], version[k], pos[k] + a, pos[k] + b + length, -1 - doc[k], pos[k] + a))
+        for k, w in at[~later & np.array(dealt)[at[:, 0]]].tolist():
+            g = xxhash.xxh3_128_intdigest(part[k][w : w + length])
+            out.append((1, doc[k], version[k], pos[k] + w, pos[k] + w + length, (g >> 64) & ((1 << 63) - 1), (g & ((1 << 64) - 1)) - (1 << 63)))
+        return out
+
+
 
 def _packed(docs: DataFrame) -> DataFrame:
     """doc_id, v, z: the text's bytes, compressed, since the shuffle's own codec hardly shrinks text."""
