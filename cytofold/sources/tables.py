@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cytofold.functions.names import nan_to_null, safe_name
+from cytofold.operators.graph import ensure_checkpoint_dir
 
 
 def read_linked_cells(spark: SparkSession, paths: dict[str, str], schema: str, priority: Sequence[str], key: str = "well", renames: dict[str, dict[str, str]] | None = None) -> DataFrame:
@@ -68,8 +69,11 @@ def feature_columns(spark: SparkSession, path: str) -> list[str]:
 
 def interleaved_slice(df: DataFrame, order: Sequence[str | Column], rank: int, ranks: int) -> DataFrame:
     """Rows rank, rank + ranks, ... of a total order. Numbers come from a sort by
-    range and per-partition counts, not from one task."""
-    ordered = df.sort(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    range and per-partition counts, not from one task. The sort is checkpointed:
+    counts and rows must come from the same partitions, which a second sort (it
+    samples, and adaptive execution merges partitions) need not give."""
+    ensure_checkpoint_dir(df.sparkSession)
+    ordered = df.sort(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).checkpoint()
     sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -69,3 +69,16 @@ def test_incremental_statistics(spark, tmp_path):
     assert {r.k: (r["count"], r["sum"]) for r in spark.table("stats").collect()} == want
     counts = I.windowed_counts(I.read_arrivals(spark, str(tmp_path / "in/*"), schema), "ts", "30 days", "1 day", "k")
     assert counts.isStreaming and counts.columns == ["start", "k", "n", "total"]
+
+
+def test_interleaved_slices_of_many_partitions(spark, tmp_path):
+    n = 300_000
+    spark.range(n).select("id", F.xxhash64("id").alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 3).alias("pad")).write.parquet(str(tmp_path / "t"))
+    df, before = spark.read.parquet(str(tmp_path / "t")), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        parts = [S.interleaved_slice(df, ["k"], r, 3).select("id") for r in range(3)]
+        assert [p.count() for p in parts] == [n // 3] * 3
+        assert parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct().count() == n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
