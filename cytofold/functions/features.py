@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Names of the statistics.
 STATISTICS = ("mean", "median", "std", "sum", "min", "max", "count")
+CONTACT_METRICS = ("overlap_area", "overlap_frac_a", "overlap_frac_b", "n_contacts")
 
 # Unit of each metric.
 UNITS = {
@@ -94,23 +95,45 @@ def with_unit(df: DataFrame, metric: str = "metric") -> DataFrame:
 def category(metric: Column) -> Column:
     """Feature category of a metric name."""
     return (
-        F.when(metric.startswith("intensity"), "intensity")
-        .when(metric.startswith("overlap") | (metric == "n_contacts"), "contact")
-        .when(metric.startswith("radial_frac_bin") | (metric == "radial_anisotropy"), "distribution")
-        .when(metric.startswith("distance_from") | metric.isin("normalized_radial_position", "angle_from_nucleus"), "localization")
-        .when(metric.contains("branch") | metric.isin("tortuosity", "num_nodes", "num_endpoints", "average_degree", "skeleton_pixel_count", "num_skeleton_components", "network_length_density"), "network")
+        F.when(metric.contains("intensity"), "intensity")
+        .when(metric.contains("distance_from") | metric.contains("normalized_radial"), "localization")
+        .when(metric.contains("radial_frac_bin") | metric.contains("radial_anisotropy"), "distribution")
         .otherwise("morphology")
     )
 
 
 def parse_names(features: DataFrame, organelles: DataFrame) -> DataFrame:
-    """(feature, organelle, metric, aggregation) from wide names
-    ``{organelle}_{metric}_{aggregation}``; of several organelles that fit, the
-    longest. Names with none keep organelle null. ``organelles`` is a dimension
-    of at most a few hundred rows."""
+    """(feature, organelle, metric, aggregation, category) from wide names.
+
+    ``cell_`` and ``cp_cell_`` names are morphology of the cell;
+    ``network_{organelle}_{metric}_{aggregation}`` of a network;
+    ``contact_{a}__{b}_{metric}`` of a pair; others are
+    ``{organelle}_{metric}_{aggregation}`` or ``{organelle}_count``. Of several
+    organelles that fit, the longest; names with none keep organelle null and
+    category "unknown". Every prefix that ends at an underscore is joined with
+    the known organelles, so none is compared with all of them."""
     pattern = "_(" + "|".join(STATISTICS) + ")$"
-    cut = features.select("feature", F.nullif(F.regexp_extract("feature", pattern, 1), F.lit("")).alias("aggregation"), F.regexp_replace("feature", pattern, "").alias("_rest"))
-    match = cut.join(F.broadcast(organelles.select("organelle").distinct()), F.col("_rest").startswith(F.concat("organelle", F.lit("_"))), "left")
-    best = match.groupBy("feature", "aggregation", "_rest").agg(F.max_by("organelle", F.length("organelle")).alias("organelle"))
-    metric = F.when(F.col("organelle").isNull(), F.col("_rest")).otherwise(F.substr("_rest", F.length("organelle") + 2, F.length("_rest")))
-    return best.select("feature", "organelle", metric.alias("metric"), "aggregation")
+    name = F.col("feature")
+    kind = F.when(name.startswith("cell_"), "cell").when(name.startswith("cp_cell_"), "cp_cell").when(name.startswith("network_"), "network").when(name.startswith("contact_"), "contact").otherwise("object")
+    tail = F.when(kind == "object", name).otherwise(F.substr(name, F.length(kind) + 2, F.length(name)))
+    rows = features.select("feature").distinct().select("feature", kind.alias("_kind"), tail.alias("_tail"))
+    own, measured = F.col("_kind").isin("cell", "cp_cell"), F.col("_kind").isin("network", "object")
+    rows = rows.withColumn("aggregation", F.when(measured, F.nullif(F.regexp_extract("_tail", pattern, 1), F.lit(""))))
+    rows = rows.withColumn("_rest", F.when(measured, F.regexp_replace("_tail", pattern, "")).otherwise(F.col("_tail")))
+    parts = F.split("_rest", "_")
+    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "_"))
+    known = organelles.select("organelle").distinct().withColumnRenamed("organelle", "_start")
+    found = rows.where(measured).select("feature", F.explode(starts).alias("_start")).join(known, "_start").groupBy("feature").agg(F.max_by("_start", F.length("_start")).alias("_organelle"))
+    out = rows.join(found, "feature", "left")
+    suffix = "_(" + "|".join(CONTACT_METRICS) + ")$"
+    whole = F.col("_rest") == F.col("_organelle")
+    organelle = F.when(own, F.col("_kind")).when(F.col("_kind") == "contact", F.regexp_replace("_rest", suffix, "")).otherwise(F.col("_organelle"))
+    metric = (
+        F.when(F.col("_kind") == "contact", F.regexp_extract("_rest", suffix, 1))
+        .when(whole, F.when((F.col("_kind") == "object") & (F.col("aggregation") == "count"), "count").otherwise(""))
+        .when(F.col("_organelle").isNotNull(), F.substr("_rest", F.length("_organelle") + 2, F.length("_rest")))
+        .otherwise(F.col("_rest"))
+    )
+    out = out.withColumns({"organelle": organelle, "metric": metric, "aggregation": F.when(whole & (F.col("_kind") == "object"), None).otherwise(F.col("aggregation"))})
+    named = F.when(own, "cell_morphology").when(F.col("_kind").isin("network", "contact"), F.col("_kind")).when(F.col("organelle").isNull() | (F.col("metric") == ""), "unknown").otherwise(category(F.col("metric")))
+    return out.withColumn("category", named).select("feature", "organelle", "metric", "aggregation", "category")

@@ -12,11 +12,22 @@ MARKER_PREFIXES = ("cp1_", "cp2_")
 PHASE_PREFIXES = ("phase2d", "focus3d")
 PHASE_NAMES = ("nucleoli_phase2d", "nucleoli_focus3d")
 FARRED_NAMES = ("cy5", "farred", "far_red", "far-red")
-AGNOSTIC_NAMES = ("nuclei", "cell", "cell_morphology", "cp_cell")
 # What makes an organelle a network, or keeps it from being one.
 NOT_NETWORK_CELLS = ("cell_mask", "cell_seg", "cp_cell")
 NOT_NETWORK_NUCLEAR = ("nuclear", "nuclei", "nucleoli")
 NETWORK_CHANNELS = ("gfp", "mcherry", "cy5")
+# Labels that every run needs; parts of channel names that keep them from segmentation, with the reason.
+CORE_LABELS = ("cell_mask", "nuclei", "cp_cell_mask")
+SKIP_PATTERNS = (("prediction", "virtual staining - use convert_v3.py labels"),)
+# Detection methods other than the usual one, by structure and channel type.
+METHODS = {
+    ("vesicular", "labelfree"): "blob",
+    ("vesicular", "fluorescent"): "blob",
+    ("vesicular_dark", "labelfree"): "blob",
+    ("vesicular_dark", "fluorescent"): "blob",
+    ("vesicular", "focus3d"): "blob",
+    ("vesicular_dark", "focus3d"): "blob",
+}
 
 
 def clean_str(c: Column) -> Column:
@@ -58,13 +69,13 @@ def _any(name: Column, words) -> Column:
 
 def is_network(name: Column) -> Column:
     """May this organelle form a network? Rules in order: cell outlines and
-    nuclear labels never, vesicular ones not, tubular ones, fluorescent
-    channels and stained markers do."""
+    nuclear labels never, vesicular ones not, tubular ones, names that hold a
+    fluorescent channel and stained markers do."""
     low = F.lower(name)
     return F.coalesce(
         F.when(_any(low, NOT_NETWORK_CELLS) | _any(low, NOT_NETWORK_NUCLEAR), False)
         .when(low.contains("vesicular"), False)
-        .when(low.contains("tubular") | low.isin(*NETWORK_CHANNELS), True)
+        .when(low.contains("tubular") | _any(low, NETWORK_CHANNELS), True)
         .when(_starts(low, (*MARKER_PREFIXES, "4i_")), True)
         .otherwise(False),
         F.lit(False),
@@ -145,6 +156,56 @@ def is_excluded_pair(shown: Column, physical: Column) -> Column:
     return F.coalesce(F.lower(physical).endswith("_nuclei"), F.lit(False)) | F.coalesce(F.lower(shown).contains("no label"), F.lit(False))
 
 
+def exclusion_reason(shown: Column, physical: Column) -> Column:
+    """Why a channel pair is left out; null if it is kept."""
+    low = F.lower(shown)
+    unlabelled = F.when(low.contains("autofluor"), "autofluorescence").when(low.contains("bleed"), "bleedthrough").when(low.contains("empty"), "empty well").otherwise("no label")
+    return F.when(F.lower(physical) == "phase", None).when(F.lower(physical).endswith("_nuclei"), "DAPI registration").when(low.contains("no label"), unlabelled)
+
+
+def skip_reason(channel: Column, patterns: tuple[tuple[str, str], ...] = SKIP_PATTERNS) -> Column:
+    """Why a channel is not segmented: the reason of the first pattern in its name; null if it is."""
+    out = F.lit(None).cast("string")
+    for pattern, reason in reversed(patterns):
+        out = F.when(F.lower(channel).contains(pattern), reason).otherwise(out)
+    return out
+
+
+def label_wanted(label: Column, modality: str = "all", explicit: tuple[str, ...] = ()) -> Column:
+    """Is this stored label an input of a run? Core labels always are; otherwise the
+    explicit list decides if there is one, else the modality ("all", "phase", "fluorescent")."""
+    core = label.isin(*CORE_LABELS)
+    if explicit:
+        return core | label.isin(*explicit)
+    own = F.lower(label).startswith("cp")
+    rules = {"all": F.lit(True), "phase": core | ~own, "fluorescent": core | own}
+    if modality not in rules:
+        raise ValueError(f"unknown modality {modality!r}")
+    return rules[modality]
+
+
+def centre_crop(height: Column, width: Column, fraction: float, least: int = 512) -> Column:
+    """(y0, y1, x0, x1) of a centred crop that keeps ``fraction`` of the area,
+    ``least`` pixels a side at least, within the image."""
+
+    def span(size: Column) -> tuple[Column, Column]:
+        side = F.greatest(F.floor(size * F.sqrt(F.lit(float(fraction)))), F.lit(least)).cast("int")
+        begin = F.floor(size / 2).cast("int") - F.floor(side / 2).cast("int")
+        return F.greatest(F.lit(0), begin), F.least(size, begin + side)
+
+    (y0, y1), (x0, x1) = span(height), span(width)
+    return F.struct(y0.alias("y0"), y1.alias("y1"), x0.alias("x0"), x1.alias("x1"))
+
+
+def resolved_method(runtime: Column, configured: Column, structure: Column, channel: Column) -> Column:
+    """Detection method: a caller's, else the configured one, else that of the
+    fixed table for the structure and channel type; null means not set."""
+    table = F.lit("frangi")
+    for (kind, source), method in reversed(METHODS.items()):
+        table = F.when((structure == kind) & (channel == source), method).otherwise(table)
+    return F.coalesce(runtime, configured, table)
+
+
 def sigma_grid(low_um: Column, high_um: Column, pixel_um: float, n: int = 5) -> Column:
     """Geometric grid of n scales in pixels between two radii in microns."""
     low, high = low_um / pixel_um, high_um / pixel_um

@@ -34,7 +34,8 @@ def incomplete_positions(labels: DataFrame, position: str, label: str) -> DataFr
     """(position, label): labels of the first position that another position lacks."""
     first = labels.agg(F.min(position).alias("_first"))
     wanted = labels.join(F.broadcast(first), F.col(position) == F.col("_first")).select(label).distinct()
-    every = labels.select(position).distinct().join(F.broadcast(wanted))  # label sets are a few names
+    # label sets are a few names, so every position names all of them; no broadcast is asked for
+    every = labels.select(position).distinct().crossJoin(wanted)
     return every.join(labels.select(position, label).distinct(), [position, label], "left_anti")
 
 
@@ -44,7 +45,8 @@ def own_channel_features(long: DataFrame, channel: str, bucket: str) -> DataFram
 
 
 def unified_fluorescence(long: DataFrame, cell: str, metric: str, agg: str, channel: str, bucket: str, value: str = "value") -> DataFrame:
-    """One value for each (cell, metric, aggregation): that of the cell's own channel."""
+    """One value for each (cell, metric, aggregation): that of the cell's own
+    channel; of rows that repeat it with different values the largest, whatever their order."""
     return long.where(F.col(bucket) == F.col(channel)).groupBy(cell, metric, agg).agg(F.max(value).alias(value))
 
 
@@ -63,10 +65,10 @@ def unit_corrected(long: DataFrame, affected: DataFrame, factors: dict[str, floa
     """Values of affected experiments times the factor of their unit, once.
 
     ``affected`` (experiment, applied): experiments with the fault and whether
-    their rows came corrected already; a list of at most a few thousand."""
+    their rows came corrected already."""
     factor = F.lit(1.0)
     for u, f in factors.items():
         factor = F.when(F.col(unit) == u, F.lit(float(f))).otherwise(factor)
-    known = F.broadcast(affected.groupBy(experiment).agg(F.max("applied").alias("_applied")))
-    joined = long.join(known, experiment, "left")
+    known = affected.groupBy(experiment).agg(F.max("applied").alias("_applied"))
+    joined = long.join(known, experiment, "left")  # Spark broadcasts it if its size allows
     return joined.withColumn(value, F.when(F.col("_applied") == False, F.col(value) * factor).otherwise(F.col(value))).drop("_applied")  # noqa: E712

@@ -53,7 +53,7 @@ def p06_parse_bbox(spark, sf_dir):
     return rows.select("p_partkey", "b.y0", "b.y1")
 
 
-_NAMES = ("phase2d_tubular", "phase2d_vesicular", "GFP", "cp1_actin", "cp2_nuclei", "4i_r1_gh2ax", "cell_seg", "nucleoli_focus3d", "farred", "cell", "mCherry", "lysosome")
+_NAMES = ("phase2d_tubular", "phase2d_vesicular", "GFP", "cp1_actin", "cp2_nuclei", "4i_r1_gh2ax", "cell_seg", "nucleoli_focus3d", "farred", "cell", "mCherry", "lysosome", "gfp_mito", "er_mcherry_seg", "cy5_nuclei", "cp_cell_gfp")
 _NAMES_SQL = "n(k, name) AS (VALUES " + ", ".join(f"({k}, '{n}')" for k, n in enumerate(_NAMES)) + ")"
 
 
@@ -64,7 +64,7 @@ def _named(spark, sf_dir):
 
 @query(
     f"""WITH {_NAMES_SQL} SELECT p_partkey, CASE WHEN regexp_matches(lower(name), 'cell_mask|cell_seg|cp_cell|nuclear|nuclei|nucleoli|vesicular') THEN false
-    ELSE regexp_matches(lower(name), 'tubular|^(gfp|mcherry|cy5)$|^cp1_|^cp2_|^4i_') END AS is_network,
+    ELSE regexp_matches(lower(name), 'tubular|gfp|mcherry|cy5|^cp1_|^cp2_|^4i_') END AS is_network,
     CASE WHEN regexp_matches(lower(name), '^(4i_|cp1_|cp2_)') THEN lower(name) WHEN regexp_matches(lower(name), '^(phase2d|focus3d)|^nucleoli_(phase2d|focus3d)$') THEN 'phase'
       WHEN lower(name) IN ('gfp', 'mcherry') THEN lower(name) WHEN lower(name) IN ('cy5', 'farred') THEN 'cy5' ELSE 'agnostic' END AS bucket
     FROM part JOIN n ON k = p_partkey % {len(_NAMES)}"""

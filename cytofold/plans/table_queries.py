@@ -205,7 +205,7 @@ def p29_observed_features(spark, sf_dir):
 
 @query(
     """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'um^2' WHEN 1 THEN 'ratio' WHEN 2 THEN 'ratio' ELSE 'unknown' END AS unit,
-    CASE p_size % 4 WHEN 0 THEN 'morphology' WHEN 1 THEN 'network' WHEN 2 THEN 'distribution' ELSE 'morphology' END AS category FROM part"""
+    CASE p_size % 4 WHEN 0 THEN 'morphology' WHEN 1 THEN 'morphology' WHEN 2 THEN 'distribution' ELSE 'morphology' END AS category FROM part"""
 )
 def p13_units_and_categories(spark, sf_dir):
     metric = F.element_at(F.array(F.lit("area"), F.lit("tortuosity"), F.lit("radial_frac_bin3"), F.lit("other")), F.col("p_size") % 4 + 1)
@@ -218,14 +218,15 @@ def p13_units_and_categories(spark, sf_dir):
     r AS (SELECT feature, CASE WHEN feature LIKE '%\\_mean' ESCAPE '\\' THEN 'mean' END AS aggregation, regexp_replace(feature, '_(mean|median|std|sum|min|max|count)$', '') AS rest FROM f),
     o(organelle) AS (VALUES ('standard'), ('small'), ('small_plated'), ('promo_anodized'))
     SELECT feature, arg_max(organelle, length(organelle)) AS organelle,
-      CASE WHEN max(organelle) IS NULL THEN rest ELSE substr(rest, max(length(organelle)) + 2) END AS metric, aggregation
-    FROM r LEFT JOIN o ON starts_with(rest, organelle || '_') GROUP BY feature, rest, aggregation"""
+      CASE WHEN max(organelle) IS NULL THEN rest WHEN max(length(organelle)) = length(rest) THEN '' ELSE substr(rest, max(length(organelle)) + 2) END AS metric,
+      CASE WHEN coalesce(max(length(organelle)), 0) < length(rest) THEN aggregation END AS aggregation
+    FROM r LEFT JOIN o ON starts_with(rest, organelle || '_') OR rest = organelle GROUP BY feature, rest, r.aggregation"""
 )
 def p15_parse_names(spark, sf_dir):
     name = F.concat(F.replace(F.lower("p_type"), F.lit(" "), F.lit("_")), F.when(F.col("p_size") % 2 == 0, "_mean").otherwise(""))
     made = table(spark, sf_dir, "part").select(name.alias("feature")).distinct()
     organelles = spark.createDataFrame([(x,) for x in ("standard", "small", "small_plated", "promo_anodized")], "organelle string")
-    return features.parse_names(made, organelles)
+    return features.parse_names(made, organelles).drop("category")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
