@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,24 @@ def ensure_checkpoint_dir(spark) -> None:
         spark.sparkContext.setCheckpointDir(named)
 
 
+def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For n nodes with links (a, b), all in one task: the smallest node that each one reaches."""
+    parent = np.arange(n)
+
+    def root(x: np.ndarray) -> np.ndarray:
+        x = parent[x]
+        while ((up := parent[x]) != x).any():
+            x = up
+        return x
+
+    while len(a):
+        left, right = root(a), root(b)
+        open_ = left != right
+        a, b, left, right = a[open_], b[open_], left[open_], right[open_]
+        np.minimum.at(parent, np.maximum(left, right), np.minimum(left, right))
+    return root(np.arange(n))
+
+
 #: Edges from which hubs are joined apart.
 HUBS_FROM = 200_000
 

@@ -3,10 +3,14 @@ filter, labelling, erosion, tile grids and stitching."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from cytofold.operators.graph import connected_components
+from cytofold.operators.graph import connected_components, ensure_checkpoint_dir, local_components
+from cytofold.shipping import on_executors
 
 
 def histogram(values: DataFrame, key: str, value: str = "value", bins: int = 256) -> DataFrame:
@@ -41,17 +45,240 @@ def size_filter(pixels: DataFrame, keys: list[str], pixel_area: float, least: fl
     return pixels.join(ok.select(*keys), keys, "left_semi")
 
 
-def label_pixels(mask: DataFrame, key: str, eight: bool = False) -> DataFrame:
+def label_pixels(mask: DataFrame, key: str, eight: bool = False, block: int = 512) -> DataFrame:
     """(key, y, x, root): connected pixels of each key share a root, the smallest
-    packed coordinate. Coordinates are below 2**20, keys are ids below 2**23."""
-    packed = lambda y, x: (F.col(key).cast("long") * (1 << 40)) + (y * (1 << 20)) + x
-    px = mask.select(key, "y", "x").distinct().withColumn("id", packed(F.col("y").cast("long"), F.col("x")))
+    y * 2**20 + x among them. Coordinates are from 0 to 2**20; keys are of any type.
+
+    Squares of ``block`` pixels are labelled in one task each; only what touches a
+    square's border goes through the joins of ``connected_components``."""
+    spark = mask.sparkSession
+    ensure_checkpoint_dir(spark)
+    on_executors(spark)
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if eight else [])
-    near = px.select("id", F.explode(F.array(*(F.lit(dy * (1 << 20) + dx) for dy, dx in steps))).alias("_step"), "x")
-    near = near.where(~((F.col("x") == 0) & F.col("_step").isin(*[dy * (1 << 20) + dx for dy, dx in steps if dx < 0]) if eight else F.lit(False)))
-    edges = near.select(F.col("id").alias("src"), (F.col("id") + F.col("_step")).alias("dst")).join(px.select(F.col("id").alias("dst")), "dst", "left_semi")
-    comps = connected_components(edges)
-    return px.join(comps, px.id == comps.node, "left").select(key, "y", "x", F.coalesce("component", "id").alias("root"))
+    px = mask.select(key, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).where("y is not null and x is not null").distinct()
+    px = px.withColumns({"_by": F.floor(F.col("y") / block), "_bx": F.floor(F.col("x") / block)})
+
+    def label(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["y", "x"])
+        y, x = part["y"].to_numpy(), part["x"].to_numpy()
+        code, a, b = y * (1 << 20) + x, [], []
+        for dy, dx in steps:
+            want = code + dy * (1 << 20) + dx
+            at = np.minimum(np.searchsorted(code, want), len(code) - 1)
+            hit = np.flatnonzero((code[at] == want) & (x + dx >= 0))
+            a.append(hit)
+            b.append(at[hit])
+        root = local_components(len(code), np.concatenate(a), np.concatenate(b))
+        edge = (y % block == 0) | (x % block == 0) | (y % block == block - 1) | (x % block == block - 1)
+        return part.assign(_part=code[root], _edge=edge)
+
+    made = StructType([*px.schema.fields, StructField("_part", LongType()), StructField("_edge", BooleanType())])
+    local = px.groupBy(key, "_by", "_bx").applyInPandas(label, made).checkpoint()
+    node = F.struct(F.col(key).alias("key"), F.col("_part").alias("part"))
+    rim = local.where("_edge")
+    sent = rim.select(key, "_by", "_bx", node.alias("src"), F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps))).alias("_to"))
+    sent = sent.select(key, F.col("_by").alias("_cy"), F.col("_bx").alias("_cx"), "src", "_to.y", "_to.x")
+    met = sent.join(rim.select(key, "y", "x", "_by", "_bx", node.alias("dst")), [key, "y", "x"]).where("_by <> _cy or _bx <> _cx")
+    comps = connected_components(met.select("src", "dst").distinct()).select(F.col("node.key").alias(key), F.col("node.part").alias("_part"), F.col("component.part").alias("_root"))
+    out = local.join(comps, [key, "_part"], "left")
+    return out.select(key, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.coalesce("_root", "_part").alias("root"))
+
+
+def relabel(labelled: DataFrame, key: str) -> DataFrame:
+    """(key, y, x, label): labels from 1 in each key, in order of their first pixel."""
+    order = Window.partitionBy(key).orderBy("root")
+    names = labelled.select(key, "root").distinct().withColumn("label", F.row_number().over(order))
+    return labelled.join(names, [key, "root"]).select(key, "y", "x", "label")
+
+
+def sized_objects(mask: DataFrame, key: str, least: int, eight: bool = False) -> DataFrame:
+    """(key, y, x, root) of connected parts of ``least`` pixels or more."""
+    labelled = label_pixels(mask, key, eight)
+    enough = labelled.groupBy(key, "root").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    return labelled.join(enough.select(key, "root"), [key, "root"], "left_semi").select(key, "y", "x", "root")
+
+
+def fill_holes(mask: DataFrame, key: str) -> DataFrame:
+    """Pixels of each key's mask and of the 4-connected background parts that do not
+    reach the edge of the mask's bounding box."""
+    px = mask.select(key, "y", "x").distinct()
+    box = px.groupBy(key).agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    grid = box.select("*", F.explode(F.sequence("y0", "y1")).alias("y")).select("*", F.explode(F.sequence("x0", "x1")).alias("x"))
+    parts = label_pixels(grid.join(px, [key, "y", "x"], "left_anti"), key).join(box, key)
+    edge = (F.col("y") == F.col("y0")) | (F.col("y") == F.col("y1")) | (F.col("x") == F.col("x0")) | (F.col("x") == F.col("x1"))
+    open_ = parts.where(edge).select(key, "root").distinct()
+    return px.unionByName(parts.join(open_, [key, "root"], "left_anti").select(key, "y", "x"))
+
+
+def moved(mask: DataFrame, key: str, steps: list[tuple[int, int]], least: int = 1) -> DataFrame:
+    """Pixels that at least ``least`` of the moved copies of the mask cover: 1 dilates
+    by the steps, their number erodes by the mirrored steps."""
+    px = mask.select(key, "y", "x").distinct()
+    to = F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps))
+    sent = px.select(key, F.explode(to).alias("_p")).select(key, "_p.y", "_p.x")
+    return sent.distinct() if least == 1 else sent.groupBy(key, "y", "x").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(key, "y", "x")
+
+
+def disk(radius: int) -> list[tuple[int, int]]:
+    return [(y, x) for y in range(-radius, radius + 1) for x in range(-radius, radius + 1) if y * y + x * x <= radius * radius]
+
+
+def opened(mask: DataFrame, key: str, steps: list[tuple[int, int]]) -> DataFrame:
+    """Union of all copies of the structuring element that lie in the mask."""
+    inside = moved(mask, key, [(-y, -x) for y, x in steps], len(steps))
+    return moved(inside, key, steps)
+
+
+def closed(mask: DataFrame, key: str, steps: list[tuple[int, int]]) -> DataFrame:
+    """Dilation and then erosion. ``mask`` has height and width; beyond the image is background in both."""
+    size = mask.groupBy(key).agg(F.max("height").alias("_h"), F.max("width").alias("_w"))
+    wide = moved(mask, key, steps).join(size, key).where("y >= 0 and x >= 0 and y < _h and x < _w")
+    kept = moved(wide, key, [(-y, -x) for y, x in steps], len(steps)).join(size, key).where("y >= 0 and x >= 0 and y < _h and x < _w")
+    return kept.select(key, "y", "x")
+
+
+def tubular_mask(mask: DataFrame, key: str, least: int = 5, size: int = 2, fill: bool = False) -> DataFrame:
+    """Cleaned mask of elongated structures: holes filled if asked for, opened by a
+    square of ``size``, 4-connected parts below ``least`` pixels dropped."""
+    px = fill_holes(mask, key) if fill else mask
+    px = opened(px, key, [(y, x) for y in range(size) for x in range(size)]) if size else px
+    return sized_objects(px, key, least).select(key, "y", "x")
+
+
+def round_mask(mask: DataFrame, key: str, least: int = 20, opening: int = 1, closing: int = 3, depth: int = 2) -> DataFrame:
+    """Cleaned mask of round structures: opened and closed by disks, holes filled,
+    4-connected parts kept that are deeper than ``depth`` somewhere (all of a key's,
+    if none is) and have ``least`` pixels. ``mask`` has height and width."""
+    size = mask.groupBy(key).agg(F.max("height").alias("height"), F.max("width").alias("width"))
+    px = opened(mask, key, disk(opening)) if opening else mask.select(key, "y", "x").distinct()
+    if closing:
+        px = fill_holes(closed(px.join(size, key), key, disk(closing)), key)
+    labelled = label_pixels(px, key)
+    near = disk(depth)
+    deep = moved(px, key, near, len(near))
+    seeded = labelled.join(deep, [key, "y", "x"], "left_semi").select(key, "root").distinct()
+    none = labelled.select(key).distinct().join(seeded.select(key).distinct(), key, "left_anti")
+    kept = labelled.join(seeded, [key, "root"], "left_semi").unionByName(labelled.join(none, key, "left_semi").select(key, "root", "y", "x"))
+    enough = kept.groupBy(key, "root").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    return kept.join(enough.select(key, "root"), [key, "root"], "left_semi").select(key, "y", "x")
+
+
+def inside_eroded(labels: DataFrame, mask: DataFrame, key: str, n: int = 3) -> DataFrame:
+    """Label pixels that lie in ``mask`` eroded by n pixels (square); the whole mask is eroded, so tiles leave no trace."""
+    return labels.join(erode(mask, key, n), [key, "y", "x"], "left_semi")
+
+
+def gated(px: DataFrame, gate: DataFrame, key: str) -> DataFrame:
+    """Pixels inside the gate's mask."""
+    return px.join(gate.select(key, "y", "x").distinct(), [key, "y", "x"], "left_semi")
+
+
+def effectiveness(hist: DataFrame, key: str) -> DataFrame:
+    """(key, effectiveness): share of the histogram's variance that lies between the
+    two classes of Otsu's threshold; null if all values are equal."""
+    c = F.col("lo") + (F.col("bin") + 0.5) * F.col("width")
+    at = hist.withColumn("c", c).join(otsu(hist, key), key)
+    low = F.col("bin") <= F.col("otsu_bin")
+    n, s, q = F.sum("n"), F.sum(F.col("n") * F.col("c")), F.sum(F.col("n") * F.col("c") * F.col("c"))
+    n1, s1 = F.sum(F.when(low, F.col("n"))), F.sum(F.when(low, F.col("n") * F.col("c")))
+    m = at.groupBy(key).agg(n.alias("n"), s.alias("s"), q.alias("q"), n1.alias("n1"), s1.alias("s1"))
+    gap = F.col("s1") / F.col("n1") - (F.col("s") - F.col("s1")) / F.nullif(F.col("n") - F.col("n1"), F.lit(0))
+    between = F.col("n1") * (F.col("n") - F.col("n1")) / F.pow("n", F.lit(2.0)) * gap * gap
+    total = F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), F.lit(2.0))
+    return m.select(key, F.when(total > 0, between / total).alias("effectiveness"))
+
+
+def triangle(hist: DataFrame, key: str) -> DataFrame:
+    """(key, triangle): centre of the bin farthest from the line between the
+    histogram's peak and the end of its longer tail, the first of equals."""
+    peak = F.max_by("bin", F.struct("n", (-F.col("bin")).alias("_b")))
+    ends = hist.groupBy(key).agg(peak.alias("_p"), F.max("n").alias("_np"), F.min("bin").alias("_a"), F.max("bin").alias("_z"), F.min_by("n", "bin").alias("_na"), F.max_by("n", "bin").alias("_nz"))
+    left = F.col("_p") - F.col("_a") > F.col("_z") - F.col("_p")
+    ends = ends.withColumns({"_e": F.when(left, F.col("_a")).otherwise(F.col("_z")), "_ne": F.when(left, F.col("_na")).otherwise(F.col("_nz"))})
+    # empty bins of the tail count with height 0
+    tail = ends.select("*", F.explode(F.sequence(F.least("_p", "_e"), F.greatest("_p", "_e"))).alias("bin"))
+    span = hist.groupBy(key).agg(F.first("lo").alias("lo"), F.first("width").alias("width"))
+    rows = tail.join(hist.select(key, "bin", "n"), [key, "bin"], "left").join(span, key)
+    line = F.when(F.col("_e") == F.col("_p"), F.col("_np").cast("double")).otherwise(F.col("_np") + (F.col("_ne") - F.col("_np")) * (F.col("bin") - F.col("_p")) / (F.col("_e") - F.col("_p")))
+    far = F.max_by(F.struct("bin", "lo", "width"), F.struct((line - F.coalesce("n", F.lit(0))).alias("_d"), (-F.col("bin")).alias("_b")))
+    return rows.groupBy(key).agg(far.alias("_t")).select(key, (F.col("_t.lo") + (F.col("_t.bin") + 0.5) * F.col("_t.width")).alias("triangle"))
+
+
+def intensity_threshold(values: DataFrame, key: str, method: str = "otsu", bins: int = 256) -> DataFrame:
+    """(key, threshold) by "otsu", "triangle", "ave" (their mean) or "median" (of the positive values)."""
+    if method == "median":
+        return values.groupBy(key).agg(F.coalesce(F.percentile(F.when(F.col("value") > 0, F.col("value")), F.lit(0.5)), F.max("value").cast("double")).alias("threshold"))
+    hist = histogram(values, key, bins=bins)
+    flat = hist.groupBy(key).agg(F.first("lo").alias("lo"), F.max("width").alias("width"))
+    made = {"otsu": lambda: otsu(hist, key).select(key, F.col("otsu").alias("_t")), "triangle": lambda: triangle(hist, key).select(key, F.col("triangle").alias("_t"))}
+    made["ave"] = lambda: made["otsu"]().withColumnRenamed("_t", "_o").join(made["triangle"](), key).select(key, ((F.col("_o") + F.col("_t")) / 2).alias("_t"))
+    if method not in made:
+        raise ValueError(f"unknown threshold method {method!r}")
+    # one value only: itself, so nothing lies above
+    return flat.join(made[method](), key, "left").select(key, F.when(F.col("width") > 0, F.col("_t")).otherwise(F.col("lo")).alias("threshold"))
+
+
+def above_threshold(px: DataFrame, key: str, method: str = "otsu", factor: float = 1.0, bins: int = 256) -> DataFrame:
+    """Pixels (key, y, x, value) whose value exceeds ``factor`` times their key's threshold."""
+    t = intensity_threshold(px, key, method, bins)
+    return px.join(t, key).where(F.col("value") > F.col("threshold") * factor).select(px.columns)
+
+
+def masked_objects(px: DataFrame, key: str, method: str = "triangle", adjust: float = 0.98, least: int = 100, bins: int = 256) -> DataFrame:
+    """(key, y, x, root): pixels above a threshold of their own object, which is a
+    4-connected part of ``least`` pixels above the key's threshold. The object's
+    threshold is Otsu's times ``adjust``; a part of one pixel stays."""
+    objects = sized_objects(above_threshold(px, key, method, 1.0, bins), key, least)
+    own = objects.join(px.select(key, "y", "x", "value"), [key, "y", "x"]).withColumn("_object", F.struct(key, "root"))
+    local = intensity_threshold(own.select("_object", "value"), "_object", "otsu", bins)
+    size = own.groupBy("_object").agg(F.count("*").alias("_n"))
+    kept = own.join(local, "_object").join(size, "_object").where((F.col("_n") < 2) | (F.col("value") > F.col("threshold") * adjust))
+    return kept.select(key, "y", "x", "root")
+
+
+def threshold_sweep(px: DataFrame, key: str, factors: list[float], method: str = "otsu", bins: int = 256) -> DataFrame:
+    """(key, factor, n_above, share): what a grid of factors of the threshold would keep. One pass for all factors."""
+    t = intensity_threshold(px, key, method, bins)
+    joined = px.join(t, key)
+    counts = [F.struct(F.lit(float(f)).alias("factor"), F.count_if(F.col("value") > F.col("threshold") * float(f)).alias("n_above")) for f in factors]
+    out = joined.groupBy(key).agg(F.count("*").alias("_n"), F.array(*counts).alias("_c")) if factors else joined.groupBy(key).agg(F.count("*").alias("_n"), F.expr("array()").alias("_c"))
+    return out.select(key, "_n", F.inline("_c")).select(key, "factor", "n_above", (F.col("n_above") / F.col("_n")).alias("share"))
+
+
+def blended(tiles_px: DataFrame, grid: DataFrame, overlap: int) -> DataFrame:
+    """(image, y, x, value): pixels of overlapping tiles (image, ty, tx, y, x, value in
+    image coordinates) as one image. A pixel's weight rises from the tile's edge over
+    the overlap along both axes, except at the image's own edge; weights are normalised."""
+    box = grid.select("image", "ty", "tx", "y0", "y1", "x0", "x1", "height", "width")
+
+    def ramp(c: str, lo: str, hi: str, size: str):
+        up = F.when(F.col(lo) == 0, 1.0).otherwise(F.least(F.lit(1.0), (F.col(c) - F.col(lo) + 1) / (overlap + 1)))
+        down = F.when(F.col(hi) >= F.col(size), 1.0).otherwise(F.least(F.lit(1.0), (F.col(hi) - F.col(c)) / (overlap + 1)))
+        return up * down
+
+    w = ramp("y", "y0", "y1", "height") * ramp("x", "x0", "x1", "width")
+    rows = tiles_px.join(box, ["image", "ty", "tx"]).withColumn("_w", w)
+    return rows.groupBy("image", "y", "x").agg((F.sum(F.col("value") * F.col("_w")) / F.sum("_w")).alias("value"))
+
+
+def core_pixels(tiles_px: DataFrame, grid: DataFrame) -> DataFrame:
+    """Of overlapping tiles' pixels (image, ty, tx, y, x, ...) those in the tile's own core: each pixel of an image once."""
+    box = grid.select("image", "ty", "tx", "core_y0", "core_y1", "core_x0", "core_x1")
+    inside = "y >= core_y0 and y < core_y1 and x >= core_x0 and x < core_x1"
+    return tiles_px.join(box, ["image", "ty", "tx"]).where(inside).select(tiles_px.columns)
+
+
+def crops(boxes: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
+    """(crop, y, x, value): pixels of each box (crop, image, y0, x0, y1, x1; ends
+    exclusive) in its own coordinates, from square tiles (image, ty, tx, width,
+    pixels row by row). A box is sent to the tiles that cover it, no others are read."""
+    at = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor((F.col(hi) - 1) / size))
+    sent = boxes.where("y1 > y0 and x1 > x0").withColumn("ty", F.explode(at("y0", "y1"))).withColumn("tx", F.explode(at("x0", "x1")))
+    met = sent.join(tiles, ["image", "ty", "tx"])
+    rows = met.select("crop", "y0", "x0", "y1", "x1", "ty", "tx", "width", F.posexplode("pixels").alias("_i", "value"))
+    y, x = F.col("ty") * size + F.floor(F.col("_i") / F.col("width")), F.col("tx") * size + F.col("_i") % F.col("width")
+    rows = rows.withColumns({"_y": y, "_x": x}).where("_y >= y0 and _y < y1 and _x >= x0 and _x < x1")
+    return rows.select("crop", (F.col("_y") - F.col("y0")).cast("int").alias("y"), (F.col("_x") - F.col("x0")).cast("int").alias("x"), "value")
 
 
 def erode(mask: DataFrame, key: str, n: int) -> DataFrame:

@@ -14,6 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from cytofold.operators.graph import local_components
+from cytofold.shipping import on_executors
+
 
 def map_tiles(tiles: DataFrame, kernel: Callable[..., np.ndarray], **options) -> DataFrame:
     """``kernel(image, **options)`` of every tile, other columns as they are. Tiles
@@ -24,6 +27,7 @@ def map_tiles(tiles: DataFrame, kernel: Callable[..., np.ndarray], **options) ->
             out = [None if p is None else np.asarray(kernel(np.asarray(p, float).reshape(h, w), **options), float).ravel() for p, h, w in zip(part["pixels"], part["height"], part["width"], strict=True)]
             yield part.assign(pixels=out)
 
+    on_executors(tiles.sparkSession)
     return tiles.mapInPandas(run, tiles.schema)
 
 
@@ -154,16 +158,22 @@ def thinned(img: np.ndarray) -> np.ndarray:
 
 
 def edge_distance(img: np.ndarray) -> np.ndarray:
-    """Distance of each mask pixel to the nearest background pixel of the tile (exact, by rows then columns)."""
+    """Distance of each mask pixel to the nearest background pixel of the tile:
+    along columns first, then rows as far as the largest distance left can be improved."""
     mask = img > 0
-    far = float(sum(mask.shape)) ** 2
-    d = np.where(mask, far, 0.0)
-    for axis in (0, 1):
-        n = d.shape[axis]
-        gap = (np.arange(n)[:, None] - np.arange(n)[None, :]) ** 2.0
-        moved = np.moveaxis(d, axis, 0)
-        d = np.moveaxis(np.stack([(moved + gap[k].reshape(-1, *[1] * (moved.ndim - 1))).min(axis=0) for k in range(n)]), 0, axis)
-    return np.sqrt(np.minimum(d, far))
+    h, w = mask.shape
+    far = float(h + w) ** 2
+    at = np.arange(h)[:, None]
+    above = np.maximum.accumulate(np.where(mask, -far, at), axis=0)
+    below = np.minimum.accumulate(np.where(mask, far, at)[::-1], axis=0)[::-1]
+    column = np.minimum(np.minimum(at - above, below - at) ** 2, far)
+    best = column.copy()
+    for k in range(1, w):
+        if k * k >= best.max():
+            break
+        np.minimum(best[:, k:], column[:, :-k] + k * k, out=best[:, k:])
+        np.minimum(best[:, :-k], column[:, k:] + k * k, out=best[:, :-k])
+    return np.sqrt(best)
 
 
 def watershed(img: np.ndarray, markers: np.ndarray) -> np.ndarray:
@@ -195,20 +205,15 @@ def split_touching(img: np.ndarray, h: float = 0.5) -> np.ndarray:
 
 def _labelled(mask: np.ndarray) -> np.ndarray:
     """8-connected labels from 1, in order of their first pixel."""
-    labels, found = np.zeros(mask.shape, int), 0
-    for y, x in zip(*np.nonzero(mask), strict=True):
-        if labels[y, x]:
-            continue
-        found += 1
-        stack = [(y, x)]
-        labels[y, x] = found
-        while stack:
-            b, a = stack.pop()
-            for v in range(max(b - 1, 0), min(b + 2, mask.shape[0])):
-                for u in range(max(a - 1, 0), min(a + 2, mask.shape[1])):
-                    if mask[v, u] and not labels[v, u]:
-                        labels[v, u] = found
-                        stack.append((v, u))
+    h, w = mask.shape
+    number = np.where(mask.ravel(), np.cumsum(mask.ravel()) - 1, -1).reshape(h, w)
+    pairs = []
+    for here, there in ((number[:, :-1], number[:, 1:]), (number[:-1], number[1:]), (number[:-1, :-1], number[1:, 1:]), (number[:-1, 1:], number[1:, :-1])):
+        both = (here >= 0) & (there >= 0)
+        pairs.append(np.c_[here[both], there[both]])
+    a, b = np.concatenate(pairs).T
+    labels = np.zeros(mask.shape, int)
+    labels[mask] = np.unique(local_components(int(mask.sum()), a, b), return_inverse=True)[1] + 1
     return labels
 
 
@@ -242,6 +247,7 @@ def branch_table(tiles: DataFrame) -> DataFrame:
                     rows += [(tile, k, *b) for k, b in enumerate(branches_of(np.asarray(p, float).reshape(h, w)))]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in BRANCHES.split(", ")])
 
+    on_executors(tiles.sparkSession)
     return tiles.select("tile", "pixels", "height", "width").mapInPandas(run, BRANCHES)
 
 

@@ -182,7 +182,8 @@ def i20_size_filter(spark, sf_dir):
     SELECT cell_id, y, x, min(t) AS root FROM m JOIN r ON r.s = m.id GROUP BY ALL"""
 )
 def i21_label_pixels(spark, sf_dir):
-    return T.label_pixels(pixels(spark, sf_dir).where("organelle = 'a'"), "cell_id")
+    out = T.label_pixels(pixels(spark, sf_dir).where("organelle = 'a'"), "cell_id")
+    return out.withColumn("root", F.col("cell_id") * (1 << 40) + F.col("root"))
 
 
 @query(
