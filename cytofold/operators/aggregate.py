@@ -89,6 +89,24 @@ def null_audit(long: DataFrame, feature: str = "metric", value: str = "value") -
     return out.withColumns({"over_95": F.col("missing") > 0.95, "over_99": F.col("missing") > 0.99})
 
 
+def null_audit_by(long: DataFrame, group: str, feature: str = "metric", value: str = "value") -> DataFrame:
+    """(group, n, missing, n_over_95, n_over_99): share of missing values of each
+    group, and in all (null group), and how many of its features pass either limit."""
+    gone = F.col(value).isNull() | F.isnan(value)
+    each = long.where(F.col(group).isNotNull()).groupBy(group, feature).agg(F.count("*").alias("n"), F.count_if(gone).alias("_gone"))
+    whole = each.groupBy(feature).agg(F.sum("n").alias("n"), F.sum("_gone").alias("_gone")).withColumn(group, F.lit(None).cast(dict(long.dtypes)[group]))
+    share = F.col("_gone") / F.col("n")
+    both = each.unionByName(whole, allowMissingColumns=True)
+    return both.groupBy(group).agg(F.sum("n").alias("n"), (F.sum("_gone") / F.sum("n")).alias("missing"), F.count_if(share > 0.95).alias("n_over_95"), F.count_if(share > 0.99).alias("n_over_99"))
+
+
+def spread_medians(long: DataFrame, group: str, feature: str = "metric", value: str = "value") -> DataFrame:
+    """(group, n_features, median_abs_mean, median_std): over the features of each
+    group, medians of the mean's size and of the population deviation. Scaled tables have about 0 and 1."""
+    each = long.where(F.col(group).isNotNull()).groupBy(group, feature).agg(F.abs(F.avg(value)).alias("_m"), F.stddev_pop(value).alias("_s"))
+    return each.groupBy(group).agg(F.count("*").alias("n_features"), F.percentile("_m", F.lit(0.5)).alias("median_abs_mean"), F.percentile("_s", F.lit(0.5)).alias("median_std"))
+
+
 def worst(audit: DataFrame, by: str, key: str, n: int = 10) -> DataFrame:
     """The n rows of largest ``by``, ties by key: a report, hence the limit."""
     return audit.orderBy(F.desc(by), key).limit(n)

@@ -76,11 +76,29 @@ def preferred_coordinates(own_x: Column, own_y: Column, other_x: Column, other_y
     return F.when(both, other_x).otherwise(own_x), F.when(both, other_y).otherwise(own_y)
 
 
-def resolve_channel(cells: DataFrame, channel_map: DataFrame, experiment: str, channel: str) -> DataFrame:
+def resolve_channel(cells: DataFrame, channel_map: DataFrame, experiment: str, channel: str, unresolved: str = "keep") -> DataFrame:
     """``physical`` by (experiment, channel); ``resolved`` is false where the map
-    has no entry. The map is hand-made configuration of a few thousand rows."""
+    has no entry. Such rows are kept, dropped ("drop") or an error that names a few
+    pairs ("fail"). The map is hand-made configuration of a few thousand rows."""
     known = channel_map.groupBy(experiment, channel).agg(F.min("physical").alias("physical"))
-    return cells.join(known, [experiment, channel], "left").withColumn("resolved", F.col("physical").isNotNull())
+    out = cells.join(known, [experiment, channel], "left").withColumn("resolved", F.col("physical").isNotNull())
+    if unresolved == "fail":
+        missing = out.where("not resolved").select(experiment, channel).distinct().limit(20).collect()
+        if missing:
+            raise ValueError(f"channels without an entry in the map: {[tuple(r) for r in missing]}")
+    return out.where("resolved") if unresolved == "drop" else out
+
+
+def attach_metadata(features: DataFrame, metadata: DataFrame, key: str, fill: float | None = None) -> DataFrame:
+    """Features with the metadata of their key, those without any too. If the keys
+    differ in type both are compared as text. Missing numbers among the features
+    become ``fill`` if it is given, metadata stay null; a column that both have is the metadata's."""
+    own = features.select(*(c for c in features.columns if c == key or c not in metadata.columns))
+    if fill is not None:
+        own = own.fillna(fill)
+    if dict(own.dtypes)[key] != dict(metadata.dtypes)[key]:
+        own, metadata = (df.withColumn(key, F.col(key).cast("string")) for df in (own, metadata))
+    return own.join(metadata, key, "left")
 
 
 def expand_channels(cells: DataFrame, channels: DataFrame, experiment: str) -> DataFrame:

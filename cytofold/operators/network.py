@@ -25,6 +25,45 @@ def endpoints(branches: DataFrame) -> DataFrame:
     return ends.join(inner, [*NET, "node"], "left_anti")
 
 
+def skeleton_counts(skeleton: DataFrame, key: str) -> DataFrame:
+    """(key, skeleton_pixel_count, num_skeleton_components) of skeleton pixels (key, y, x), 8-connected."""
+    from cytofold.operators.raster import label_pixels
+
+    return label_pixels(skeleton, key, eight=True).groupBy(key).agg(F.count("*").alias("skeleton_pixel_count"), F.count_distinct("root").alias("num_skeleton_components"))
+
+
+def without_specks(skeleton: DataFrame, key: str, least: int = 2) -> DataFrame:
+    """Skeleton pixels in 4-connected parts of ``least`` pixels or more."""
+    from cytofold.operators.raster import sized_objects
+
+    return sized_objects(skeleton, key, least).select(key, "y", "x")
+
+
+def component_labels(skeleton: DataFrame, objects: DataFrame) -> DataFrame:
+    """(cell_id, organelle, component, label): the object that most pixels of a
+    skeleton's component lie in, ties to the smallest label; components outside all objects have no row."""
+    keys = [*NET, "component"]
+    votes = skeleton.join(objects.select(*NET, "y", "x", "label"), [*NET, "y", "x"]).groupBy(*keys, "label").agg(F.count("*").alias("_n"))
+    return votes.groupBy(*keys).agg(F.max_by("label", F.struct("_n", (-F.col("label")).alias("_low"))).alias("label"))
+
+
+def object_networks(branches: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per skeleton component that lies in an object: label, branches, nodes of
+    branches beyond isolated ones, endpoints no such branch has, mean degree of the
+    nodes over all branches, and means of length, thickness and tortuosity."""
+    keys = [*NET, "component"]
+    base = tortuosity(branches).groupBy(*keys).agg(
+        F.count("*").alias("num_branches"), F.avg("length").alias("branch_length"), F.avg("thickness").alias("branch_thickness"), F.avg("tortuosity").alias("tortuosity")
+    )
+    ends = branches.select(*keys, "kind", F.explode(F.array("src", "dst")).alias("node"))
+    node = ends.groupBy(*keys, "node").agg(F.count("*").alias("degree"), F.max((F.col("kind") > 0).cast("int")).alias("_junction"), F.max((F.col("kind") < 2).cast("int")).alias("_end"))
+    counts = node.groupBy(*keys).agg(
+        F.sum("_junction").alias("num_nodes"), F.count_if((F.col("_junction") == 0) & (F.col("_end") == 1)).alias("num_endpoints"),
+        F.coalesce(F.avg(F.when(F.col("_junction") == 1, F.col("degree"))), F.lit(0.0)).alias("average_degree"),
+    )
+    return labels.join(base, keys).join(counts, keys)
+
+
 def network_summary(branches: DataFrame, hull_area: DataFrame | None = None) -> DataFrame:
     """Per network: branches, nodes, endpoints, mean degree (0 if none), lengths,
     the longest component, and densities over ``hull_area`` (cell_id, organelle,

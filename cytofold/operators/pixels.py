@@ -9,15 +9,22 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from cytofold.operators.graph import connected_components
+from cytofold.shipping import on_executors
 
 OBJECT = ("cell_id", "organelle", "label")
 # Whole compartments and sessions that make no contact pair.
 COMPARTMENTS = ("cell_membrane", "cell", "cp_cell_membrane", "cp_cell")
 SAME_SIGNAL = ("focus3d", "phase2d")
+# Masks that are not located in their cell; the metrics that are summarised.
+NOT_LOCALIZED = ("nuclei", "nuclear_seg", "cell_membrane")
+LOCATED = ("distance_from_cell_edge", "distance_from_nucleus", "distance_from_nucleus_centroid", "normalized_radial_position")
 #: Edges of the five radial shells as doubles print them; the last shell is closed.
 SHELLS = (0.0, 0.2, 0.4, 0.6000000000000001, 0.8, 1.0)
 
@@ -26,7 +33,8 @@ def shape(px: DataFrame, sy: float = 1.0, sx: float = 1.0) -> DataFrame:
     """Shape metrics of each object from its pixel coordinates.
 
     Axes come from the central second moments (plus 1/12 of a pixel's side
-    squared for its own extent): length 4 * sqrt(eigenvalue)."""
+    squared for its own extent): length 4 * sqrt(eigenvalue). Orientation is the
+    angle from the row axis to the major axis, -pi/2 to pi/2."""
     y, x = F.col("y") * sy, F.col("x") * sx
     m = px.groupBy(*OBJECT).agg(
         F.count("*").alias("n"), F.avg(y).alias("centroid_y"), F.avg(x).alias("centroid_x"),
@@ -41,6 +49,7 @@ def shape(px: DataFrame, sy: float = 1.0, sx: float = 1.0) -> DataFrame:
     out = out.withColumns({"axis_major_length": major, "axis_minor_length": minor, "extent": F.col("n") / F.col("_box"), "equivalent_diameter_area": F.sqrt(4 * F.col("area") / math.pi)})
     half, low = F.col("axis_major_length") / 2, F.when(F.col("axis_minor_length") == 0, 0.1).otherwise(F.col("axis_minor_length")) / 2
     # Ramanujan's first approximation of an ellipse's perimeter
+    tiny = 1e-12 * (a + c)
     perimeter = math.pi * (3 * (half + low) - F.sqrt((3 * half + low) * (half + 3 * low)))
     out = out.withColumns(
         {
@@ -48,6 +57,8 @@ def shape(px: DataFrame, sy: float = 1.0, sx: float = 1.0) -> DataFrame:
             "aspect_ratio": F.col("axis_major_length") / F.when(F.col("axis_minor_length") == 0, 1.0).otherwise(F.col("axis_minor_length")),
             "perimeter_approx": perimeter,
             "solidity_approx": F.col("extent"),
+            # equal spreads, but for rounding: an eighth turn, by the sign of the covariance
+            "orientation": F.when(F.abs(c - a) <= tiny, F.when(b > tiny, math.pi / 4).otherwise(-math.pi / 4)).otherwise(F.atan2(F.when(F.abs(b) <= tiny, 0.0).otherwise(2 * b), a - c) / 2),
         }
     )
     round_ = 4 * math.pi * F.col("area") / F.pow(F.when(F.col("perimeter_approx") == 0, 1.0).otherwise(F.col("perimeter_approx")), 2)
@@ -117,10 +128,31 @@ def boundary(px: DataFrame) -> DataFrame:
 
 
 def edge_distances(centroids: DataFrame, edges: DataFrame, name: str, sy: float = 1.0, sx: float = 1.0) -> DataFrame:
-    """(cell_id, organelle, label, name): distance from each centroid (microns) to the nearest boundary pixel of its cell."""
-    e = edges.select("cell_id", (F.col("y") * sy).alias("_ey"), (F.col("x") * sx).alias("_ex"))
-    d = F.hypot(F.col("centroid_y") - F.col("_ey"), F.col("centroid_x") - F.col("_ex"))
-    return centroids.join(e, "cell_id").groupBy(*OBJECT).agg(F.min(d).alias(name))
+    """(cell_id, organelle, label, name): distance from each centroid (microns) to the
+    nearest boundary pixel of its cell; cells without a boundary have no row.
+
+    A cell's centroids and boundary, which its crop bounds, meet in one task. The
+    boundary is sorted by y, and a centroid looks only at pixels whose y is nearer
+    than the best distance found at its own y."""
+    on_executors(centroids.sparkSession)
+    own = centroids.select(*(F.col(c).alias(c) for c in (*OBJECT, "centroid_y", "centroid_x")))
+    e = edges.select(F.col("cell_id").alias("cell_id"), (F.col("y") * float(sy)).alias("ey"), (F.col("x") * float(sx)).alias("ex")).distinct()
+    schema = StructType([*own.select(*OBJECT).schema.fields, StructField(name, DoubleType())])
+
+    def nearest(c: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(c) or not len(b):
+            return c[list(OBJECT)].iloc[:0].assign(**{name: np.zeros(0)})
+        at = b.sort_values("ey")
+        y, x = at["ey"].to_numpy(), at["ex"].to_numpy()
+        out = []
+        for cy, cx in zip(c["centroid_y"], c["centroid_x"], strict=True):
+            k = min(int(np.searchsorted(y, cy)), len(y) - 1)
+            reach = np.hypot(cy - y[k], cx - x[k])
+            lo, hi = np.searchsorted(y, cy - reach, "left"), np.searchsorted(y, cy + reach, "right")
+            out.append(float(min(reach, np.hypot(cy - y[lo:hi], cx - x[lo:hi]).min(initial=np.inf))))
+        return c[list(OBJECT)].assign(**{name: out})
+
+    return own.groupBy("cell_id").cogroup(e.groupBy("cell_id")).applyInPandas(nearest, schema)
 
 
 def nucleus_direction(centroids: DataFrame, nucleus: DataFrame, sy: float = 1.0, sx: float = 1.0) -> DataFrame:
@@ -162,12 +194,56 @@ def contact_sites(px: DataFrame) -> DataFrame:
     return roots.groupBy("cell_id", "organelle_a", "organelle_b").agg(F.count("*").alias("n_contacts"))
 
 
+def mask_box(px: DataFrame) -> DataFrame:
+    """(cell_id, organelle, y0, y1, x0, x1): first and last row and column of each mask; an empty mask has no row."""
+    return px.groupBy("cell_id", "organelle").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+
+
+def mask_shapes(px: DataFrame) -> DataFrame:
+    """(cell_id, n_shapes) of cells whose masks differ in height or width."""
+    return px.groupBy("cell_id").agg(F.count_distinct(F.struct("height", "width")).alias("n_shapes")).where("n_shapes > 1")
+
+
+def require_one_shape(px: DataFrame) -> DataFrame:
+    """``px``, or an error that names cells whose masks differ in shape: a join of
+    pixels would take them for masks of one crop."""
+    wrong = mask_shapes(px).limit(5).collect()
+    if wrong:
+        raise ValueError(f"masks of different shapes in cells {[r['cell_id'] for r in wrong]}")
+    return px
+
+
+def localized(px: DataFrame, cell: str, nucleus: str, sy: float = 1.0, sx: float = 1.0) -> DataFrame:
+    """Where each object lies: cell_id, organelle, label, distance_from_cell_edge,
+    distance_from_nucleus, distance_from_nucleus_centroid, angle_from_nucleus,
+    normalized_radial_position. ``cell`` and ``nucleus`` name the masks; what needs
+    one that the cell lacks is null. Whole compartments are no objects."""
+    objects = px.where(~F.col("organelle").isin(cell, nucleus, *NOT_LOCALIZED))
+    centre = shape(objects, sy, sx).select(*OBJECT, "centroid_y", "centroid_x")
+    rim = boundary(px.where(F.col("organelle").isin(cell, nucleus)))
+    out = centre.select(*OBJECT)
+    for mask, name in ((cell, "distance_from_cell_edge"), (nucleus, "distance_from_nucleus")):
+        out = out.join(edge_distances(centre, rim.where(F.col("organelle") == mask), name, sy, sx), list(OBJECT), "left")
+    out = out.join(nucleus_direction(centre, px.where(F.col("organelle") == nucleus), sy, sx), list(OBJECT), "left")
+    return out.withColumn("normalized_radial_position", radial_position(F.col("distance_from_nucleus"), F.col("distance_from_cell_edge")))
+
+
+def localization_summary(located: DataFrame) -> DataFrame:
+    """(cell_id, organelle, metric, sum, mean, median, std, min, max, count) of the four
+    located metrics that have a value; the deviation of a single value is 0."""
+    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in LOCATED))
+    rows = located.select("cell_id", "organelle", F.inline(pairs)).where("value is not null")
+    made = [F.sum("value").alias("sum"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("count")]
+    return rows.groupBy("cell_id", "organelle", "metric").agg(*made)
+
+
 def contacts(px: DataFrame, sy: float = 1.0, sx: float = 1.0) -> DataFrame:
     """cell_id, organelle_a, organelle_b, overlap_area, overlap_frac_a, overlap_frac_b
     of each pair (a < b) of organelles that share pixels in a cell.
 
-    Whole compartments make no pair, nor do two signals of one source."""
-    mask = _contact_mask(px)
+    Whole compartments make no pair, nor do two signals of one source. Masks of
+    one cell must have one height and width, if the table has them."""
+    mask = _contact_mask(require_one_shape(px) if {"height", "width"} <= set(px.columns) else px)
     size = mask.groupBy("cell_id", "organelle").agg(F.count("*").alias("_size"))
     pair = _overlap(mask)
     shared = pair.groupBy("cell_id", "organelle_a", "organelle_b").agg(F.count("*").alias("_n"))
@@ -237,6 +313,90 @@ def perimeter(px: DataFrame) -> DataFrame:
     return both.groupBy(*keys).agg(F.sum(weight).alias("perimeter"))
 
 
+def perimeter_crofton(px: DataFrame) -> DataFrame:
+    """Perimeter of each object in pixels by Crofton's formula in four directions:
+    how often lines along rows, columns and both diagonals leave the object."""
+    keys = list(OBJECT)
+    mask = px.select(*keys, "y", "x").distinct()
+    leaves = {}
+    for k, step in enumerate(((0, 1), (1, 0), (1, 1), (1, -1))):
+        leaves[f"_l{k}"] = neighbours(mask, keys, (step,), f"_l{k}")
+    out = mask
+    for name, df in leaves.items():
+        out = out.join(df, [*keys, "y", "x"])
+    count = [F.sum(1 - F.col(name)) for name in leaves]
+    straight, diagonal = math.pi / 4, math.pi / (4 * math.sqrt(2))
+    return out.groupBy(*keys).agg((straight * (count[0] + count[1]) + diagonal * (count[2] + count[3])).alias("perimeter_crofton"))
+
+
+def area_convex(px: DataFrame) -> DataFrame:
+    """(cell_id, organelle, label, area_convex): pixels whose centres lie in the convex
+    hull of the middles of the object's pixel sides. An object's pixels, bounded by
+    its crop, meet in one task; its hull comes from the ends of its rows."""
+    on_executors(px.sparkSession)
+    mask = px.select(*OBJECT, "y", "x").distinct()
+    schema = StructType([*mask.select(*OBJECT).schema.fields, StructField("area_convex", LongType())])
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        return part[list(OBJECT)].iloc[:1].assign(area_convex=hull_pixels(part["y"].to_numpy(np.int64), part["x"].to_numpy(np.int64)))
+
+    return mask.groupBy(*OBJECT).applyInPandas(count, schema)
+
+
+def hull_pixels(y: np.ndarray, x: np.ndarray) -> int:
+    """Pixels in the hull of the side middles of the pixels given; in doubled coordinates all are whole numbers."""
+    rows, at = np.unique(y, return_inverse=True)
+    low, high = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), np.iinfo(np.int64).min)
+    np.minimum.at(low, at, x)
+    np.maximum.at(high, at, x)
+    points = sorted({p for r, a, b in zip((2 * rows).tolist(), (2 * low).tolist(), (2 * high).tolist(), strict=True) for p in ((r, a - 1), (r - 1, a), (r + 1, a), (r, b + 1), (r - 1, b), (r + 1, b))})
+
+    def chain(sign: int) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for p in points:
+            while len(out) > 1 and sign * ((out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0])) <= 0:
+                out.pop()
+            out.append(p)
+        return out
+
+    total, left, right = 0, chain(1), chain(-1)
+    i = j = 0
+    for r in range(int(2 * rows[0]), int(2 * rows[-1]) + 1, 2):
+        while left[i + 1][0] < r:
+            i += 1
+        while right[j + 1][0] < r:
+            j += 1
+        (r0, c0), (r1, c1) = left[i], left[i + 1]
+        (s0, d0), (s1, d1) = right[j], right[j + 1]
+        # the least even column at or right of the left side, the largest at or left of the right side
+        a = -((-(c0 * (r1 - r0) + (c1 - c0) * (r - r0))) // (2 * (r1 - r0)))
+        b = (d0 * (s1 - s0) + (d1 - d0) * (r - s0)) // (2 * (s1 - s0))
+        total += max(0, b - a + 1)
+    return int(total)
+
+
+def cell_features(px: DataFrame, cell: str = "cell", sy: float = 1.0, sx: float = 1.0) -> DataFrame:
+    """cell_id and the features of the first 8-connected part, in reading order, of
+    each cell's mask: area, perimeter, axes, aspect ratio, solidity, extent,
+    orientation, circularity and seven Hu moments (in pixels). The perimeter is in
+    pixels times the mean of the spacings, which are equal in practice."""
+    from cytofold.operators.raster import label_pixels
+
+    parts = label_pixels(px.where(F.col("organelle") == cell), "cell_id", eight=True)
+    first = parts.groupBy("cell_id").agg(F.min("root").alias("root"))
+    own = parts.join(first, ["cell_id", "root"], "left_semi").select("cell_id", F.lit(cell).alias("organelle"), F.lit(1).alias("label"), "y", "x", F.lit(1.0).alias("value"))
+    keys = list(OBJECT)
+    out = shape(own, sy, sx).join(perimeter(own), keys).join(area_convex(own), keys).join(weighted_hu(own), keys)
+    length = F.col("perimeter") * ((sy + sx) / 2)
+    low = F.when(F.col("axis_minor_length") > 0, F.col("axis_minor_length")).otherwise(1.0)
+    return out.select(
+        "cell_id", F.col("area").alias("cell_area"), length.alias("cell_perimeter"), F.col("axis_major_length").alias("cell_axis_major_length"), low.alias("cell_axis_minor_length"),
+        (F.col("axis_major_length") / low).alias("cell_aspect_ratio"), (F.col("n") / F.col("area_convex")).alias("cell_solidity"), F.col("extent").alias("cell_extent"),
+        F.col("orientation").alias("cell_orientation"), F.when(length > 0, 4 * math.pi * F.col("area") / (length * length)).otherwise(1.0).alias("cell_circularity"),
+        *(F.col(f"moments_weighted_hu_{k}").alias(f"cell_hu_moment_{k}") for k in range(7)),
+    )
+
+
 def euler_number(px: DataFrame) -> DataFrame:
     """Objects less holes (pixels touching at corners are one): corners less sides plus faces of the pixel squares."""
     mask = px.select(*OBJECT, "y", "x").distinct()

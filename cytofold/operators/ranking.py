@@ -101,6 +101,11 @@ def preview(df: DataFrame, ids: list[str], share: float, seed: int = 42) -> Data
     return df.where(F.pmod(F.xxhash64(F.lit(seed), *ids), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
+def preview_rows(df: DataFrame, ids: list[str], n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows (a preview, hence the limit), the same ones each time."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *ids), *ids).limit(n)
+
+
 def limit_objects(pixels: DataFrame, keys: list[str], label: str, n: int) -> DataFrame:
     """Pixels of at most n objects of each key, chosen among the distinct labels
     in an order seeded by the key."""

@@ -40,8 +40,10 @@ def incomplete_positions(labels: DataFrame, position: str, label: str) -> DataFr
 
 
 def own_channel_features(long: DataFrame, channel: str, bucket: str) -> DataFrame:
-    """Rows whose feature belongs to the cell's own channel or to none in particular."""
-    return long.where((F.col(bucket) == F.col(channel)) | (F.col(bucket) == "agnostic"))
+    """Rows whose feature belongs to the cell's own channel or to none in
+    particular. A row without a channel is an error: its features would vanish."""
+    known = F.when(F.col(channel).isNull(), F.raise_error(F.lit("a cell has no channel"))).otherwise(F.col(channel))
+    return long.where((F.col(bucket) == known) | (F.col(bucket) == "agnostic"))
 
 
 def unified_fluorescence(long: DataFrame, cell: str, metric: str, agg: str, channel: str, bucket: str, value: str = "value") -> DataFrame:

@@ -97,6 +97,22 @@ def uncounted(requested: DataFrame, cached: DataFrame, key: str) -> DataFrame:
     return requested.select(key).distinct().join(cached.select(key), key, "left_anti")
 
 
+def require_boxes(cells: DataFrame, box: str) -> DataFrame:
+    """``cells`` with a known box; an error if there are rows and none has one."""
+    seen = cells.agg(F.count("*").alias("n"), F.count(box).alias("known")).first()
+    if seen["n"] and not seen["known"]:
+        raise ValueError(f"no row has a {box}")
+    return cells.where(F.col(box).isNotNull())
+
+
+def read_yaml(spark: SparkSession, path: str) -> dict:
+    """One configuration file (YAML), read by Spark from wherever it lies."""
+    import yaml
+
+    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())  # a hand-written file
+    return yaml.safe_load(text) or {}
+
+
 def config_table(spark: SparkSession, config: dict[str, list[dict]], columns: str) -> DataFrame:
     """Rows of a configuration of lists by experiment, entries without a needed value left out."""
     names = [c.split()[0] for c in columns.split(",")]
