@@ -195,10 +195,12 @@ def _blots(spark, sf_dir):
 
 _BLOTS_SQL = """blots AS (SELECT c_nationkey AS image, (round(abs(c_acctbal) * 100)::BIGINT % 191 + a.i)::INTEGER AS y, ((c_custkey * 7919) % 193 + b.i)::INTEGER AS x, sum(c_custkey % 50 + 1)::DOUBLE AS value
     FROM customer, range(0, 5) a(i), range(0, 5) b(i) GROUP BY ALL)"""
+#: Parts grow from the pixels with none above and none to the left; the smallest pixel of a part is one of them.
 _LABELLED_SQL = f"""{_BLOTS_SQL}, m AS (SELECT image, y, x, y * (1::BIGINT << 20) + x AS id FROM blots),
     s4(dy, dx) AS (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)), e AS (SELECT a.image, a.id AS s, b.id AS t FROM m a CROSS JOIN s4 JOIN m b ON b.image = a.image AND b.y = a.y + dy AND b.x = a.x + dx),
-    r AS (SELECT image, id AS s, id AS t FROM m UNION SELECT r.image, r.s, e.t FROM r JOIN e ON r.image = e.image AND r.t = e.s),
-    l AS (SELECT image, (s >> 20)::INTEGER AS y, (s & 1048575)::INTEGER AS x, min(t) AS root FROM r GROUP BY image, s)"""
+    c AS (SELECT image, id FROM m ANTI JOIN (SELECT image, y + 1 AS y, x FROM m UNION SELECT image, y, x + 1 FROM m) k USING (image, y, x)),
+    r AS (SELECT image, id AS s, id AS t FROM c UNION SELECT r.image, r.s, e.t FROM r JOIN e ON r.image = e.image AND r.t = e.s),
+    l AS (SELECT image, (t >> 20)::INTEGER AS y, (t & 1048575)::INTEGER AS x, min(s) AS root FROM r GROUP BY image, t)"""
 
 
 @query(f"WITH RECURSIVE {_LABELLED_SQL} SELECT image, y, x, root FROM l")
