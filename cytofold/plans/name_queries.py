@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cytofold.functions import names as N
+from cytofold.operators.aggregate import narrowed_quantile
 from cytofold.plans.registry import Registry, rounded
 from cytofold.plans.stand_in import table
 
@@ -133,7 +134,7 @@ def p25_complexity_split(spark, sf_dir):
     top = o.agg(F.max("o_totalprice").alias("top"))
     score = 50 * (F.col("o_orderstatus") == "F").cast("int") + 20 * F.col("o_totalprice") / F.col("top") + 5 * (F.col("o_orderkey") % 4)
     scored = o.join(F.broadcast(top)).select("o_orderkey", score.alias("score"))
-    cut = scored.agg(F.percentile("score", F.lit(0.4)).alias("cut"))
+    cut = narrowed_quantile(scored.withColumn("all", F.lit(True)), ["all"], "score", 0.4).select(F.col("quantile").alias("cut"))
     return rounded(scored.join(F.broadcast(cut)).select("o_orderkey", "score", (F.col("score") <= F.col("cut")).alias("light")))
 
 

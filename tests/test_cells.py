@@ -323,3 +323,23 @@ def test_nearest_edge_pixels_by_brute_force(spark):
     got = {(r.cell_id, r.label): r.d for r in pixels.edge_distances(c, e, "d", 1.0, 0.5).collect()}
     want = {(i, n): min(math.hypot(y - a, x - 0.5 * b) for j, a, b in edges if j == i) for i, _, n, y, x in centres if i != "none"}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+
+
+@pytest.mark.parametrize("hot_rows", [None, 40, 1_000_000])
+def test_statistics_of_groups_of_all_sizes(spark, hot_rows):
+    from cytofold.operators import aggregate
+
+    rng = random.Random(6)
+    rows = [(rng.choice("aaaaaabc"), k % 2, rng.choice([None, 1.0, 1.0, rng.gauss(0, 1e3), float(k)])) for k in range(901)]
+    rows += [("same", 0, 3.0)] * 300 + [("one", 1, 5.0), ("none", 1, None), (None, 0, 1.0)] + [("even", 0, float(k)) for k in range(100)]
+    out = aggregate.summarise(spark.createDataFrame(rows, "g string, h int, value double"), ["g", "h"], (*aggregate.SIX, "count"), hot_rows=hot_rows)
+    got = {(r.g, r.h): r for r in out.collect()}
+    want = {}
+    for g, h, v in rows:
+        if g is not None:
+            want.setdefault((g, h), []).append(v)
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        v, r = [x for x in values if x is not None], got[key]
+        assert r["count"] == len(v) and (r.median is None if not v else math.isclose(r.median, float(np.median(v)), abs_tol=1e-12))
+        assert r["sum"] is None if not v else math.isclose(r["sum"], sum(v), abs_tol=1e-9) and r["min"] == min(v) and r["max"] == max(v)
