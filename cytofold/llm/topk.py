@@ -50,7 +50,8 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 def walk(q: np.ndarray, own: int, block: Block, x: np.ndarray, k: int, first: int, part: float) -> tuple[np.ndarray, np.ndarray, int, bool]:
     """(scores, ids, rows scored, stopped?) of the k best rows met by one query
-    when its bound stops it, all lists end, or over ``part`` of the rows is met."""
+    when its bound stops it, all lists end, or more rows are met than ``part`` of
+    them times the square of the k-th score over the bound."""
     n = len(x)
     used = np.flatnonzero(q != 0)
     weight, up = q[used], q[used] > 0
@@ -64,7 +65,9 @@ def walk(q: np.ndarray, own: int, block: Block, x: np.ndarray, k: int, first: in
         bound = min(share.sum(), length * block.norm * (1 + 1e-9) + 1)
         if len(score) == k and score[-1] > bound:
             return score, ids, met, True
-        if met > part * n:
+        # the farther the bound is from stopping, the sooner walking on is not worth it
+        near = max(0.0, score[-1] / bound) if len(score) == k and bound > 0 else 1.0
+        if met > part * near * near * n:
             break
         pick = np.argsort(-share)[: max(1, len(used) // 4)]
         place = np.minimum(depth[pick][:, None] + np.arange(step), n - 1)
