@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cytofold.llm import decontam, pieces, secret_scan, simhash, toxicity
 from cytofold.llm.queries import PIECE_MODEL
+from cytofold.operators.graph import ensure_checkpoint_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash near-duplicates the document of smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity of about 0.8) the document of smallest doc_id stays."""
     return simhash.drop_near_duplicates(docs)
 
 
@@ -52,8 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to ``documents``."""
+    """All stages applied to ``documents``. What a stage keeps is checkpointed, since the next one reads it more than once."""
+    ensure_checkpoint_dir(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs.checkpoint() if k else docs, sf_dir)
     return docs
