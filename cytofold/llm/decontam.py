@@ -6,6 +6,10 @@ words are hash-joined. What stood in the placeholders is kept as slots: within
 an item's match every benchmark value must map to one value of the document, so
 a re-parameterised question is caught and a chance meeting of templates is not.
 
+Whether a capitalised word that opens a sentence is a name cannot be told. Its
+windows come twice, with the word as it is and as a name; a place in the item
+counts if either form meets.
+
 An item without a window of enough literal words (sums, lists of names) has no
 template to go by: it is matched as a whole, word by word with its values, by
 windows of values that together cover it.
@@ -44,12 +48,12 @@ class Canonical:
         units = [np.frombuffer(u.encode(), np.uint8) for u in UNITS]
         self.units = np.sort(np.concatenate([span_hashes(u, np.array([0]), np.array([len(u)]), self.powers) for u in units]))
 
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template hash, kind, value hash. A word is a run of letters (bytes above
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Template hash, kind, value hash, and whether the word may be a name at the start of a sentence. A word is a run of letters (bytes above
         ASCII included) or a number, whose inner points and commas belong to it."""
         data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
         if not len(data):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, bool)
         upper, digit = _UPPER[data], _DIGIT[data]
         after_c3 = np.r_[False, data[:-1] == 0xC3]
         capital2 = after_c3 & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
@@ -68,13 +72,24 @@ class Canonical:
         capital = upper[start] | ((data[start] == 0xC3) & capital2[np.minimum(start + 1, len(data) - 1)])
         breaks = np.r_[0, np.cumsum(_BREAK[data])]
         opens = np.r_[True, breaks[start[1:]] > breaks[end[:-1]]]
-        kind[(kind == LITERAL) & capital & ~opens & ~upper[second] & (end - start > 1)] = NAME
+        named = (kind == LITERAL) & capital & ~upper[second] & (end - start > 1)
+        kind[named & ~opens] = NAME
         number_before = np.r_[False, kind[:-1] == NUMBER]
         if number_before.any():
             at = np.flatnonzero(number_before & (kind == LITERAL))
             kind[at[np.isin(value[at], self.units)]] = UNIT
         template = np.where(kind == LITERAL, value, _PLACE[np.maximum(kind, 1) - 1])
-        return template, kind, value
+        return template, kind, value, named & opens
+
+    def both_windows(self, template: np.ndarray, kind: np.ndarray, opener: np.ndarray, n: int, literals: int):
+        """(positions, hashes, kinds) of the windows of n words, and of those with an opener again with it as a name."""
+        yield *self.windows(template, kind, n, literals), kind
+        if len(kind) >= n and opener.any():
+            named = np.where(opener, np.int8(NAME), kind)
+            at, w = self.windows(np.where(opener, _PLACE[NAME - 1], template), named, n, literals)
+            held = np.r_[0, np.cumsum(opener)]
+            has = held[at + n] > held[at]
+            yield at[has], w[has], named
 
     def windows(self, template: np.ndarray, kind: np.ndarray, n: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and hashes of the windows of n words with enough literal ones."""
@@ -118,7 +133,11 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
     """item_id, w, pos, slots, n_item (windows of the item), size (words of a
     window: n, or all of a shorter item's), length (words of the item), exact.
 
-    An item without a window of enough literal words has exact windows instead:
+    Whether a capitalised word that opens a sentence is a name cannot be told. Its
+windows come twice, with the word as it is and as a name; a place in the item
+counts if either form meets.
+
+An item without a window of enough literal words has exact windows instead:
     as many as cover it, side by side and one at its end. Items with null id or
     text, and items of one word, have none."""
 
@@ -127,18 +146,20 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             rows = []
             for item, text in zip(batch.column("item_id").to_pylist(), texts_of(batch.column("text")), strict=True):
-                template, kind, value = canon.words(text)
+                template, kind, value, opener = canon.words(text)
                 size = min(n, len(template))
                 if size < 2:
                     continue
-                at, w = canon.windows(template, kind, size, max(2, _least(size)) if size < n else _least(n))
-                exact, n_item = not len(at), len(at)
+                forms = list(canon.both_windows(template, kind, opener, size, max(2, _least(size)) if size < n else _least(n)))
+                n_item = len(np.unique(np.concatenate([at for at, _, _ in forms])))
+                exact = not n_item
                 if exact:
                     n_item = len(template) - size + 1
                     at = np.unique(np.r_[np.arange(0, n_item, size), n_item - 1])
-                    w = canon.exact_windows(value, size)[at]
+                    forms = [(at, canon.exact_windows(value, size)[at], kind)]
                 rows += [
-                    (item, h, p, [] if exact else _slots(kind, value, p, size), n_item, size, len(template), exact)
+                    (item, h, p, [] if exact else _slots(own, value, p, size), n_item, size, len(template), exact)
+                    for at, w, own in forms
                     for p, h in zip(at.tolist(), w.view(np.int64).tolist(), strict=True)
                 ]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
@@ -163,13 +184,10 @@ def document_windows(docs: DataFrame, n: int, sizes: list[int], exact_sizes: lis
         for batch in batches:
             ids, ws, ps, ss = [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
-                template, kind, value = canon.words(text)
-                for size, exact in [(k, False) for k in sizes] + [(k, True) for k in exact_sizes]:
-                    if exact:
-                        w = canon.exact_windows(value, size)
-                        at = np.arange(len(w))
-                    else:
-                        at, w = canon.windows(template, kind, size, max(2, _least(size)) if size < n else _least(n))
+                template, kind, value, opener = canon.words(text)
+                forms = [(size, False, *form) for size in sizes for form in canon.both_windows(template, kind, opener, size, max(2, _least(size)) if size < n else _least(n))]
+                forms += [(size, True, np.arange(len(w)), w, kind) for size in exact_sizes for w in [canon.exact_windows(value, size)]]
+                for size, exact, at, w, own in forms:
                     if hashes is not None:
                         near = np.flatnonzero(marks[(w >> np.uint64(42)).astype(np.int64)])
                         near = near[hashes[np.minimum(np.searchsorted(hashes, w[near]), len(hashes) - 1)] == w[near]] if len(hashes) else near[:0]
@@ -177,7 +195,7 @@ def document_windows(docs: DataFrame, n: int, sizes: list[int], exact_sizes: lis
                     ids += [doc] * len(at)
                     ws += w.view(np.int64).tolist()
                     ps += at.tolist()
-                    ss += [[]] * len(at) if exact else [_slots(kind, value, p, size) for p in at.tolist()]
+                    ss += [[]] * len(at) if exact else [_slots(own, value, p, size) for p in at.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ws, pa.int64()), pa.array(ps, pa.int32()), pa.array(ss, pa.list_(pa.int64()))], ["doc_id", "w", "pos", "slots"])
 
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, f"doc_id long, {_WINDOW}")

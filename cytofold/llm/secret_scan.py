@@ -55,9 +55,17 @@ def _spans(pieces: Column, rank: int, least: int) -> Column:
         long_enough = (inner > 0) & (F.length(piece) - inner >= least)
         return F.struct(end.alias("at"), F.when(long_enough, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
+    # an array grows by copying: pieces go in blocks, about as many as each has pieces
     start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    found = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    return F.when(F.size(pieces) > 1, found).otherwise(none)
+    found = F.aggregate(_blocks(pieces), F.array(start), lambda acc, block: F.array_append(acc, F.aggregate(block, F.struct(F.element_at(acc, -1)["at"].alias("at"), none.alias("out")), step)))
+    return F.when(F.size(pieces) > 1, F.flatten(F.transform(found, lambda b: b["out"]))).otherwise(none)
+
+
+def _blocks(items: Column) -> Column:
+    """An array cut into blocks, about as many as a block has items."""
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items)))).cast("int")
+    last = F.greatest(F.lit(0), F.ceil(F.size(items) / size).cast("int") - 1)
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * size + 1, size))
 
 
 @dataclass
@@ -107,13 +115,16 @@ def fit_markov(samples: DataFrame, smoothing: float = 0.2) -> MarkovModel:
 def labelled_samples(docs: DataFrame, max_docs: int = 20_000) -> DataFrame:
     """(string, label) from about ``max_docs`` documents (a bound on the fit
     only): what the fixed patterns call a secret has label 1, words of six and
-    more letters, digits and underscores elsewhere in a tenth of them label 0."""
-    rows = bounded_sample(docs.where(F.col("text").isNotNull()), F.col("doc_id"), max_docs).select("doc_id", _clean(F.col("text")).alias("text"))
+    more letters, digits and underscores elsewhere have label 0, in a tenth of
+    the documents, or in all of them if they are fewer than a thousand."""
+    known = docs.where(F.col("text").isNotNull())
+    total = known.count()
+    rows = bounded_sample(known, F.col("doc_id"), max_docs, total).select("doc_id", _clean(F.col("text")).alias("text"))
     secret = None
     for kind, pattern, least in PATTERNS:
         got = rows.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), 2)).alias("string")).where(F.length("string") >= max(least, 16))
         secret = got if secret is None else secret.unionByName(got)
-    plain = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0)
+    plain = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0) if total >= 1_000 else rows
     bare = F.col("text")
     for _, pattern, _ in PATTERNS:
         bare = F.regexp_replace(bare, pattern, " ")
@@ -128,15 +139,19 @@ def find_spans(docs: DataFrame, model: MarkovModel, keep: list[str]) -> DataFram
     spans = [_spans(F.col(f"_{kind}"), RANKS[kind], least) for kind, _, least in PATTERNS]
     base = F.array_sort(F.concat(*spans))
     maybe = _spans(F.col("_candidate"), RANKS[RANDOM], 20)
-    found = cut.select(*keep, "clean", base.alias("base"), maybe.alias("_maybe"))
+    # blocks of base spans with what they reach, so that a candidate looks into few of them
+    near = F.transform(_blocks(F.col("base")), lambda b: F.struct(F.array_min(F.transform(b, lambda s: s["start"])).alias("low"), F.array_max(F.transform(b, lambda s: s["end"])).alias("high"), b.alias("spans")))
+    found = cut.select(*keep, "clean", base.alias("base"), maybe.alias("_maybe")).withColumn("_near", near)
 
     def random(span: Column) -> Column:
         size = span["end"] - span["start"]
-        free = ~F.exists(F.col("base"), lambda b: (b["start"] < span["end"]) & (b["end"] > span["start"]))
+        meets = lambda b: (b["start"] < span["end"]) & (b["end"] > span["start"])
+        free = ~F.exists(F.col("_near"), lambda n: (n["low"] < span["end"]) & (n["high"] > span["start"]) & F.exists(n["spans"], meets))
         ratio = model.score(F.substr(F.col("clean"), span["start"] + 1, size))
         return free & (ratio >= F.greatest(F.lit(model.cut), model.cut_per_char * size))
 
-    added = F.when(F.size("_maybe") > 0, F.filter("_maybe", random)).otherwise(F.col("_maybe"))
+    # named twice, the blocks stay a column; named in the lambda only, they would be made again for each candidate
+    added = F.when((F.size("_maybe") > 0) & (F.size("_near") > 0), F.filter("_maybe", random)).otherwise(F.col("_maybe"))
     return found.select(*keep, "clean", "base", added.alias("added"))
 
 

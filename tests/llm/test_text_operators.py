@@ -336,6 +336,36 @@ def test_random_strings_are_found_and_redacted(spark):
     assert secret_scan.fit_markov(spark.createDataFrame([], "string string, label int")).ratio == [0.0] * 16384
 
 
+def test_texts_with_thousands_of_secrets(spark):
+    rng = random.Random(10)
+    hexed = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(24))
+    name = lambda: "".join(rng.choice("GHJKLMNPQRSTUVWXYZ") for _ in range(24))
+    text = " ".join(f"token={k:06d}x {hexed()} {name()} AKIA{k:016d}" for k in range(4000))
+    docs = spark.createDataFrame([(1, text), (2, "plain"), (3, None)], "doc_id long, text string")
+    model = secret_scan.MarkovModel([0.0] * 16384, cut=0.0, cut_per_char=0.0)  # every candidate counts
+    began = time.perf_counter()
+    row = secret_scan.scan_secrets(docs, model).where("doc_id = 1").first()
+    assert time.perf_counter() - began < 60
+    want = ",".join(f"{k}:{s}:{e}" for k, s, e in slow_spans(text))
+    assert row.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and row.n_random == 4000
+
+
+def test_markov_tells_random_strings_from_names(spark):
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    name = lambda: "_".join(rng.choice(WORDS) for _ in range(rng.randint(4, 7)))
+    model = secret_scan.fit_markov(spark.createDataFrame([(key(32), 1) for _ in range(500)] + [(name(), 0) for _ in range(3000)], "string string, label int"))
+    held = [(k, f"see {key(rng.randint(24, 48))} here") for k in range(300)] + [(1000 + k, f"see {name()} here") for k in range(300)]
+    out = {r.doc_id: r.n_random for r in secret_scan.scan_secrets(spark.createDataFrame(held, "doc_id long, text string"), model).collect()}
+    assert sum(out[k] for k in range(300)) >= 294 and sum(out[1000 + k] for k in range(300)) <= 3
+
+
+def test_samples_of_a_small_table(spark):
+    docs = spark.createDataFrame([(1, "token = 'a8Fk29sLq0Zx71mPw3Rt' in the ordinary settings"), (2, "ordinary words again")], "doc_id long, text string")
+    assert {r.label for r in secret_scan.labelled_samples(docs).collect()} == {0, 1}
+
+
 # --- language ---
 
 
@@ -642,6 +672,97 @@ def test_literal_clauses_apart_are_one_place(spark):
     assert decontam.judge(pos, pos, [[]] * 9, [[]] * 9, 9, 5, 67)[0] == 9
 
 
+def test_names_at_the_start_of_sentences(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    story = [f"Alice {text(6)} 3 apples. Alice {text(5)}. Alice {text(4)} at 7 km." for _ in range(6)]
+    bench = spark.createDataFrame(list(enumerate(story)), "item_id long, text string")
+    docs = [(k, f"{text(9)}. {s.replace('Alice', 'Bob')} {text(9)}") for k, s in enumerate(story)]
+    docs += [(10 + k, f"{text(9)}. {s.replace('Alice', 'alice')} {text(9)}") for k, s in enumerate(story)]
+    docs += [(30, text(60)), (31, f"Bob {text(6)} 3 pears. Bob {text(5)}.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for limit in (500_000, 0):
+        out = decontam.contaminated(df, bench, max_broadcast=limit).collect()
+        got = {(r.doc_id, r.item_id): r for r in out}
+        assert {(k, k) for k in range(6)} <= got.keys() and all(got[k, k].matched == got[k, k].n_item for k in range(6))
+        assert not {30, 31} & {r.doc_id for r in out}
+
+
+def slow_template(text):
+    """(word in lower case, kind) of a text, word by word; an opener is what may be a name."""
+    out, last = [], 0
+    units = set(decontam.UNITS)
+    for m in re.finditer(r"[A-Za-z\u0080-\U0010ffff]+|\d(?:[\d]|[.,](?=\d))*", text):
+        w, gap = m[0], text[last : m.start()]
+        opens = not out or bool(re.search(r'[.!?:;\n\r"|]', gap))
+        if w[0].isdigit():
+            kind = "number"
+        elif len(w) > 1 and w[0].isascii() and w[0].isupper() and not w[1].isupper():
+            kind = "opener" if opens else "name"
+        elif out and out[-1][1] == "number" and w.lower() in units:
+            kind = "unit"
+        else:
+            kind = "literal"
+        out.append((w.lower(), kind))
+        last = m.end()
+    return out
+
+
+def slow_contaminated(docs, items, n=5, share=0.5, run=9):
+    """Items of n words and more whose windows with three literal words stand in a document, window by window, in slots that agree."""
+
+    def windows(words):
+        for k in range(len(words) - n + 1):
+            part = words[k : k + n]
+            for opener in ("literal", "name"):
+                kinds = [opener if kind == "opener" else kind for _, kind in part]
+                if kinds.count("literal") >= 3:
+                    yield k, tuple(w if kind == "literal" else kind for (w, _), kind in zip(part, kinds, strict=True)), tuple(w for (w, _), kind in zip(part, kinds, strict=True) if kind != "literal")
+
+    found = set()
+    for doc, text in docs:
+        at = {}
+        for _, key, slots in windows(slow_template(text)):
+            at.setdefault(key, []).append(slots)
+        for item, question in items:
+            own = list(windows(slow_template(question)))
+            votes = {}
+            hits = [(k, a, b) for k, key, a in own for b in at.get(key, [])]
+            for _, a, b in hits:
+                for x, y in zip(a, b, strict=True):
+                    votes.setdefault(x, {}).setdefault(y, 0)
+                    votes[x][y] += 1
+            takes = {x: max(v, key=lambda y: v[y]) for x, v in votes.items()}
+            good = {k for k, a, b in hits if all(takes[x] == y for x, y in zip(a, b, strict=True))}
+            longest = max((sum(1 for j in range(k, k + len(own)) if set(range(k, j + 1)) <= good) for k in good), default=0)
+            if good and (len(good) >= share * len({k for k, *_ in own}) or longest >= run):
+                found.add((doc, item))
+    return found
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(19)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    pick = lambda: rng.choices([rng.choice(words), rng.choice(["Alice", "Bob", "Carol"]), str(rng.randint(2, 99)), f"{rng.randint(2, 99)} km", rng.choice(words) + "."], [12, 1, 1, 1, 1])[0]
+    text = lambda n: " ".join(pick() for _ in range(n))
+    items = [(k, f"{text(14)} {rng.choice(words)}") for k in range(12)]
+    docs = []
+    for k in range(90):
+        own = text(rng.randint(5, 40)).split()
+        if k % 3:
+            part = rng.choice(items)[1].split()
+            keep = rng.choice([3, 6, 8, 10, len(part)])
+            begin = rng.randint(0, len(part) - keep)
+            moved = {x: rng.choice(["Dave", "Erin"]) for x in ("Alice", "Bob", "Carol")} if k % 2 else {}
+            at = rng.randint(0, len(own))
+            own[at:at] = [moved.get(x, x) for x in part[begin : begin + keep]]
+        docs.append((k, " ".join(own)))
+    out = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got, want = {(r.doc_id, r.item_id) for r in out}, slow_contaminated(docs, items)
+    assert len(want) > 20 and got == want
+
+
 def test_slots_must_be_consistent():
     pos = np.arange(6)
     same = decontam.judge(pos, pos, [[7]] * 6, [[1]] * 6, 6, 5)
