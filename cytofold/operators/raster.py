@@ -204,14 +204,34 @@ def triangle(hist: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(far.alias("_t")).select(key, (F.col("_t.lo") + (F.col("_t.bin") + 0.5) * F.col("_t.width")).alias("triangle"))
 
 
+def multi_otsu(hist: DataFrame, key: str) -> DataFrame:
+    """(key, low, high): the two thresholds, centres of their bins, that part the
+    histogram into three classes with the largest variance between them, the first
+    of equals; null with fewer than three occupied bins. Every pair of occupied bins
+    of one key is tried, 256 of them at most by the histogram's size."""
+    up = Window.partitionBy(key).orderBy("bin")
+    c = F.col("lo") + (F.col("bin") + 0.5) * F.col("width")
+    h = hist.withColumn("c", c).withColumns({"w": F.sum("n").over(up), "s": F.sum(F.col("n") * F.col("c")).over(up)})
+    whole = hist.withColumn("c", c).groupBy(key).agg(F.sum("n").alias("W"), F.sum(F.col("n") * F.col("c")).alias("S"))
+    a = h.select(key, F.col("bin").alias("b1"), F.col("c").alias("c1"), F.col("w").alias("w1"), F.col("s").alias("s1"))
+    b = h.select(key, F.col("bin").alias("b2"), F.col("c").alias("c2"), F.col("w").alias("w2"), F.col("s").alias("s2"))
+    pairs = a.join(b, key).where("b1 < b2").join(whole, key).where("w2 < W")
+    part = lambda s, w: F.pow(s, F.lit(2.0)) / w
+    spread = part(F.col("s1"), F.col("w1")) + part(F.col("s2") - F.col("s1"), F.col("w2") - F.col("w1")) + part(F.col("S") - F.col("s2"), F.col("W") - F.col("w2"))
+    best = F.max_by(F.struct("c1", "c2"), F.struct(spread.alias("v"), (-F.col("b1")).alias("x"), (-F.col("b2")).alias("y")))
+    return whole.select(key).join(pairs.groupBy(key).agg(best.alias("_t")), key, "left").select(key, F.col("_t.c1").alias("low"), F.col("_t.c2").alias("high"))
+
+
 def intensity_threshold(values: DataFrame, key: str, method: str = "otsu", bins: int = 256) -> DataFrame:
-    """(key, threshold) by "otsu", "triangle", "ave" (their mean) or "median" (of the positive values)."""
+    """(key, threshold) by "otsu", "triangle", "ave" (their mean), "multiotsu" (the
+    lower of two; Otsu's where there are not three values) or "median" (of the positive values)."""
     if method == "median":
         return values.groupBy(key).agg(F.coalesce(F.percentile(F.when(F.col("value") > 0, F.col("value")), F.lit(0.5)), F.max("value").cast("double")).alias("threshold"))
     hist = histogram(values, key, bins=bins)
     flat = hist.groupBy(key).agg(F.first("lo").alias("lo"), F.max("width").alias("width"))
     made = {"otsu": lambda: otsu(hist, key).select(key, F.col("otsu").alias("_t")), "triangle": lambda: triangle(hist, key).select(key, F.col("triangle").alias("_t"))}
     made["ave"] = lambda: made["otsu"]().withColumnRenamed("_t", "_o").join(made["triangle"](), key).select(key, ((F.col("_o") + F.col("_t")) / 2).alias("_t"))
+    made["multiotsu"] = lambda: multi_otsu(hist, key).join(made["otsu"](), key, "left").select(key, F.coalesce("low", "_t").alias("_t"))
     if method not in made:
         raise ValueError(f"unknown threshold method {method!r}")
     # one value only: itself, so nothing lies above

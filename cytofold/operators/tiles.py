@@ -217,8 +217,17 @@ def _labelled(mask: np.ndarray) -> np.ndarray:
     return labels
 
 
-def blobs(img: np.ndarray, sigmas=(1.0, 2.0), threshold: float = 0.1) -> np.ndarray:
-    """Labels of disks around the peaks of the scale-normalised Laplacian, strongest first; a pixel keeps its first disk."""
+def stretched(img: np.ndarray, low: float = 1.0, high: float = 99.0, dark: bool = False) -> np.ndarray:
+    """Values from 0 at the low percentile to 1 at the high one, the other way round for dark objects; 0 if both are equal."""
+    a, b = np.percentile(img, (low, high))
+    out = np.clip((img - a) / (b - a), 0, 1) if b > a else np.zeros(img.shape)
+    return 1 - out if dark else out
+
+
+def blobs(img: np.ndarray, sigmas=(1.0, 2.0), threshold: float = 0.1, stretch: bool = False, dark: bool = False) -> np.ndarray:
+    """Labels of disks around the peaks of the scale-normalised Laplacian, strongest
+    first; a pixel keeps its first disk. ``stretch`` scales the tile by its percentiles first."""
+    img = stretched(img, dark=dark) if stretch or dark else img
     stack = np.stack([-(gaussian(img, s, (2, 0)) + gaussian(img, s, (0, 2))) * s * s for s in sigmas])
     wide = np.pad(stack, 1, constant_values=-np.inf)
     around = np.max([wide[1 + c : 1 + c + stack.shape[0], 1 + a : 1 + a + img.shape[0], 1 + b : 1 + b + img.shape[1]] for c in (-1, 0, 1) for a in (-1, 0, 1) for b in (-1, 0, 1)], axis=0)

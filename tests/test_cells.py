@@ -143,6 +143,24 @@ def test_thresholds_of_objects(spark):
         raster.intensity_threshold(px, "cell_id", "none")
 
 
+def test_three_classes_and_dark_blobs(spark):
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.normal(20, 4, 200), rng.normal(90, 6, 150), rng.normal(160, 5, 100)]).round().reshape(18, 25)
+    px = table(spark, [values, np.full((3, 3), 2.0)])
+    hist = raster.histogram(px, "cell_id", bins=32)
+    out = {r.cell_id: r for r in raster.multi_otsu(hist, "cell_id").collect()}
+    n, edge = np.histogram(values, 32)
+    c = (edge[:-1] + edge[1:]) / 2
+    spread = {(a, b): sum((n[k] * c[k]).sum() ** 2 / n[k].sum() for k in (slice(0, a + 1), slice(a + 1, b + 1), slice(b + 1, None))) for a in range(31) for b in range(a + 1, 31) if n[a] and n[b] and n[b + 1 :].sum()}
+    a, b = max(spread, key=lambda k: (round(spread[k], 6), -k[0], -k[1]))
+    assert math.isclose(out[0].low, c[a]) and math.isclose(out[0].high, c[b]) and out[1].low is None
+    assert math.isclose(raster.intensity_threshold(px, "cell_id", "multiotsu", 32).where("cell_id = 0").first().threshold, c[a])
+    img = np.full((21, 21), 9.0)
+    img[8:13, 8:13] = 1
+    assert tiles.blobs(img, (2.0,), 0.2, dark=True)[10, 10] > 0 and tiles.blobs(img, (2.0,), 0.2, stretch=True)[10, 10] == 0
+    assert tiles.stretched(np.ones((2, 2))).sum() == 0
+
+
 def test_tile_kernels_by_brute_force():
     for img in [*noisy(3, 17, 9, 0.7), np.ones((5, 6)), np.zeros((4, 4))]:
         mask = img > 0
