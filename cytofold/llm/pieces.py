@@ -35,6 +35,8 @@ SPACE = "▁"
 #: Words and pairs that a process remembers, about 100 MB; full tables begin anew.
 WORDS_KEPT = 300_000
 PAIRS_KEPT = 500_000
+#: Chunks of a giant text that are cut from one block of it.
+CHUNKS = 64
 State = tuple[int, int, int]  # start, end, piece
 #: The tables of the model in use: a worker that serves many tasks keeps one set.
 _REMEMBERED: dict[int, tuple[dict[str, bytes], dict[int, bool]]] = {}
@@ -355,11 +357,16 @@ def _encode_giant(rows: DataFrame, shared, size: int) -> DataFrame:
     # equal rows are scanned once and handed out as often as they occur
     docs = rows.select("doc_id", F.xxhash64("text").alias("h"), "text").groupBy("doc_id", "h", "text").agg(F.count("*").alias("times"))
     whole = docs.select(F.struct("doc_id", "h").alias("key"), "times", surface.alias("s"), F.length(surface).alias("n"))
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / size).cast("int"))).alias("k")
-    cut = whole.select("key", "times", "s", "n", at)
+    # a place in a text is found by counting its characters from the start: blocks of many chunks first, then chunks in them
+    wide = size * CHUNKS
+    last = lambda of: F.floor((F.col("n") - 1) / of).cast("int")
+    block = whole.select("*", F.explode(F.sequence(F.lit(0), last(wide))).alias("j"))
+    from_ = F.greatest(F.lit(0), F.col("j") * wide - pad)
+    block = block.select("key", "times", "n", "j", from_.alias("from"), F.substr("s", from_ + 1, F.least(F.col("n"), (F.col("j") + 1) * wide + pad) - from_).alias("s"))
+    cut = block.select("*", F.explode(F.sequence(F.col("j") * CHUNKS, F.least((F.col("j") + 1) * CHUNKS - 1, last(size)))).alias("k"))
     left = F.greatest(F.lit(0), F.col("k") * size - pad)
     right = F.least(F.col("n"), (F.col("k") + 1) * size + pad)
-    chunks = cut.select("key", "times", "k", (F.col("k") * size - left).alias("a"), F.least(F.lit(size), F.col("n") - F.col("k") * size).alias("len"), F.substr("s", left + 1, right - left).alias("part"))
+    chunks = cut.select("key", "times", "k", (F.col("k") * size - left).alias("a"), F.least(F.lit(size), F.col("n") - F.col("k") * size).alias("len"), F.substr("s", left - F.col("from") + 1, right - left).alias("part"))
     keyed = "key struct<doc_id:long,h:long>, k int"
 
     def matrices(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -125,3 +125,11 @@ def test_encode_rows(spark, model, library):
     back = pieces.decode(pieces.encode(df, model), model).collect()
     assert sorted((repr(r.doc_id), r.decoded) for r in back) == sorted((repr(i), t or "") for i, t in rows)
     assert pieces.encode(df.limit(0), model).count() == 0
+
+
+def test_giant_texts_of_many_blocks(spark, model, library):
+    rng = random.Random(6)
+    rows = [(k, " ".join("".join(rng.choice("abeinorst é😀") for _ in range(rng.randint(1, 9))) for _ in range(n))) for k, n in enumerate((3000, 2500, 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = pieces.encode(df, model, 400, 64).collect()  # blocks of 64 chunks of 64 characters
+    assert {r.doc_id: list(r.ids) for r in out} == {i: library.encode(t) for i, t in rows}
