@@ -256,6 +256,11 @@ def contacts(px: DataFrame, sy: float = 1.0, sx: float = 1.0) -> DataFrame:
     )
 
 
+def spatial_features(px: DataFrame, sy: float = 1.0, sx: float = 1.0) -> DataFrame:
+    """``contacts`` with ``n_contacts``, the connected parts of each pair's overlap."""
+    return contacts(px, sy, sx).join(contact_sites(px), ["cell_id", "organelle_a", "organelle_b"])
+
+
 def radial_fractions(px: DataFrame) -> DataFrame:
     """Share of each mask's pixels in five shells of ``r`` (clipped to 0 to 1), one column for each."""
     r = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("r")))

@@ -64,6 +64,30 @@ def fc04_mask_shapes(spark, sf_dir):
     return P.mask_shapes(px.withColumn("height", F.when((F.col("cell_id") % 10 == 0) & (F.col("label") == 4), 9).otherwise(F.col("height"))))
 
 
+@query(
+    f"""WITH RECURSIVE {PIXELS_SQL}, m AS (SELECT DISTINCT cell_id, organelle, y, x FROM px), o AS (SELECT a.cell_id, a.y, a.x, a.y * 100 + a.x AS id FROM m a JOIN m b USING (cell_id, y, x) WHERE a.organelle = 'a' AND b.organelle = 'b'),
+    e AS (SELECT a.cell_id, a.id AS s, b.id AS t FROM o a JOIN o b ON a.cell_id = b.cell_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1),
+    r AS (SELECT cell_id, id AS s, id AS t FROM o UNION SELECT r.cell_id, r.s, e.t FROM r JOIN e ON r.cell_id = e.cell_id AND r.t = e.s), c AS (SELECT cell_id, s, min(t) AS root FROM r GROUP BY ALL),
+    n AS (SELECT cell_id, count(*) AS n, count(DISTINCT root) AS k FROM c GROUP BY cell_id), z AS (SELECT cell_id, count(*) FILTER (organelle = 'a') AS a, count(*) FILTER (organelle = 'b') AS b FROM m GROUP BY cell_id)
+    SELECT cell_id, 'a' AS organelle_a, 'b' AS organelle_b, n * 0.125::DOUBLE AS overlap_area, round(n / a, 9) AS overlap_frac_a, round(n / b, 9) AS overlap_frac_b, k AS n_contacts FROM n JOIN z USING (cell_id)"""
+)
+def fc01_spatial_features(spark, sf_dir):
+    return rounded(P.spatial_features(pixels(spark, sf_dir), 0.5, 0.25), 9)
+
+
+@query(
+    f"""WITH {PIXELS_SQL}, m AS (SELECT DISTINCT cell_id, y, x, unnest(CASE WHEN organelle = 'b' THEN ['phase2d_er'] WHEN value > 150 THEN ['focus3d_er', 'golgi', 'cell'] ELSE ['focus3d_er', 'cell'] END) AS o FROM px),
+    s AS (SELECT cell_id, o, count(*) AS n FROM m GROUP BY ALL), p AS (SELECT a.cell_id, a.o AS oa, b.o AS ob, count(*) AS n FROM m a JOIN m b USING (cell_id, y, x) WHERE (a.o, b.o) IN (('focus3d_er', 'golgi'), ('golgi', 'phase2d_er')) GROUP BY ALL)
+    SELECT p.cell_id, oa AS organelle_a, ob AS organelle_b, p.n::DOUBLE AS overlap_area, round(p.n / a.n, 9) AS overlap_frac_a, round(p.n / b.n, 9) AS overlap_frac_b
+    FROM p JOIN s a ON a.cell_id = p.cell_id AND a.o = oa JOIN s b ON b.cell_id = p.cell_id AND b.o = ob"""
+)
+def fc02_contact_rules(spark, sf_dir):
+    """No pair with the cell's own outline, and none of two images of one signal."""
+    px = pixels(spark, sf_dir)
+    names = F.when(F.col("organelle") == "b", F.array(F.lit("phase2d_er"))).when(F.col("value") > 150, F.array(F.lit("focus3d_er"), F.lit("golgi"), F.lit("cell"))).otherwise(F.array(F.lit("focus3d_er"), F.lit("cell")))
+    return rounded(P.contacts(px.withColumn("organelle", F.explode(names))), 9)
+
+
 # --- shapes ---
 
 _MOMENTS_SQL = f"""{PIXELS_SQL}, m AS (SELECT cell_id, organelle, label, count(*) AS n, var_pop(y) + 1::DOUBLE / 12 AS a, var_pop(x) + 1::DOUBLE / 12 AS c, covar_pop(y, x) AS b FROM px GROUP BY ALL),
@@ -182,6 +206,53 @@ def fn13_object_networks(spark, sf_dir):
     return rounded(W.object_networks(branches, W.component_labels(at, inside)))
 
 
+def _net(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("cell_id"), F.col("l_returnflag").alias("organelle"), F.col("l_quantity").alias("length"), F.col("l_extendedprice").alias("thickness"), (F.col("l_quantity") - F.col("l_linenumber")).alias("chord"),
+        (F.col("l_partkey") % 4).alias("src"), (F.col("l_suppkey") % 4).alias("dst"), (F.col("l_linenumber") % 3).alias("kind"), (F.col("l_partkey") % 2).alias("component"),
+    )
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey AS cell_id, l_returnflag AS organelle, l_quantity AS length, CASE WHEN l_quantity = l_linenumber THEN 1 ELSE l_quantity / (l_quantity - l_linenumber) END AS tortuosity FROM lineitem),
+    u AS (SELECT cell_id, organelle, 'length' AS metric, length AS value FROM b UNION ALL SELECT cell_id, organelle, 'tortuosity', tortuosity FROM b)
+    SELECT cell_id, organelle, metric, round(avg(value) + 3.7e-8::DOUBLE, 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_samp(value), 6) AS std, round(sum(value), 6) AS sum,
+      round(min(value), 6) AS min, round(max(value), 6) AS max FROM u GROUP BY ALL"""
+)
+def a03_branches_to_cells(spark, sf_dir):
+    b = W.tortuosity(_net(spark, sf_dir))
+    long = b.select("cell_id", "organelle", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("length", "tortuosity")))))
+    return rounded(A.summarise(long, ["cell_id", "organelle", "metric"], hot_rows=None).withColumn("mean", F.col("mean") + 3.7e-8))
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey AS cell_id, l_returnflag AS organelle, count(*) AS num_branches, sum(l_quantity) AS total, any_value(o_custkey) AS area FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+    SELECT cell_id, organelle, num_branches, round(total / nullif(area % 100, 0), 6) AS network_length_density, round(num_branches / nullif(area % 100, 0), 6) AS branching_density FROM b"""
+)
+def fn09_densities(spark, sf_dir):
+    hull = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cell_id"), (F.col("o_custkey") % 100).alias("area_convex")).withColumn("organelle", F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))))
+    return rounded(W.network_summary(_net(spark, sf_dir), hull).select("cell_id", "organelle", "num_branches", "network_length_density", "branching_density"))
+
+
+@query(
+    f"""WITH {PIXELS_SQL}, s(size) AS (VALUES (1), (2), (4)), w AS (SELECT cell_id, organelle, greatest(max(y) - min(y), max(x) - min(x)) + 1 AS extent FROM px GROUP BY ALL),
+    b AS (SELECT cell_id, organelle, size, count(DISTINCT (y // size) * 100 + x // size) AS boxes FROM px, s GROUP BY ALL)
+    SELECT cell_id, organelle, round(CASE WHEN count(*) >= 2 THEN regr_slope(ln(boxes), ln(1 / size)) END, 6) AS fractal_dimension FROM b JOIN w USING (cell_id, organelle) WHERE size * 2 <= extent GROUP BY ALL"""
+)
+def fn11_fractal_dimension(spark, sf_dir):
+    return rounded(P.fractal_dimension(pixels(spark, sf_dir), (1, 2, 4), 2))
+
+
+@query(
+    """WITH p AS (SELECT c_nationkey AS k, c_custkey AS i, floor(c_acctbal)::BIGINT AS y, (c_custkey * 7919) % 1000 AS x FROM customer),
+    n AS (SELECT *, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx FROM p WINDOW w AS (PARTITION BY k ORDER BY i))
+    SELECT k, abs(sum(x * ny - nx * y))::DOUBLE / 2 AS mesh_area FROM n GROUP BY k"""
+)
+def fn12_polygon_area(spark, sf_dir):
+    points = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("i"), F.floor("c_acctbal").alias("y"), (F.col("c_custkey") * 7919 % 1000).alias("x"))
+    return P.polygon_area(points, ["k"]).withColumn("mesh_area", F.col("mesh_area").cast("double"))
+
+
 # --- rasters of 200 x 200 pixels: a square of side 5 for each customer, one image for each nation ---
 
 
@@ -346,6 +417,36 @@ def i18_watershed_large(spark, sf_dir):
 # --- tables ---
 
 
+@query(
+    f"""WITH {OBJECTS_SQL}, {CELLS_SQL}, m AS (SELECT cell_id, metric, avg(value) AS value FROM objects GROUP BY ALL)
+    SELECT channel, metric, round(avg(m.value) + 3.7e-8::DOUBLE, 5) AS mean, round(quantile_cont(m.value, 0.5) + 3.7e-8::DOUBLE, 5) AS median, count(m.value) AS count FROM m JOIN cells USING (cell_id) GROUP BY ALL"""
+)
+def a05_cells_to_channels(spark, sf_dir):
+    means = A.summarise(objects(spark, sf_dir), ["cell_id", "metric"], ("mean",)).withColumnRenamed("mean", "value")
+    keyed = means.join(cells(spark, sf_dir).select("cell_id", "channel"), "cell_id")
+    out = A.cells_to_groups(keyed, "channel", ["metric"], ("mean", "median", "count"))
+    return rounded(out.withColumns({"mean": F.col("mean") + 3.7e-8, "median": F.col("median") + 3.7e-8}), 5)
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT n_regionkey, n_name AS shown, lower(n_name) AS physical FROM nation), k AS (SELECT *, 1 + row_number() OVER (PARTITION BY n_regionkey ORDER BY shown, physical) AS channel_rank FROM d
+      UNION ALL SELECT DISTINCT n_regionkey, 'Phase', 'phase', 1 FROM d)
+    SELECT c_custkey, n_regionkey, shown, physical, channel_rank::INTEGER AS channel_rank FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN k USING (n_regionkey)"""
+)
+def j12_expand_channels_whole(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    own = table(spark, sf_dir, "customer").join(F.broadcast(n.select("n_nationkey", "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_regionkey")
+    channels = n.select("n_regionkey", F.col("n_name").alias("shown"), F.lower("n_name").alias("physical"))
+    return J.expand_channels(own, channels, "n_regionkey").select("c_custkey", "n_regionkey", "shown", "physical", "channel_rank")
+
+
+@query()
+def fm06_area_filled_whole(spark, sf_dir):
+    """Both masks of every cell."""
+    px = pixels(spark, sf_dir)
+    return P.area_filled(px.withColumn("mask", F.concat_ws("/", F.col("cell_id").cast("string"), "organelle")), "mask")
+
+
 @query(
     f"""WITH {OBJECTS_SQL}, f AS (SELECT cell_id::VARCHAR AS cell_id, sum(value) FILTER (metric = 'quantity') AS quantity, sum(nullif(value, 0)) FILTER (metric = 'discount') AS discount FROM objects GROUP BY cell_id)
     SELECT f.cell_id, quantity, round(coalesce(discount, 0), 6) AS discount, o_orderpriority AS priority FROM f LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') ON f.cell_id = o_orderkey::VARCHAR"""
