@@ -42,7 +42,7 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 #: Edges from which hubs are joined apart.
-HUBS_FROM = 200_000
+HUBS_FROM = 5_000
 
 
 def join_one_row(rows: DataFrame, one: DataFrame, key: str, count: str, total: int | None = None, how: str = "left", share: int = 1_000) -> DataFrame:
