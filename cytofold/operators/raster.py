@@ -173,6 +173,50 @@ def gated(px: DataFrame, gate: DataFrame, key: str) -> DataFrame:
     return px.join(gate.select(key, "y", "x").distinct(), [key, "y", "x"], "left_semi")
 
 
+def smoothed(px: DataFrame, key: str, sigma: float, order: tuple[int, int] = (0, 0)) -> DataFrame:
+    """(key, y, x, value, height, width): Gaussian smoothing or derivative (0 to 2 along
+    y and x), mirrored at the image's edges. Pixels that ``px`` lacks are 0. Each
+    pixel sends its weighted value along one axis and then the other; the sums are
+    combined before the shuffle. The kernel ends at 4 sigma, which must lie within the image."""
+    r = int(4 * sigma + 0.5)
+    t = np.arange(-r, r + 1, dtype=float)
+    g = np.exp(-t * t / (2 * sigma * sigma))
+    g /= g.sum()
+    kernels = (g, -t / sigma**2 * g, (t * t / sigma**4 - 1 / sigma**2) * g)
+    out = px.select(key, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "value", "height", "width")
+    for axis, size, n in (("y", "height", order[0]), ("x", "width", order[1])):
+        taps = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(float(w)).alias("w")) for d, w in zip(range(-r, r + 1), kernels[n], strict=True)))
+        mirrored = F.array(F.col(axis), -1 - F.col(axis), 2 * F.col(size) - 1 - F.col(axis))
+        sent = out.withColumn("_from", F.explode(mirrored)).where((F.col("_from") >= -r) & (F.col("_from") < F.col(size) + r)).withColumn("_t", F.explode(taps))
+        sent = sent.withColumns({axis: F.col("_from") + F.col("_t.d"), "value": F.col("value") * F.col("_t.w")}).where((F.col(axis) >= 0) & (F.col(axis) < F.col(size)))
+        out = sent.groupBy(key, "y", "x", "height", "width").agg(F.sum("value").alias("value"))
+    return out.select(key, "y", "x", "value", "height", "width")
+
+
+def ridges(px: DataFrame, key: str, sigmas: tuple[float, ...] = (1.0, 2.0), beta: float = 0.5, gamma: float | None = None, bright: bool = True) -> DataFrame:
+    """(key, y, x, value): the largest ridge response over the scales, from the eigenvalues
+    of the scaled Hessian. ``gamma`` is half the largest Hessian norm of the image if not given."""
+    scales = []
+    for s in sigmas:
+        parts = [smoothed(px, key, s, o).select(key, "y", "x", (F.col("value") * (s * s)).alias(name)) for name, o in (("_yy", (2, 0)), ("_xx", (0, 2)), ("_xy", (1, 1)))]
+        h = parts[0].join(parts[1], [key, "y", "x"]).join(parts[2], [key, "y", "x"])
+        mean, root = (F.col("_yy") + F.col("_xx")) / 2, F.hypot((F.col("_yy") - F.col("_xx")) / 2, F.col("_xy"))
+        a, b = mean - root, mean + root
+        first = F.abs(a) < F.abs(b)
+        h = h.select(key, "y", "x", F.when(first, a).otherwise(b).alias("_small"), F.when(first, b).otherwise(a).alias("_large"))
+        h = h.withColumn("_norm", F.sqrt(F.pow("_small", F.lit(2.0)) + F.pow("_large", F.lit(2.0))))
+        top = h.groupBy(key).agg((F.max("_norm") / 2).alias("_half")) if gamma is None else h.select(key).distinct().withColumn("_half", F.lit(float(gamma)))
+        half = F.when(F.col("_half") == 0, 1.0).otherwise(F.col("_half"))
+        ratio = F.col("_small") / F.nullif(F.col("_large"), F.lit(0.0))
+        v = F.exp(-F.pow(ratio, F.lit(2.0)) / (2 * beta**2)) * (1 - F.exp(-F.pow("_norm", F.lit(2.0)) / (2 * F.pow(half, F.lit(2.0)))))
+        off = F.col("_large") >= 0 if bright else F.col("_large") <= 0
+        scales.append(h.join(top, key).select(key, "y", "x", F.when(off, 0.0).otherwise(F.coalesce(v, F.lit(0.0))).alias("value")))
+    every = scales[0]
+    for part in scales[1:]:
+        every = every.unionByName(part)
+    return every.groupBy(key, "y", "x").agg(F.max("value").alias("value"))
+
+
 def effectiveness(hist: DataFrame, key: str) -> DataFrame:
     """(key, effectiveness): share of the histogram's variance that lies between the
     two classes of Otsu's threshold; null if all values are equal."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from cytofold.functions import names as N
@@ -345,6 +347,23 @@ def i11_above_threshold(spark, sf_dir):
     return T.above_threshold(_blots(spark, sf_dir).select("image", "y", "x", "value"), "image", "median", 1.2)
 
 
+_TAPS_SQL = ", ".join(f"({d}, {math.exp(-d * d / 2) / sum(math.exp(-k * k / 2) for k in range(-4, 5))!r}::DOUBLE)" for d in range(-4, 5))
+
+
+@query(
+    f"""WITH {_BLOTS_SQL}, k(d, w) AS (VALUES {_TAPS_SQL}), a AS (SELECT image, x, value, unnest([y, -1 - y, 399 - y]) AS s FROM blots),
+    v AS (SELECT image, s + d AS y, x, sum(value * w) AS value FROM a, k WHERE s + d BETWEEN 0 AND 199 GROUP BY ALL), b AS (SELECT image, y, value, unnest([x, -1 - x, 399 - x]) AS s FROM v)
+    SELECT image, y::INTEGER AS y, (s + d)::INTEGER AS x, round(sum(value * w), 6) AS value FROM b, k WHERE s + d BETWEEN 0 AND 199 GROUP BY ALL"""
+)
+def i03_smoothed(spark, sf_dir):
+    return rounded(T.smoothed(_blots(spark, sf_dir), "image", 1.0).select("image", "y", "x", "value"))
+
+
+@query()
+def i04_ridges(spark, sf_dir):
+    return T.ridges(_blots(spark, sf_dir), "image", (1.0, 2.0))
+
+
 @query()
 def i10_masked_objects(spark, sf_dir):
     return T.masked_objects(_blots(spark, sf_dir), "image", "otsu", least=20)

@@ -143,6 +143,22 @@ def test_thresholds_of_objects(spark):
         raster.intensity_threshold(px, "cell_id", "none")
 
 
+def test_smoothing_and_ridges_equal_the_kernels(spark):
+    rng = np.random.default_rng(12)
+    images = [rng.normal(0, 1, (24, 19)), np.where(np.abs(np.arange(24)[:, None] - 0.5 * np.arange(30)[None, :] - 4) < 1.2, 9.0, 1.0)]
+    px = table(spark, images)
+    for order in ((0, 0), (2, 0), (0, 1), (1, 1)):
+        out = {(r.cell_id, r.y, r.x): r.value for r in raster.smoothed(px, "cell_id", 1.3, order).collect()}
+        for k, img in enumerate(images):
+            want = tiles.gaussian(img, 1.3, order)
+            assert np.allclose([[out[k, y, x] for x in range(img.shape[1])] for y in range(img.shape[0])], want, atol=1e-9)
+    for bright in (True, False):
+        out = {(r.cell_id, r.y, r.x): r.value for r in raster.ridges(px, "cell_id", (1.0, 1.5), bright=bright).collect()}
+        for k, img in enumerate(images):
+            want = tiles.vesselness(img, (1.0, 1.5), bright=bright)
+            assert np.allclose([[out[k, y, x] for x in range(img.shape[1])] for y in range(img.shape[0])], want, atol=1e-6)
+
+
 def test_three_classes_and_dark_blobs(spark):
     rng = np.random.default_rng(8)
     values = np.concatenate([rng.normal(20, 4, 200), rng.normal(90, 6, 150), rng.normal(160, 5, 100)]).round().reshape(18, 25)
