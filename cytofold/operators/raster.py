@@ -217,6 +217,39 @@ def ridges(px: DataFrame, key: str, sigmas: tuple[float, ...] = (1.0, 2.0), beta
     return every.groupBy(key, "y", "x").agg(F.max("value").alias("value"))
 
 
+def equalised(px: DataFrame, key: str, block: int = 64, clip: float = 0.01, bins: int = 256) -> DataFrame:
+    """(key, y, x, value): contrast-limited adaptive equalisation of whole images. Each
+    block's histogram is clipped, what is cut off spread over all bins, and summed
+    up to a curve; a pixel takes the curves of the four blocks around it, weighted
+    by their distance. An image of one value becomes 0."""
+    span = px.groupBy(key).agg(F.min("value").cast("double").alias("_lo"), F.max("value").cast("double").alias("_hi"))
+    width = F.col("_hi") - F.col("_lo")
+    level = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("_lo")) / width * bins), F.lit(bins - 1))).cast("int")
+    rows = px.select(key, "y", "x", "value", "height", "width").join(span, key).withColumn("level", level).select(key, "y", "x", "height", "width", "level")
+    at = [key, "_by", "_bx"]
+    counts = rows.where("level is not null").groupBy(key, F.floor(F.col("y") / block).cast("int").alias("_by"), F.floor(F.col("x") / block).cast("int").alias("_bx"), "level").agg(F.count("*").alias("_n"))
+    size = counts.groupBy(*at).agg(F.sum("_n").alias("_all"))
+    top = F.greatest(F.lit(1.0), clip * F.col("_all"))
+    cut = counts.join(size, at).withColumns({"_kept": F.least(F.col("_n").cast("double"), top), "_spare": F.greatest(F.col("_n") - top, F.lit(0.0))})
+    spare = cut.groupBy(*at).agg(F.sum("_spare").alias("_spare"), F.first("_all").alias("_all"))
+    # every level of every block, so that a pixel finds the curves of its neighbours
+    grid = spare.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(cut.select(*at, "level", "_kept"), [*at, "level"], "left")
+    up = Window.partitionBy(*at).orderBy("level")
+    curve = grid.select(*at, "level", ((F.sum(F.coalesce("_kept", F.lit(0.0))).over(up) + F.col("_spare") * (F.col("level") + 1) / bins) / F.col("_all")).alias("_c"))
+
+    def corners(c: str, size: str):
+        n = F.ceil(F.col(size) / block)
+        place = F.greatest(F.lit(0.0), F.least((F.col(c) + 0.5) / block - 0.5, (n - 1).cast("double")))
+        low = F.least(F.floor(place), F.greatest(n - 2, F.lit(0)))
+        part = place - low
+        return F.array(F.struct(low.cast("int").alias("b"), (1 - part).alias("w")), F.struct(F.least(low + 1, n - 1).cast("int").alias("b"), part.alias("w")))
+
+    sent = rows.withColumn("_p", F.explode(corners("y", "height"))).withColumn("_q", F.explode(corners("x", "width")))
+    sent = sent.select(key, "y", "x", "level", F.col("_p.b").alias("_by"), F.col("_q.b").alias("_bx"), (F.col("_p.w") * F.col("_q.w")).alias("_w"))
+    met = sent.join(curve, [*at, "level"], "left")
+    return met.groupBy(key, "y", "x").agg(F.sum(F.coalesce(F.col("_w") * F.col("_c"), F.lit(0.0))).alias("value"))
+
+
 def effectiveness(hist: DataFrame, key: str) -> DataFrame:
     """(key, effectiveness): share of the histogram's variance that lies between the
     two classes of Otsu's threshold; null if all values are equal."""

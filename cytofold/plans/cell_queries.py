@@ -359,6 +359,11 @@ def i03_smoothed(spark, sf_dir):
     return rounded(T.smoothed(_blots(spark, sf_dir), "image", 1.0).select("image", "y", "x", "value"))
 
 
+@query()
+def i01_equalised(spark, sf_dir):
+    return T.equalised(_blots(spark, sf_dir), "image")
+
+
 @query()
 def i04_ridges(spark, sf_dir):
     return T.ridges(_blots(spark, sf_dir), "image", (1.0, 2.0))

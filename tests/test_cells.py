@@ -159,6 +159,15 @@ def test_smoothing_and_ridges_equal_the_kernels(spark):
             assert np.allclose([[out[k, y, x] for x in range(img.shape[1])] for y in range(img.shape[0])], want, atol=1e-6)
 
 
+def test_equalisation_equals_the_kernel(spark):
+    rng = np.random.default_rng(13)
+    images = [rng.gamma(2, 20, (37, 29)).round(), rng.normal(9, 1, (8, 8)), np.full((5, 7), 4.0)]
+    out = {(r.cell_id, r.y, r.x): r.value for r in raster.equalised(table(spark, images), "cell_id", block=12, clip=0.05, bins=32).collect()}
+    for k, img in enumerate(images):
+        want = tiles.equalised(img, 12, 0.05, 32)
+        assert np.allclose([[out[k, y, x] for x in range(img.shape[1])] for y in range(img.shape[0])], want, atol=1e-9)
+
+
 def test_three_classes_and_dark_blobs(spark):
     rng = np.random.default_rng(8)
     values = np.concatenate([rng.normal(20, 4, 200), rng.normal(90, 6, 150), rng.normal(160, 5, 100)]).round().reshape(18, 25)
