@@ -364,6 +364,11 @@ def i01_equalised(spark, sf_dir):
     return T.equalised(_blots(spark, sf_dir), "image")
 
 
+@query()
+def i19_thinned(spark, sf_dir):
+    return T.thinned(_blots(spark, sf_dir).where("value > 20"), "image")
+
+
 @query()
 def i04_ridges(spark, sf_dir):
     return T.ridges(_blots(spark, sf_dir), "image", (1.0, 2.0))

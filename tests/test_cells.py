@@ -168,6 +168,13 @@ def test_equalisation_equals_the_kernel(spark):
         assert np.allclose([[out[k, y, x] for x in range(img.shape[1])] for y in range(img.shape[0])], want, atol=1e-9)
 
 
+def test_skeletons_equal_the_kernel(spark):
+    images = [*noisy(2, 20, 15, 0.8), np.kron(noisy(1, 6, 16, 0.6)[0], np.ones((4, 4))), np.pad(np.ones((5, 14)), 2), np.ones((1, 1))]
+    got = coordinates(raster.thinned(table(spark, images), "cell_id").collect())
+    for k, img in enumerate(images):
+        assert got.get(k, set()) == set(zip(*map(list, np.nonzero(tiles.thinned(img))), strict=True))
+
+
 def test_three_classes_and_dark_blobs(spark):
     rng = np.random.default_rng(8)
     values = np.concatenate([rng.normal(20, 4, 200), rng.normal(90, 6, 150), rng.normal(160, 5, 100)]).round().reshape(18, 25)
