@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytofold.llm.text import Powers, map_batches, mix, span_hashes, texts_of
+from cytofold.llm.text import Powers, in_arrow, map_batches, mix, pieces_of, span_hashes, texts_of
 
 # Unit words, taken as a placeholder after a number.
 UNITS = (
@@ -168,7 +168,7 @@ An item without a window of enough literal words has exact windows instead:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    return rows.mapInArrow(run, f"item_id long, {_WINDOW}, n_item int, size int, length int, exact boolean")
+    return in_arrow(rows, run, f"item_id long, {_WINDOW}, n_item int, size int, length int, exact boolean")
 
 
 def document_windows(docs: DataFrame, n: int, sizes: list[int], exact_sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
@@ -181,7 +181,8 @@ def document_windows(docs: DataFrame, n: int, sizes: list[int], exact_sizes: lis
         if hashes is not None:
             marks = np.zeros(1 << 22, bool)
             marks[(hashes >> np.uint64(42)).astype(np.int64)] = True
-        for batch in batches:
+        # a few documents at a time: where many hold the same item, matches are many times the documents
+        for batch in (part for whole in batches for part in pieces_of(whole, 256)):
             ids, ws, ps, ss = [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
                 template, kind, value, opener = canon.words(text)
@@ -198,7 +199,7 @@ def document_windows(docs: DataFrame, n: int, sizes: list[int], exact_sizes: lis
                     ss += [[]] * len(at) if exact else [_slots(own, value, p, size) for p in at.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ws, pa.int64()), pa.array(ps, pa.int32()), pa.array(ss, pa.list_(pa.int64()))], ["doc_id", "w", "pos", "slots"])
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, f"doc_id long, {_WINDOW}")
+    return in_arrow(docs.where("doc_id is not null and text is not null").select("doc_id", "text"), run, f"doc_id long, {_WINDOW}")
 
 
 def judge(pos: np.ndarray, item_pos: np.ndarray, slots: list, item_slots: list, n_item: int, size: int, length: int = 0) -> tuple[int, int, int, int]:
@@ -267,16 +268,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, share: float
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = batch.to_pylist()
             out = []
-            for r in rows:
-                m = r["matches"]
-                out.append(judge(np.array([x["pos"] for x in m]), np.array([x["item_pos"] for x in m]), [x["slots"] for x in m], [x["item_slots"] for x in m], r["n_item"], r["size"], r["length"]))
-            frame = pd.DataFrame(out, columns=["matched", "longest_run", "first_word", "last_word"], dtype="int32")
-            frame.insert(0, "doc_id", [r["doc_id"] for r in rows])
-            frame.insert(1, "item_id", [r["item_id"] for r in rows])
-            frame.insert(2, "n_item", pd.Series([r["n_item"] for r in rows], dtype="int32"))
-            return pa.RecordBatch.from_pandas(frame, preserve_index=False)
+            for part in pieces_of(batch, 64):
+                for r in part.to_pylist():
+                    m = r["matches"]
+                    found = judge(np.array([x["pos"] for x in m]), np.array([x["item_pos"] for x in m]), [x["slots"] for x in m], [x["item_slots"] for x in m], r["n_item"], r["size"], r["length"])
+                    out.append((r["doc_id"], r["item_id"], r["n_item"], *found))
+            frame = pd.DataFrame(out, columns=["doc_id", "item_id", "n_item", "matched", "longest_run", "first_word", "last_word"])
+            return pa.RecordBatch.from_pandas(frame.astype({c: "int32" for c in frame.columns[2:]}), preserve_index=False)
 
         return each
 

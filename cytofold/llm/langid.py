@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytofold.llm.text import held_out, map_batches, mix, texts_of
+from cytofold.llm.text import held_out, in_arrow, map_batches, mix, texts_of
 
 BUCKETS = 1 << 14
 ORDERS = 3
@@ -195,7 +195,7 @@ def fit_language(docs: DataFrame, max_train: int = 5_000, smoothing: float = 0.5
         cuts = F.create_map(*(F.lit(y) for x, n in often.items() for y in (x, int(max_train / n * 1_000_000))))
         cut = F.coalesce(cuts[F.col("lang")], F.lit(1_000_000))
         sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < cut)
-    counted = sample.select("text", "lang").mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = in_arrow(sample.select("text", "lang"), _count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # a language a row: its counts as one array of BUCKETS numbers at most
     packed = counted.groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n"))
     column = {x: k for k, x in enumerate(languages)}

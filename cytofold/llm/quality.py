@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytofold.llm.text import Powers, bounded_sample, held_out, map_batches, mix, runs, span_hashes, texts_of
+from cytofold.llm.text import bounded_sample, held_out, in_arrow, map_batches, mix, Powers, runs, span_hashes, texts_of
 
 BUCKETS = 1 << 14
 
@@ -63,7 +63,7 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, max_target: int = 20_000, smoo
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
     good = bounded_sample(good, F.col("doc_id"), max_target).withColumn("good", F.lit(True))
     rows = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    summed = rows.mapInArrow(_count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+    summed = in_arrow(rows, _count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
     table = np.zeros((2, BUCKETS))
     for r in summed.collect():  # at most the number of buckets
         table[:, r["bucket"]] = r["raw"], r["good"]

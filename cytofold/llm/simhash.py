@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from cytofold.llm.text import map_batches
 from cytofold.operators.graph import connected_components, ensure_checkpoint_dir, join_one_row
+from cytofold.shipping import on_executors
 
 SEED = 42
 BLOCK = 1 << 20  # pairs compared at once
@@ -143,6 +144,7 @@ def near_links(fps: DataFrame, radius: int = 4, group_rows: int = 1 << 19, min_g
     groups. Each fingerprint is sent G times, so G stays at ``min_groups``
     until memory, not data, asks for more.
     """
+    on_executors(fps.sparkSession)
     n = fps.count()
     groups = max(min_groups, math.ceil(n / group_rows))
     own = F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(groups)).cast("int")

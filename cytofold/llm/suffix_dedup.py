@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytofold.llm.text import map_batches, mix
+from cytofold.llm.text import in_arrow, map_batches, mix
 from cytofold.operators.graph import ensure_checkpoint_dir, join_one_row
 
 ANCHOR = 32
@@ -367,7 +367,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, share_rows: int | None =
     packed = _packed(searched)
     texts = map_batches(packed.join(wanted, ["doc_id", "v"]), lambda: parts, "h long, share int, dealt boolean, doc_id long, v long, pos long, part binary")
     dealt_out = texts.repartition("h", "share").sortWithinPartitions("h", "share")
-    marks = dealt_out.mapInArrow(Collections(length), "kind int, doc_id long, v long, a long, b long, g1 long, g2 long")
+    marks = in_arrow(dealt_out, Collections(length), "kind int, doc_id long, v long, a long, b long, g1 long, g2 long")
     # what is first in one share of a dealt anchor is held against the other shares; other marks stand alone
     same = Window.partitionBy("g1", "g2")
     place = F.struct("doc_id", "a")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cytofold.shipping import on_executors
+
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 MASK64 = (1 << 64) - 1
 
@@ -33,6 +35,12 @@ def map_batches(
             if batch.num_rows and (out := each(batch)) is not None:
                 yield out
 
+    return in_arrow(df, run, schema)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow``, with the package sent to the executors before."""
+    on_executors(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -41,6 +49,11 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def pieces_of(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of ``rows`` rows at most."""
+    return (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
+
+
 def bounded_sample(df: DataFrame, key: Column, rows: int, total: int | None = None) -> DataFrame:
     """About ``rows`` rows at most (all, if there are fewer), chosen by a hash of
     ``key``: deterministic, spread over all partitions and free of a sort. Used

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cytofold.llm.text import in_arrow
+
 EXACT = float(1 << 53)
 NONE = np.iinfo(np.int64).min + 1  # its negative is a long too
 
@@ -183,7 +185,7 @@ def exact_topk(vectors: DataFrame, k: int = 20, every: int = 20, block_rows: int
                     yield pa.RecordBatch.from_arrays([pa.array(mine[where]), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
 
     dealt = others.unionByName(queries).repartition("dims", "block").sortWithinPartitions("dims", "block", "kind")
-    part = dealt.mapInArrow(serve, "query_id long, vec_id long, score long")
+    part = in_arrow(dealt, serve, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

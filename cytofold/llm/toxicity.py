@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytofold.llm.text import bounded_sample, held_out, map_batches, texts_of
+from cytofold.llm.text import bounded_sample, held_out, in_arrow, map_batches, texts_of
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = str.maketrans(
@@ -238,12 +238,12 @@ def fit_toxicity(
         toxic, clean = (int(v or 0) for v in rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
         if not toxic or not clean:
             return ToxicityModel({}, (-1.0, 1.0, 1.0), exceptions)
-        counted = rows.mapInArrow(_counts, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        counted = in_arrow(rows, _counts, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         enough = counted.where(F.col("pos") >= max(3, math.ceil(min_share * toxic)))
         # rough purity first, so that what comes to the driver is a lexicon and not a vocabulary
         kept = enough.where((F.col("pos") + 0.1) / (toxic + 1) >= (F.col("neg") + 0.1) / (clean + 1))
         weights = choose_entries([tuple(r) for r in kept.collect()], toxic, clean, purity)
-        counted = rows.mapInArrow(_phrases(ToxicityModel(weights, (0.0, 0.0, 0.0), exceptions)), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        counted = in_arrow(rows, _phrases(ToxicityModel(weights, (0.0, 0.0, 0.0), exceptions)), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         p, n = (F.col("pos") + 0.1) / (toxic + 1), (F.col("neg") + 0.1) / (clean + 1)
         harmless = counted.where((F.col("neg") >= 3) & (n / (p + n) >= purity)).orderBy("entry").collect()
         exceptions = (*exceptions, *(r["entry"] for r in harmless))
