@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -66,7 +67,8 @@ class PieceModel:
             _REMEMBERED.clear()
             _REMEMBERED[own] = ({}, {})
         self.words, self.pairs = _REMEMBERED[own]
-        self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        # the id of every piece, and -1 for what only begins one
+        self.starts = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
 
     def __getstate__(self):
         return (self.names, self.scores, self.kinds, self.unknown, self.dummy_prefix)
@@ -127,7 +129,7 @@ class PieceModel:
         """Scan from ``start``, where ``last`` ends: for every position up to
         ``end`` that a path of weight 0 reaches, the start and id of its last piece."""
         reached: dict[int, tuple[int, int | None]] = {start: (start, last)}
-        ids, starts, pairs, follows = self.ids, self.starts, self.pairs, self.follows
+        starts, pairs, follows = self.starts.get, self.pairs, self.follows
         for begin in range(start, end):
             own = reached.get(begin)
             if own is None:
@@ -136,14 +138,14 @@ class PieceModel:
             base = 0 if before is None or before < 0 else (before + 1) << 20
             for stop in range(begin + 1, end + 1):
                 string = text[begin:stop]
-                if string not in starts:
+                piece = starts(string)
+                if piece is None:
                     if stop == begin + 1 and stop not in reached:
                         reached[stop] = (begin, -1 - ord(string))
                     break
                 if stop in reached:
                     continue
-                piece = ids.get(string)
-                if piece is None:
+                if piece < 0:
                     if stop == begin + 1:
                         reached[stop] = (begin, -1 - ord(string))
                     continue
@@ -180,7 +182,7 @@ class PieceModel:
             pieces = self.trace(self.forward(unit, 0, len(unit), None), 0, len(unit))
         else:
             pieces = scan(self, unit, 128)
-        found = np.array(self.as_ids(pieces), np.int32).tobytes()
+        found = array("i", pieces if min(pieces, default=0) >= 0 else self.as_ids(pieces)).tobytes()
         if len(unit) <= 64:
             if len(self.words) >= WORDS_KEPT:
                 self.words.clear()
