@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cytofold.operators.graph import ensure_checkpoint_dir
+
 SIX = ("mean", "median", "std", "sum", "min", "max")
 
 
@@ -69,6 +71,9 @@ def summarise(long: DataFrame, keys: list[str], stats: tuple[str, ...] = SIX, va
     else:
         out, hot = None, None
         if hot_rows is not None:
+            # read for the count and again: kept, so that what leads to it runs once
+            ensure_checkpoint_dir(rows.sparkSession)
+            rows = rows.select(*keys, value).checkpoint()
             sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size"))
             total = rows.count()
             hot = sizes.where(F.col("_size") > max(hot_rows, total // 1_000)).select(*keys) if total > hot_rows else None
