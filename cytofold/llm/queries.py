@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytofold.llm import decontam, html_text, langid, pieces, quality, secret_scan, simhash, suffix_dedup, topk, toxicity
+from cytofold.llm import alignment, decontam, html_text, langid, mixing, pieces, quality, secret_scan, simhash, spelling, suffix_dedup, topk, toxicity
 
 
 #: Model file of the encoder; any SentencePiece BPE model can take its place.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Vocabulary file of the byte-level tokenizer that is aligned with it.
+BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,11 +67,28 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    pair = alignment.TokenizerPair.load(BYTE_MODEL, PIECE_MODEL)
+    counts = alignment.link_counts(docs, pair)
+    digest = F.coalesce(F.sha2(F.col("groups").cast("binary"), 256), F.lit(""))
+    return alignment.with_rare_links(alignment.align(docs, pair, counts).withColumn("groups_sha256", digest).drop("groups"), counts)
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).taken()
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.word_counts(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_simhash, op3_sentencepiece, op4_secrets, op5_language,
         op6_topk, op7_suffix_dedup, op8_html, op9_decontam, op10_quality,
+        op11_alignment, op12_mixing, op13_spelling,
     )
 }
 #: DuckDB SQL where SQL can express the operator.
