@@ -32,7 +32,7 @@ from cytofold.operators.graph import ensure_checkpoint_dir
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of text that are encoded at once; longer texts are cut into slices of about this length.
-SLICE = 1 << 20
+SLICE = 1 << 21
 #: What ends at a byte: nothing, a token of A, one of B, both.
 LABELS = np.frombuffer(b".ab|", np.uint8)
 SPAN = re.compile(rb"[^|]*\|")
@@ -64,8 +64,14 @@ class TokenizerPair:
             raise ValueError("pieces with a space after another character are not supported")
         return pair
 
+    def names(self) -> list[np.ndarray]:
+        return self._loaded()[4]
+
     def encoders(self) -> tuple:
         """(A, bytes of its ids, B, bytes of its ids)"""
+        return self._loaded()[:4]
+
+    def _loaded(self) -> tuple:
         key = zlib.crc32(self.b_proto, zlib.crc32(self.a_json.encode()))
         if key not in _LOADED:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,8 +88,10 @@ class TokenizerPair:
             b = sentencepiece.SentencePieceProcessor(model_proto=self.b_proto)
             names = [b.id_to_piece(k) for k in range(b.get_piece_size())]
             b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(names)]
+            # ids as text, before another one of their group and as the last one
+            names = [np.array([[f"{k},", f"{k}{end}"] for k in range(len(t))], object).T for t, end in ((a_bytes, "|"), (b_bytes, ";"))]
             _LOADED.clear()
-            _LOADED[key] = (a, a_bytes, b, b_bytes)
+            _LOADED[key] = (a, a_bytes, b, b_bytes, names)
         return _LOADED[key]
 
 
@@ -93,16 +101,43 @@ class Units:
 
     def __init__(self, pair: TokenizerPair, parts: list[str]) -> None:
         a, a_bytes, b, b_bytes = pair.encoders()
-        surfaces = [" " + p for p in parts]
-        ids_a = [e.ids for e in a.encode_batch(surfaces, add_special_tokens=False)]
-        ids_b = b.encode(parts, num_threads=1)
-        raw = [s.encode() for s in surfaces]
-        self.ok = np.array([b"".join([a_bytes[k] for k in x]) == r and b"".join([b_bytes[k] for k in y]) == r for x, y, r in zip(ids_a, ids_b, raw, strict=True)], bool)
-        ids_a, ids_b = ([x if good else [] for x, good in zip(ids, self.ok, strict=True)] for ids in (ids_a, ids_b))
-        self.n_a, self.n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
-        size = np.where(self.ok, [len(r) for r in raw], 0)
-        ends_a, ends_b = (np.cumsum([len(table[k]) for k in flat]).astype(np.int64) for table, flat in ((a_bytes, flat_a.tolist()), (b_bytes, flat_b.tolist())))
+        raw = [f" {p}".encode() for p in parts]
+        # units without white space at their ends are independent, so one call encodes them all; the others go one by one
+        plain = np.array([not (p[0].isspace() or p[-1].isspace()) for p in parts], bool)
+        joined = " ".join([p for p, k in zip(parts, plain.tolist(), strict=True) if k])
+        size = np.array([len(r) for r in raw], np.int64)
+        whole = b"".join([r for r, k in zip(raw, plain.tolist(), strict=True) if k])
+        own = []  # of both: ids of the plain units, and the number of them in each unit
+        for ids, table in ((a.encode(f" {joined}", add_special_tokens=False).ids, a_bytes), (b.encode(joined, num_threads=1), b_bytes)):
+            if not joined or b"".join([table[k] for k in ids]) != whole:
+                own.clear()
+                plain[:] = False
+                break
+            ends = np.cumsum([len(table[k]) for k in ids])
+            own.append((ids, np.diff(np.searchsorted(ends, np.cumsum(size[plain]), side="right"), prepend=0)))
+        rest = np.flatnonzero(~plain).tolist()
+        self.ok = plain.copy()
+        ids_a = [e.ids for e in a.encode_batch([f" {parts[k]}" for k in rest], add_special_tokens=False)] if rest else []
+        ids_b = b.encode([parts[k] for k in rest], num_threads=1) if rest else []
+        for n, k in enumerate(rest):
+            self.ok[k] = b"".join([a_bytes[x] for x in ids_a[n]]) == raw[k] == b"".join([b_bytes[x] for x in ids_b[n]])
+        sides = []
+        for side, (ids, table) in enumerate(((ids_a, a_bytes), (ids_b, b_bytes))):
+            count = np.zeros(len(parts), np.int64)
+            if plain.any():
+                count[plain] = own[side][1]
+            alone = [x if self.ok[k] else [] for k, x in zip(rest, ids, strict=True)]
+            count[rest] = [len(x) for x in alone]
+            flat = np.empty(count.sum(), np.int64)
+            of_plain = np.repeat(plain, count)
+            if plain.any():
+                flat[of_plain] = own[side][0]
+            flat[~of_plain] = list(chain.from_iterable(alone))
+            length = np.array([len(t) for t in table], np.int64)
+            sides.append((flat, count, np.cumsum(length[flat])))
+        (flat_a, self.n_a, ends_a), (flat_b, self.n_b, ends_b) = sides
+        size = np.where(self.ok, size, 0)
+        ends = np.cumsum(size)
         label = np.zeros(int(size.sum()), np.uint8)
         label[ends_a - 1] += 1
         label[ends_b - 1] += 2
@@ -110,21 +145,23 @@ class Units:
         at = np.flatnonzero(label)
         of_a, of_b = (np.cumsum(bit)[at] - bit[at] for bit in ((label & 1).astype(np.int64), (label >> 1).astype(np.int64)))
         self.links = flat_a[of_a] << 32 | flat_b[of_b]
-        ends = np.cumsum(size)
         self.link_end = np.searchsorted(at, ends)
         self.link_start = np.r_[0, self.link_end[:-1]].astype(np.int64)
         # groups: spans of labels up to a "both"
-        self.groups: list[str] = [""] * len(parts)
-        self.n_groups = np.zeros(len(parts), np.int64)
-        text, name_a, name_b, i, j = LABELS[label].tobytes(), list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist())), 0, 0
-        for k, (begin, end) in enumerate(zip((ends - size).tolist(), ends.tolist(), strict=True)):
-            found = []
-            for span in SPAN.findall(text, begin, end):
-                p, q = i + span.count(b"a") + 1, j + span.count(b"b") + 1
-                found.append(f"{','.join(name_a[i:p])}|{','.join(name_b[j:q])}")
-                i, j = p, q
-            self.groups[k] = ";".join(found)
-            self.n_groups[k] = len(found)
+        spans = SPAN.findall(LABELS[label].tobytes())
+        in_a, in_b = (np.array([s.count(x) + 1 for s in spans], np.int64) for x in (b"a", b"b"))
+        group_end = np.searchsorted(np.flatnonzero(label == 3), ends)
+        self.n_groups = np.diff(group_end, prepend=0)
+        # as text, token by token: ids of A, then of B, in the order of the groups
+        text_a, text_b = pair.names()
+        order = np.empty(len(flat_a) + len(flat_b), object)
+        last_a, last_b = np.cumsum(in_a), np.cumsum(in_b)
+        closes_a, closes_b = np.zeros(len(flat_a), np.int64), np.zeros(len(flat_b), np.int64)
+        closes_a[last_a - 1] = closes_b[last_b - 1] = 1
+        order[np.arange(len(flat_a)) + np.repeat(last_b - in_b, in_a)] = text_a[closes_a, flat_a]
+        order[np.arange(len(flat_b)) + np.repeat(last_a, in_b)] = text_b[closes_b, flat_b]
+        every, done = order.tolist(), np.cumsum(self.n_a + self.n_b).tolist()
+        self.groups = ["".join(every[i:j]) for i, j in zip([0, *done], done, strict=False)]
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[list[tuple[int, str]], bool]]:
@@ -269,7 +306,7 @@ def align(docs: DataFrame, pair: TokenizerPair, counts: LinkCounts) -> DataFrame
                 stops = [*starts[1:].tolist(), len(places)]
                 flat = places.tolist()
                 for r, i, j in zip(rows.tolist(), starts.tolist(), stops, strict=True):
-                    groups[r].append(";".join([units.groups[u] for u in flat[i:j]]))
+                    groups[r] += [units.groups[u] for u in flat[i:j]]
                 if not found.all():
                     unit_of_rare, of = np.flatnonzero(~found), np.searchsorted(units.link_end, np.flatnonzero(~found), side="right")
                     first = np.searchsorted(of, np.arange(len(units.ok) + 1))
@@ -281,7 +318,7 @@ def align(docs: DataFrame, pair: TokenizerPair, counts: LinkCounts) -> DataFrame
                     for r, x in zip(owner[np.r_[0, cut]].tolist(), np.split(link, cut), strict=True):
                         rare.setdefault(r, []).append(x)
             sums *= good
-            texts = [";".join(g) if g and fine else None for g, fine in zip(groups, good.tolist(), strict=True)]
+            texts = ["".join(g)[:-1] if g and fine else None for g, fine in zip(groups, good.tolist(), strict=True)]
             rest = [np.concatenate(rare[r]) if r in rare and good[r] else None for r in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in sums), pa.array(texts, pa.string()), pa.array(rest, pa.list_(pa.int64()))],
