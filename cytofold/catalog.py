@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cytofold.plans import cell_queries, level_queries, name_queries, pixel_queries, table_queries
+from cytofold.plans import cell_queries, level_queries, name_queries, pixel_queries, relief_queries, table_queries
 
 FLAGSHIP = "a01_objects_to_cells"
-_MODULES = (level_queries, table_queries, name_queries, pixel_queries, cell_queries)
+_MODULES = (level_queries, table_queries, name_queries, pixel_queries, cell_queries, relief_queries)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in _MODULES:
