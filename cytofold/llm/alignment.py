@@ -15,7 +15,6 @@ each distinct unit of a slice of texts is encoded and labelled once.
 from __future__ import annotations
 
 import json
-import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,13 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cytofold.llm.text import in_arrow, pieces_of, texts_of
 from cytofold.operators.graph import ensure_checkpoint_dir
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of text that are encoded at once; longer texts are cut into slices of about this length.
-SLICE = 1 << 21
+SLICE = 1 << 22
+#: Documents of a batch that are worked on together.
+ROWS = 2048
+#: The byte-level pattern of A (a fixed value): what is merged on its own.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What ends at a byte: nothing, a token of A, one of B, both.
 LABELS = np.frombuffer(b".ab|", np.uint8)
 SPAN = re.compile(rb"[^|]*\|")
@@ -74,17 +78,19 @@ class TokenizerPair:
     def _loaded(self) -> tuple:
         key = zlib.crc32(self.b_proto, zlib.crc32(self.a_json.encode()))
         if key not in _LOADED:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
             import sentencepiece
-            from tokenizers import Tokenizer
-
-            a = Tokenizer.from_str(self.a_json)
-            a.encode_special_tokens = True
-            alphabet = byte_alphabet()
-            vocabulary = json.loads(self.a_json)["model"]["vocab"]
-            a_bytes = [b""] * (max(vocabulary.values()) + 1)
-            for token, k in vocabulary.items():
+            import tiktoken
+
+            alphabet, model = byte_alphabet(), json.loads(self.a_json)["model"]
+            merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+            a_bytes = [b""] * (max(model["vocab"].values()) + 1)
+            for token, k in model["vocab"].items():
                 a_bytes[k] = bytes(alphabet[c] for c in token)
+            merged = [model["vocab"][x + y] for x, y in merges]
+            if merged != list(range(256, 256 + len(merges))):
+                raise ValueError("ids of A do not follow its merges")
+            # special tokens stand after the merges; without them their strings are plain text
+            a = tiktoken.Encoding("A", pat_str=PATTERN, mergeable_ranks={t: k for k, t in enumerate(a_bytes[: 256 + len(merges)])}, special_tokens={})
             b = sentencepiece.SentencePieceProcessor(model_proto=self.b_proto)
             names = [b.id_to_piece(k) for k in range(b.get_piece_size())]
             b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(names)]
@@ -108,7 +114,7 @@ class Units:
         size = np.array([len(r) for r in raw], np.int64)
         whole = b"".join([r for r, k in zip(raw, plain.tolist(), strict=True) if k])
         own = []  # of both: ids of the plain units, and the number of them in each unit
-        for ids, table in ((a.encode(f" {joined}", add_special_tokens=False).ids, a_bytes), (b.encode(joined, num_threads=1), b_bytes)):
+        for ids, table in ((a.encode_ordinary(f" {joined}"), a_bytes), (b.encode(joined, num_threads=1), b_bytes)):
             if not joined or b"".join([table[k] for k in ids]) != whole:
                 own.clear()
                 plain[:] = False
@@ -117,7 +123,7 @@ class Units:
             own.append((ids, np.diff(np.searchsorted(ends, np.cumsum(size[plain]), side="right"), prepend=0)))
         rest = np.flatnonzero(~plain).tolist()
         self.ok = plain.copy()
-        ids_a = [e.ids for e in a.encode_batch([f" {parts[k]}" for k in rest], add_special_tokens=False)] if rest else []
+        ids_a = [a.encode_ordinary(f" {parts[k]}") for k in rest]
         ids_b = b.encode([parts[k] for k in rest], num_threads=1) if rest else []
         for n, k in enumerate(rest):
             self.ok[k] = b"".join([a_bytes[x] for x in ids_a[n]]) == raw[k] == b"".join([b_bytes[x] for x in ids_b[n]])
@@ -203,143 +209,128 @@ def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _linked(units: Units, places: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of the slice, link) of every distinct link of a row, and which rows are whole."""
+    """(row of the slice, link, times) of every distinct link of a row, sorted."""
     row = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(places)]))
-    whole = np.logical_and.reduceat(units.ok[places], starts)
-    code = np.unique(row * len(units.ok) + places)
+    code, often = np.unique(row * len(units.ok) + places, return_counts=True)
     row, unit = code // len(units.ok), code % len(units.ok)
     at, of = _spread(units.link_start[unit], units.link_end[unit])
-    known, of_link = np.unique(units.links, return_inverse=True)
-    code = np.unique(row[of] * max(len(known), 1) + of_link[at])
-    return code // max(len(known), 1), known[code % max(len(known), 1)] if len(known) else code, whole
-
-
-def link_counts(docs: DataFrame, pair: TokenizerPair, frequent: int = FREQUENT) -> LinkCounts:
-    """Of every linked pair of ids, how many rows of ``docs`` hold it. Each task
-    counts by slices, the rest is a grouped sum. Null and empty texts, and texts
-    whose tokens do not give back their bytes, hold none; repeated rows count each."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(pair)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held, good = [], True  # of a text that comes in parts
-            for part, more in _slices(texts_of(batch.column("text"))):
-                row, link, whole = _linked(*_taken(shared.value, part))
-                if more or held or not good:
-                    first = link[row == 0]
-                    held, good = [np.union1d(held[0], first) if held else first], good and bool(whole[0])
-                    if more:
-                        continue
-                    keep = whole[row] & (row > 0)
-                    link = np.concatenate([link[keep], held[0] if good else link[:0]])
-                    held, good = [], True
-                else:
-                    link = link[whole[row]]
-                link, n = np.unique(link, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(link, pa.int64()), pa.array(n, pa.int64())], ["link", "n"])
-
-    counts = in_arrow(docs.select("text"), run, "link long, n long").groupBy("link").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("a", F.shiftright("link", 32)).checkpoint()
-    # one row for an id of A, 50,257 of them: its vocabulary bounds the broadcast
-    highest = counts.groupBy("a").agg(F.max("n").alias("most"))
-    counts = counts.join(F.broadcast(highest), "a").select("link", "n", (F.col("n") == F.col("most")).alias("best"))
-    level = F.floor(F.log2("n") * 8).cast("int")
-    known, least = 0, 1 << 20
-    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
-        known += row["count"]
-        if known > frequent:
-            break
-        least = row["level"]
-    else:
-        least = -1
-    top = counts.where(level >= least).orderBy("link").toArrow()
-    arrays = tuple(top.column(c).to_numpy() for c in ("link", "n", "best"))
-    return LinkCounts(counts, arrays, None if least < 0 else counts.where(level < least))
-
-
-@dataclass
-class LinkCounts:
-    """counts: link (id of A times 2**32 plus id of B), n, best (no link of this
-    A id has more). frequent: those of the most frequent links, FREQUENT at most,
-    as sorted arrays. rare: the rest as a table, or None."""
-
-    counts: DataFrame
-    frequent: tuple[np.ndarray, np.ndarray, np.ndarray]
-    rare: DataFrame | None
+    known, number = np.unique(units.links, return_inverse=True)
+    code = row[of] * max(len(known), 1) + number[at]
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    times = np.add.reduceat(often[of][order], first) if len(first) else np.zeros(0, np.int64)
+    return code[first] // max(len(known), 1), known[code[first] % max(len(known), 1)], times
 
 
-SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string, rare array<long>"
+SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, links array<long>, times array<int>"
 
 
-def align(docs: DataFrame, pair: TokenizerPair, counts: LinkCounts) -> DataFrame:
-    """One row a document: numbers of tokens, groups and links; ``groups`` as
-    text, ``a1,a2|b1;a3|b2,b3`` with decimal ids in order (null without tokens);
-    n_best and count_sum over its frequent links, and its ``rare`` links (null if
-    none, repeats kept), which ``with_rare_links`` adds.
+def align(docs: DataFrame, pair: TokenizerPair) -> DataFrame:
+    """One row a document: numbers of tokens, groups and links; ``groups`` as text,
+    ``a1,a2|b1;a3|b2,b3`` with decimal ids in order (null without tokens); its
+    distinct ``links`` (id of A times 2**32 plus id of B, sorted) and how many ``times`` it has each.
 
     Null and empty texts, and texts whose tokens do not give back their bytes,
     have no tokens. Texts of any length are worked on in slices; only a unit
     without single spaces is encoded as a whole. Repeated rows stay, a null
     doc_id too; other columns are not read."""
-    spark = docs.sparkSession
-    shared, scores = spark.sparkContext.broadcast(pair), spark.sparkContext.broadcast(counts.frequent)
-    all_known = counts.rare is None
+    shared = docs.sparkSession.sparkContext.broadcast(pair)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n, best = scores.value
-        for batch in chain.from_iterable(pieces_of(x, 512) for x in batches):
-            sums = np.zeros((6, batch.num_rows), np.int64)
+        for batch in chain.from_iterable(pieces_of(x, ROWS) for x in batches):
+            sums = np.zeros((4, batch.num_rows), np.int64)
             groups: list[list[str]] = [[] for _ in range(batch.num_rows)]
-            rare: dict[int, list[np.ndarray]] = {}
+            links: list[list[tuple]] = [[] for _ in range(batch.num_rows)]
             good = np.ones(batch.num_rows, bool)
             for part, _ in _slices(texts_of(batch.column("text"))):
                 units, places, starts = _taken(shared.value, part)
-                at = np.minimum(np.searchsorted(known, units.links), max(len(known) - 1, 0))
-                found = known[at] == units.links if len(known) else np.zeros(len(at), bool)
-                score = [np.r_[0, np.cumsum(np.where(found, x[at] if len(known) else 0, 0).astype(np.int64))] for x in (best, n)]
-                by_unit = [units.n_a, units.n_b, units.n_groups, units.link_end - units.link_start, *(s[units.link_end] - s[units.link_start] for s in score)]
                 rows = np.array([r for r, _ in part])
-                for k, x in enumerate(by_unit):
+                for k, x in enumerate((units.n_a, units.n_b, units.n_groups, units.link_end - units.link_start)):
                     sums[k, rows] += np.add.reduceat(x[places], starts)
                 good[rows] &= np.logical_and.reduceat(units.ok[places], starts)
-                stops = [*starts[1:].tolist(), len(places)]
-                flat = places.tolist()
-                for r, i, j in zip(rows.tolist(), starts.tolist(), stops, strict=True):
+                stops, flat = [*starts[1:].tolist(), len(places)], places.tolist()
+                of, link, times = _linked(units, places, starts)
+                ends = np.searchsorted(of, np.arange(len(rows) + 1))
+                for n, (r, i, j) in enumerate(zip(rows.tolist(), starts.tolist(), stops, strict=True)):
                     groups[r] += [units.groups[u] for u in flat[i:j]]
-                if not found.all():
-                    unit_of_rare, of = np.flatnonzero(~found), np.searchsorted(units.link_end, np.flatnonzero(~found), side="right")
-                    first = np.searchsorted(of, np.arange(len(units.ok) + 1))
-                    has = np.flatnonzero(first[places + 1] > first[places])
-                    where, nth = _spread(first[places[has]], first[places[has] + 1])
-                    owner = rows[np.searchsorted(starts, has[nth], side="right") - 1]
-                    link = units.links[unit_of_rare[where]]
-                    cut = np.flatnonzero(np.diff(owner)) + 1
-                    for r, x in zip(owner[np.r_[0, cut]].tolist(), np.split(link, cut), strict=True):
-                        rare.setdefault(r, []).append(x)
+                    links[r].append((link[ends[n] : ends[n + 1]], times[ends[n] : ends[n + 1]]))
             sums *= good
             texts = ["".join(g)[:-1] if g and fine else None for g, fine in zip(groups, good.tolist(), strict=True)]
-            rest = [np.concatenate(rare[r]) if r in rare and good[r] else None for r in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in sums), pa.array(texts, pa.string()), pa.array(rest, pa.list_(pa.int64()))],
-                ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "rare"],
-            )
-
-    found = in_arrow(docs.select("doc_id", "text"), run, SCHEMA)
-    return found.drop("rare") if all_known else found
-
-
-def with_rare_links(aligned: DataFrame, counts: LinkCounts) -> DataFrame:
-    """``aligned`` (result of ``align``, with columns added or left out) with the
-    rare links in n_best and count_sum. A link that is not frequent is held by
-    few rows, so the join has no large key. The rows are checkpointed first, since
-    they are read twice; leave out wide columns before."""
-    if counts.rare is None:
-        return aligned
+            kept = [_added(x) if fine else _added([]) for x, fine in zip(links, good.tolist(), strict=True)]
+            ends = pa.array(np.cumsum([0, *(len(x) for x, _ in kept)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in kept]), t)) for k, t in enumerate((pa.int64(), pa.int32()))]
+            columns = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in sums), pa.array(texts, pa.string()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
+
+    return in_arrow(docs.select("doc_id", "text"), run, SCHEMA)
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Links and times of the parts of one text together."""
+    if len(parts) == 1:
+        return parts[0]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    link, number = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    return link, np.bincount(number, np.concatenate([n for _, n in parts]), len(link)).astype(np.int64)
+
+
+def link_counts(aligned: DataFrame) -> DataFrame:
+    """link, n (how many rows of ``aligned`` hold it), best (no link of the same id of A has more)."""
     ensure_checkpoint_dir(aligned.sparkSession)
-    rows = aligned.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
-    links = rows.select("_row", F.explode("rare").alias("link")).join(counts.rare, "link")
-    more = links.groupBy("_row").agg(F.sum("n").alias("_n"), F.sum(F.col("best").cast("long")).alias("_best"))
+    counts = aligned.select(F.explode("links").alias("link")).groupBy("link").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("a", F.shiftright("link", 32)).checkpoint()
+    # one row for an id of A; its vocabulary, some 50,000 ids, bounds the broadcast
+    highest = counts.groupBy("a").agg(F.max("n").alias("most"))
+    return counts.join(F.broadcast(highest), "a").select("link", "n", (F.col("n") == F.col("most")).alias("best"))
+
+
+def with_counts(aligned: DataFrame, counts: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """``aligned`` with n_best (its links, repeats counted, that are ``best``) and
+    count_sum (``n`` of all of them) in place of links and times; other columns stay.
+
+    Every task holds the ``frequent`` most frequent links, a bounded table. The other
+    links are held by few rows each, so a join has no large key for them. ``aligned``
+    is read more than once and should be a written table."""
+    spark = aligned.sparkSession
+    ensure_checkpoint_dir(spark)
+    level = F.floor(F.log2("n") * 8).cast("int")
+    known, least = 0, 1 << 20
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        known += row["count"]
+        if known > frequent:
+            break
+        least = row["level"]
+    else:
+        least = -1
+    top = counts.where(level >= least).orderBy("link").toArrow()
+    shared = spark.sparkContext.broadcast(tuple(top.column(c).to_numpy() for c in ("link", "n", "best")))
+    kept = aligned.drop("n_best", "count_sum")
+    rest = [f for f in kept.schema.fields if f.name not in ("links", "times")]
+    schema = StructType([*rest, *StructType.fromDDL("n_best long, count_sum long, rare array<struct<link:long,times:int>>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n, best = shared.value
+        for batch in batches:
+            lists = batch.column("links")
+            link, times = lists.flatten().to_numpy(), batch.column("times").flatten().to_numpy().astype(np.int64)
+            ends = np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]
+            at = np.minimum(np.searchsorted(known, link), max(len(known) - 1, 0))
+            found = known[at] == link if len(known) else np.zeros(len(link), bool)
+            sums = [np.r_[0, np.cumsum(np.where(found, x[at] * times if len(known) else 0, 0))] for x in (best, n)]
+            sums = [pa.array(s[ends[1:]] - s[ends[:-1]], pa.int64()) for s in sums]
+            missing = np.flatnonzero(~found)
+            rare = pa.StructArray.from_arrays([pa.array(link[missing], pa.int64()), pa.array(times[missing], pa.int32())], ["link", "times"])
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(missing, ends), pa.int32()), rare)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), *sums, rare], schema.names)
+
+    scored = in_arrow(kept, run, schema)
+    if least < 0:
+        return scored.drop("rare")
+    rows = scored.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    links = rows.select("_row", F.inline("rare")).join(counts.where(level < least), "link")
+    more = links.groupBy("_row").agg(F.sum(F.col("n") * F.col("times")).alias("_n"), F.sum(F.col("best").cast("long") * F.col("times")).alias("_best"))
     done = rows.join(more, "_row", "left")
     done = done.withColumn("n_best", F.col("n_best") + F.coalesce("_best", F.lit(0))).withColumn("count_sum", F.col("count_sum") + F.coalesce("_n", F.lit(0)))
     return done.drop("_row", "_n", "_best", "rare")

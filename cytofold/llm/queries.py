@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytofold.llm import alignment, decontam, html_text, langid, mixing, pieces, quality, secret_scan, simhash, spelling, suffix_dedup, topk, toxicity
+from cytofold.llm.text import written
 
 
 #: Model file of the encoder; any SentencePiece BPE model can take its place.
@@ -70,9 +71,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     pair = alignment.TokenizerPair.load(BYTE_MODEL, PIECE_MODEL)
-    counts = alignment.link_counts(docs, pair)
     digest = F.coalesce(F.sha2(F.col("groups").cast("binary"), 256), F.lit(""))
-    return alignment.with_rare_links(alignment.align(docs, pair, counts).withColumn("groups_sha256", digest).drop("groups"), counts)
+    aligned = written(alignment.align(docs, pair).withColumn("groups_sha256", digest).drop("groups"))
+    return alignment.with_counts(aligned, alignment.link_counts(aligned))
 
 
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

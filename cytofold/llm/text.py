@@ -3,6 +3,7 @@ hashing and the bounded deterministic row sample used to fit models."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cytofold.operators.graph import ensure_checkpoint_dir
 from cytofold.shipping import on_executors
 
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -44,6 +46,15 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the checkpoint folder, which all executors share: a table
+    of wide rows that is read more than once is computed once, and lost executors do not lose it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4()}.parquet"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of a column; null becomes the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cytofold.llm import alignment, mixing, queries, spelling
+from cytofold.llm.text import written
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, n long, link string, root string"
@@ -33,7 +34,11 @@ def pair():
 
 def aligned_plainly(pair, texts):
     """Rows (n_a, n_b, n_groups, n_links, n_best, count_sum, sha256) with whole texts encoded by both libraries."""
-    a, a_bytes, b, b_bytes = pair.encoders()
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_str(pair.a_json)
+    a.encode_special_tokens = True
+    _, a_bytes, b, b_bytes = pair.encoders()
     found, holds = [], Counter()
     for text in texts:
         x, y = (a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)) if text else ([], [])
@@ -73,10 +78,9 @@ MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_
 
 
 def align_rows(docs, pair, frequent):
-    counts = alignment.link_counts(docs, pair, frequent)
-    assert len(counts.frequent[0]) <= frequent
     digest = F.coalesce(F.sha2(F.col("groups").cast("binary"), 256), F.lit(""))
-    done = alignment.with_rare_links(alignment.align(docs, pair, counts).withColumn("groups_sha256", digest).drop("groups"), counts)
+    aligned = written(alignment.align(docs, pair).withColumn("groups_sha256", digest).drop("groups"))
+    done = alignment.with_counts(aligned, alignment.link_counts(aligned), frequent)
     return sorted((r["doc_id"] is None, r["doc_id"] or 0, *(r[c] for c in MEASURES)) for r in done.collect())
 
 
@@ -95,18 +99,20 @@ def test_alignment_of_long_texts_in_parts(spark, pair, monkeypatch):
     texts = [t or "" for t in TRICKY] + [" ".join(["long", "text", "café", "2024,"] * 40), "good words " * 20 + "▁ bad " + "more words " * 20]
     whole = aligned_plainly(pair, texts)
     monkeypatch.setattr(alignment, "SLICE", 50)
-    links, groups, fine = defaultdict(set), defaultdict(list), defaultdict(lambda: True)
+    links, groups, fine = defaultdict(list), defaultdict(list), defaultdict(lambda: True)
     for part, _ in alignment._slices(texts):
         units, places, starts = alignment._taken(pair, part)
-        row, link, ok = alignment._linked(units, places, starts)
+        row, link, times = alignment._linked(units, places, starts)
         for k, (r, _) in enumerate(part):
-            fine[r] &= bool(ok[k])
-            links[r] |= set(link[row == k].tolist())
             stop = starts[k + 1] if k + 1 < len(starts) else len(places)
+            fine[r] &= bool(units.ok[places[starts[k] : stop]].all())
+            links[r].append((link[row == k], times[row == k]))
             groups[r] += [units.groups[u] for u in places[starts[k] : stop]]
     for r, expected in enumerate(whole):
-        sha = hashlib.sha256("".join(groups[r])[:-1].encode()).hexdigest() if groups[r] and fine[r] else ""
-        assert sha == expected[-1], texts[r]
+        good = groups[r] and fine[r]
+        assert (hashlib.sha256("".join(groups[r])[:-1].encode()).hexdigest() if good else "") == expected[-1], texts[r]
+        link, times = alignment._added(links[r] if good else [])
+        assert times.sum() == expected[3] and len(set(link.tolist())) == len(link)
 
 
 def test_alignment_of_nothing(spark, pair):
