@@ -84,22 +84,24 @@ def _mirrored(first: int, last: int, size: int) -> np.ndarray:
     return np.where(at < size, at, 2 * size - 1 - at)
 
 
-def over_windows(blocks: DataFrame, key: str, radius: int, kernel: Callable[[np.ndarray, Place], pd.DataFrame | None], schema: str, size: int = SIZE, fill: float = 0.0, mirror: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def over_windows(blocks: DataFrame, key: str, radius: int, kernel: Callable[[np.ndarray, Place], pd.DataFrame | None], schema: str, size: int = SIZE, fill: float = 0.0, mirror: bool = True, carry: tuple[str, ...] = (), shared: tuple[str, ...] = ()) -> DataFrame:
     """Rows (key, by, bx, height, width and ``schema``) that ``kernel`` makes of every
     block's window, ``radius`` (``size`` at most) pixels larger on every side. Beyond the image the window is mirrored or,
     without ``mirror``, NaN. A block without a row has a window if a neighbour has
-    one. Columns named in ``carry`` come to the kernel in the block's place."""
+    one. Columns named in ``carry`` come to the kernel in the block's place, and those in
+    ``shared``, which all blocks of an image have alike, even where the block has no row."""
     if radius > size:
         raise ValueError("the radius is larger than a block")
     on_executors(blocks.sparkSession)
     grid = [key, "by", "bx", "height", "width"]
-    rows = blocks.select(*grid, "data", *carry)
+    carried_names = [*carry, *shared]
+    rows = blocks.select(*grid, "data", *carried_names)
 
     def send(parts):
         for part in parts:
             out = []
             for row in part.itertuples(index=False):
-                named = row._asdict() if not carry else dict(zip(part.columns, row, strict=True))
+                named = dict(zip(part.columns, row, strict=True))
                 by, bx, height, width = (int(x) for x in row[1:5])
                 h, w = min(size, height - by * size), min(size, width - bx * size)
                 data = np.frombuffer(row[5]).reshape(h, w)
@@ -110,11 +112,11 @@ def over_windows(blocks: DataFrame, key: str, radius: int, kernel: Callable[[np.
                     ys = {-1: (0, min(radius, h)), 0: (0, h), 1: (max(0, h - radius), h)}[dy]
                     xs = {-1: (0, min(radius, w)), 0: (0, w), 1: (max(0, w - radius), w)}[dx]
                     strip = data[ys[0] : ys[1], xs[0] : xs[1]]
-                    own = [named[c] for c in carry] if not (dy or dx) else [None] * len(carry)
+                    own = [named[c] if not (dy or dx) or c in shared else None for c in carried_names]
                     out.append((row[0], ty, tx, height, width, by * size + ys[0], bx * size + xs[0], strip.shape[0], strip.tobytes(), not (dy or dx), *own))
-            yield pd.DataFrame(out, columns=[*grid, "_y", "_x", "_h", "_data", "_own", *carry])
+            yield pd.DataFrame(out, columns=[*grid, "_y", "_x", "_h", "_data", "_own", *carried_names])
 
-    sent = rows.mapInPandas(send, StructType([*_fields(rows, grid, "_y int, _x int, _h int, _data binary, _own boolean").fields, *rows.select(*carry).schema.fields]))
+    sent = rows.mapInPandas(send, StructType([*_fields(rows, grid, "_y int, _x int, _h int, _data binary, _own boolean").fields, *rows.select(*carried_names).schema.fields]))
 
     def apply(part: pd.DataFrame) -> pd.DataFrame:
         one = part.iloc[:1][grid]
@@ -133,7 +135,7 @@ def over_windows(blocks: DataFrame, key: str, radius: int, kernel: Callable[[np.
             window = np.full((h + 2 * radius, w + 2 * radius), np.nan)
             window[top - y0 + radius :, left - x0 + radius :][: seen.shape[0], : seen.shape[1]] = seen
         own = part[part["_own"]]
-        carried = {c: (own[c].iloc[0] if len(own) else None) for c in carry}
+        carried = {c: (own[c].iloc[0] if len(own) else None) for c in carry} | {c: part[c].iloc[0] for c in shared}
         made = kernel(window, Place(y0, x0, h, w, height, width, carried))
         if made is None:
             return pd.DataFrame(columns=[*grid, *names])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from cytofold.operators.graph import connected_components, ensure_checkpoint_dir, local_components
+from cytofold.operators.stencils import ridges, smoothed  # noqa: F401
 from cytofold.shipping import on_executors
 
 
@@ -202,50 +203,6 @@ def thinned(mask: DataFrame, key: str) -> DataFrame:
     return now
 
 
-def smoothed(px: DataFrame, key: str, sigma: float, order: tuple[int, int] = (0, 0)) -> DataFrame:
-    """(key, y, x, value, height, width): Gaussian smoothing or derivative (0 to 2 along
-    y and x), mirrored at the image's edges. Pixels that ``px`` lacks are 0. Each
-    pixel sends its weighted value along one axis and then the other; the sums are
-    combined before the shuffle. The kernel ends at 4 sigma, which must lie within the image."""
-    r = int(4 * sigma + 0.5)
-    t = np.arange(-r, r + 1, dtype=float)
-    g = np.exp(-t * t / (2 * sigma * sigma))
-    g /= g.sum()
-    kernels = (g, -t / sigma**2 * g, (t * t / sigma**4 - 1 / sigma**2) * g)
-    out = px.select(key, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "value", "height", "width")
-    for axis, size, n in (("y", "height", order[0]), ("x", "width", order[1])):
-        taps = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(float(w)).alias("w")) for d, w in zip(range(-r, r + 1), kernels[n], strict=True)))
-        mirrored = F.array(F.col(axis), -1 - F.col(axis), 2 * F.col(size) - 1 - F.col(axis))
-        sent = out.withColumn("_from", F.explode(mirrored)).where((F.col("_from") >= -r) & (F.col("_from") < F.col(size) + r)).withColumn("_t", F.explode(taps))
-        sent = sent.withColumns({axis: F.col("_from") + F.col("_t.d"), "value": F.col("value") * F.col("_t.w")}).where((F.col(axis) >= 0) & (F.col(axis) < F.col(size)))
-        out = sent.groupBy(key, "y", "x", "height", "width").agg(F.sum("value").alias("value"))
-    return out.select(key, "y", "x", "value", "height", "width")
-
-
-def ridges(px: DataFrame, key: str, sigmas: tuple[float, ...] = (1.0, 2.0), beta: float = 0.5, gamma: float | None = None, bright: bool = True) -> DataFrame:
-    """(key, y, x, value): the largest ridge response over the scales, from the eigenvalues
-    of the scaled Hessian. ``gamma`` is half the largest Hessian norm of the image if not given."""
-    scales = []
-    for s in sigmas:
-        parts = [smoothed(px, key, s, o).select(key, "y", "x", (F.col("value") * (s * s)).alias(name)) for name, o in (("_yy", (2, 0)), ("_xx", (0, 2)), ("_xy", (1, 1)))]
-        h = parts[0].join(parts[1], [key, "y", "x"]).join(parts[2], [key, "y", "x"])
-        mean, root = (F.col("_yy") + F.col("_xx")) / 2, F.hypot((F.col("_yy") - F.col("_xx")) / 2, F.col("_xy"))
-        a, b = mean - root, mean + root
-        first = F.abs(a) < F.abs(b)
-        h = h.select(key, "y", "x", F.when(first, a).otherwise(b).alias("_small"), F.when(first, b).otherwise(a).alias("_large"))
-        h = h.withColumn("_norm", F.sqrt(F.pow("_small", F.lit(2.0)) + F.pow("_large", F.lit(2.0))))
-        top = h.groupBy(key).agg((F.max("_norm") / 2).alias("_half")) if gamma is None else h.select(key).distinct().withColumn("_half", F.lit(float(gamma)))
-        half = F.when(F.col("_half") == 0, 1.0).otherwise(F.col("_half"))
-        ratio = F.col("_small") / F.nullif(F.col("_large"), F.lit(0.0))
-        v = F.exp(-F.pow(ratio, F.lit(2.0)) / (2 * beta**2)) * (1 - F.exp(-F.pow("_norm", F.lit(2.0)) / (2 * F.pow(half, F.lit(2.0)))))
-        off = F.col("_large") >= 0 if bright else F.col("_large") <= 0
-        scales.append(h.join(top, key).select(key, "y", "x", F.when(off, 0.0).otherwise(F.coalesce(v, F.lit(0.0))).alias("value")))
-    every = scales[0]
-    for part in scales[1:]:
-        every = every.unionByName(part)
-    return every.groupBy(key, "y", "x").agg(F.max("value").alias("value"))
-
-
 def equalised(px: DataFrame, key: str, block: int = 64, clip: float = 0.01, bins: int = 256) -> DataFrame:
     """(key, y, x, value): contrast-limited adaptive equalisation of whole images. Each
     block's histogram is clipped, what is cut off spread over all bins, and summed
@@ -328,8 +285,55 @@ def multi_otsu(hist: DataFrame, key: str) -> DataFrame:
     return whole.select(key).join(pairs.groupBy(key).agg(best.alias("_t")), key, "left").select(key, F.col("_t.c1").alias("low"), F.col("_t.c2").alias("high"))
 
 
+def li(hist: DataFrame, key: str, rounds: int = 60) -> DataFrame:
+    """(key, li): the threshold of least cross entropy between the values and the means
+    of their two classes, a fixed point over the histogram's bin centres above its
+    least value: the logarithmic mean of both class means, from the mean of all on.
+
+    Counts and sums up to each bin are arrays of the histogram's bins, and the rounds
+    one expression over them. Null if all values are equal."""
+    off = (F.col("bin") + 0.5) * F.col("width")
+    up = Window.partitionBy(key).orderBy("bin")
+    upto = hist.withColumn("_s", F.sum(F.col("n") * off).over(up)).withColumn("_n", F.sum("n").over(up))
+    # the last occupied bin at or before each place holds its sums
+    place = upto.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bin", "_n", "_s"))).alias("h"), F.max("_n").alias("N"), F.max("_s").alias("S"), F.first("lo").alias("lo"), F.max("width").alias("width"), F.max("bin").alias("last"))
+    fill = F.aggregate(
+        F.sequence(F.lit(0), F.col("last")),
+        F.struct(F.lit(0).alias("k"), F.array().cast("array<struct<n:double,s:double>>").alias("a")),
+        lambda acc, b: F.struct(
+            F.when((acc["k"] < F.size("h")) & (F.get("h", acc["k"])["bin"] == b), acc["k"] + 1).otherwise(acc["k"]).alias("k"),
+            F.concat(
+                acc["a"],
+                F.array(F.when((acc["k"] < F.size("h")) & (F.get("h", acc["k"])["bin"] == b), F.struct(F.get("h", acc["k"])["_n"].cast("double").alias("n"), F.get("h", acc["k"])["_s"].cast("double").alias("s"))).otherwise(F.get(acc["a"], b - 1))),
+            ).alias("a"),
+        ),
+    )["a"]
+    dense = place.where("width > 0").select(key, "lo", "width", "N", "S", "last", fill.alias("a"))
+
+    def turn(t, _):
+        low = F.get("a", F.greatest(F.lit(0), F.least(F.col("last") - 1, F.floor(t / F.col("width") - 0.5).cast("int"))))
+        back, front = low["s"] / low["n"], (F.col("S") - low["s"]) / (F.col("N") - low["n"])
+        return (back - front) / (F.ln(back) - F.ln(front))
+
+    t = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("S") / F.col("N"), turn)
+    return hist.select(key).distinct().join(dense.select(key, (F.col("lo") + t).alias("li")), key, "left")
+
+
+def log_threshold(values: DataFrame, key: str, factor: float = 1.0, bins: int = 256) -> DataFrame:
+    """(key, threshold): ``factor`` times the smaller of Otsu's and the triangle threshold
+    of the decimal logarithms of the positive values. A key without positive values has no row."""
+    logs = values.where("value > 0").select(key, F.log10("value").alias("value"))
+    both = intensity_threshold(logs, key, "otsu", bins).withColumnRenamed("threshold", "_o").join(intensity_threshold(logs, key, "triangle", bins).withColumnRenamed("threshold", "_t"), key)
+    return both.select(key, (factor * F.pow(F.lit(10.0), F.least("_o", "_t"))).alias("threshold"))
+
+
+def log_mask(px: DataFrame, key: str, factor: float = 1.0, bins: int = 256) -> DataFrame:
+    """Pixels (key, y, x, value) above their key's ``log_threshold``."""
+    return px.join(log_threshold(px, key, factor, bins), key).where("value > threshold").select(px.columns)
+
+
 def intensity_threshold(values: DataFrame, key: str, method: str = "otsu", bins: int = 256) -> DataFrame:
-    """(key, threshold) by "otsu", "triangle", "ave" (their mean), "multiotsu" (the
+    """(key, threshold) by "otsu", "triangle", "li", "ave" (mean of Otsu's and the triangle's), "multiotsu" (the
     lower of two; Otsu's where there are not three values) or "median" (of the positive values)."""
     if method == "median":
         return values.groupBy(key).agg(F.coalesce(F.percentile(F.when(F.col("value") > 0, F.col("value")), F.lit(0.5)), F.max("value").cast("double")).alias("threshold"))
@@ -337,6 +341,7 @@ def intensity_threshold(values: DataFrame, key: str, method: str = "otsu", bins:
     flat = hist.groupBy(key).agg(F.first("lo").alias("lo"), F.max("width").alias("width"))
     made = {"otsu": lambda: otsu(hist, key).select(key, F.col("otsu").alias("_t")), "triangle": lambda: triangle(hist, key).select(key, F.col("triangle").alias("_t"))}
     made["ave"] = lambda: made["otsu"]().withColumnRenamed("_t", "_o").join(made["triangle"](), key).select(key, ((F.col("_o") + F.col("_t")) / 2).alias("_t"))
+    made["li"] = lambda: li(hist, key).withColumnRenamed("li", "_t")
     made["multiotsu"] = lambda: multi_otsu(hist, key).join(made["otsu"](), key, "left").select(key, F.coalesce("low", "_t").alias("_t"))
     if method not in made:
         raise ValueError(f"unknown threshold method {method!r}")

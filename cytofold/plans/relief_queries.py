@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cytofold.operators import network as W
+from cytofold.operators import raster as T
 from cytofold.operators import relief as R
 from cytofold.operators import skeleton as K
+from cytofold.operators import stencils as S
 from cytofold.plans.registry import Registry, rounded
 from cytofold.plans.stand_in import PIXELS_SQL, pixels, table
 
@@ -125,4 +127,57 @@ def fn05_skeleton_networks(spark, sf_dir):
     return rounded(W.network_summary(b).join(mean, list(W.NET)))
 
 
+# --- blobs and thresholds ---
+
+#: Scales of the disks.
+SIGMAS = (1.0, 1.5, 2.0)
+
+
+def _spots(spark, sf_dir):
+    """A pixel for each customer, as bright as its key tells, on the same images."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("image"), F.pmod(F.round(F.abs("c_acctbal") * 100).cast("long"), F.lit(200)).cast("int").alias("y"), F.pmod(F.col("c_custkey") * 7919, F.lit(199)).alias("x0"))
+    width = c.agg((F.floor(F.max("c_custkey") / 2500) * 200 + 200).cast("int").alias("width"))
+    px = c.select("image", "y", (F.col("x0") + F.floor(F.col("c_custkey") / 2500) * 200).cast("int").alias("x"), (F.col("c_custkey") % 5 + 1).cast("double").alias("value"))
+    return px.groupBy("image", "y", "x").agg(F.sum("value").alias("value")).crossJoin(F.broadcast(width)).withColumn("height", F.lit(200))
+
+
+@query()
+def i12_blob_disks(spark, sf_dir):
+    """SQL has no convolution of this size; a test paints the disks of whole images one after the other."""
+    return S.blob_disks(_spots(spark, sf_dir), "image", SIGMAS, 0.1, 0.5, size=64)
+
+
+_VALUES_SQL = "vals AS (SELECT s_nationkey AS k, floor(abs(s_acctbal))::DOUBLE AS value FROM supplier UNION ALL SELECT c_nationkey, floor(abs(c_acctbal) / 7)::DOUBLE FROM customer)"
+_HIST_SQL = """w AS (SELECT k, min(value) AS lo, (max(value) - min(value)) / 64 AS width FROM {0} GROUP BY k),
+    g AS (SELECT k, least(floor((value - lo) / width), 63)::INTEGER AS bin FROM {0} JOIN w USING (k)), h AS (SELECT k, bin, count(*) AS n FROM g GROUP BY ALL)"""
+
+
+def _values(spark, sf_dir):
+    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    return s.select(F.col("s_nationkey").alias("k"), F.floor(F.abs("s_acctbal")).cast("double").alias("value")).unionByName(c.select(F.col("c_nationkey").alias("k"), F.floor(F.abs("c_acctbal") / 7).cast("double").alias("value")))
+
+
+@query(
+    f"""WITH RECURSIVE {_VALUES_SQL}, {_HIST_SQL.format("vals")}, c AS (SELECT k, n, (bin + 0.5) * width AS c FROM h JOIN w USING (k)),
+    t AS (SELECT 0 AS i, k, sum(n * c) / sum(n) AS t FROM c GROUP BY k
+      UNION ALL SELECT i + 1, k, (a - b) / (ln(a) - ln(b)) FROM (SELECT i, k, sum(n * c) FILTER (c <= t) / sum(n) FILTER (c <= t) AS a, sum(n * c) FILTER (c > t) / sum(n) FILTER (c > t) AS b FROM t JOIN c USING (k) WHERE i < 60 GROUP BY i, k) z)
+    SELECT k, round(lo + t, 5) AS threshold FROM t JOIN w USING (k) WHERE i = 60"""
+)
+def i09_li_threshold(spark, sf_dir):
+    return rounded(T.intensity_threshold(_values(spark, sf_dir), "k", "li", 64), 5)
+
+
+@query(
+    f"""WITH {_VALUES_SQL}, logs AS (SELECT k, log10(value) AS value FROM vals WHERE value > 0), {_HIST_SQL.format("logs")}, c AS (SELECT k, bin, n, lo + (bin + 0.5) * width AS c FROM h JOIN w USING (k)),
+    o AS (SELECT a.k, a.bin, any_value(a.c) AS c, sum(b.n) FILTER (b.bin <= a.bin) AS n1, sum(b.n * b.c) FILTER (b.bin <= a.bin) AS s1, sum(b.n) FILTER (b.bin > a.bin) AS n2, sum(b.n * b.c) FILTER (b.bin > a.bin) AS s2 FROM c a JOIN c b USING (k) GROUP BY a.k, a.bin),
+    otsu AS (SELECT k, arg_max(c, (round(n1 * n2 * pow(s1 / n1 - s2 / n2, 2), 6), -bin)) AS otsu FROM o WHERE n2 > 0 GROUP BY k),
+    p AS (SELECT k, arg_max(bin, (n, -bin)) AS p, max(n) AS np, min(bin) AS a, max(bin) AS z, arg_min(n, bin) AS na, arg_max(n, bin) AS nz FROM h GROUP BY k), e AS (SELECT *, CASE WHEN p - a > z - p THEN a ELSE z END AS e, CASE WHEN p - a > z - p THEN na ELSE nz END AS ne FROM p),
+    tail AS (SELECT e.*, unnest(range(least(p, e), greatest(p, e) + 1)) AS bin FROM e), d AS (SELECT tail.k, tail.bin, CASE WHEN e = p THEN np ELSE np + (ne - np) * (tail.bin - p) / (e - p)::DOUBLE END - coalesce(n, 0) AS d FROM tail LEFT JOIN h ON h.k = tail.k AND h.bin = tail.bin),
+    tri AS (SELECT k, arg_max(bin, (round(d, 9), -bin)) AS bin FROM d GROUP BY k)
+    SELECT k, round(pow(10, least(otsu, lo + (bin + 0.5) * width)), 5) AS threshold FROM otsu JOIN tri USING (k) JOIN w USING (k)"""
+)
+def i06_log_threshold(spark, sf_dir):
+    return rounded(T.log_threshold(_values(spark, sf_dir), "k", 1.0, 64), 5)
+
+
 QUERIES, ORACLES = query.queries, query.oracles
