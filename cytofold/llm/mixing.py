@@ -21,7 +21,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 #: Copies of one row that are packed together; more are dealt to several orders.
 COPIES = 1_000
 #: Documents (or dealt copies) whose places are numbered in one window.
-BUCKET = 20_000
+BUCKET = 2_000
 #: Rounds of the permutation.
 ROUNDS = 12
 #: Resolution of the draws.
