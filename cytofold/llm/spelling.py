@@ -89,22 +89,22 @@ def near_words(words: DataFrame) -> DataFrame:
     where they part. What the heavy character makes of the light word and what
     skipping makes of it are looked up among the words; light words that differ in
     the replaced character meet in a group, one for each character at most."""
-    heavy = F.chr("heavy")
-    light = light_places(words).join(words, "id").withColumn("head", F.substr("word", F.lit(1), F.col("d"))).withColumn("tail", F.substr("word", F.col("d") + 2))
-    light = light.select("word", "n", "d", "ch", "head", "tail", F.substr("word", F.col("d") + 1).alias("rest"), heavy.alias("heavy")).checkpoint()
-    goes_on = F.col("ch") >= 0
+    light = light_places(words).join(words, "id").select("id", "word", "n", "d", "ch", "heavy").checkpoint()
+    head, tail, rest = F.substr("word", F.lit(1), F.col("d")), F.substr("word", F.col("d") + 2), F.substr("word", F.col("d") + 1)
+    goes_on, heavy = F.col("ch") >= 0, F.chr("heavy")
     # a skipped character that comes twice is skipped where it comes last
-    once = F.substr("tail", F.lit(1), F.lit(1)) != F.substr("rest", F.lit(1), F.lit(1))
+    once = F.substr("word", F.col("d") + 2, F.lit(1)) != F.substr("word", F.col("d") + 1, F.lit(1))
     tried = F.array_compact(
         F.array(
-            F.concat("head", "heavy", "rest"),
-            F.when(goes_on, F.concat("head", "heavy", "tail")),
-            F.when(goes_on & once, F.concat("head", "tail")),
+            F.concat(head, heavy, rest),
+            F.when(goes_on, F.concat(head, heavy, tail)),
+            F.when(goes_on & once, F.concat(head, tail)),
         )
     )
-    pairs = light.select("word", "n", F.explode(tried).alias("other")).join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
+    pairs = light.select("id", F.explode(tried).alias("other")).join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
+    pairs = pairs.join(words, "id").select("word", "n", "other", "other_n")
     one = lambda word, n, other: pairs.select(F.col(word).alias("word"), F.lit(1).alias("k"), F.struct((-F.col(n)).alias("minus_n"), F.col(other).alias("word")).alias("best"))
-    group = light.where(goes_on).groupBy("d", "head", "tail").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus_n"), "word"))).alias("m")).where(F.size("m") > 1)
+    group = light.where(goes_on).groupBy("d", F.concat(head, tail).alias("left")).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus_n"), "word"))).alias("m")).where(F.size("m") > 1)
     met = group.select(F.posexplode("m").alias("at", "own"), "m").select("own.word", (F.size("m") - 1).alias("k"), F.when(F.col("at") == 0, F.get("m", F.lit(1))).otherwise(F.get("m", F.lit(0))).alias("best"))
     found = one("word", "other_n", "other").unionByName(one("other", "n", "word")).unionByName(met)
     return found.groupBy("word").agg(F.sum("k").cast("long").alias("n_near"), F.min("best").alias("best"))
