@@ -240,12 +240,25 @@ def label_name(organelle: Column, method: Column | None = None, length: int | No
     return F.concat_ws("_", low, *([] if method is None else [F.lower(method)]), F.lit("seg"))
 
 
-def marker_of(label: Column, dyes: tuple[str, ...] = ("SPY", "Dye", "Live")) -> Column:
-    """The marker in a free-text label: what follows the last comma, without a
-    parenthesis and without trailing words that name a dye."""
-    last = F.trim(F.element_at(F.split(label, ","), -1))
-    bare = F.trim(F.regexp_replace(last, r"\([^)]*\)", ""))
-    return F.trim(F.regexp_replace(bare, r"(?:[ _]+(?:" + "|".join(dyes) + r")\S*)+$", ""))
+#: Labels that name no marker, and endings of labels that name a dye or light.
+NO_MARKER = ("", "phase", "no label", "empty", "empty, no label")
+MARKER_ENDINGS = (" live cell dye", " live-cell dye", " live cell", " excitation")
+
+
+def marker_of(label: Column) -> Column:
+    """The marker in a free-text label: what follows the last comma, or what stands
+    before it if that says "no label"; without an ending that names a dye or light,
+    white space as underscores, up to the first character that is no letter, digit,
+    underscore or hyphen. Null if the label names none."""
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    text = bare(label)
+    tail, head = bare(F.regexp_extract(text, r"(?s)([^,]*)$", 1)), bare(F.regexp_replace(text, r"(?s),[^,]*$", ""))
+    name = F.when(F.lower(tail).isin("no label", ""), head).otherwise(tail)
+    name = F.regexp_replace(name, "(?i)^bleedthough$", "bleedthrough")
+    for end in MARKER_ENDINGS:
+        name = F.regexp_replace(name, rf"(?i)\s*{end}$", "")
+    word = F.regexp_extract(F.regexp_replace(name, r"\s+", "_"), r"^[A-Za-z0-9_\-]+", 0)
+    return F.when(~F.lower(text).isin(*NO_MARKER), F.nullif(F.btrim(word, F.lit("_-")), F.lit("")))
 
 
 def best_source(files: DataFrame, token: str, folder: str, priority: tuple[str, ...], aliases: dict[str, str] | None = None) -> DataFrame:

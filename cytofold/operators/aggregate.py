@@ -34,25 +34,35 @@ def _placed(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.withColumns({"_at": F.row_number().over(group.orderBy(F.asc_nulls_last(value))), "_of": F.count(value).over(group)})
 
 
-def narrowed_quantile(rows: DataFrame, keys: list[str], value: str = "value", q: float = 0.5, bins: int = 4_096) -> DataFrame:
-    """keys, quantile (interpolated) of groups of any size, a thousand of them at most:
-    a histogram of each group shows which bins hold the two values around it, and
-    only their values are counted and put in order. No task gets a group as a whole."""
-    known = rows.where(F.col(value).isNotNull())
-    span = known.groupBy(*keys).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"), F.count("*").alias("_n"))
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    at = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
-    binned = known.select(*keys, value).join(F.broadcast(span), keys).withColumn("_bin", at)
-    up = Window.partitionBy(*keys).orderBy("_bin")
-    hist = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"), F.first("_n").alias("_n")).withColumn("_upto", F.sum("_c").over(up))
-    place = (F.col("_n") - 1) * q
-    ranks = F.array(F.floor(place) + 1, F.ceil(place) + 1)
-    held = hist.withColumn("_rank", F.explode(ranks)).where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_c")))
-    held = held.select(*keys, "_bin", (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_rank"))
-    near = binned.join(F.broadcast(held.select(*keys, "_bin").distinct()), [*keys, "_bin"]).groupBy(*keys, "_bin", value).agg(F.count("*").alias("_c"))
-    near = near.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy(value)))
-    found = near.join(F.broadcast(held), [*keys, "_bin"]).where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_c")))
-    ends = found.groupBy(*keys).agg(F.min(value).alias("_a"), F.max(value).alias("_b")).join(F.broadcast(span.select(*keys, "_n")), keys)
+def narrowed_quantile(rows: DataFrame, keys: list[str], value: str = "value", q: float = 0.5, bins: int = 4_096, max_rounds: int = 64) -> DataFrame:
+    """keys, quantile (interpolated) of groups of any size, a thousand of them at most.
+
+    The two values around the quantile are ranks. A histogram of each group, combined
+    before the shuffle, shows the bin that holds a rank; the next round looks only
+    between that bin's least and largest value, until these are one value. No task
+    puts values in order, however they are spread; a round reads the rows once."""
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    known = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    place = (F.col("_all") - 1) * q
+    ranks = F.array(F.struct(F.lit(0).alias("_which"), (F.floor(place) + 1).alias("_rank")), F.struct(F.lit(1).alias("_which"), (F.ceil(place) + 1).alias("_rank")))
+    state = known.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_all"))
+    state = state.select("*", F.inline(ranks)).checkpoint()
+    names = state.columns
+    for _ in range(max_rounds):
+        open_ = state.where("_lo < _hi")
+        if open_.isEmpty():
+            break
+        width = (F.col("_hi") - F.col("_lo")) / bins
+        at = F.when(F.col("_v") == F.col("_hi"), bins - 1).when((width > 0) & (F.col("_lo") + width > F.col("_lo")), F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
+        near = known.join(F.broadcast(open_), keys).where("_v between _lo and _hi")
+        hist = near.groupBy(*keys, "_which", "_all", "_rank", at.alias("_bin")).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.sum("_c").over(Window.partitionBy(*keys, "_which").orderBy("_bin"))
+        held = hist.withColumn("_before", upto - F.col("_c")).where("_rank > _before and _rank <= _before + _c").withColumn("_rank", F.col("_rank") - F.col("_before"))
+        state = state.where("_lo = _hi").unionByName(held.select(*names)).checkpoint()
+    else:
+        raise RuntimeError(f"a quantile was not found in {max_rounds} rounds")
+    ends = state.groupBy(*keys).agg(F.min("_lo").alias("_a"), F.max("_lo").alias("_b"), F.first("_all").alias("_all"))
     return ends.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * (place - F.floor(place))).alias("quantile"))
 
 
@@ -71,13 +81,11 @@ def summarise(long: DataFrame, keys: list[str], stats: tuple[str, ...] = SIX, va
     else:
         out, hot = None, None
         if hot_rows is not None:
-            # read for the count and again: kept, so that what leads to it runs once
-            ensure_checkpoint_dir(rows.sparkSession)
-            rows = rows.select(*keys, value).checkpoint()
+            # only the keys are read for the count
             sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size"))
-            total = rows.count()
-            hot = sizes.where(F.col("_size") > max(hot_rows, total // 1_000)).select(*keys) if total > hot_rows else None
-            hot = None if hot is None or hot.isEmpty() else F.broadcast(hot)
+            total, most = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.coalesce(F.max("_size"), F.lit(0))).first()
+            least = max(hot_rows, total // 1_000)
+            hot = F.broadcast(sizes.where(F.col("_size") > least).select(*keys)) if most > least else None
         cold = rows if hot is None else rows.join(hot, keys, "left_anti")
         out = _placed(cold, keys, value).groupBy(*keys).agg(*made)
         if hot is not None:

@@ -64,8 +64,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Alternating large-star and small-star rounds; each round shrinks paths, so
     their number grows with the logarithm of the longest one. The minimum of a
-    node's neighbours is a grouped aggregate with map-side combine, and the join
-    back to the edges may be split where a hub has very many of them. Rows with
+    node's neighbours is a grouped aggregate with map-side combine, and both joins
+    back to the edges are split where a hub has very many of them. Rows with
     a null end are left out; a self-loop yields its node; an empty table yields
     an empty one. Each round is checkpointed, so lost executors repeat little.
     """
@@ -80,9 +80,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         tied = both.join(low, "u") if seen[0] < HUBS_FROM else join_one_row(both, low, "u", "n", 2 * seen[0], "inner")
         large = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: u and its smaller neighbours are tied to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        # small star: u and its smaller neighbours are tied to the smallest of them; a hub may now be the larger end
+        large = large if seen[0] < HUBS_FROM else large.checkpoint()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        tied = large.join(low, "u") if seen[0] < HUBS_FROM else join_one_row(large, low, "u", "n", how="inner")
+        tied = tied.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         now = tied.where("u <> v").distinct().checkpoint()
         last, seen = seen, _signature(now)
         if seen == last:

@@ -13,7 +13,7 @@ from cytofold.operators import network as W
 from cytofold.operators import pixels as P
 from cytofold.operators import raster as T
 from cytofold.operators import tiles as K
-from cytofold.plans.registry import Registry, rounded
+from cytofold.plans.registry import Registry, rounded, settled
 from cytofold.plans.stand_in import CELLS_SQL, OBJECTS_SQL, PIXELS_SQL, cells, objects, pixels, table
 from cytofold.sources import attention as S
 
@@ -218,13 +218,13 @@ def _net(spark, sf_dir):
 @query(
     """WITH b AS (SELECT l_orderkey AS cell_id, l_returnflag AS organelle, l_quantity AS length, CASE WHEN l_quantity = l_linenumber THEN 1 ELSE l_quantity / (l_quantity - l_linenumber) END AS tortuosity FROM lineitem),
     u AS (SELECT cell_id, organelle, 'length' AS metric, length AS value FROM b UNION ALL SELECT cell_id, organelle, 'tortuosity', tortuosity FROM b)
-    SELECT cell_id, organelle, metric, round(avg(value) + 3.7e-8::DOUBLE, 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_samp(value), 6) AS std, round(sum(value), 6) AS sum,
+    SELECT cell_id, organelle, metric, round(avg(value)::DECIMAL(28, 9), 6)::DOUBLE AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_samp(value), 6) AS std, round(sum(value), 6) AS sum,
       round(min(value), 6) AS min, round(max(value), 6) AS max FROM u GROUP BY ALL"""
 )
 def a03_branches_to_cells(spark, sf_dir):
     b = W.tortuosity(_net(spark, sf_dir))
     long = b.select("cell_id", "organelle", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("length", "tortuosity")))))
-    return rounded(A.summarise(long, ["cell_id", "organelle", "metric"], hot_rows=None).withColumn("mean", F.col("mean") + 3.7e-8))
+    return rounded(A.summarise(long, ["cell_id", "organelle", "metric"], hot_rows=None).withColumn("mean", settled("mean")))
 
 
 @query(
@@ -448,13 +448,13 @@ def i18_watershed_large(spark, sf_dir):
 
 @query(
     f"""WITH {OBJECTS_SQL}, {CELLS_SQL}, m AS (SELECT cell_id, metric, avg(value) AS value FROM objects GROUP BY ALL)
-    SELECT channel, metric, round(avg(m.value) + 3.7e-8::DOUBLE, 5) AS mean, round(quantile_cont(m.value, 0.5) + 3.7e-8::DOUBLE, 5) AS median, count(m.value) AS count FROM m JOIN cells USING (cell_id) GROUP BY ALL"""
+    SELECT channel, metric, round(avg(m.value)::DECIMAL(28, 9), 5)::DOUBLE AS mean, round(quantile_cont(m.value, 0.5)::DECIMAL(28, 9), 5)::DOUBLE AS median, count(m.value) AS count FROM m JOIN cells USING (cell_id) GROUP BY ALL"""
 )
 def a05_cells_to_channels(spark, sf_dir):
     means = A.summarise(objects(spark, sf_dir), ["cell_id", "metric"], ("mean",)).withColumnRenamed("mean", "value")
     keyed = means.join(cells(spark, sf_dir).select("cell_id", "channel"), "cell_id")
     out = A.cells_to_groups(keyed, "channel", ["metric"], ("mean", "median", "count"))
-    return rounded(out.withColumns({"mean": F.col("mean") + 3.7e-8, "median": F.col("median") + 3.7e-8}), 5)
+    return rounded(out.withColumns({c: settled(c, 5) for c in ("mean", "median")}), 5)
 
 
 @query(

@@ -6,17 +6,16 @@ from pyspark.sql import functions as F
 
 from cytofold.operators import aggregate as A
 from cytofold.operators import ranking as R
-from cytofold.plans.registry import Registry, rounded
+from cytofold.plans.registry import Registry, rounded, settled
 from cytofold.plans.stand_in import CELLS_SQL, OBJECTS_SQL, cells, objects
 
 query = Registry()
 
 _SIX_SQL = """round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_samp(value), 6) AS std,
   round(sum(value), 6) AS sum, round(min(value), 6) AS min, round(max(value), 6) AS max"""
-#: Means of prices are often exact ties in the last digit shown, which two engines that add in different orders
-#: cannot round alike; both sides are moved off the tie by less than half a digit before they are rounded.
-_OFF_TIE = 3.7e-8
-_SIX_OFF_TIE_SQL = _SIX_SQL.replace("round(avg(value),", f"round(avg(value) + {_OFF_TIE}::DOUBLE,")
+#: Means of prices are often exact ties in the last digit shown. As decimals of nine digits, which take away what the order of
+#: adding leaves, both engines round them alike.
+_SIX_SETTLED_SQL = _SIX_SQL.replace("round(avg(value), 6)", "round(avg(value)::DECIMAL(28, 9), 6)::DOUBLE")
 _MEANS_SQL = f"""{OBJECTS_SQL}, means AS (SELECT cell_id, organelle, metric, avg(value) AS value FROM objects GROUP BY ALL)"""
 
 
@@ -36,23 +35,23 @@ def a02_area_fraction(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_MEANS_SQL}, {CELLS_SQL} SELECT guide, organelle, metric, {_SIX_OFF_TIE_SQL.replace("value", "m.value")}, count(m.value) AS count
+    f"""WITH {_MEANS_SQL}, {CELLS_SQL} SELECT guide, organelle, metric, {_SIX_SETTLED_SQL.replace("value", "m.value")}, count(m.value) AS count
     FROM means m JOIN cells USING (cell_id) GROUP BY ALL"""
 )
 def a04_cells_to_guides(spark, sf_dir):
     means = A.summarise(objects(spark, sf_dir), ["cell_id", "organelle", "metric"], ("mean",)).withColumnRenamed("mean", "value")
     keyed = means.join(cells(spark, sf_dir).select("cell_id", "guide"), "cell_id")
-    return rounded(A.cells_to_groups(keyed, "guide", ["organelle", "metric"]).withColumn("mean", F.col("mean") + _OFF_TIE))
+    return rounded(A.cells_to_groups(keyed, "guide", ["organelle", "metric"]).withColumn("mean", settled("mean")))
 
 
 @query(
-    f"""WITH {_MEANS_SQL}, {CELLS_SQL} SELECT gene, organelle, metric, round(avg(m.value) + {_OFF_TIE}::DOUBLE, 6) AS mean, round(quantile_cont(m.value, 0.5), 6) AS median,
+    f"""WITH {_MEANS_SQL}, {CELLS_SQL} SELECT gene, organelle, metric, round(avg(m.value)::DECIMAL(28, 9), 6)::DOUBLE AS mean, round(quantile_cont(m.value, 0.5), 6) AS median,
     round(coalesce(stddev_samp(m.value), 0), 6) AS std FROM means m JOIN cells USING (cell_id) GROUP BY ALL"""
 )
 def a06_cells_to_genes(spark, sf_dir):
     means = A.summarise(objects(spark, sf_dir), ["cell_id", "organelle", "metric"], ("mean",)).withColumnRenamed("mean", "value")
     keyed = means.join(cells(spark, sf_dir).select("cell_id", "gene"), "cell_id")
-    return rounded(A.cells_to_groups(keyed, "gene", ["organelle", "metric"], ("mean", "median", "std"), std_fill=True).withColumn("mean", F.col("mean") + _OFF_TIE))
+    return rounded(A.cells_to_groups(keyed, "gene", ["organelle", "metric"], ("mean", "median", "std"), std_fill=True).withColumn("mean", settled("mean")))
 
 
 @query(f"WITH {CELLS_SQL} SELECT gene, count(*) AS n_cells, count(DISTINCT guide) AS n_guides FROM cells GROUP BY gene")

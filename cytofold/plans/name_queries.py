@@ -158,15 +158,39 @@ def s13_json_config(spark, sf_dir):
 
 
 @query(
-    """SELECT c_custkey, replace(lower(c_mktsegment), ' ', '_') || '_frangi_seg' AS full_name, left(replace(lower(c_mktsegment), ' ', '_'), 5) || '_seg' AS legacy,
-    c_mktsegment AS marker FROM customer"""
+    """SELECT c_custkey, replace(lower(c_mktsegment), ' ', '_') || '_frangi_seg' AS full_name, left(replace(lower(c_mktsegment), ' ', '_'), 5) || '_seg' AS legacy FROM customer"""
 )
 def p21_label_names(spark, sf_dir):
     seg = F.col("c_mktsegment")
-    label = F.concat(F.lit("early, late endosome, "), seg, F.lit(" (mouse 488) SPY555"))
-    return table(spark, sf_dir, "customer").select(
-        "c_custkey", N.label_name(seg, F.lit("frangi")).alias("full_name"), N.label_name(seg, length=5).alias("legacy"), N.marker_of(label).alias("marker")
-    )
+    return table(spark, sf_dir, "customer").select("c_custkey", N.label_name(seg, F.lit("frangi")).alias("full_name"), N.label_name(seg, length=5).alias("legacy"))
+
+
+#: Labels by the remainder of the customer's key; # stands for the market segment.
+_LABELS = (
+    "Phase", " phase ", "no label", "Empty", "empty, no label", "#", "#, no label", "early, late endosome, #", "mitochondria, # live cell dye", "ER, #-2 Live-Cell Dye", "actin, # excitation",
+    "golgi, bleedthough", "autofluorescence, No Label", "nucleus, #  red\tdye (mouse 488)", "tubulin, _#_", "lipid, (#)", ",", "membrane,", "#  Live Cell excitation", None,
+)
+
+
+def _label_sql() -> str:
+    whens = " ".join(f"WHEN {k} THEN " + ("NULL" if v is None else "replace('" + v.replace("\t", "' || chr(9) || '") + "', '#', c_mktsegment)") for k, v in enumerate(_LABELS))
+    return f"SELECT c_custkey, CASE c_custkey % {len(_LABELS)} {whens} END AS label FROM customer"
+
+
+@query(
+    rf"""WITH l AS ({_label_sql()}), t AS (SELECT c_custkey, trim(label, ' ' || chr(9)) AS label FROM l),
+    p AS (SELECT *, trim(list_extract(string_split(label, ','), -1), ' ' || chr(9)) AS tail, trim(array_to_string(list_slice(string_split(label, ','), 1, len(string_split(label, ',')) - 1), ','), ' ' || chr(9)) AS head FROM t),
+    n AS (SELECT *, CASE WHEN lower(tail) IN ('no label', '') THEN head ELSE tail END AS name FROM p), b AS (SELECT *, CASE WHEN lower(name) = 'bleedthough' THEN 'bleedthrough' ELSE name END AS v FROM n),
+    s1 AS (SELECT *, trim(regexp_replace(v, '(?i) live cell dye$', '')) AS v1 FROM b), s2 AS (SELECT *, trim(regexp_replace(v1, '(?i) live-cell dye$', '')) AS v2 FROM s1), s3 AS (SELECT *, trim(regexp_replace(v2, '(?i) live cell$', '')) AS v3 FROM s2),
+    s4 AS (SELECT *, trim(regexp_replace(v3, '(?i) excitation$', '')) AS v4 FROM s3)
+    SELECT c_custkey, CASE WHEN lower(label) NOT IN ('', 'phase', 'no label', 'empty', 'empty, no label') THEN nullif(trim(regexp_extract(regexp_replace(v4, '\s+', '_', 'g'), '^[A-Za-z0-9_\-]+'), '_-'), '') END AS marker FROM s4"""
+)
+def p22_markers(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    label = F.lit(None).cast("string")
+    for k, text in enumerate(_LABELS):
+        label = F.when(F.col("c_custkey") % len(_LABELS) == k, F.replace(F.lit(text), F.lit("#"), F.col("c_mktsegment"))).otherwise(label)
+    return c.select("c_custkey", N.marker_of(label).alias("marker"))
 
 
 @query(

@@ -233,6 +233,19 @@ def i23_stitch_orders(spark, sf_dir):
     return T.stitch(edges, offsets)
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey * 100 + l_linenumber AS s, CASE WHEN l_partkey % 2 = 0 THEN (l_orderkey + 1) * 100 + l_partkey % 7 + 1 ELSE l_orderkey * 100 + l_linenumber END AS t FROM lineitem WHERE l_partkey % 2 = 0),
+    b AS (SELECT s, t FROM e UNION SELECT t, s FROM e), r AS (SELECT s, s AS t FROM b UNION SELECT r.s, b.t FROM r JOIN b ON r.t = b.s) SELECT s AS label, min(t) AS merged FROM r GROUP BY s"""
+)
+def i23_stitch_seams(spark, sf_dir):
+    """One tile for each order; half of the labels go on into the next order's tile."""
+    li = table(spark, sf_dir, "lineitem")
+    on = F.col("l_partkey") % 2 == 0
+    edges = li.select(F.col("l_orderkey").alias("tile_a"), F.col("l_linenumber").cast("long").alias("label_a"), (F.col("l_orderkey") + on.cast("int")).alias("tile_b"), F.when(on, F.col("l_partkey") % 7 + 1).otherwise(F.col("l_linenumber")).cast("long").alias("label_b"))
+    offsets = edges.select(F.explode(F.array("tile_a", "tile_b")).alias("tile")).distinct().withColumn("offset", F.col("tile") * 100)
+    return T.stitch(edges, offsets)
+
+
 @query(
     f"""WITH {PIXELS_SQL}, m AS (SELECT DISTINCT cell_id, y, x FROM px) SELECT a.cell_id, a.y, a.x FROM m a JOIN m b ON a.cell_id = b.cell_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1
     GROUP BY ALL HAVING count(*) = 9"""

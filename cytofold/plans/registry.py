@@ -25,3 +25,8 @@ class Registry:
 def rounded(df, digits: int = 6, skip: tuple[str, ...] = ()):
     """Doubles rounded for comparison with another engine."""
     return df.withColumns({n: F.round(n, digits) for n, t in df.dtypes if t == "double" and n not in skip})
+
+
+def settled(name: str, digits: int = 6):
+    """A double rounded as a decimal, so that exact ties go up in every engine."""
+    return F.round(F.col(name).cast("decimal(28,9)"), digits).cast("double")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cytofold.operators import aggregate as A
 from cytofold.operators import joins, network, pixels, raster, sets, tiles
 from cytofold.sources import attention, tables
 from tests.test_rasters import flood, shapes, table
@@ -393,3 +394,28 @@ def test_statistics_of_groups_of_all_sizes(spark, hot_rows):
         v, r = [x for x in values if x is not None], got[key]
         assert r["count"] == len(v) and (r.median is None if not v else math.isclose(r.median, float(np.median(v)), abs_tol=1e-12))
         assert r["sum"] is None if not v else math.isclose(r["sum"], sum(v), abs_tol=1e-9) and r["min"] == min(v) and r["max"] == max(v)
+
+
+def test_quantile_with_an_outlier_narrows_again(spark):
+    rng = np.random.default_rng(14)
+    values = np.r_[rng.random(30_001), 1e12, -5.0, [0.25] * 500]
+    df = spark.createDataFrame([("k", float(v)) for v in values] + [("one", 3.0), ("two", 1.0), ("two", 2.0), ("two", None)], "k string, value double").repartition(4)
+    for q in (0.5, 0.1, 0.999):
+        got = {r.k: r.quantile for r in A.narrowed_quantile(df, ["k"], q=q, bins=64).collect()}
+        assert math.isclose(got["k"], np.quantile(values, q)) and got["one"] == 3 and math.isclose(got["two"], 1 + q)
+
+
+def test_summary_with_a_hot_group(spark):
+    df = spark.range(3_000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(-1).alias("k"), (F.col("id") * 7919 % 3001).cast("double").alias("value"))
+    plain = {r.k: r for r in A.summarise(df, ["k"], hot_rows=None).collect()}
+    split = {r.k: r for r in A.summarise(df, ["k"], hot_rows=500).collect()}
+    assert plain.keys() == split.keys() and all(math.isclose(plain[k][c], split[k][c]) for k in plain for c in A.SIX)
+
+
+def test_star_with_the_largest_node_as_centre(spark, monkeypatch):
+    from cytofold.operators import graph
+
+    monkeypatch.setattr(graph, "HUBS_FROM", 100)
+    edges = spark.range(2_000).select(F.lit(5_000).cast("long").alias("src"), F.col("id").alias("dst")).unionByName(spark.range(3).select((F.col("id") + 6_000).alias("src"), (F.col("id") + 6_001).alias("dst")))
+    got = {r.node: r.component for r in graph.connected_components(edges).collect()}
+    assert got == {k: 0 for k in range(2_000)} | {5_000: 0} | {k: 6_000 for k in range(6_000, 6_004)}

@@ -61,8 +61,12 @@ def disks_of(img, sigmas, threshold, overlap):
 
 @pytest.mark.parametrize("overlap", [None, 0.0])
 def test_blobs(spark, overlap):
-    sigmas, images = (1.0, 1.5, 2.5), {"a": spots(3), "b": spots(4, 21, 70, 60), "none": np.zeros((5, 5))}
-    got = S.blob_disks(pixels_of(spark, images), "image", sigmas, 0.05, overlap, size=16).collect()
+    wide = np.zeros((60, 60))
+    wide[30, 30] = 4000.0
+    wide = K.gaussian(wide, 5)
+    wide[33, 36] += 30  # a small disk inside a large one
+    sigmas, images = (1.0, 1.5, 2.5, 5.0), {"a": spots(3), "b": spots(4, 21, 70, 60), "c": wide, "none": np.zeros((5, 5))}
+    got = S.blob_disks(pixels_of(spark, images), "image", sigmas, 0.05, overlap, size=32).collect()
     left = []
     for k, img in images.items():
         label, n, kept = disks_of(img, sigmas, 0.05, overlap)
