@@ -277,6 +277,15 @@ def radial_anisotropy(px: DataFrame, wedges: int = 8) -> DataFrame:
     return px.where(F.col("theta").isNotNull()).groupBy("cell_id", "organelle").agg((spread / mean).alias("radial_anisotropy"))
 
 
+def radial_features(located: DataFrame) -> DataFrame:
+    """(cell_id, organelle, radial_frac_bin0 to 4, radial_anisotropy) of the objects of
+    ``localized``: the shares of shells of their normalised position, and the spread over wedges of their angle.
+    Objects without a position are left out, organelles of cells without one (no
+    nucleus, no edge) have no row."""
+    r = located.withColumn("r", F.col("normalized_radial_position")).withColumn("theta", F.col("angle_from_nucleus"))
+    return radial_fractions(r).join(radial_anisotropy(r), ["cell_id", "organelle"], "left")
+
+
 def box_counts(px: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     """Occupied boxes of each mask for each box size."""
     rows = px.select("cell_id", "organelle", "y", "x", F.explode(F.array(*(F.lit(s) for s in sizes))).alias("size"))

@@ -1,8 +1,8 @@
 """Caps, ranks, deduplication, sampling and per-batch scaling by window functions.
 
-Every choice has a total order. A window over a key that may hold very many
-rows keeps only a few of them, so Spark limits each task's rows before the
-shuffle where a rank is bounded.
+Every choice has a total order. Spark limits the rows of a small cap before the
+shuffle; a large cap is taken in two levels, so a key with very many rows is split.
+Ranks of all rows of such keys come from one sort of the table (``rank_in``).
 """
 
 from __future__ import annotations
@@ -10,6 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cytofold.operators.graph import ensure_checkpoint_dir
+
+#: Caps up to here are applied by Spark in the map tasks already.
+SMALL_CAP = 1_000
+#: Parts of a key from which a larger cap is taken first.
+LOTS = 64
+
 
 def shuffle_order(*ids: str, seed: int = 42) -> Column:
     """A fixed pseudo-random order of rows by their ids."""
@@ -22,7 +29,15 @@ def portable_order(*ids: str, seed: int = 42) -> Column:
 
 
 def keep_first(df: DataFrame, keys: list[str], *order: Column | str, n: int = 1) -> DataFrame:
-    """The first ``n`` rows of each key in the given order (a stratified cap, or keep-best). Null keys are one key."""
+    """The first ``n`` rows of each key in the given order (a stratified cap, or keep-best). Null keys are one key.
+
+    What is first in a key is first in its part of the key, so a cap above SMALL_CAP
+    is taken in LOTS parts of every key before it is taken in the key: no task sorts
+    a whole key, and LOTS * n rows meet at most. Rows are dealt to parts by their
+    partition, which changes no result."""
+    if n > SMALL_CAP:
+        part = Window.partitionBy(*keys, "_lot").orderBy(*order)
+        df = df.withColumn("_lot", F.spark_partition_id() % LOTS).withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= n).drop("_lot")
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
@@ -33,9 +48,34 @@ def keep_first_known(df: DataFrame, keys: list[str], *order: Column | str) -> Da
     return keep_first(df.where(known), keys, *order).unionByName(df.where(f"not ({known})"))
 
 
-def rank_in(df: DataFrame, keys: list[str], *order: Column | str, name: str = "rank") -> DataFrame:
-    """Position from 1 within each key."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+def rank_in(df: DataFrame, keys: list[str], *order: Column | str, name: str = "rank", hot_rows: int | None = None) -> DataFrame:
+    """Position from 1 within each key; null keys are one key.
+
+    A key's rows meet in one task, unless ``hot_rows`` is given: keys with more rows
+    than that, and more than a thousandth of all, are counted first (the keys alone)
+    and ranked by a sort over all tasks: a row's rank is its place in its sorted
+    partition and what earlier partitions hold of its key. That table has a row for
+    each partition and two for a key at most, so it is broadcast."""
+    plain = lambda rows: rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if hot_rows is None:
+        return plain(df)
+    ensure_checkpoint_dir(df.sparkSession)
+    key = F.struct(*(F.col(k) for k in keys))
+    sizes = df.groupBy(key.alias("_key")).agg(F.count("*").alias("_size"))
+    total, most = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.coalesce(F.max("_size"), F.lit(0))).first()
+    least = max(hot_rows, total // 1_000)
+    if most <= least:
+        return plain(df)
+    hot = F.broadcast(sizes.where(F.col("_size") > least).select("_key"))
+    rows = df.withColumn("_key", key)
+    columns = [F.col(k) for k in keys]
+    placed = rows.join(hot, "_key", "left_semi").repartitionByRange(*columns, *order).sortWithinPartitions(*columns, *order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    placed = placed.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    lots = placed.groupBy("_key", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    lots = lots.select("_key", "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = placed.join(F.broadcast(lots), ["_key", "_part"]).withColumn(name, (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("int"))
+    return plain(rows.join(hot, "_key", "left_anti").drop("_key")).unionByName(ranked.select(*df.columns, name))
 
 
 def channel_ranks(ranked: DataFrame, gene: str = "gene", channel: str = "channel", rank: str = "rank") -> DataFrame:
@@ -54,10 +94,10 @@ def drop_multiplets(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     return df.join(one, keys, "left_semi")
 
 
-def batches(df: DataFrame, well: str, order: list[Column | str], size: int) -> DataFrame:
-    """``batch``: number of the block of ``size`` rows within its well, in order."""
-    w = Window.partitionBy(well).orderBy(*order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+def batches(df: DataFrame, well: str, order: list[Column | str], size: int, hot_rows: int | None = None) -> DataFrame:
+    """``batch``: number of the block of ``size`` rows within its well, in order; ``hot_rows`` as in ``rank_in``."""
+    ranked = rank_in(df, [well], *order, name="_rank", hot_rows=hot_rows)
+    return ranked.withColumn("batch", F.floor((F.col("_rank") - 1) / size).cast("int")).drop("_rank")
 
 
 def zscore(long: DataFrame, batch: str, feature: str, value: str = "value", least_rows: int = 5, floor: float = 1e-8, clip: float = 10.0) -> DataFrame:
@@ -89,11 +129,13 @@ def relabel(df: DataFrame, clusters: DataFrame, gene: str, unassigned: str | Non
     return out if unassigned is not None else out.where(F.col("complex").isNotNull())
 
 
-def seeded_sample(df: DataFrame, keys: list[str], ids: list[str], n: int) -> DataFrame:
+def seeded_sample(df: DataFrame, keys: list[str], ids: list[str], n: int, portable: bool = False) -> DataFrame:
     """n rows of each key (all, if fewer) in an order seeded by the key itself:
-    the same key always yields the same rows, whatever else is in the table."""
-    seed = F.crc32(F.concat_ws("|", *(F.col(k).cast("string") for k in keys)).cast("binary"))
-    return keep_first(df, keys, F.xxhash64(seed, *ids), *ids, n=n)
+    the same key always yields the same rows, whatever else is in the table.
+    ``portable`` orders by a hash that other SQL engines have too."""
+    text = F.concat_ws("|", *(F.col(k).cast("string") for k in keys))
+    seeded = F.md5(F.concat_ws("|", text, *(F.col(i).cast("string") for i in ids))) if portable else F.xxhash64(F.crc32(text.cast("binary")), *ids)
+    return keep_first(df, keys, seeded, *ids, n=n)
 
 
 def preview(df: DataFrame, ids: list[str], share: float, seed: int = 42) -> DataFrame:
@@ -101,13 +143,13 @@ def preview(df: DataFrame, ids: list[str], share: float, seed: int = 42) -> Data
     return df.where(F.pmod(F.xxhash64(F.lit(seed), *ids), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
-def preview_rows(df: DataFrame, ids: list[str], n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows (a preview, hence the limit), the same ones each time."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *ids), *ids).limit(n)
+def preview_rows(df: DataFrame, ids: list[str], n: int, seed: int = 42, portable: bool = False) -> DataFrame:
+    """``n`` rows (a preview, hence the limit), the same ones each time; ``portable`` as in ``seeded_sample``."""
+    return df.orderBy(portable_order(*ids, seed=seed) if portable else shuffle_order(*ids, seed=seed), *ids).limit(n)
 
 
-def limit_objects(pixels: DataFrame, keys: list[str], label: str, n: int) -> DataFrame:
+def limit_objects(pixels: DataFrame, keys: list[str], label: str, n: int, portable: bool = False) -> DataFrame:
     """Pixels of at most n objects of each key, chosen among the distinct labels
     in an order seeded by the key."""
-    chosen = seeded_sample(pixels.select(*keys, label).distinct(), keys, [label], n)
+    chosen = seeded_sample(pixels.select(*keys, label).distinct(), keys, [label], n, portable)
     return pixels.join(chosen, [*keys, label], "left_semi")

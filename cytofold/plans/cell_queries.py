@@ -60,6 +60,19 @@ def a12_localization_summary(spark, sf_dir):
     return rounded(P.localization_summary(P.localized(_compartments(spark, sf_dir), "cell", "nucleus", 0.5, 0.25)))
 
 
+@query(
+    f"""WITH {_LOCATED_SQL}, f AS (SELECT cell_id, organelle, greatest(0, least(1, normalized_radial_position)) AS r FROM l WHERE normalized_radial_position IS NOT NULL),
+    b AS (SELECT cell_id, organelle, {", ".join(f"round(count(*) FILTER (r >= {lo} AND r {'<' if k < 4 else '<='} {hi})::DOUBLE / count(*), 9) AS radial_frac_bin{k}" for k, (lo, hi) in enumerate(zip(P.SHELLS, P.SHELLS[1:], strict=False)))} FROM f GROUP BY ALL),
+    g AS (SELECT cell_id, organelle, least(floor((angle_from_nucleus + pi()) / (2 * pi() / 8)), 7)::INTEGER AS w FROM l WHERE angle_from_nucleus IS NOT NULL),
+    wn AS (SELECT cell_id, organelle, {", ".join(f"count(*) FILTER (w = {k}) AS n{k}" for k in range(8))} FROM g GROUP BY ALL),
+    a AS (SELECT cell_id, organelle, round(list_stddev_pop([{", ".join(f"n{k}" for k in range(8))}]) / list_avg([{", ".join(f"n{k}" for k in range(8))}]), 9) AS radial_anisotropy FROM wn)
+    SELECT * FROM b LEFT JOIN a USING (cell_id, organelle)"""
+)
+def fr01_radial_features(spark, sf_dir):
+    """Shells and wedges of where the objects lie."""
+    return rounded(P.radial_features(P.localized(_compartments(spark, sf_dir), "cell", "nucleus", 0.5, 0.25)), 9)
+
+
 @query(f"WITH {PIXELS_SQL} SELECT cell_id, 2::BIGINT AS n_shapes FROM px WHERE cell_id % 10 = 0 GROUP BY cell_id HAVING bool_or(label = 4) AND bool_or(label <> 4)")
 def fc04_mask_shapes(spark, sf_dir):
     px = pixels(spark, sf_dir)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cytofold.operators import aggregate as A
 from cytofold.operators import ranking as R
 from cytofold.plans.registry import Registry, rounded, settled
-from cytofold.plans.stand_in import CELLS_SQL, OBJECTS_SQL, cells, objects
+from cytofold.plans.stand_in import CELLS_SQL, OBJECTS_SQL, PIXELS_SQL, cells, objects, pixels, table
 
 query = Registry()
 
@@ -221,4 +221,67 @@ def r15_prefix_offsets(spark, sf_dir):
     return R.prefix_offsets(sizes, "experiment", ["gene"], "n")
 
 
+# --- keys that hold half of all rows ---
+
+_WELLS_SQL = "wells AS (SELECT l_orderkey * 10 + l_linenumber AS line, CASE WHEN l_orderkey % 2 = 0 THEN NULL WHEN l_orderkey % 4 = 1 THEN 'hot' ELSE 'w' || l_suppkey % 50 END AS well, l_extendedprice AS value FROM lineitem)"
+
+
+def _wells(spark, sf_dir):
+    key = F.col("l_orderkey")
+    well = F.when(key % 2 == 0, None).when(key % 4 == 1, "hot").otherwise(F.concat(F.lit("w"), F.col("l_suppkey") % 50))
+    return table(spark, sf_dir, "lineitem").select((key * 10 + F.col("l_linenumber")).alias("line"), well.alias("well"), F.col("l_extendedprice").alias("value"))
+
+
+@query(f"WITH {_WELLS_SQL} SELECT line, well, (row_number() OVER (PARTITION BY well ORDER BY value DESC, line))::INTEGER AS rank FROM wells")
+def r03_rank_hot(spark, sf_dir):
+    """The null well holds half of the rows and another one a quarter; both are ranked by a sort of all tasks."""
+    return R.rank_in(_wells(spark, sf_dir), ["well"], F.desc("value"), "line", hot_rows=1_000).select("line", "well", "rank")
+
+
+@query(f"WITH {_WELLS_SQL} SELECT line, well, ((row_number() OVER (PARTITION BY well ORDER BY line) - 1) // 100)::INTEGER AS batch FROM wells")
+def r11_batches_hot(spark, sf_dir):
+    return R.batches(_wells(spark, sf_dir), "well", ["line"], 100, hot_rows=1_000).select("line", "well", "batch")
+
+
+@query(f"WITH {_WELLS_SQL} SELECT line, well, value FROM wells QUALIFY row_number() OVER (PARTITION BY well ORDER BY value DESC, line) <= 1500")
+def r01_large_cap(spark, sf_dir):
+    """A cap too large for the map tasks, taken in two levels."""
+    return R.keep_first(_wells(spark, sf_dir), ["well"], F.desc("value"), "line", n=1_500)
+
+
+@query(
+    f"""WITH {CELLS_SQL} SELECT cell_id, gene, channel FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN gene <> 'CHINA' THEN gene END, gene = 'CHINA', channel ORDER BY md5('42|' || cell_id), cell_id) AS rn FROM cells)
+    WHERE rn <= CASE WHEN gene = 'CHINA' THEN 5 ELSE 3 END"""
+)
+def r02_cap_by_channel(spark, sf_dir):
+    """Three cells for each gene and channel, five of the control gene for each channel."""
+    c = cells(spark, sf_dir).select("cell_id", "gene", "channel")
+    order = (R.portable_order("cell_id"), "cell_id")
+    return R.keep_first(c.where("gene <> 'CHINA'"), ["gene", "channel"], *order, n=3).unionByName(R.keep_first(c.where("gene = 'CHINA'"), ["channel"], *order, n=5))
+
+
+@query(f"WITH {CELLS_SQL} SELECT cell_id, experiment, guide, gene, channel FROM cells QUALIFY row_number() OVER (PARTITION BY experiment, guide, gene, channel ORDER BY cell_id) = 1")
+def r07_keep_first_of_four(spark, sf_dir):
+    keys = ["experiment", "guide", "gene", "channel"]
+    return R.keep_first(cells(spark, sf_dir).select("cell_id", *keys), keys, "cell_id")
+
+
+@query(f"WITH {CELLS_SQL} SELECT cell_id, gene, channel FROM cells QUALIFY row_number() OVER (PARTITION BY gene, channel ORDER BY md5(gene || '|' || channel || '|' || cell_id), cell_id) <= 4")
+def r09_seeded_sample(spark, sf_dir):
+    return R.seeded_sample(cells(spark, sf_dir).select("cell_id", "gene", "channel"), ["gene", "channel"], ["cell_id"], 4, portable=True)
+
+
+@query(f"WITH {CELLS_SQL} SELECT cell_id, gene, value FROM cells ORDER BY md5('42|' || cell_id), cell_id LIMIT 100")
+def r10_preview(spark, sf_dir):
+    return R.preview_rows(cells(spark, sf_dir).select("cell_id", "gene", "value"), ["cell_id"], 100, portable=True)
+
+
+@query(
+    f"""WITH {PIXELS_SQL}, o AS (SELECT DISTINCT cell_id, organelle, label FROM px), k AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY cell_id, organelle ORDER BY md5(cell_id || '|' || organelle || '|' || label), label) <= 2)
+    SELECT cell_id, organelle, label, y, x FROM px JOIN k USING (cell_id, organelle, label)"""
+)
+def r16_limit_objects(spark, sf_dir):
+    return R.limit_objects(pixels(spark, sf_dir), ["cell_id", "organelle"], "label", 2, portable=True).select("cell_id", "organelle", "label", "y", "x")
+
+
 QUERIES, ORACLES = query.queries, query.oracles

@@ -419,3 +419,18 @@ def test_star_with_the_largest_node_as_centre(spark, monkeypatch):
     edges = spark.range(2_000).select(F.lit(5_000).cast("long").alias("src"), F.col("id").alias("dst")).unionByName(spark.range(3).select((F.col("id") + 6_000).alias("src"), (F.col("id") + 6_001).alias("dst")))
     got = {r.node: r.component for r in graph.connected_components(edges).collect()}
     assert got == {k: 0 for k in range(2_000)} | {5_000: 0} | {k: 6_000 for k in range(6_000, 6_004)}
+
+
+def test_ranks_and_caps_of_hot_keys_are_split(spark, monkeypatch):
+    from pyspark.sql import Window
+
+    from cytofold.operators import ranking as R
+
+    rows = spark.range(6_000).select((F.col("id") * 7919 % 6007).alias("v"), F.when(F.col("id") % 2 == 0, None).when(F.col("id") % 3 == 0, "h").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k")).repartition(6)
+    plain = rows.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("v"))))
+    got = R.rank_in(rows, ["k"], F.desc("v"), hot_rows=500)
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    monkeypatch.setattr(R, "SMALL_CAP", 100)
+    capped = R.keep_first(rows, ["k"], F.desc("v"), n=700)
+    assert sorted(map(str, capped.collect())) == sorted(map(str, plain.where("rank <= 700").drop("rank").collect()))
+    assert R.rank_in(rows.where("false"), ["k"], "v", hot_rows=5).collect() == []
