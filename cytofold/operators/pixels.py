@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -25,6 +26,8 @@ SAME_SIGNAL = ("focus3d", "phase2d")
 # Masks that are not located in their cell; the metrics that are summarised.
 NOT_LOCALIZED = ("nuclei", "nuclear_seg", "cell_membrane")
 LOCATED = ("distance_from_cell_edge", "distance_from_nucleus", "distance_from_nucleus_centroid", "normalized_radial_position")
+#: Pairs of a centroid and a boundary pixel that a task works on at once.
+PAIRS = 2_000_000
 #: Edges of the five radial shells as doubles print them; the last shell is closed.
 SHELLS = (0.0, 0.2, 0.4, 0.6000000000000001, 0.8, 1.0)
 
@@ -131,28 +134,38 @@ def edge_distances(centroids: DataFrame, edges: DataFrame, name: str, sy: float
     """(cell_id, organelle, label, name): distance from each centroid (microns) to the
     nearest boundary pixel of its cell; cells without a boundary have no row.
 
-    A cell's centroids and boundary, which its crop bounds, meet in one task. The
-    boundary is sorted by y, and a centroid looks only at pixels whose y is nearer
-    than the best distance found at its own y."""
-    on_executors(centroids.sparkSession)
-    own = centroids.select(*(F.col(c).alias(c) for c in (*OBJECT, "centroid_y", "centroid_x")))
-    e = edges.select(F.col("cell_id").alias("cell_id"), (F.col("y") * float(sy)).alias("ey"), (F.col("x") * float(sx)).alias("ex")).distinct()
-    schema = StructType([*own.select(*OBJECT).schema.fields, StructField(name, DoubleType())])
+    A cell's centroids and boundary, which its crop bounds, meet in one task, many
+    cells at a time; a batch's pairs are worked on in parts of PAIRS."""
+    from cytofold.operators.raster import in_groups
+
+    own = centroids.select(*(F.col(c).alias(c) for c in OBJECT), F.lit(0).alias("_rim"), F.col("centroid_y").cast("double").alias("_y"), F.col("centroid_x").cast("double").alias("_x"))
+    rim = edges.select("cell_id", (F.col("y") * float(sy)).alias("_y"), (F.col("x") * float(sx)).alias("_x")).distinct()
+    none = [F.lit(None).cast(own.schema[c].dataType).alias(c) for c in OBJECT[1:]]
+    both = own.unionByName(rim.select("cell_id", *none, F.lit(1).alias("_rim"), "_y", "_x"))
+
+    def nearest(part: pa.Table) -> pa.Table:
+        rim, y, x = (part.column(c).to_numpy() for c in ("_rim", "_y", "_x"))
+        start = np.flatnonzero(part.column("_new").to_numpy())
+        end = np.r_[start[1:], len(rim)]
+        split = start + np.add.reduceat(1 - rim, start)  # centroids come first
+        cell = np.repeat(np.arange(len(start)), split - start)
+        point = np.flatnonzero((rim == 0) & np.repeat(end > split, end - start))
+        cell = cell[(end > split)[cell]]
+        n = (end - split)[cell]
+        out = np.zeros(len(point))
+        upto = np.cumsum(n)
+        done = 0
+        while done < len(point):
+            stop = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + PAIRS, side="right")))
+            k = np.s_[done:stop]
+            head = np.cumsum(n[k]) - n[k]
+            at = np.arange(n[k].sum()) - np.repeat(head - split[cell[k]], n[k])
+            out[k] = np.minimum.reduceat(np.hypot(y[at] - np.repeat(y[point[k]], n[k]), x[at] - np.repeat(x[point[k]], n[k])), head)
+            done = stop
+        return part.select(list(OBJECT)).take(pa.array(point)).append_column(name, pa.array(out))
 
-    def nearest(c: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(c) or not len(b):
-            return c[list(OBJECT)].iloc[:0].assign(**{name: np.zeros(0)})
-        at = b.sort_values("ey")
-        y, x = at["ey"].to_numpy(), at["ex"].to_numpy()
-        out = []
-        for cy, cx in zip(c["centroid_y"], c["centroid_x"], strict=True):
-            k = min(int(np.searchsorted(y, cy)), len(y) - 1)
-            reach = np.hypot(cy - y[k], cx - x[k])
-            lo, hi = np.searchsorted(y, cy - reach, "left"), np.searchsorted(y, cy + reach, "right")
-            out.append(float(min(reach, np.hypot(cy - y[lo:hi], cx - x[lo:hi]).min(initial=np.inf))))
-        return c[list(OBJECT)].assign(**{name: out})
-
-    return own.groupBy("cell_id").cogroup(e.groupBy("cell_id")).applyInPandas(nearest, schema)
+    schema = StructType([*own.select(*OBJECT).schema.fields, StructField(name, DoubleType())])
+    return in_groups(both, ["cell_id"], ["_rim", "_y", "_x"], nearest, schema)
 
 
 def nucleus_direction(centroids: DataFrame, nucleus: DataFrame, sy: float = 1.0, sx: float = 1.0) -> DataFrame:

@@ -3,8 +3,11 @@ filter, labelling, erosion, tile grids and stitching."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
@@ -50,8 +53,8 @@ def label_pixels(mask: DataFrame, key: str, eight: bool = False, block: int = 51
     """(key, y, x, root): connected pixels of each key share a root, the smallest
     y * 2**20 + x among them. Coordinates are from 0 to 2**20; keys are of any type.
 
-    Squares of ``block`` pixels are labelled in one task each; only what touches a
-    square's border goes through the joins of ``connected_components``."""
+    Squares of ``block`` pixels are labelled whole, many small ones at a time; only
+    what touches a square's border goes through the joins of ``connected_components``."""
     spark = mask.sparkSession
     ensure_checkpoint_dir(spark)
     on_executors(spark)
@@ -59,22 +62,23 @@ def label_pixels(mask: DataFrame, key: str, eight: bool = False, block: int = 51
     px = mask.select(key, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).where("y is not null and x is not null").distinct()
     px = px.withColumns({"_by": F.floor(F.col("y") / block), "_bx": F.floor(F.col("x") / block)})
 
-    def label(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["y", "x"])
-        y, x = part["y"].to_numpy(), part["x"].to_numpy()
-        code, a, b = y * (1 << 20) + x, [], []
+    def label(part: pa.Table) -> pa.Table:
+        """Whole squares at once; a square's number stands above the codes of its pixels."""
+        y, x = part.column("y").to_numpy(), part.column("x").to_numpy()
+        code = (y << 20) + x
+        wide, a, b = ((np.cumsum(part.column("_new").to_numpy()) - 1) << 41) + code, [], []
         for dy, dx in steps:
-            want = code + dy * (1 << 20) + dx
-            at = np.minimum(np.searchsorted(code, want), len(code) - 1)
-            hit = np.flatnonzero((code[at] == want) & (x + dx >= 0))
+            want = wide + dy * (1 << 20) + dx
+            at = np.minimum(np.searchsorted(wide, want), len(wide) - 1)
+            hit = np.flatnonzero((wide[at] == want) & (x + dx >= 0) & (x + dx < 1 << 20))
             a.append(hit)
             b.append(at[hit])
         root = local_components(len(code), np.concatenate(a), np.concatenate(b))
         edge = (y % block == 0) | (x % block == 0) | (y % block == block - 1) | (x % block == block - 1)
-        return part.assign(_part=code[root], _edge=edge)
+        return part.drop_columns(["_new"]).append_column("_part", pa.array(code[root])).append_column("_edge", pa.array(edge))
 
     made = StructType([*px.schema.fields, StructField("_part", LongType()), StructField("_edge", BooleanType())])
-    local = px.groupBy(key, "_by", "_bx").applyInPandas(label, made).checkpoint()
+    local = in_groups(px, [key, "_by", "_bx"], ["y", "x"], label, made).checkpoint()
     node = F.struct(F.col(key).alias("key"), F.col("_part").alias("part"))
     rim = local.where("_edge")
     sent = rim.select(key, "_by", "_bx", node.alias("src"), F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps))).alias("_to"))
@@ -85,6 +89,27 @@ def label_pixels(mask: DataFrame, key: str, eight: bool = False, block: int = 51
     return out.select(key, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.coalesce("_root", "_part").alias("root"))
 
 
+def in_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.Table], pa.Table], schema: StructType) -> DataFrame:
+    """``work`` on whole groups of ``keys``, sorted by ``order``, as many at a time as an Arrow
+    batch holds; ``_new`` marks the first row of each. So small groups cost no call each."""
+    on_executors(df.sparkSession)
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            begins = np.flatnonzero(batch.column("_new").to_numpy(zero_copy_only=False))
+            if len(begins) and (held or begins[-1]):
+                yield from work(pa.Table.from_batches([*held, batch.slice(0, begins[-1])]).combine_chunks()).to_batches()
+                held = [batch.slice(begins[-1])]
+            else:
+                held.append(batch)
+        if held:
+            yield from work(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    return df.withColumn("_new", first).mapInArrow(run, schema)
+
+
 def relabel(labelled: DataFrame, key: str) -> DataFrame:
     """(key, y, x, label): labels from 1 in each key, in order of their first pixel."""
     order = Window.partitionBy(key).orderBy("root")
