@@ -18,7 +18,7 @@ NOT_NETWORK_NUCLEAR = ("nuclear", "nuclei", "nucleoli")
 NETWORK_CHANNELS = ("gfp", "mcherry", "cy5")
 # Labels that every run needs; parts of channel names that keep them from segmentation, with the reason.
 CORE_LABELS = ("cell_mask", "nuclei", "cp_cell_mask")
-SKIP_PATTERNS = (("prediction", "virtual staining - use convert_v3.py labels"),)
+SKIP_PATTERNS = (("prediction", "predicted, not stained; its labels come with the source channel"),)
 # Detection methods other than the usual one, by structure and channel type.
 METHODS = {
     ("vesicular", "labelfree"): "blob",

@@ -349,4 +349,36 @@ def s12_label_status_whole(spark, sf_dir):
     return S.label_status(expected, c, ["0"])
 
 
+# --- linked cells: a part is a cell's experiment, a supplier its well; each well has two of three kinds ---
+
+_LINKED_SQL = """linked AS (SELECT l_orderkey * 10 + l_linenumber AS cell, l_partkey % 40 AS experiment, l_suppkey % 9 AS well,
+    list_extract(['cp', '4i', 'std'], ((l_partkey % 40 + (l_suppkey % 9) * (l_suppkey % 9) + l_linenumber % 2) % 3 + 1)::INTEGER) AS kind FROM lineitem)"""
+
+
+def _one_kind_sql(priority: tuple[str, ...], where: str) -> str:
+    rank = "list_position([" + ", ".join(f"'{k}'" for k in priority) + "], kind)"
+    return f"""WITH {_LINKED_SQL}, r AS (SELECT *, {rank} AS rank FROM linked WHERE {where}), w AS (SELECT experiment, well, min(rank) AS best FROM r GROUP BY ALL),
+    e AS (SELECT experiment, arg_min(best, well) AS chosen FROM w GROUP BY experiment)
+    SELECT cell, r.experiment, r.well, kind FROM r JOIN w ON r.experiment = w.experiment AND r.well = w.well AND rank = best JOIN e ON e.experiment = r.experiment AND chosen = best"""
+
+
+def _linked(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    experiment, well = F.col("l_partkey") % 40, F.col("l_suppkey") % 9
+    kind = F.element_at(F.array(*(F.lit(k) for k in ("cp", "4i", "std"))), ((experiment + well * well + F.col("l_linenumber") % 2) % 3 + 1).cast("int"))
+    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cell"), experiment.alias("experiment"), well.alias("well"), kind.alias("kind"))
+
+
+@query(_one_kind_sql(("cp", "4i", "std"), "true"))
+def s01_one_kind(spark, sf_dir):
+    """The kind of an experiment's first well; wells that lack it are skipped."""
+    return S.one_kind(_linked(spark, sf_dir), ("cp", "4i", "std"))
+
+
+@query(_one_kind_sql(("4i", "cp", "std"), "well IN (0, 1, 2)"))
+def s02_first_wells(spark, sf_dir):
+    """Another order of kinds, and the first three wells only."""
+    return S.one_kind(_linked(spark, sf_dir), ("4i", "cp", "std"), wells=(0, 1, 2))
+
+
 QUERIES, ORACLES = query.queries, query.oracles

@@ -33,6 +33,21 @@ def read_linked_cells(spark: SparkSession, paths: dict[str, str], schema: str, p
     return nan_to_null(joined.where("_rank = _best").drop("_rank", "_best", "_key"))
 
 
+def one_kind(rows: DataFrame, priority: Sequence[str], experiment: str = "experiment", well: str = "well", kind: str = "kind", wells: Sequence | None = None) -> DataFrame:
+    """Rows of linked cells of one kind an experiment: a well counts with the first kind
+    in ``priority`` that it has, an experiment with that of its first well, and wells of
+    another kind are skipped. ``wells`` keeps these wells only, a filter that reaches the
+    scan. Rows without an experiment, well or known kind are left out. Kinds are counted
+    from three columns and joined back, so no experiment meets in one task."""
+    if wells is not None:
+        rows = rows.where(F.col(well).isin(*wells))
+    place = F.array_position(F.array(*(F.lit(k) for k in priority)), F.col(kind))
+    of_well = rows.where(place > 0).groupBy(experiment, well).agg(F.min(place).alias("_rank")).where(F.col(experiment).isNotNull() & F.col(well).isNotNull())
+    chosen = of_well.groupBy(experiment).agg(F.min_by("_rank", well).alias("_chosen"))
+    kept = of_well.join(chosen, experiment).where("_rank = _chosen").select(experiment, well, F.element_at(F.array(*(F.lit(k) for k in priority)), F.col("_rank").cast("int")).alias(kind))
+    return rows.join(kept, [experiment, well, kind], "left_semi")
+
+
 def _few(df: DataFrame, most: int = 10_000) -> bool:
     """At most ``most`` rows? Looks at no more than that."""
     return df.limit(most + 1).count() <= most
