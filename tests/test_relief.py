@@ -201,3 +201,44 @@ def test_windows_are_the_image_with_a_border(spark, mirror):
         np.testing.assert_allclose(got[k], total(wide)[5:-5, 5:-5])
     same = arrays(B.to_pixels(blocks, "image", 8), images, "value")
     assert all((same[k] == images[k]).all() for k in images)
+
+
+def parts_plainly(pixels, eight):
+    left, out = set(pixels), []
+    while left:
+        stack, part = [left.pop()], set()
+        while stack:
+            y, x = stack.pop()
+            part.add((y, x))
+            for b in (-1, 0, 1):
+                for c in (-1, 0, 1):
+                    if (eight or b == 0 or c == 0) and (y + b, x + c) in left:
+                        left.remove((y + b, x + c))
+                        stack.append((y + b, x + c))
+        out.append(part)
+    return out
+
+
+def test_split_query_equals_whole_images(spark):
+    from cytofold.plans import relief_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    px = Q._plots(spark, sf).toPandas()
+    got = Q.i18_split_objects(spark, sf).toPandas()
+    code = lambda p: (p[0] << 20) + p[1]
+    for k, own in px.groupby("image"):
+        mask = np.zeros((int(own["height"].iloc[0]), int(own["width"].iloc[0])), bool)
+        mask[own["y"], own["x"]] = True
+        depth = distances(mask)
+        first = sorted((-depth[min(p)], code(min(p)), min(p)) for p in parts_plainly(maxima_plainly(rebuilt_plainly(depth, 0.5)), True))
+        kept = []
+        for v, _, p in first:
+            if -v > 1.0 and all(max(abs(p[0] - q[0]), abs(p[1] - q[1])) > 3 for q in kept):
+                kept.append(p)
+        label = flooded_plainly(-depth, {p: code(p) for p in kept})
+        for part in parts_plainly({(int(y), int(x)) for y, x in np.argwhere(mask)} - label.keys(), False):
+            label |= {p: code(min(part)) for p in part}
+        sizes = np.unique(list(label.values()), return_counts=True)
+        enough = set(sizes[0][sizes[1] >= 4].tolist())
+        mine = got[got["image"] == k]
+        assert dict(zip(zip(mine["y"], mine["x"], strict=True), mine["marker"], strict=True)) == {p: m for p, m in label.items() if m in enough}
