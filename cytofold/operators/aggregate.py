@@ -96,6 +96,23 @@ def summarise(long: DataFrame, keys: list[str], stats: tuple[str, ...] = SIX, va
     return out.withColumn("std", F.coalesce("std", F.lit(0.0))) if std_fill and "std" in stats else out
 
 
+def complexity(cells: DataFrame, dual: Column, area: Column, networks: Column, name: str = "score") -> DataFrame:
+    """``cells`` with the expected work of each: 50 if it is imaged twice, up to 20 by its
+    area as part of the largest one, and 5 for each network organelle. What is null
+    counts as 0; if no area is above 0, none counts. The largest area is one row."""
+    top = cells.agg(F.max(area).alias("_top"))
+    part = F.when(F.col("_top") > 0, 20 * F.coalesce(area, F.lit(0.0)) / F.col("_top")).otherwise(0.0)
+    score = 50 * F.coalesce(dual.cast("int"), F.lit(0)) + part + 5 * F.coalesce(networks, F.lit(0))
+    return cells.join(F.broadcast(top)).withColumn(name, score).drop("_top")
+
+
+def split_at_quantile(df: DataFrame, value: str, q: float = 0.4, name: str = "light") -> DataFrame:
+    """``df`` with a flag: is ``value`` at most its quantile over all rows? Null values are neither."""
+    one = df.select(F.lit(True).alias("_whole"), value)
+    cut = narrowed_quantile(one, ["_whole"], value, q).select(F.col("quantile").alias("_cut"))
+    return df.join(F.broadcast(cut), how="left").withColumn(name, F.col(value) <= F.col("_cut")).drop("_cut")
+
+
 def objects_to_cells(objects: DataFrame) -> DataFrame:
     """(cell_id, organelle, metric) with six statistics and ``count`` of objects (rows, not values)."""
     keys = ["cell_id", "organelle", "metric"]

@@ -458,3 +458,8 @@ def polygon_area(points: DataFrame, keys: list[str], order: str = "i") -> DataFr
     ny, nx = F.coalesce(F.lead("y").over(w), F.first("y").over(last)), F.coalesce(F.lead("x").over(w), F.first("x").over(last))
     crossed = points.withColumn("_c", F.col("x") * ny - nx * F.col("y"))
     return crossed.groupBy(*keys).agg((F.abs(F.sum("_c")) / 2).alias("mesh_area"))
+
+
+def mesh_summary(areas: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean, sample deviation and sum of the mesh areas of each key."""
+    return areas.groupBy(*keys).agg(F.avg("mesh_area").alias("mesh_area_mean"), F.stddev_samp("mesh_area").alias("mesh_area_std"), F.sum("mesh_area").alias("mesh_area_sum"))

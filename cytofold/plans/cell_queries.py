@@ -268,6 +268,20 @@ def fn12_polygon_area(spark, sf_dir):
     return P.polygon_area(points, ["k"]).withColumn("mesh_area", F.col("mesh_area").cast("double"))
 
 
+@query(
+    """WITH p AS (SELECT c_nationkey AS cell, c_custkey % 7 AS k, c_custkey AS i, floor(c_acctbal)::BIGINT AS y, (c_custkey * 7919) % 1000 AS x FROM customer),
+    n AS (SELECT *, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx FROM p WINDOW w AS (PARTITION BY cell, k ORDER BY i)),
+    a AS (SELECT cell, k, abs(sum(x * ny - nx * y))::DOUBLE / 2 AS area FROM n GROUP BY ALL)
+    SELECT cell, round(avg(area), 4) AS mesh_area_mean, round(stddev_samp(area), 4) AS mesh_area_std, sum(area) AS mesh_area_sum FROM a GROUP BY cell"""
+)
+def fn12_mesh_summary(spark, sf_dir):
+    """Seven polygons of a cell, which its nation is."""
+    c = table(spark, sf_dir, "customer")
+    points = c.select(F.col("c_nationkey").alias("cell"), (F.col("c_custkey") % 7).alias("k"), F.col("c_custkey").alias("i"), F.floor("c_acctbal").alias("y"), (F.col("c_custkey") * 7919 % 1000).alias("x"))
+    areas = P.polygon_area(points, ["cell", "k"]).withColumn("mesh_area", F.col("mesh_area").cast("double"))
+    return rounded(P.mesh_summary(areas, ["cell"]), 4)
+
+
 # --- rasters of 200 x 200 pixels: a square of side 5 for each customer, one image for each nation ---
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cytofold.functions import names as N
-from cytofold.operators.aggregate import narrowed_quantile
+from cytofold.operators import aggregate as A
 from cytofold.plans.registry import Registry, rounded
 from cytofold.plans.stand_in import table
 
@@ -129,13 +129,10 @@ def p24_sigma_grid(spark, sf_dir):
     c AS (SELECT quantile_cont(score, 0.4) AS cut FROM s) SELECT o_orderkey, round(score, 6) AS score, score <= cut AS light FROM s, c"""
 )
 def p25_complexity_split(spark, sf_dir):
-    """Complexity score of cells and its split at the 40th percentile; both scalars are one-row aggregates."""
+    """Complexity score of cells and its split at the 40th percentile."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    top = o.agg(F.max("o_totalprice").alias("top"))
-    score = 50 * (F.col("o_orderstatus") == "F").cast("int") + 20 * F.col("o_totalprice") / F.col("top") + 5 * (F.col("o_orderkey") % 4)
-    scored = o.join(F.broadcast(top)).select("o_orderkey", score.alias("score"))
-    cut = narrowed_quantile(scored.withColumn("all", F.lit(True)), ["all"], "score", 0.4).select(F.col("quantile").alias("cut"))
-    return rounded(scored.join(F.broadcast(cut)).select("o_orderkey", "score", (F.col("score") <= F.col("cut")).alias("light")))
+    scored = A.complexity(o, F.col("o_orderstatus") == "F", F.col("o_totalprice"), F.col("o_orderkey") % 4).select("o_orderkey", "score")
+    return rounded(A.split_at_quantile(scored, "score"))
 
 
 @query(
