@@ -32,9 +32,9 @@ from cytofold.operators.graph import ensure_checkpoint_dir
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of text that are encoded at once; longer texts are cut into slices of about this length.
-SLICE = 1 << 22
+SLICE = 1 << 20
 #: Documents of a batch that are worked on together.
-ROWS = 2048
+ROWS = 512
 #: The byte-level pattern of A (a fixed value): what is merged on its own.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What ends at a byte: nothing, a token of A, one of B, both.
