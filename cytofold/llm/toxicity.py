@@ -116,7 +116,17 @@ class ToxicityModel:
                     harmless.append((start, end))
                 elif start not in best or weight > best[start][1]:
                     best[start] = (end, weight)
-        return sorted((s, e, w) for s, (e, w) in best.items() if not any(a <= s and e <= b for a, b in harmless))
+        harmless.sort()
+        kept, k, reach = [], 0, -1
+        for start in sorted(best):
+            # the farthest end of the phrases that begin at or before this match
+            while k < len(harmless) and harmless[k][0] <= start:
+                reach = max(reach, harmless[k][1])
+                k += 1
+            end, weight = best[start]
+            if end > reach:
+                kept.append((start, end, weight))
+        return kept
 
     def neighbours(self, folded: str) -> set[str]:
         """Pairs (two words, as an exception phrase) of each matched word and the word before or after it."""
@@ -262,7 +272,10 @@ def fit_toxicity(
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; other columns are not read."""
+    """doc_id, held_out, score and predicted of every row; other columns are not read.
+
+    Null and empty texts have no match and get the score of an empty text; repeated
+    rows are returned as often as they occur; time is linear in a text's length and matches."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
