@@ -68,6 +68,21 @@ def _blocks(items: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * size + 1, size))
 
 
+#: Code points of a block of text; a string is cut from the blocks it lies in, since cutting from the text walks there from its start.
+BLOCK = 1024
+
+
+def _text_blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), 0)
+
+
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` (exclusive) of a text in blocks."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.slice(blocks, first + 1, F.greatest(F.lit(0), F.floor((end - 1) / BLOCK).cast("int") - first + 1))
+    return F.when(end > start, F.substr(F.array_join(some, ""), start - first * BLOCK + 1, end - start)).otherwise("")
+
+
 @dataclass
 class MarkovModel:
     """ratio: for each pair of ASCII characters (128 x 128, row by row) the log
@@ -141,17 +156,19 @@ def find_spans(docs: DataFrame, model: MarkovModel, keep: list[str]) -> DataFram
     maybe = _spans(F.col("_candidate"), RANKS[RANDOM], 20)
     # blocks of base spans with what they reach, so that a candidate looks into few of them
     near = F.transform(_blocks(F.col("base")), lambda b: F.struct(F.array_min(F.transform(b, lambda s: s["start"])).alias("low"), F.array_max(F.transform(b, lambda s: s["end"])).alias("high"), b.alias("spans")))
-    found = cut.select(*keep, "clean", base.alias("base"), maybe.alias("_maybe")).withColumn("_near", near)
+    found = cut.select(*keep, "clean", base.alias("base"), maybe.alias("_maybe"))
+    blocks = F.when(F.size("_maybe") > 0, _text_blocks(F.col("clean")))
+    found = found.withColumns({"_near": near, "_blocks": blocks})
 
     def random(span: Column) -> Column:
         size = span["end"] - span["start"]
         meets = lambda b: (b["start"] < span["end"]) & (b["end"] > span["start"])
         free = ~F.exists(F.col("_near"), lambda n: (n["low"] < span["end"]) & (n["high"] > span["start"]) & F.exists(n["spans"], meets))
-        ratio = model.score(F.substr(F.col("clean"), span["start"] + 1, size))
+        ratio = model.score(_cut(F.col("_blocks"), span["start"], span["end"]))
         return free & (ratio >= F.greatest(F.lit(model.cut), model.cut_per_char * size))
 
     # named twice, the blocks stay a column; named in the lambda only, they would be made again for each candidate
-    added = F.when((F.size("_maybe") > 0) & (F.size("_near") > 0), F.filter("_maybe", random)).otherwise(F.col("_maybe"))
+    added = F.when((F.size("_maybe") > 0) & (F.size("_near") > 0) & (F.size("_blocks") > 0), F.filter("_maybe", random)).otherwise(F.col("_maybe"))
     return found.select(*keep, "clean", "base", added.alias("added"))
 
 
@@ -184,15 +201,23 @@ def redact_secrets(docs: DataFrame, model: MarkovModel, mark: str = "[SECRET]")
     found = find_spans(packed, model, ["_row"])
     order = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct((s["inner"]).alias("s"), s["end"].alias("e"))))
 
+    gaps = "array<struct<start:int,end:int>>"
+
     def step(acc: Column, span: Column) -> Column:
-        begin = F.greatest(span["s"], acc["at"])
-        before = F.when(span["s"] >= acc["at"], F.concat(F.substr("_text", acc["at"] + 1, span["s"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(span["e"], begin).alias("at"), F.array_append(acc["out"], before).alias("out"))
+        gap = F.struct(acc["at"].alias("start"), span["s"].alias("end"))
+        return F.struct(F.greatest(span["e"], acc["at"]).alias("at"), F.when(span["s"] >= acc["at"], F.array_append(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
 
+    # what stands before each mark; arrays grow by copying, so spans go in blocks
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(gaps).alias("out"))
+    walk = lambda acc, block: F.array_append(acc, F.aggregate(block, F.struct(F.element_at(acc, -1)["at"].alias("at"), F.array().cast(gaps).alias("out")), step))
+    some = F.size("_spans") > 0
     whole = found.select("_row", F.col("_row.text").alias("_text"), order.alias("_spans"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr("_text", acc["at"] + 1, F.length("_text") - acc["at"])))
-    text = F.when(F.size("_spans") > 0, done).otherwise(F.col("_text"))
+    walked = whole.select("*", F.when(some, F.aggregate(_blocks(F.col("_spans")), F.array(begin), walk)).alias("_walk"), F.when(some, _text_blocks(F.col("_text"))).alias("_blocks"))
+    before = F.transform(F.flatten(F.transform("_walk", lambda b: b["out"])), lambda g: F.concat(_cut(F.col("_blocks"), g["start"], g["end"]), F.lit(mark)))
+    rest = _cut(F.col("_blocks"), F.element_at("_walk", -1)["at"], F.length("_text"))
+    # named twice, the blocks and the walk stay columns
+    text = F.when(some & (F.size("_walk") > 0) & (F.size("_blocks") > 0), F.concat(F.array_join(before, ""), rest)).otherwise(F.col("_text"))
+    whole = walked
     kept = whole.select("_row", "_spans", text.alias("_new"))
     out = []
     for c in names:
