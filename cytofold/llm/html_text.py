@@ -3,8 +3,8 @@
 Markup is stripped into lines, one for each block of the page; what stands in
 boilerplate elements goes with it. Every other line has the length of its text,
 zero if it is mostly links; where an article holds most of the text, lines in it
-weigh more and lines outside it less. Lengths are summed over sliding windows of the lines that have
-one. The text begins at the surge point, the first line from which the sum
+weigh more and those outside are taken run by run. Lengths are summed over sliding windows of the lines that have
+one. The text of a run begins at the surge point, the first line from which the sum
 reaches the threshold, and ends at the dive point, the last line up to which it
 does; lines with a length between the two are kept.
 """
@@ -44,7 +44,7 @@ _TOKEN = re.compile(
 )
 _BROKEN = re.compile(r"(/?)([a-zA-Z][^\s/>]*)(.*)", re.S)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
-#: Where an article holds most of the text, its characters count so many times, and of other lines one in so many.
+#: Where an article holds most of the text, its characters count so many times.
 ARTICLE = 128
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
@@ -144,8 +144,11 @@ def main_text(page: str | None, window: int = 3, share: float = 0.125, most: int
     """Blocks of the main text, joined by two line feeds; empty if there is none.
 
     The threshold of the window sums is ``share`` of the largest one, ``most`` at
-    most, so that a line of a marked article always reaches it; a title or a
-    closing line shares its window with the paragraphs beside it."""
+    most; a title or a closing line shares its window with the paragraphs beside it.
+    Where marked articles hold most of the length, their lines weigh so much that
+    each reaches the threshold, and every run of lines before, between and after
+    them has a surge and a dive of its own: a second part keeps its heading and
+    its closing line, and a short line by itself goes. Time is linear in the page."""
     lines = lines_of(page or "")
     if not lines:
         return ""
@@ -153,24 +156,36 @@ def main_text(page: str | None, window: int = 3, share: float = 0.125, most: int
     inside = np.array([here for *_, here in lines])
     links = np.array([min(1.0, n / len(text)) for text, n, *_ in lines])
     size = np.where(~inside & (links > 0.5), 0, size)
-    if 2 * size[inside].sum() > size.sum():
-        size = np.where(inside, size * ARTICLE, size // ARTICLE)
+    marked = 2 * size[inside].sum() > size.sum()
     at = np.flatnonzero(size)
     if not len(at):
         return ""
-    total = np.r_[0, np.cumsum(size[at])]
-    k = np.arange(len(at))
-    ahead = total[np.minimum(k + window, len(at))] - total[k]  # sums of the windows that begin at each line
-    behind = total[k + 1] - total[np.maximum(k + 1 - window, 0)]  # and of those that end there
-    threshold = min(share * ahead.max(), most)
-    surge, dive = np.flatnonzero(ahead >= threshold)[0], np.flatnonzero(behind >= threshold)[-1]
-    return "\n\n".join(lines[j][0] for j in at[surge : dive + 1])
+    size, inside = size[at], inside[at]
+    threshold = min(share * _ahead(size, window).max(), most)
+    if not marked:
+        runs = [(0, len(at))]
+    else:
+        size = np.where(inside, size * ARTICLE, size)
+        edges = np.r_[0, np.flatnonzero(np.diff(inside)) + 1, len(at)].tolist()
+        runs = list(zip(edges, edges[1:]))
+    kept = []
+    for a, b in runs:
+        surge, dive = np.flatnonzero(_ahead(size[a:b], window) >= threshold), np.flatnonzero(_ahead(size[a:b][::-1], window)[::-1] >= threshold)
+        if len(surge):
+            kept += at[a + surge[0] : a + dive[-1] + 1].tolist()
+    return "\n\n".join(lines[j][0] for j in kept)
+
+
+def _ahead(size: np.ndarray, window: int) -> np.ndarray:
+    """Sums of the windows that begin at each line."""
+    total, k = np.r_[0, np.cumsum(size)], np.arange(len(size))
+    return total[np.minimum(k + window, len(size))] - total[k]
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row. Null, empty and
-    broken html give what text there is, or the empty string; repeated rows are
-    returned as often as they occur; only page_id, url and html are read."""
+    broken html give what text there is, or the empty string; very long pages
+    are read whole; repeated rows are returned as often as they occur; only page_id, url and html are read."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         text = [main_text(h) for h in batch.column("html").to_pylist()]
