@@ -123,6 +123,34 @@ def test_matches_against_brute_force():
         assert [(a, w) for a, _, w in model.matches(folded)] == slow_matches(model, folded)
 
 
+def test_matches_within_phrases_by_one_sweep():
+    rng = random.Random(8)
+    words = ["damn", "dam", "big", "bigger", "fool", "proof"]
+    phrases = ("damn big", "big fool", "fool proof dam", "bigger")
+    model = toxicity.ToxicityModel({"dam": 1.0, "damn$": 2.0, "fool": 1.5, "big": 0.5}, (0.0, 1.0, 1.0), phrases)
+    for _ in range(200):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))
+        inside = [(m.start(), m.start() + len(p)) for p in phrases for m in re.finditer(rf"(?=\b{p}\b)", text)]
+        want = []
+        for m in re.finditer(r"\w+", text):
+            uses = [(w, len(e.rstrip("$"))) for e, w in model.weights.items() if (m[0] == e[:-1] if e.endswith("$") else m[0].startswith(e))]
+            if uses:
+                weight, size = max(uses)
+                if not any(a <= m.start() and m.start() + size <= b for a, b in inside):
+                    want.append((m.start(), m.start() + size, weight))
+        assert model.matches(text) == want
+
+
+def test_scoring_takes_time_in_proportion():
+    model = toxicity.ToxicityModel({"fool": 1.5, "dam": 1.0}, (0.0, 1.0, 1.0), ("big fool",))
+    took = []
+    for n in (50_000, 100_000):
+        began = time.process_time()
+        model.score("big fool dam " * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 4 * took[0] + 0.5 and took[1] < 20
+
+
 def test_toxicity_edges(spark, docs):
     model = toxicity.fit_toxicity(docs, labels(spark))
     assert model.weights == {}
@@ -336,6 +364,39 @@ def test_random_strings_are_found_and_redacted(spark):
     assert secret_scan.fit_markov(spark.createDataFrame([], "string string, label int")).ratio == [0.0] * 16384
 
 
+def test_redaction_of_overlapping_spans_against_brute_force(spark):
+    rng = random.Random(31)
+    rows = []
+    for k in range(60):
+        parts = [rng.choice(["😀 ", "token=", "secret: ", "é" * rng.randint(1, 1500), " ", "AKIA" + "7" * 17, "%032x" % rng.getrandbits(128), "x" * 8]) for _ in range(rng.randint(0, 30))]
+        rows.append((k, "".join(parts)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secret_scan.MarkovModel([0.0] * 16384, cut=1.0)
+    found = {r.doc_id: sorted((s.inner, s.end) for s in r.base) for r in secret_scan.find_spans(docs, model, ["doc_id"]).collect()}
+    marks = 0
+    for r in secret_scan.redact_secrets(docs, model).collect():
+        text, at, out = rows[r.doc_id][1], 0, ""
+        for a, b in found[r.doc_id]:
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+                marks += 1
+            at = max(at, b)
+        assert r.text == out + text[at:]
+    assert marks > 50
+
+
+def test_redaction_takes_time_in_proportion(spark):
+    model = secret_scan.MarkovModel([0.0] * 16384, cut=0.0, cut_per_char=0.0)
+    took = []
+    for n in (500, 20_000, 40_000):  # the first run compiles
+        text = " ".join(f"token={k:06d}x {'GHJK' * 6}" for k in range(n))
+        began = time.perf_counter()
+        row = secret_scan.redact_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+        took.append(time.perf_counter() - began)
+        assert row.text == " ".join(["token=[SECRET] [SECRET]"] * n)
+    assert took[2] < 3.2 * took[1] + 1
+
+
 def test_texts_with_thousands_of_secrets(spark):
     rng = random.Random(10)
     hexed = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(24))
@@ -569,6 +630,13 @@ def test_article_must_hold_most_of_the_text():
     assert html_text.main_text(post).split("\n\n") == body
 
 
+def test_parts_beside_an_article_have_surge_and_dive():
+    words = lambda n: " ".join(f"word{k}" for k in range(n))
+    second = f"<div><h2>Second part</h2><p>{words(60)}</p><p>The end.</p></div>"
+    got = html_text.main_text(f"<p>Lone line<article><h1>T</h1><p>{words(100)}</p><p>Bye.</p></article>{second}<article><p>{words(90)}</article><p>Tail")
+    assert got.split("\n\n") == ["T", words(100), "Bye.", "Second part", words(60), "The end.", words(90)]
+
+
 def slow_surge_and_dive(lines, window=3, share=0.125, most=120):
     """The kept lines of a page without article, links or boilerplate, window by window."""
     lines = [x for x in lines if x]
