@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from cytofold.functions import features
 from cytofold.operators import aggregate as A
 from cytofold.operators import joins as J
 from cytofold.operators import sets as U
+from cytofold.operators.graph import ensure_checkpoint_dir
 from cytofold.plans.registry import Registry, rounded
 from cytofold.plans.stand_in import CELLS_SQL, OBJECTS_SQL, cells, objects, table
 from cytofold.sources import tables as S
@@ -382,3 +385,23 @@ def s02_first_wells(spark, sf_dir):
 
 
 QUERIES, ORACLES = query.queries, query.oracles
+
+
+# --- counts kept between runs ---
+
+
+@query(
+    """WITH e AS (SELECT 'E' || (l_suppkey % 40) AS experiment, l_returnflag, l_orderkey FROM lineitem),
+    k AS (SELECT DISTINCT experiment FROM e WHERE experiment <> 'E7' UNION SELECT 'E99')
+    SELECT k.experiment, l_returnflag, count(l_orderkey) AS n FROM k LEFT JOIN e USING (experiment) GROUP BY ALL"""
+)
+def s14_cached_counts(spark, sf_dir):
+    """The first run counts a part of the experiments; the second reads what is new, and one that has no rows."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/counts-{uuid4().hex}"
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("E"), F.col("l_suppkey") % 40).alias("experiment"), "l_returnflag", "l_linenumber")
+    rows.repartition("experiment", "l_linenumber").drop("l_linenumber").write.partitionBy("experiment").parquet(f"{folder}/cells")
+    cells = spark.read.schema("l_returnflag string, experiment string").parquet(f"{folder}/cells")
+    wanted = rows.select("experiment").where("experiment <> 'E7'").distinct()
+    S.cached_counts(wanted.where("experiment like '%3'"), cells, f"{folder}/counts", "experiment", ["l_returnflag"])
+    return S.cached_counts(wanted.union(spark.createDataFrame([("E99",)], "experiment string")), cells, f"{folder}/counts", "experiment", ["l_returnflag"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +113,37 @@ def uncounted(requested: DataFrame, cached: DataFrame, key: str) -> DataFrame:
     return requested.select(key).distinct().join(cached.select(key), key, "left_anti")
 
 
+def cached_counts(requested: DataFrame, data: DataFrame, cache: str, key: str, by: Sequence[str], refresh: bool = False) -> DataFrame:
+    """(key, by, n): rows of ``data`` for each requested key, counted once and kept in the table ``cache``.
+
+    ``data`` is partitioned by ``key``, so the driver, which lists its folders, also
+    holds the keys; a run reads the folders of the keys that the cache lacks and no
+    others, or of all requested ones with ``refresh``. The cache is partitioned by
+    key as well, and a key's folder is replaced as a whole, so a run that was cut off and
+    repeated leaves no count twice. A requested key without rows is kept as
+    one row with nulls in ``by`` and n = 0. Null and empty keys, which name no
+    folder, are left out; keys in the cache that nobody requests stay there. What the
+    cache says is believed: data that changed needs ``refresh``."""
+    spark = data.sparkSession
+    fields = [data.schema[key], *(data.schema[c] for c in by)]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n long"
+    wanted = requested.select(F.col(key).cast(data.schema[key].dataType).alias(key)).where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).distinct()
+    try:
+        known = spark.read.schema(schema).parquet(cache)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = spark.createDataFrame([], schema)
+    missing = wanted if refresh else uncounted(wanted, known, key)
+    keys = [r[0] for r in missing.collect()]  # names of folders
+    if keys:
+        counts = data.where(F.col(key).isin(*keys)).groupBy(key, *by).agg(F.count("*").alias("n"))
+        every = spark.createDataFrame([(k,) for k in keys], f"`{key}` {data.schema[key].dataType.simpleString()}").join(counts, key, "left").fillna(0, ["n"])
+        every.repartition(key).write.partitionBy(key).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(cache)
+    kept = spark.read.schema(schema).parquet(cache) if keys else known
+    return kept.join(wanted, key, "left_semi").select(key, *by, "n")
+
+
 def require_boxes(cells: DataFrame, box: str) -> DataFrame:
     """``cells`` with a known box; an error if there are rows and none has one."""
     seen = cells.agg(F.count("*").alias("n"), F.count(box).alias("known")).first()

@@ -53,6 +53,28 @@ def test_labels_and_config(spark):
     assert S.merged_config({"a": {"x": 1, "y": 2}, "b": 1}, {"a": {"x": 5}}, {"a": {"y": None}, "b": None}) == {"a": {"x": 5, "y": 2}, "b": 1}
 
 
+def test_counts_are_kept_between_runs(spark, tmp_path):
+    cells, cache = tmp_path / "cells", str(tmp_path / "counts")
+    rows = [("a", "KO")] * 3 + [("a", None)] + [("b", "KO"), ("b", "NTC")] + [("c/ d", "NTC")] * 2 + [(None, "KO")]
+    spark.createDataFrame(rows, "exp string, kind string").write.partitionBy("exp").parquet(str(cells))
+    data = spark.read.schema("kind string, exp string").parquet(str(cells))
+    keys = lambda *k: spark.createDataFrame([(x, 1) for x in k], "exp string, other long")
+    count = lambda *k, **o: sorted(map(tuple, S.cached_counts(keys(*k), data, cache, "exp", ["kind"], **o).collect()), key=str)
+    assert count() == []
+    assert count("a", "a", None, "") == [("a", "KO", 3), ("a", None, 1)]
+    for f in (cells / "exp=a").glob("*.parquet"):
+        f.write_bytes(b"a run that reads this fails")
+    want = [("a", "KO", 3), ("a", None, 1), ("b", "KO", 1), ("b", "NTC", 1), ("c/ d", "NTC", 2), ("none", None, 0)]
+    assert count("a", "b", "c/ d", "none") == want
+    for f in cells.rglob("*.parquet"):
+        f.write_bytes(b"nothing is read any more")
+    assert count("none", "a") == [("a", "KO", 3), ("a", None, 1), ("none", None, 0)]
+    assert count("a", "b", "c/ d", "none") == want
+    spark.createDataFrame([("a", "NTC")], "exp string, kind string").write.partitionBy("exp").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(str(cells))
+    data = spark.read.schema("kind string, exp string").parquet(str(cells))
+    assert count("a", refresh=True) == [("a", "NTC", 1)] and count("b")[0] == ("b", "KO", 1)
+
+
 def test_incremental_statistics(spark, tmp_path):
     li = spark.read.parquet(f"{SF}/lineitem.parquet").select(F.col("l_returnflag").alias("k"), F.col("l_quantity").alias("value"), F.to_timestamp("l_shipdate").alias("ts"), F.col("l_orderkey").alias("id"))
     half = li.where("id % 2 = 0")
