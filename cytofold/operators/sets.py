@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Experiments up to which the table of affected ones is broadcast; they are counted before.
+BROADCAST = 100_000
+
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Rows of all frames; columns that a frame lacks are null."""
@@ -72,5 +75,6 @@ def unit_corrected(long: DataFrame, affected: DataFrame, factors: dict[str, floa
     for u, f in factors.items():
         factor = F.when(F.col(unit) == u, F.lit(float(f))).otherwise(factor)
     known = affected.groupBy(experiment).agg(F.max("applied").alias("_applied"))
-    joined = long.join(known, experiment, "left")  # Spark broadcasts it if its size allows
+    # experiments have very many rows each: a join by shuffle would give all of one to one task
+    joined = long.join(F.broadcast(known) if known.limit(BROADCAST + 1).count() <= BROADCAST else known, experiment, "left")
     return joined.withColumn(value, F.when(F.col("_applied") == False, F.col(value) * factor).otherwise(F.col(value))).drop("_applied")  # noqa: E712
