@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cytofold.operators.graph import ensure_checkpoint_dir, spread
+
 
 def semi_either(cells: DataFrame, targets: DataFrame, first: tuple[str, ...], second: tuple[str, ...]) -> DataFrame:
     """Cells that a target names by the first keys or by the second.
@@ -43,20 +47,40 @@ def nearest_within(queries: DataFrame, points: DataFrame, group: list[str], radi
     """(query_id, point_id, distance): the nearest point within ``radius`` in the
     same group; ties to the smaller point_id; queries without one have no row.
 
-    Points are hashed into square cells of side ``radius``; a query looks into
-    the nine cells around its own, so the join is an equi-join that stays as
-    large as the neighbourhoods are. Rows with null coordinates take no part.
+    Of points at one place only the smallest id counts. Points are hashed into square
+    cells, and a query looks into the nine cells around its own. The first side is the
+    radius halved so often that a point's cell holds about two; who finds a point
+    within the side is done, the others look again in cells of twice the side, up to the
+    radius. So the pairs grow with the rows, not with their square, unless queries stand
+    apart from crowded points. Rows with null coordinates take no part.
     """
-    at = lambda c: F.floor(F.col(c) / radius).cast("long")
-    near = F.array(*(F.lit(k) for k in (-1, 0, 1)))
+    ensure_checkpoint_dir(queries.sparkSession)
+    at = lambda c, side: F.floor(F.col(c) / side).cast("long")
+    near = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
+    cell = [*group, "_gx", "_gy"]
+    p = points.where("x is not null and y is not null").groupBy(*group, F.col("x").alias("_px"), F.col("y").alias("_py")).agg(F.min(point_id).alias(point_id)).checkpoint()
+    held = p.groupBy(*group, at("_px", radius).alias("_gx"), at("_py", radius).alias("_gy")).agg(F.count("*").alias("_n"))
+    crowd = held.agg(F.sum(F.col("_n").cast("double") * F.col("_n")) / F.sum("_n")).first()[0] or 0.0
+    deepest = min(24, max(0, math.ceil(math.log(max(crowd, 1.0) / 2, 4))))
+    # queries with no point in any of their nine largest cells are out at once
+    seen = held.select(*group, "_gx", "_gy", F.explode(near).alias("_s")).select(*group, (F.col("_gx") + F.col("_s.dx")).alias("_gx"), (F.col("_gy") + F.col("_s.dy")).alias("_gy")).distinct()
     q = queries.where("x is not null and y is not null").select(*group, F.col(query_id), F.col("x").alias("_qx"), F.col("y").alias("_qy"))
-    q = q.withColumns({"_cx": at("_qx"), "_cy": at("_qy")}).withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
-    q = q.withColumns({"_gx": F.col("_cx") + F.col("_dx"), "_gy": F.col("_cy") + F.col("_dy")}).drop("_cx", "_cy", "_dx", "_dy")
-    p = points.where("x is not null and y is not null").select(*group, F.col(point_id), F.col("x").alias("_px"), F.col("y").alias("_py")).withColumns({"_gx": at("_px"), "_gy": at("_py")})
+    q = q.withColumns({"_gx": at("_qx", radius), "_gy": at("_qy", radius)}).join(seen, cell, "left_semi").drop("_gx", "_gy").checkpoint()
     d = F.sqrt(F.pow(F.col("_qx") - F.col("_px"), 2) + F.pow(F.col("_qy") - F.col("_py"), 2))
-    close = q.join(p, [*group, "_gx", "_gy"]).withColumn("distance", d).where(F.col("distance") <= radius)
-    best = close.groupBy(query_id).agg(F.min(F.struct("distance", point_id)).alias("_best"))
-    return best.select(query_id, F.col(f"_best.{point_id}").alias(point_id), F.col("_best.distance").alias("distance"))
+    out = None
+    for level in range(deepest, -1, -1):
+        side = radius / 2**level
+        around = q.withColumn("_s", F.explode(near)).select(*group, query_id, "_qx", "_qy", (at("_qx", side) + F.col("_s.dx")).alias("_gx"), (at("_qy", side) + F.col("_s.dy")).alias("_gy"))
+        placed = p.withColumns({"_gx": at("_px", side), "_gy": at("_py", side)})
+        # a little less than the side, so that rounding hides no nearer point in a cell beyond
+        reach = radius if level == 0 else side * 0.999
+        close = spread(around, 9 * q.count(), *cell).join(placed, cell).withColumn("distance", d).where(F.col("distance") <= reach)
+        best = close.groupBy(query_id).agg(F.min(F.struct("distance", point_id)).alias("_best"))
+        if level:
+            best = best.checkpoint()
+            q = q.join(best.select(query_id), query_id, "left_anti").checkpoint()
+        out = best if out is None else out.unionByName(best)
+    return out.select(query_id, F.col(f"_best.{point_id}").alias(point_id), F.col("_best.distance").alias("distance"))
 
 
 def attach_exact_then_near(cells: DataFrame, features: DataFrame, keys: list[str], group: list[str], radius: float, cell_id: str = "cell_id", row_id: str = "row_id") -> DataFrame:
