@@ -22,6 +22,8 @@ from pyspark.sql.types import StructType
 from cytofold.shipping import on_executors
 
 SIZE = 256
+#: Bytes of blocks after which a task hands on what it sends, so that it never holds the strips of a whole batch.
+SENT = 8 << 20
 _AROUND = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 
 
@@ -48,16 +50,17 @@ def to_blocks(px: DataFrame, key: str, size: int = SIZE, value: str = "value", f
     and null values, are ``fill``; of repeated pixels the largest value counts. Rows
     with a null place or outside the image are left out."""
     on_executors(px.sparkSession)
-    rows = px.where("y >= 0 and x >= 0 and y < height and x < width").groupBy(key, "y", "x").agg(F.max(F.col(value).cast("double")).alias("value"), F.max("height").cast("int").alias("height"), F.max("width").cast("int").alias("width"))
+    rows = px.where("y >= 0 and x >= 0 and y < height and x < width").select(key, "y", "x", F.col(value).cast("double").alias("value"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"))
     rows = rows.withColumns({"by": F.floor(F.col("y") / size).cast("int"), "bx": F.floor(F.col("x") / size).cast("int")})
 
     def dense(part: pd.DataFrame) -> pd.DataFrame:
         one = part.iloc[:1]
-        by, bx, height, width = (int(one[c].iloc[0]) for c in ("by", "bx", "height", "width"))
-        data = np.full((min(size, height - by * size), min(size, width - bx * size)), fill)
-        v = part["value"].to_numpy(float)
-        data[part["y"].to_numpy() - by * size, part["x"].to_numpy() - bx * size] = np.where(np.isnan(v), fill, v)
-        return one[[key, "by", "bx", "height", "width"]].assign(data=[data.tobytes()])
+        by, bx, height, width = int(one["by"].iloc[0]), int(one["bx"].iloc[0]), int(part["height"].max()), int(part["width"].max())
+        data = np.full((min(size, height - by * size), min(size, width - bx * size)), np.nan)
+        # fmax leaves out what is unknown
+        np.fmax.at(data, (part["y"].to_numpy() - by * size, part["x"].to_numpy() - bx * size), part["value"].to_numpy(float))
+        data[np.isnan(data)] = fill
+        return one[[key, "by", "bx"]].assign(height=np.int32(height), width=np.int32(width), data=[data.tobytes()])
 
     return rows.groupBy(key, "by", "bx").applyInPandas(dense, _fields(rows, [key, "by", "bx", "height", "width"], "data binary"))
 
@@ -99,7 +102,7 @@ def over_windows(blocks: DataFrame, key: str, radius: int, kernel: Callable[[np.
 
     def send(parts):
         for part in parts:
-            out = []
+            out, held = [], 0
             for row in part.itertuples(index=False):
                 named = dict(zip(part.columns, row, strict=True))
                 by, bx, height, width = (int(x) for x in row[1:5])
@@ -114,6 +117,10 @@ def over_windows(blocks: DataFrame, key: str, radius: int, kernel: Callable[[np.
                     strip = data[ys[0] : ys[1], xs[0] : xs[1]]
                     own = [named[c] if not (dy or dx) or c in shared else None for c in carried_names]
                     out.append((row[0], ty, tx, height, width, by * size + ys[0], bx * size + xs[0], strip.shape[0], strip.tobytes(), not (dy or dx), *own))
+                held += data.nbytes
+                if held >= SENT:
+                    yield pd.DataFrame(out, columns=[*grid, "_y", "_x", "_h", "_data", "_own", *carried_names])
+                    out, held = [], 0
             yield pd.DataFrame(out, columns=[*grid, "_y", "_x", "_h", "_data", "_own", *carried_names])
 
     sent = rows.mapInPandas(send, StructType([*_fields(rows, grid, "_y int, _x int, _h int, _data binary, _own boolean").fields, *rows.select(*carried_names).schema.fields]))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cytofold.operators import blocks as B
-from cytofold.operators.graph import ensure_checkpoint_dir, local_components
+from cytofold.operators.graph import ensure_checkpoint_dir, local_components, spread
 from cytofold.operators.raster import label_pixels, moved
 from cytofold.shipping import on_executors
 
@@ -53,12 +53,15 @@ def distance_transform(mask: DataFrame, key: str, sy: float = 1.0, sx: float = 1
     pixels at a run's ends can be nearer than they are, so a run of one row is the
     most that meets. Repeated pixels count once, rows with a null place not at all."""
     on_executors(mask.sparkSession)
-    px = mask.where("y is not null and x is not null").groupBy(key, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).agg(F.max("height").cast("int").alias("height"), F.max("width").cast("int").alias("width"))
-    px = px.withColumn("_run", F.col("y") - F.row_number().over(Window.partitionBy(key, "x").orderBy("y")))
+    ensure_checkpoint_dir(mask.sparkSession)
+    px = mask.where("y is not null and x is not null").groupBy(key, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).agg(F.max("height").cast("int").alias("height"), F.max("width").cast("int").alias("width")).checkpoint()
+    rows_in_all = px.count()
+    px = spread(px, rows_in_all, key, "x").withColumn("_run", F.col("y") - F.row_number().over(Window.partitionBy(key, "x").orderBy("y")))
     run = Window.partitionBy(key, "x", "_run")
     first, last = F.min("y").over(run), F.max("y").over(run)
     up, down = F.when(first > 0, F.col("y") - first + 1), F.when(last < F.col("height") - 1, last - F.col("y") + 1)
     px = px.select(key, "y", "x", "height", "width", (F.least(up, down) * float(sy)).alias("_g"))
+    px = spread(px, rows_in_all, key, "y")
     before = F.lag("x").over(Window.partitionBy(key, "y").orderBy("x"))
     px = px.withColumn("_new", before.isNull() | (before < F.col("x") - 1))
 
@@ -219,6 +222,9 @@ def rebuilt(surface: DataFrame, key: str, h: float, value: str = "value", size:
                         near = {-1: y == 0, 0: np.ones(len(y), bool), 1: y == size - 1}[dy] & {-1: x == 0, 0: np.ones(len(x), bool), 1: x == size - 1}[dx]
                         if near.any():
                             out.append((k, by + dy, bx + dx, rows[near].tobytes()))
+                if len(out) >= 1_000:
+                    yield pd.DataFrame(out, columns=[*grid, "strip"])
+                    out = []
             yield pd.DataFrame(out, columns=[*grid, "strip"])
 
     blocks = B.to_blocks(surface, key, size, value, np.nan)

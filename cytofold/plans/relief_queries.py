@@ -9,6 +9,7 @@ from cytofold.operators import raster as T
 from cytofold.operators import relief as R
 from cytofold.operators import skeleton as K
 from cytofold.operators import stencils as S
+from cytofold.operators.graph import spread
 from cytofold.plans.registry import Registry, rounded
 from cytofold.plans.stand_in import PIXELS_SQL, pixels, table
 
@@ -20,13 +21,15 @@ _DISK = [(dy, dx) for dy in range(-4, 5) for dx in range(-4, 5) if dy * dy + dx
 
 
 def _plots(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("image"), F.pmod(F.round(F.abs("c_acctbal") * 100).cast("long"), F.lit(192)).alias("y0"), (F.pmod(F.col("c_custkey") * 7919, F.lit(191)) + 4).alias("x0"))
+    customers = table(spark, sf_dir, "customer")
+    rows = customers.count() * 30  # a disk has 30 pixels on average
+    c = customers.select("c_custkey", F.col("c_nationkey").alias("image"), F.pmod(F.round(F.abs("c_acctbal") * 100).cast("long"), F.lit(192)).alias("y0"), (F.pmod(F.col("c_custkey") * 7919, F.lit(191)) + 4).alias("x0"))
     width = c.agg((F.floor(F.max("c_custkey") / 2500) * 200 + 200).cast("int").alias("width"))
     step = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in _DISK)))
-    px = c.withColumn("s", step).where("s.dy * s.dy + s.dx * s.dx <= (2 + c_custkey % 3) * (2 + c_custkey % 3)")
+    px = spread(c, rows, "c_custkey").withColumn("s", step).where("s.dy * s.dy + s.dx * s.dx <= (2 + c_custkey % 3) * (2 + c_custkey % 3)")
     px = px.select("image", (F.col("y0") + 4 + F.col("s.dy")).cast("int").alias("y"), (F.col("x0") + F.floor(F.col("c_custkey") / 2500) * 200 + F.col("s.dx")).cast("int").alias("x"))
     # the extent is one row
-    return px.distinct().crossJoin(F.broadcast(width)).withColumn("height", F.lit(200))
+    return spread(px, rows, "image", "y", "x").distinct().crossJoin(F.broadcast(width)).withColumn("height", F.lit(200))
 
 
 _PLOTS_SQL = """plots AS (SELECT DISTINCT c_nationkey AS image, (round(abs(c_acctbal) * 100)::BIGINT % 192 + 4 + a.d)::INTEGER AS y, ((c_custkey * 7919) % 191 + 4 + (c_custkey // 2500) * 200 + b.d)::INTEGER AS x
