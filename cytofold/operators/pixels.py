@@ -10,14 +10,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from cytofold.operators.graph import connected_components
-from cytofold.shipping import on_executors
 
 OBJECT = ("cell_id", "organelle", "label")
 # Whole compartments and sessions that make no contact pair.
@@ -361,47 +359,79 @@ def perimeter_crofton(px: DataFrame) -> DataFrame:
 def area_convex(px: DataFrame) -> DataFrame:
     """(cell_id, organelle, label, area_convex): pixels whose centres lie in the convex
     hull of the middles of the object's pixel sides. An object's pixels, bounded by
-    its crop, meet in one task; its hull comes from the ends of its rows."""
-    on_executors(px.sparkSession)
-    mask = px.select(*OBJECT, "y", "x").distinct()
+    its crop, meet in one task; many objects are worked on at once."""
+    from cytofold.operators.raster import in_groups
+
+    mask = px.where("y is not null and x is not null").select(*OBJECT, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
     schema = StructType([*mask.select(*OBJECT).schema.fields, StructField("area_convex", LongType())])
 
-    def count(part: pd.DataFrame) -> pd.DataFrame:
-        return part[list(OBJECT)].iloc[:1].assign(area_convex=hull_pixels(part["y"].to_numpy(np.int64), part["x"].to_numpy(np.int64)))
-
-    return mask.groupBy(*OBJECT).applyInPandas(count, schema)
-
-
-def hull_pixels(y: np.ndarray, x: np.ndarray) -> int:
-    """Pixels in the hull of the side middles of the pixels given; in doubled coordinates all are whole numbers."""
-    rows, at = np.unique(y, return_inverse=True)
-    low, high = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), np.iinfo(np.int64).min)
-    np.minimum.at(low, at, x)
-    np.maximum.at(high, at, x)
-    points = sorted({p for r, a, b in zip((2 * rows).tolist(), (2 * low).tolist(), (2 * high).tolist(), strict=True) for p in ((r, a - 1), (r - 1, a), (r + 1, a), (r, b + 1), (r - 1, b), (r + 1, b))})
-
-    def chain(sign: int) -> list[tuple[int, int]]:
-        out: list[tuple[int, int]] = []
-        for p in points:
-            while len(out) > 1 and sign * ((out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0])) <= 0:
-                out.pop()
-            out.append(p)
-        return out
-
-    total, left, right = 0, chain(1), chain(-1)
-    i = j = 0
-    for r in range(int(2 * rows[0]), int(2 * rows[-1]) + 1, 2):
-        while left[i + 1][0] < r:
-            i += 1
-        while right[j + 1][0] < r:
-            j += 1
-        (r0, c0), (r1, c1) = left[i], left[i + 1]
-        (s0, d0), (s1, d1) = right[j], right[j + 1]
-        # the least even column at or right of the left side, the largest at or left of the right side
-        a = -((-(c0 * (r1 - r0) + (c1 - c0) * (r - r0))) // (2 * (r1 - r0)))
-        b = (d0 * (s1 - s0) + (d1 - d0) * (r - s0)) // (2 * (s1 - s0))
-        total += max(0, b - a + 1)
-    return int(total)
+    def count(part: pa.Table) -> pa.Table:
+        start = np.flatnonzero(part.column("_new").to_numpy())
+        area = hull_pixels(part.column("y").to_numpy(), part.column("x").to_numpy(), start)
+        return part.select(list(OBJECT)).take(pa.array(start)).append_column("area_convex", pa.array(area))
+
+    return in_groups(mask, list(OBJECT), ["y", "x"], count, schema)
+
+
+def _hull_side(group: np.ndarray, at: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The points (group, at, value) of the lower convex hull of each of ``n`` groups of points,
+    sorted by group and place. Every step takes the next point of all groups at once."""
+    head = np.searchsorted(group, np.arange(n + 1))
+    size = np.diff(head)
+    stack, top = np.empty(len(at), np.int64), np.zeros(n, np.int64)  # a group's stack lies where its points lie
+    order = np.argsort(-size, kind="stable")
+    longer = len(size) - np.searchsorted(np.sort(size), np.arange(size.max(initial=0)), side="right")
+    for k in range(size.max(initial=0)):
+        own = order[: longer[k]]
+        point = head[own] + k
+        turn = np.arange(len(own))
+        while True:
+            turn = turn[top[own[turn]] > 1]
+            g, p = own[turn], point[turn]
+            b, a = stack[head[g] + top[g] - 1], stack[head[g] + top[g] - 2]
+            above = (value[b] - value[a]) * (at[p] - at[a]) >= (value[p] - value[a]) * (at[b] - at[a])
+            turn = turn[above]
+            if not len(turn):
+                break
+            top[own[turn]] -= 1
+        stack[head[own] + top[own]] = point
+        top[own] += 1
+    kept = stack[np.arange(len(at)) - np.repeat(head[:-1], size) < np.repeat(top, size)]
+    return group[kept], at[kept], value[kept]
+
+
+def hull_pixels(y: np.ndarray, x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of each object, whose pixels begin at ``start`` and are sorted by y and x, the pixels in the hull of
+    the side middles of its pixels; in doubled coordinates all are whole numbers."""
+    n = len(start)
+    if not n:
+        return np.zeros(0, np.int64)
+    own = np.repeat(np.arange(n), np.diff(np.r_[start, len(y)]))
+    first = np.flatnonzero(np.r_[True, (np.diff(own) != 0) | (np.diff(y) != 0)])
+    last = np.r_[first[1:], len(y)] - 1
+    row, obj = 2 * y[first], own[first]
+    # every row from an object's first to its last, also those without pixels
+    a = np.flatnonzero(np.r_[True, np.diff(obj) != 0])
+    low, high = row[a] // 2, row[np.r_[a[1:], len(row)] - 1] // 2
+    n_rows = high - low + 1
+    asked = np.repeat(np.arange(n), n_rows)
+    r = 2 * (np.arange(n_rows.sum()) - np.repeat(np.cumsum(n_rows) - n_rows, n_rows) + np.repeat(low, n_rows))
+    least = r.min() - 2
+    wide = int(r.max() - least + 4)
+
+    def side(middle: np.ndarray) -> np.ndarray:
+        """The least even column at or right of the hull's left side in each row asked for."""
+        g, at, v = np.repeat(obj, 3), np.repeat(row, 3) + np.tile([-1, 0, 1], len(row)), np.repeat(middle, 3) - np.tile([0, 1, 0], len(row))
+        by = np.lexsort((v, at, g))
+        g, at, v = g[by], at[by], v[by]
+        one = np.r_[True, (np.diff(g) != 0) | (np.diff(at) != 0)]  # of one place the outer point
+        g, at, v = _hull_side(g[one], at[one], v[one], n)
+        j = np.searchsorted(g * wide + at - least, asked * wide + r - least, side="right")
+        i = j - 1
+        return -((-(v[i] * (at[j] - at[i]) + (v[j] - v[i]) * (r - at[i]))) // (2 * (at[j] - at[i])))
+
+    left, right = side(2 * x[first]), -side(-2 * x[last])
+    return np.bincount(asked, np.maximum(0, right - left + 1), n).astype(np.int64)
 
 
 def cell_features(px: DataFrame, cell: str = "cell", sy: float = 1.0, sx: float = 1.0) -> DataFrame:
@@ -428,12 +458,22 @@ def cell_features(px: DataFrame, cell: str = "cell", sy: float = 1.0, sx: float
 
 def euler_number(px: DataFrame) -> DataFrame:
     """Objects less holes (pixels touching at corners are one): corners less sides plus faces of the pixel squares."""
-    mask = px.select(*OBJECT, "y", "x").distinct()
-    corner = [F.struct((2 * F.col("y") + dy).alias("y"), (2 * F.col("x") + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    parts = mask.select(*OBJECT, F.explode(F.array(*corner)).alias("p")).distinct()
-    # in doubled coordinates a face is even-even, a side mixed, a corner odd-odd
-    odd = F.abs(F.col("p.y") % 2) + F.abs(F.col("p.x") % 2)
-    return parts.groupBy(*OBJECT).agg(F.sum(F.when(odd == 1, -1).otherwise(1)).alias("euler_number"))
+    from cytofold.operators.raster import in_groups
+
+    mask = px.where("y is not null and x is not null").select(*OBJECT, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    schema = StructType([*mask.select(*OBJECT).schema.fields, StructField("euler_number", LongType())])
+
+    def count(part: pa.Table) -> pa.Table:
+        start = np.flatnonzero(part.column("_new").to_numpy())
+        y, x = part.column("y").to_numpy(), part.column("x").to_numpy()
+        own = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(y)]))
+        high, wide = int(y.max() - y.min()) + 2, int(x.max() - x.min()) + 2
+        code = (own * high + y - y.min()) * wide + x - x.min()
+        different = lambda *steps: np.bincount(np.unique(np.concatenate([code + s for s in steps])) // (high * wide), minlength=len(start))
+        number = different(0) - different(0, 1) - different(0, wide) + different(0, 1, wide, wide + 1)
+        return part.select(list(OBJECT)).take(pa.array(start)).append_column("euler_number", pa.array(number.astype(np.int64)))
+
+    return in_groups(mask, list(OBJECT), ["y", "x"], count, schema)
 
 
 def area_filled(px: DataFrame, key: str = "object_id") -> DataFrame:
