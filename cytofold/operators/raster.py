@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from cytofold.operators.graph import connected_components, ensure_checkpoint_dir, local_components
+from cytofold.operators.graph import connected_components, connected_components_in_ranges, ensure_checkpoint_dir, local_components
 from cytofold.operators.stencils import ridges, smoothed  # noqa: F401
 from cytofold.shipping import on_executors
 
@@ -482,7 +482,7 @@ def stitch(edges: DataFrame, offsets: DataFrame) -> DataFrame:
     b = offsets.select(F.col("tile").alias("tile_b"), F.col("offset").alias("_ob"))
     pairs = edges.where("label_a > 0 and label_b > 0").join(a, "tile_a").join(b, "tile_b")
     named = pairs.select((F.col("label_a") + F.col("_oa")).alias("src"), (F.col("label_b") + F.col("_ob")).alias("dst")).where("src <> dst")
-    return connected_components(named).select(F.col("node").alias("label"), F.col("component").alias("merged"))
+    return connected_components_in_ranges(named).select(F.col("node").alias("label"), F.col("component").alias("merged"))
 
 
 def seam_pairs(right_edge: DataFrame, left_edge: DataFrame) -> DataFrame:
