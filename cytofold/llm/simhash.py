@@ -32,6 +32,7 @@ from cytofold.shipping import on_executors
 
 SEED = 42
 BLOCK = 1 << 20  # pairs compared at once
+ROWS = 1024  # texts of a batch that are worked on at once
 
 
 def fingerprint(text: str, words: int = 4) -> int:
@@ -58,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
         fp = np.array([fingerprint(t or "", words) for t in batch.column("text").to_pylist()], np.uint64)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return map_batches(docs.select("doc_id", "text"), lambda: each, "doc_id long, fp long")
+    return map_batches(docs.select("doc_id", "text"), lambda: each, "doc_id long, fp long", ROWS)
 
 
 class _Tiles:
@@ -258,7 +259,7 @@ def similar_documents(docs: DataFrame, words: int = 5, radius: int = 24, similar
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], ["doc_id", "low", "high", "size"])
 
     print_ = F.struct("low", "high", "size").alias("fp")
-    rows = map_batches(docs.select("doc_id", "text"), lambda: each, "doc_id long, low long, high long, size long").select("doc_id", print_).checkpoint()
+    rows = map_batches(docs.select("doc_id", "text"), lambda: each, "doc_id long, low long, high long, size long", ROWS).select("doc_id", print_).checkpoint()
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).checkpoint()
     groups = max(min_groups, math.ceil(least.count() / group_rows))
     own = F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(groups)).cast("int")

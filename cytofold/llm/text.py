@@ -27,15 +27,18 @@ def map_batches(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]],
     schema: str,
+    rows: int | None = None,
 ) -> DataFrame:
     """``mapInArrow`` with per-task set-up: ``make()`` runs once in each task
-    and returns the function applied to every non-empty batch."""
+    and returns the function applied to every non-empty batch, or to its parts
+    of ``rows`` rows at most, which bounds what a worker holds as Python objects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            if batch.num_rows and (out := each(batch)) is not None:
-                yield out
+            for part in pieces_of(batch, rows or max(1, batch.num_rows)):
+                if (out := each(part)) is not None:
+                    yield out
 
     return in_arrow(df, run, schema)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytofold.llm.text import bounded_sample, held_out, in_arrow, map_batches, texts_of
+from cytofold.llm.text import bounded_sample, held_out, in_arrow, map_batches, pieces_of, texts_of
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = str.maketrans(
@@ -49,6 +49,8 @@ _LEET = re.compile(r"(?<![^\W_])[0134578@$!]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578@
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 _WORD = re.compile(r"[^\W\d_]+")
 STEM_MIN, STEM_MAX = 4, 8
+#: Rows of a batch that are worked on at once.
+ROWS = 1024
 
 
 def fold(text: str) -> str:
@@ -159,7 +161,7 @@ class ToxicityModel:
 def _counts(batches: Iterable[pa.RecordBatch]):
     """Documents with each candidate entry, by label, summed within the task."""
     by = (Counter(), Counter())
-    for batch in batches:
+    for batch in (part for whole in batches for part in pieces_of(whole, ROWS)):
         for text, y in zip(texts_of(batch.column("text")), batch.column("y").to_pylist(), strict=True):
             by[y].update(entries_of(fold(text)))
     # every count: whether an entry is toxic elsewhere, the task cannot know
@@ -177,7 +179,7 @@ def _phrases(model: ToxicityModel):
 
     def count(batches: Iterable[pa.RecordBatch]):
         by = (Counter(), Counter())
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces_of(whole, ROWS)):
             for text, y in zip(texts_of(batch.column("text")), batch.column("y").to_pylist(), strict=True):
                 by[y].update(model.neighbours(fold(text)))
         names = list(by[0].keys() | by[1].keys())
@@ -264,7 +266,7 @@ def fit_toxicity(
             return pa.RecordBatch.from_pydict({"a": [v[0] for v in x], "b": [v[1] for v in x], "y": batch.column("y")})
 
         # two numbers for each row of the fit
-        points = map_batches(rows, lambda: features, "a double, b double, y int").collect()
+        points = map_batches(rows, lambda: features, "a double, b double, y int", ROWS).collect()
     finally:
         rows.unpersist()
     x = np.array([(r["a"], r["b"]) for r in points])
@@ -292,7 +294,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         return each
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return map_batches(rows, make, "doc_id long, held_out boolean, score double, predicted int")
+    return map_batches(rows, make, "doc_id long, held_out boolean, score double, predicted int", ROWS)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, cut: float = 0.5) -> DataFrame:
@@ -303,4 +305,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, cut: float = 0.5) -> DataF
         own = shared.value
         return lambda batch: batch.filter(pa.array([own.score(t) < cut for t in texts_of(batch.column("text"))], pa.bool_()))
 
-    return map_batches(docs, make, docs.schema)
+    return map_batches(docs, make, docs.schema, ROWS)

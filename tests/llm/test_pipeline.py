@@ -40,3 +40,12 @@ def test_stages_against_brute_force(spark, tmp_path):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
     text = {r.doc_id: r.text for r in before}
     assert {r.doc_id: list(r.ids) for r in after} == {i: library.encode(t) for i, t in text.items()}
+
+
+def test_batches_are_worked_on_in_parts(spark):
+    import pyarrow as pa
+
+    from cytofold.llm.text import map_batches
+
+    rows = map_batches(spark.range(0, 5000, 1, 1), lambda: lambda batch: pa.RecordBatch.from_pydict({"n": [batch.num_rows]}), "n long", 1024)
+    assert sorted(r["n"] for r in rows.collect()) == [904, 1024, 1024, 1024, 1024]
