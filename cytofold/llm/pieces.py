@@ -18,29 +18,34 @@ that different tasks scan.
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from cytofold.llm.text import map_batches, texts_of
 
 SPACE = "▁"
-#: Words and pairs that a process remembers, about 100 MB; full tables begin anew.
-WORDS_KEPT = 300_000
-PAIRS_KEPT = 500_000
+#: Words and pairs that a model remembers, about 80 MB. A full table of pairs begins anew, one of words is
+#: kept until the next is full. The tables live in the broadcast model, so a worker lets go of them with it.
+WORDS_KEPT = 120_000
+PAIRS_KEPT = 250_000
+#: Rows of a batch that are worked on at once.
+ROWS = 1024
 #: Chunks of a giant text that are cut from one block of it.
 CHUNKS = 64
 State = tuple[int, int, int]  # start, end, piece
-#: The tables of the model in use: a worker that serves many tasks keeps one set.
-_REMEMBERED: dict[int, tuple[dict[str, bytes], dict[int, bool]]] = {}
 
 
 @dataclass
@@ -60,15 +65,39 @@ class PieceModel:
         self.byte_ids = {int(p[3:5], 16): k for k, p in enumerate(self.names) if self.kinds[k] == "b"}
         if any(SPACE in p[1:] and p.strip(SPACE) for p in self.ids):
             raise ValueError("pieces with white space inside or at their end are not supported")
+        self.unit = self._units()
+        self.words: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+        self.made: dict[str, tuple[list[float], list[str], list[str]] | None] = {}
+        self.characters = {p for p in self.ids if len(p) == 1}
+
+    def _units(self) -> re.Pattern:
+        """Parts of a text that no piece lies across: words, and in them letters apart from what is no letter.
+
+        Letters that some piece holds beside another character are not told from it."""
         alone = "" if any("\n" in p for p in self.ids) else "\n"
-        self.unit = re.compile(f"{alone}|{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" if alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        own = zlib.crc32("\n".join(self.names).encode("utf-8", "replace"))
-        if own not in _REMEMBERED:
-            _REMEMBERED.clear()
-            _REMEMBERED[own] = ({}, {})
-        self.words, self.pairs = _REMEMBERED[own]
-        # the id of every piece, and -1 for what only begins one
-        self.starts = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
+        mixed, found = set(), {""}
+        while found:
+            mixed |= found
+            letters = re.compile(rf"[^\W\d_{re.escape(''.join(sorted(mixed)))}]+")
+            found = {c for p in self.ids if (q := p.lstrip(SPACE)) and not letters.fullmatch(q) for run in letters.findall(q) for c in run}
+        one, also = letters.pattern, rf"(?:[^\w{SPACE}{alone}]|[\d_{re.escape(''.join(sorted(mixed)))}])+"
+        return re.compile(f"{SPACE}*(?:{one}|{also})|{SPACE}+" + f"|{alone}" * bool(alone))
+
+    @cached_property
+    def starts(self) -> dict[str, int]:
+        """The id of every piece, and -1 for what only begins one."""
+        return {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Finds the pieces that end at each position: their length and id."""
+        machine = ahocorasick.Automaton()
+        for p, k in self.ids.items():
+            machine.add_word(p, (len(p), k))
+        machine.make_automaton()
+        return machine
 
     def __getstate__(self):
         return (self.names, self.scores, self.kinds, self.unknown, self.dummy_prefix)
@@ -87,12 +116,19 @@ class PieceModel:
         prefix = bool(m.encode("a", out_type=str)[0].startswith(SPACE))
         return cls([m.id_to_piece(k) for k in range(n)], [m.get_score(k) for k in range(n)], kinds, m.unk_id(), prefix)
 
+    def shared(self, spark: SparkSession) -> Broadcast:
+        """The model broadcast, once a context: encoding and decoding find one copy in a worker."""
+        known = self.__dict__.get("_shared")
+        if known is None or known[0] is not spark.sparkContext:
+            known = self._shared = (spark.sparkContext, spark.sparkContext.broadcast(self))
+        return known[1]
+
     def surface(self, text: str) -> str:
         """The text as pieces see it; the empty text stays empty."""
         return (SPACE if self.dummy_prefix and text else "") + text.replace(" ", SPACE)
 
-    def merged(self, text: str) -> list[str]:
-        """Neighbours are merged, best score first, leftmost of equals; for short strings."""
+    def merges(self, text: str) -> Iterator[tuple[list[str], float]]:
+        """Neighbours are merged, best score first, leftmost of equals: the parts after each merge, and its score; for short strings."""
         parts = list(text)
         while len(parts) > 1:
             best, at = None, -1
@@ -103,6 +139,13 @@ class PieceModel:
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            yield parts, best
+
+    def merged(self, text: str) -> list[str]:
+        """What the merges of a short string leave."""
+        parts = list(text)
+        for parts, _ in self.merges(text):  # noqa: B007
+            pass
         return parts
 
     def piece_at(self, text: str, start: int, end: int) -> int | None:
@@ -121,15 +164,66 @@ class PieceModel:
                 self.pairs.clear()
             right = self.names[piece]
             left = self.names[last] if key >> 20 else ""
-            known = self.merged(left + right) == ([left, right] if left else [right])
+            known = self.fits(left, right)
             self.pairs[key] = known
         return known
 
+    def steps(self, piece: str) -> tuple[list[float], list[str], list[str]] | None:
+        """Scores of the merges that make the piece, in their order and with an end below all, and its first and
+        last part before each; None if the merges end otherwise."""
+        known = self.made.get(piece, 0)
+        if known == 0:
+            scores: list[float] = []
+            firsts, lasts = [piece[0]], [piece[-1]]
+            for parts, score in self.merges(piece):
+                scores.append(score)
+                firsts.append(parts[0])
+                lasts.append(parts[-1])
+            known = self.made[piece] = ([*scores, -math.inf], firsts, lasts) if firsts[-1] == piece else None
+        return known
+
+    def fits(self, left: str, right: str) -> bool:
+        """Do the merges of both strings together end with these two? ``left`` may be empty.
+
+        Each side's merges go on as if it were alone, the better next one first and the left of equals,
+        until what meets at the seam would be merged before both."""
+        b = self.steps(right)
+        if b is None or not left:
+            return b is not None
+        a = self.steps(left)
+        if a is None:
+            return False
+        of, scores, i, j = self.ids.get, self.scores, 0, 0
+        while True:
+            x, y, piece = a[0][i], b[0][j], of(a[2][i] + b[1][j])
+            if piece is not None and x < scores[piece] >= y:
+                return False
+            if x == y == -math.inf:
+                return True
+            if x >= y:
+                i += 1
+            else:
+                j += 1
+
     def forward(self, text: str, start: int, end: int, last: int | None) -> dict[int, tuple[int, int | None]]:
         """Scan from ``start``, where ``last`` ends: for every position up to
         ``end`` that a path of weight 0 reaches, the start and id of its last piece."""
         reached: dict[int, tuple[int, int | None]] = {start: (start, last)}
-        starts, pairs, follows = self.starts.get, self.pairs, self.follows
+        pairs, follows = self.pairs, self.follows
+        if start < end and self.characters.issuperset(text[start:end]):
+            for at, (size, piece) in self.automaton.iter(text, start, end):
+                stop = at + 1
+                if stop in reached or (own := reached.get(stop - size)) is None:
+                    continue
+                before = own[1]
+                fits = pairs.get((before + 1) << 20 | piece if before is not None and before >= 0 else piece)
+                if fits is None:
+                    fits = follows(before, piece)
+                if fits:
+                    reached[stop] = (stop - size, piece)
+            return reached
+        # a character without a piece may stand anywhere
+        starts = self.starts.get
         for begin in range(start, end):
             own = reached.get(begin)
             if own is None:
@@ -178,13 +272,18 @@ class PieceModel:
 
     def word(self, unit: str) -> bytes:
         """Ids (int32) of a unit, remembered; a long unit is scanned in chunks."""
-        if len(unit) <= 256:
+        if (found := self.former.get(unit)) is not None:
+            pass
+        elif len(unit) <= 256:
             pieces = self.trace(self.forward(unit, 0, len(unit), None), 0, len(unit))
         else:
             pieces = scan(self, unit, 128)
-        found = array("i", pieces if min(pieces, default=0) >= 0 else self.as_ids(pieces)).tobytes()
+        if found is None:
+            found = array("i", pieces if min(pieces, default=0) >= 0 else self.as_ids(pieces)).tobytes()
         if len(unit) <= 64:
             if len(self.words) >= WORDS_KEPT:
+                self.former.clear()
+                self.former.update(self.words)
                 self.words.clear()
             self.words[unit] = found
         return found
@@ -325,7 +424,7 @@ def encode(docs: DataFrame, model: PieceModel, giant_chars: int = 1 << 16, chunk
     into chunks of ``chunk_chars`` that are scanned, joined and traced as rows of
     their own; the result is the same. Repeated rows are returned as often as
     they occur; only doc_id and text are read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs.sparkSession)
 
     def make():
         own = shared.value
@@ -338,7 +437,7 @@ def encode(docs: DataFrame, model: PieceModel, giant_chars: int = 1 << 16, chunk
 
     rows = docs.select("doc_id", "text")
     giant = F.coalesce(F.length("text"), F.lit(0)) > giant_chars
-    plain = map_batches(rows.where(~giant), make, "doc_id long, ids array<int>")
+    plain = map_batches(rows.where(~giant), make, "doc_id long, ids array<int>", ROWS)
     large = _encode_giant(rows.where(giant), shared, chunk_chars)
     return plain.unionByName(large).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
@@ -408,7 +507,7 @@ def _encode_giant(rows: DataFrame, shared, size: int) -> DataFrame:
 def decode(encoded: DataFrame, model: PieceModel) -> DataFrame:
     """All columns of ``encoded`` and ``decoded``, the text of ``ids`` (null ids:
     null). A column of that name is replaced. Ids outside the model raise an error."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(encoded.sparkSession)
     kept = encoded.drop("decoded")
 
     def make():
@@ -422,4 +521,4 @@ def decode(encoded: DataFrame, model: PieceModel) -> DataFrame:
 
         return each
 
-    return map_batches(kept, make, StructType([*kept.schema.fields, StructField("decoded", StringType())]))
+    return map_batches(kept, make, StructType([*kept.schema.fields, StructField("decoded", StringType())]), ROWS)

@@ -1,5 +1,6 @@
 """Top-k search and the piece encoder against brute force and the public library."""
 
+import pickle
 import random
 
 import numpy as np
@@ -133,3 +134,30 @@ def test_giant_texts_of_many_blocks(spark, model, library):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = pieces.encode(df, model, 400, 64).collect()  # blocks of 64 chunks of 64 characters
     assert {r.doc_id: list(r.ids) for r in out} == {i: library.encode(t) for i, t in rows}
+
+
+def test_words_are_told_from_signs(model):
+    """Of a word and the signs after it only the word is scanned anew; no piece lies across."""
+    assert model.unit.findall("▁word,▁▁x²--▁12ab\n") == ["▁word", ",", "▁▁x", "²--", "▁12", "ab", "\n"]
+    for piece in model.ids:
+        assert len(model.unit.findall(piece)) == 1, piece
+
+
+def test_seam_of_two_pieces_equals_their_merges(model):
+    rng = random.Random(5)
+    names = sorted(model.ids)
+    for _ in range(4000):
+        left, right = rng.choice(names), rng.choice(names)
+        assert model.fits(left, right) == (model.merged(left + right) == [left, right])
+    for left, right in [("aa", "aa"), ("▁▁", "▁▁"), ("▁", "▁▁▁"), ("--", "-"), ("", "bu"), ("", "the")]:
+        assert model.fits(left, right) == (model.merged(left + right) == ([left, right] if left else [right]))
+
+
+def test_tables_are_bounded_and_go_with_the_model(model, monkeypatch):
+    """Words beyond the bound push out the oldest, and another model of a worker does not keep them."""
+    monkeypatch.setattr(pieces, "WORDS_KEPT", 50)
+    own = pickle.loads(pickle.dumps(model))
+    assert not own.words and not own.pairs
+    text = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}q" for k in range(400))
+    assert own.encode(text).tolist() == model.encode(text).tolist() == own.encode(text).tolist()
+    assert len(own.words) <= 50 and len(own.former) <= 50
