@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,10 +172,17 @@ def edge_distances(centroids: DataFrame, edges: DataFrame, name: str, sy: float
 def nucleus_direction(centroids: DataFrame, nucleus: DataFrame, sy: float = 1.0, sx: float = 1.0) -> DataFrame:
     """cell_id, organelle, label, distance_from_nucleus_centroid, angle_from_nucleus (atan2 of dy and dx) of each object.
 
-    ``nucleus``: cell_id, y, x of its pixels. Cells without a nucleus have no row."""
+    ``nucleus``: cell_id, y, x of its pixels. Cells without a nucleus have no row.
+    The angle is the C library's, as SQL takes it: Java's differs in the last digit, which decides at the edge of a wedge."""
+
+    @F.pandas_udf(DoubleType())
+    def angle(dy: pd.Series, dx: pd.Series) -> pd.Series:
+        return pd.Series([math.atan2(a, b) for a, b in zip(dy, dx, strict=True)], dtype=float)
+
     n = nucleus.select("cell_id", "y", "x").distinct().groupBy("cell_id").agg((F.avg("y") * sy).alias("_ny"), (F.avg("x") * sx).alias("_nx"))
     dy, dx = F.col("centroid_y") - F.col("_ny"), F.col("centroid_x") - F.col("_nx")
-    return centroids.join(n, "cell_id").select(*OBJECT, F.hypot(dy, dx).alias("distance_from_nucleus_centroid"), F.atan2(dy, dx).alias("angle_from_nucleus"))
+    found = centroids.join(n, "cell_id").select(*OBJECT, F.hypot(dy, dx).alias("distance_from_nucleus_centroid"), dy.alias("_dy"), dx.alias("_dx"))
+    return found.select(*OBJECT, "distance_from_nucleus_centroid", F.when(F.col("_dy").isNotNull() & F.col("_dx").isNotNull(), angle("_dy", "_dx")).alias("angle_from_nucleus"))
 
 
 def radial_position(to_nucleus: Column, to_edge: Column) -> Column:
