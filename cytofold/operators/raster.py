@@ -89,9 +89,9 @@ def label_pixels(mask: DataFrame, key: str, eight: bool = False, block: int = 51
     return out.select(key, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.coalesce("_root", "_part").alias("root"))
 
 
-def in_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.Table], pa.Table], schema: StructType) -> DataFrame:
+def in_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.Table], pa.Table], schema: StructType, least: int = 0) -> DataFrame:
     """``work`` on whole groups of ``keys``, sorted by ``order``, as many at a time as an Arrow
-    batch holds; ``_new`` marks the first row of each. So small groups cost no call each."""
+    batch, or ``least`` rows, holds; ``_new`` marks the first row of each. So small groups cost no call each."""
     on_executors(df.sparkSession)
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
 
@@ -99,7 +99,7 @@ def in_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[[
         held: list[pa.RecordBatch] = []
         for batch in batches:
             begins = np.flatnonzero(batch.column("_new").to_numpy(zero_copy_only=False))
-            if len(begins) and (held or begins[-1]):
+            if len(begins) and (held or begins[-1]) and sum(b.num_rows for b in held) + begins[-1] >= least:
                 yield from work(pa.Table.from_batches([*held, batch.slice(0, begins[-1])]).combine_chunks()).to_batches()
                 held = [batch.slice(begins[-1])]
             else:

@@ -1,10 +1,11 @@
 """Relief of masks and images: distance to the background, maxima that stand out,
 peaks with a least spacing, and floods from markers. No task holds an image: work
-goes by runs of a column or row, by blocks with a border, and by joins."""
+goes by whole parts, by runs of a column or row, by blocks with a border, and by joins."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cytofold.operators import blocks as B
 from cytofold.operators.graph import ensure_checkpoint_dir, local_components, spread
+from cytofold.operators.parts import Pixels, by_parts
 from cytofold.operators.raster import label_pixels, moved
 from cytofold.shipping import on_executors
 
@@ -43,6 +45,36 @@ def _row_minima(x: np.ndarray, g2: np.ndarray, start: np.ndarray, end: np.ndarra
     return best
 
 
+def _run_distances(x: np.ndarray, width: np.ndarray, new: np.ndarray, g: np.ndarray, sx: float = 1.0) -> np.ndarray:
+    """Distances along runs of rows, each begun by ``new``, whose columns found ``g``; inf if there is no background."""
+    start = np.flatnonzero(new)
+    end = np.r_[start[1:], len(x)][: len(start)]
+    # a run with the pixels at its ends: background, unless they lie outside the image
+    own = np.arange(len(x)) + 2 * np.repeat(np.arange(len(start)), end - start) + 1
+    wide_x, wide_g = np.zeros(len(x) + 2 * len(start)), np.zeros(len(x) + 2 * len(start))
+    wide_x[own], wide_g[own] = x, g
+    a, b = own[start] - 1, own[end - 1] + 1
+    wide_x[a], wide_x[b] = x[start] - 1, x[end - 1] + 1
+    wide_g[a[x[start] == 0]] = np.inf
+    wide_g[b[x[end - 1] == width[start] - 1]] = np.inf
+    return np.sqrt(_row_minima(wide_x * sx, wide_g**2, a, b + 1)[own])
+
+
+def _depths(p: Pixels) -> np.ndarray:
+    """``distance_transform`` of whole parts in one task; inf if there is no background."""
+    group = p.wide >> 41
+    order = np.lexsort((p.y, p.x, group))
+    y, x, g, height = p.y[order], p.x[order], group[order], p.height[order]
+    start = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1] + 1)][: len(p)])
+    n = np.diff(np.r_[start, len(p)])
+    first, last = np.repeat(y[start], n), np.repeat(y[start + n - 1], n)
+    up, down = np.where(first > 0, y - first + 1.0, np.inf), np.where(last < height - 1, last - y + 1.0, np.inf)
+    column = np.empty(len(p))
+    column[order] = np.minimum(up, down)
+    new = np.r_[True, (p.wide[1:] != p.wide[:-1] + 1) | (p.x[1:] == 0)][: len(p)]
+    return _run_distances(p.x, p.width, new, column)
+
+
 def distance_transform(mask: DataFrame, key: str, sy: float = 1.0, sx: float = 1.0) -> DataFrame:
     """(key, y, x, distance, height, width): Euclidean distance of every pixel of the mask
     to the nearest pixel of its image that the mask lacks; null if there is none.
@@ -71,17 +103,7 @@ def distance_transform(mask: DataFrame, key: str, sy: float = 1.0, sx: float = 1
         def solved(t: pa.Table) -> Iterator[pa.RecordBatch]:
             x, width, new = (t.column(c).to_numpy() for c in ("x", "width", "_new"))
             g = t.column("_g").fill_null(np.inf).to_numpy()
-            start = np.flatnonzero(new)
-            end = np.r_[start[1:], len(x)]
-            # a run with the pixels at its ends: background, unless they lie outside the image
-            own = np.arange(len(x)) + 2 * np.repeat(np.arange(len(start)), end - start) + 1
-            wide_x, wide_g = np.zeros(len(x) + 2 * len(start)), np.zeros(len(x) + 2 * len(start))
-            wide_x[own], wide_g[own] = x, g
-            a, b = own[start] - 1, own[end - 1] + 1
-            wide_x[a], wide_x[b] = x[start] - 1, x[end - 1] + 1
-            wide_g[a[x[start] == 0]] = np.inf
-            wide_g[b[x[end - 1] == width[start] - 1]] = np.inf
-            found = np.sqrt(_row_minima(wide_x * sx, wide_g**2, a, b + 1)[own])
+            found = _run_distances(x, width, new, g, sx)
             out = t.drop_columns(["_g", "_new"]).append_column("distance", pa.array(found, pa.float64(), mask=np.isinf(found)))
             yield from out.combine_chunks().to_batches()
 
@@ -257,14 +279,74 @@ def _latest(log: list[DataFrame], grid: list[str]) -> DataFrame:
     return every.join(last, [*grid, "round"], "left_semi")
 
 
-def h_maxima(surface: DataFrame, key: str, h: float, value: str = "value", size: int = B.SIZE) -> DataFrame:
+def _rising(p: Pixels, h: float) -> tuple[np.ndarray, np.ndarray]:
+    """``h_maxima`` of whole parts in one task: places of their pixels, and for each the place of its maximum's first.
+
+    The reconstruction goes on only from the pixels that rose."""
+    n = len(p)
+    near = p.around()
+    now, limit = np.r_[p.value - h, -np.inf], p.value
+    todo = np.arange(n)
+    while len(todo):
+        wide = np.max([now[to[todo]] for to in near], axis=0)
+        to = np.maximum(now[todo], np.minimum(wide, limit[todo]))
+        rose = to > now[todo]
+        todo = todo[rose]
+        now[todo] = to[rose]
+        hit = np.zeros(n + 1, bool)
+        for to in near:
+            hit[to[todo]] = True
+        todo = np.flatnonzero(hit[:n])
+    top = np.r_[now[:n] >= np.max([now[to] for to in near], axis=0), False]
+    slope = top[:n] & np.any([(now[to] == now[:n]) & ~top[to] for to in near], axis=0)
+    a, b = np.tile(np.arange(n), len(near)), np.concatenate(near)
+    tied = top[a] & top[b]
+    root = local_components(n, a[tied], b[tied])
+    # a part of a plateau that goes on to a pixel with a higher neighbour is no maximum
+    bad = np.zeros(n, bool)
+    bad[root[slope]] = True
+    at = np.flatnonzero(top[:n] & ~bad[root])
+    return at, root[at]
+
+
+def h_maxima(surface: DataFrame, key: str, h: float, value: str = "value", size: int = B.SIZE, rows: int | None = None, square: int = 512, most: int = 250_000) -> DataFrame:
     """(key, y, x, root): the pixels, and by ``root`` the parts, in which maxima end that
     rise by ``h`` or more above the highest way to a higher pixel: the regional maxima of
     the surface rebuilt from itself lowered by ``h``. ``surface`` has height and width;
-    pixels that it lacks are in no way."""
+    pixels that it lacks are in no way, so parts are worked on by themselves (``by_parts``)."""
     if h <= 0:
         raise ValueError("h must be positive")
 
+    def work(p: Pixels) -> tuple[np.ndarray, np.ndarray]:
+        at, root = _rising(p, h)
+        return at, p.code[root]
+
+    found, large = by_parts(surface, key, 1, work, "root", value, rows, square, most)
+    return found if large is None else found.unionByName(_h_maxima_by_blocks(large.withColumnRenamed("_value", value), key, h, value, size))
+
+
+def depth_maxima(mask: DataFrame, key: str, h: float, size: int = B.SIZE, rows: int | None = None, square: int = 512, most: int = 250_000) -> DataFrame:
+    """``h_maxima`` of the distances of a mask to the background, both from one exchange."""
+    if h <= 0:
+        raise ValueError("h must be positive")
+
+    def work(p: Pixels) -> tuple[np.ndarray, np.ndarray]:
+        p = replace(p, value=_depths(p))
+        inside = np.flatnonzero(np.isfinite(p.value))
+        q = p.only(inside)
+        at, root = _rising(q, h)
+        return inside[at], q.code[root]
+
+    found, large = by_parts(mask, key, 1, work, "root", None, rows, square, most)
+    if large is None:
+        return found
+    depth = distance_transform(large, key).withColumnRenamed("distance", "value").where("value is not null")
+    return found.unionByName(_h_maxima_by_blocks(depth, key, h, "value", size))
+
+
+def _h_maxima_by_blocks(surface: DataFrame, key: str, h: float, value: str, size: int) -> DataFrame:
+    """``h_maxima`` of parts of any size: the surface is rebuilt block by block."""
+
     def kernel(window: np.ndarray, place: B.Place) -> pd.DataFrame:
         value = np.where(np.isnan(window), -np.inf, window)
         around = lambda a: np.stack([a[1 + p : a.shape[0] - 1 + p, 1 + q : a.shape[1] - 1 + q] for p, q in B._AROUND if p or q])
@@ -289,6 +371,32 @@ def _order(w, lo, hi):
     return F.struct(w.alias("w"), lo.alias("lo"), hi.alias("hi"))
 
 
+def _grown(n: int, level: np.ndarray, lo: np.ndarray, hi: np.ndarray, u: np.ndarray, v: np.ndarray, marker: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For n pixels with edges (u, v; -1: elsewhere), each a part's number and that part's marker (0: none):
+    parts without a marker join along their lowest edge, as long as both ends are here."""
+    rank = np.empty(len(level), np.int64)
+    rank[np.lexsort((hi, lo, level))] = np.arange(len(level))
+    by_rank = np.argsort(rank)
+    comp, known = np.arange(n), marker.copy()
+    while True:
+        # the lowest edge that leaves each part
+        cu, cv = np.where(u >= 0, comp[u], -1), np.where(v >= 0, comp[v], -1)
+        leaves = cu != cv
+        least = np.full(n, len(level))
+        for c in (cu, cv):
+            at = leaves & (c >= 0)
+            np.minimum.at(least, c[at], rank[at])
+        hook = np.flatnonzero((least < len(level)) & (known == 0) & (comp == np.arange(n)))
+        edge = by_rank[least[hook]]
+        fine = (u[edge] >= 0) & (v[edge] >= 0)
+        hook, edge = hook[fine], edge[fine]
+        if not len(hook):
+            return comp, known
+        comp = local_components(n, np.r_[comp[u[edge]], np.arange(n)], np.r_[comp[v[edge]], comp])
+        known = np.zeros(n)
+        np.maximum.at(known, comp, marker)
+
+
 def _contracted(surface: DataFrame, markers: DataFrame, key: str, size: int) -> DataFrame:
     """(key, y, x, value, comp, marker, open): each block joined as far as its own edges allow."""
 
@@ -308,31 +416,11 @@ def _contracted(surface: DataFrame, markers: DataFrame, key: str, size: int) ->
             both = inside[a] & inside[b] & (own[a] | own[b])
             ends.append([np.maximum(window[a], window[b])[both], code[a][both], code[b][both], number[a][both], number[b][both]])
         level, lo, hi, u, v = (np.concatenate(z) for z in zip(*ends, strict=True))
-        rank = np.empty(len(level), np.int64)
-        rank[np.lexsort((hi, lo, level))] = np.arange(len(level))
-        by_rank = np.argsort(rank)
         marker = np.zeros(len(yy))
         if place.carried["marks"] is not None:
             marks = np.frombuffer(place.carried["marks"]).reshape(h, w)
             marker = marks[yy - 1, xx - 1]
-        comp, known = np.arange(len(yy)), marker.copy()
-        while True:
-            # the lowest edge that leaves each part
-            cu, cv = np.where(u >= 0, comp[u], -1), np.where(v >= 0, comp[v], -1)
-            leaves = cu != cv
-            least = np.full(len(yy), len(level))
-            for c in (cu, cv):
-                at = leaves & (c >= 0)
-                np.minimum.at(least, c[at], rank[at])
-            hook = np.flatnonzero((least < len(level)) & (known == 0) & (comp == np.arange(len(yy))))
-            edge = by_rank[least[hook]]
-            fine = (u[edge] >= 0) & (v[edge] >= 0)
-            hook, edge = hook[fine], edge[fine]
-            if not len(hook):
-                break
-            comp = local_components(len(yy), np.r_[comp[u[edge]], np.arange(len(yy))], np.r_[comp[v[edge]], comp])
-            known = np.zeros(len(yy))
-            np.maximum.at(known, comp, marker)
+        comp, known = _grown(len(yy), level, lo, hi, u, v, marker)
         cu, cv = np.where(u >= 0, comp[u], -1), np.where(v >= 0, comp[v], -1)
         ku, kv = np.where(u >= 0, known[cu], 0), np.where(v >= 0, known[cv], 0)
         free = (cu != cv) & ~((ku > 0) & (kv > 0))
@@ -406,7 +494,74 @@ def watershed(surface: DataFrame, markers: DataFrame, key: str, size: int = B.SI
     return flooded.withColumn("marker", F.when(F.col("marker") > 0, F.col("marker")).otherwise(F.col("_found"))).where("marker is not null").select(key, "y", "x", "marker")
 
 
-def split_objects(mask: DataFrame, key: str, spacing: int = 1, least: float = 1.0, h: float = 0.0, erosion: int = 0, smallest: int = 0, size: int = B.SIZE) -> DataFrame:
+def _served(p: Pixels, reach: int) -> np.ndarray:
+    """``first_served`` of points of whole parts in one task, highest first: which of them are kept."""
+    a, b = [], []
+    for dy in range(reach + 1):
+        for dx in range(-reach if dy else 1, reach + 1):
+            to = p.near(dy, dx)
+            hit = np.flatnonzero(to < len(p))
+            a.append(hit)
+            b.append(to[hit])
+    a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
+    ahead = p.value[a] >= p.value[b]
+    first, second = np.where(ahead, a, b), np.where(ahead, b, a)
+    kept = np.ones(len(p), bool)
+    while len(first):
+        waits = np.zeros(len(p), bool)
+        waits[second] = True
+        kept[second[~waits[first]]] = False
+        open_ = kept[first] & kept[second] & waits[first]
+        first, second = first[open_], second[open_]
+    return kept
+
+
+def _peaks(p: Pixels, spacing: int, least: float, h: float) -> np.ndarray:
+    """Places of the peaks from which ``split_objects`` floods, in whole parts with their depths."""
+    if h > 0:
+        at = np.unique(_rising(p, h)[1])
+        at = at[p.value[at] > least]
+    else:
+        at, value = np.flatnonzero(p.value > least), np.r_[p.value, -np.inf]
+        for dy in range(-spacing, spacing + 1):
+            for dx in range(-spacing, spacing + 1):
+                at = at[value[at] >= value[p.near(dy, dx, at)]]
+    return at[_served(p.only(at), spacing)]
+
+
+def _split(p: Pixels, spacing: int, least: float, h: float, erosion: int, smallest: int) -> tuple[np.ndarray, np.ndarray]:
+    """``split_objects`` of whole parts in one task: places of the pixels, and for each the place of its object's first or peak."""
+    n = len(p)
+    p = replace(p, value=_depths(p))
+    left, up = p.near(0, 1), p.near(1, 0)
+    core, inner = np.arange(n), p
+    if erosion:
+        inside = np.r_[np.ones(n, bool), False]
+        four = [left, up, p.near(0, -1), p.near(-1, 0)]
+        for _ in range(erosion):
+            inside[:n] &= np.all([inside[to] for to in four], axis=0)
+        core = np.flatnonzero(inside[:n])
+        inner = replace(p.only(core), value=None)
+        inner = replace(inner, value=_depths(inner))
+    finite = np.isfinite(inner.value)
+    core = core[finite]
+    peaks = core[_peaks(inner.only(finite), spacing, least, h)]
+    # where there is no background there is no flood
+    peaks = peaks[np.isfinite(p.value[peaks])]
+    marker = np.zeros(n)
+    marker[peaks] = peaks + 1
+    u, v = np.tile(np.arange(n), 2), np.r_[left, up]
+    u, v = u[v < n], v[v < n]
+    comp, known = _grown(n, np.maximum(-p.value[u], -p.value[v]), p.code[u], p.code[v], u, v, marker)
+    known = known[comp].astype(np.int64)
+    mark = np.where(known > 0, known - 1, comp)
+    at = np.arange(n)
+    if smallest:
+        at = at[np.bincount(mark, minlength=n)[mark] >= smallest]
+    return at, mark[at]
+
+
+def split_objects(mask: DataFrame, key: str, spacing: int = 1, least: float = 1.0, h: float = 0.0, erosion: int = 0, smallest: int = 0, size: int = B.SIZE, rows: int | None = None, square: int = 512, most: int = 250_000) -> DataFrame:
     """(key, y, x, marker): touching objects of a mask apart, flooded from the peaks of
     the distance to the background; ``marker`` is the pixel code of its peak.
 
@@ -414,7 +569,21 @@ def split_objects(mask: DataFrame, key: str, spacing: int = 1, least: float = 1.
     maximum that stands out by ``h`` is taken before. With ``erosion`` the peaks are those of the mask eroded
     that often, the flood that of the whole mask. Connected parts without a peak are
     objects of their own, marked by their first pixel. Objects below ``smallest``
-    pixels are dropped; those that remain keep their marks. ``mask`` has height and width."""
+    pixels are dropped; those that remain keep their marks. ``mask`` has height and width.
+
+    Distances, maxima and floods end where the mask does and peaks meet within ``spacing``, so what lies
+    within it is solved together (``by_parts``), and only what one task should not hold goes by blocks."""
+
+    def work(p: Pixels) -> tuple[np.ndarray, np.ndarray]:
+        at, mark = _split(p, spacing, least, h, erosion, smallest)
+        return at, p.code[mark]
+
+    found, large = by_parts(mask, key, spacing, work, "marker", None, rows, square, most)
+    return found if large is None else found.unionByName(_split_by_blocks(large, key, spacing, least, h, erosion, smallest, size))
+
+
+def _split_by_blocks(mask: DataFrame, key: str, spacing: int, least: float, h: float, erosion: int, smallest: int, size: int) -> DataFrame:
+    """``split_objects`` of parts of any size: every step is done for all of them, by runs, blocks and joins."""
     ensure_checkpoint_dir(mask.sparkSession)
     depth = distance_transform(mask, key).withColumnRenamed("distance", "value").where("value is not null").checkpoint()
     inner = depth
@@ -425,13 +594,14 @@ def split_objects(mask: DataFrame, key: str, spacing: int = 1, least: float = 1.
             core = moved(core, key, cross, 5).join(core, [key, "y", "x"])
         inner = distance_transform(core, key).withColumnRenamed("distance", "value").where("value is not null").checkpoint()
     if h > 0:
-        firsts = h_maxima(inner, key, h, size=size).groupBy(key, "root").agg(F.min(pixel_code()).alias("marker"))
+        firsts = _h_maxima_by_blocks(inner, key, h, "value", size).groupBy(key, "root").agg(F.min(pixel_code()).alias("marker"))
         peaks = inner.withColumn("marker", pixel_code()).join(firsts.select(key, "marker"), [key, "marker"], "left_semi").where(F.col("value") > least)
         peaks = first_served(peaks.select(key, "y", "x", "value", F.col("marker").alias("id")), key, spacing, F.struct((-F.col("value")).alias("v"), F.col("id"))).drop("id")
     else:
         peaks = spaced_peaks(inner, key, spacing, least, size=size)
-    peaks = peaks.select(key, "y", "x", pixel_code().alias("marker")).checkpoint()
-    flooded = watershed(depth.withColumn("value", -F.col("value")), peaks, key, size).checkpoint()
+    # markers begin at 1, codes at 0
+    peaks = peaks.select(key, "y", "x", (pixel_code() + 1).alias("marker")).checkpoint()
+    flooded = watershed(depth.withColumn("value", -F.col("value")), peaks, key, size).withColumn("marker", F.col("marker") - 1).checkpoint()
     rest = label_pixels(mask.join(flooded, [key, "y", "x"], "left_anti"), key).select(key, "y", "x", F.col("root").alias("marker"))
     every = flooded.unionByName(rest)
     if smallest:

@@ -20,7 +20,8 @@ query = Registry()
 _DISK = [(dy, dx) for dy in range(-4, 5) for dx in range(-4, 5) if dy * dy + dx * dx <= 16]
 
 
-def _plots(spark, sf_dir):
+def _painted(spark, sf_dir):
+    """The pixels of the disks, those of several more than once, and how many there are."""
     customers = table(spark, sf_dir, "customer")
     rows = customers.count() * 30  # a disk has 30 pixels on average
     c = customers.select("c_custkey", F.col("c_nationkey").alias("image"), F.pmod(F.round(F.abs("c_acctbal") * 100).cast("long"), F.lit(192)).alias("y0"), (F.pmod(F.col("c_custkey") * 7919, F.lit(191)) + 4).alias("x0"))
@@ -29,7 +30,12 @@ def _plots(spark, sf_dir):
     px = spread(c, rows, "c_custkey").withColumn("s", step).where("s.dy * s.dy + s.dx * s.dx <= (2 + c_custkey % 3) * (2 + c_custkey % 3)")
     px = px.select("image", (F.col("y0") + 4 + F.col("s.dy")).cast("int").alias("y"), (F.col("x0") + F.floor(F.col("c_custkey") / 2500) * 200 + F.col("s.dx")).cast("int").alias("x"))
     # the extent is one row
-    return spread(px, rows, "image", "y", "x").distinct().crossJoin(F.broadcast(width)).withColumn("height", F.lit(200))
+    return px.crossJoin(F.broadcast(width)).withColumn("height", F.lit(200)), rows
+
+
+def _plots(spark, sf_dir):
+    px, rows = _painted(spark, sf_dir)
+    return spread(px, rows, "image", "y", "x").distinct()
 
 
 _PLOTS_SQL = """plots AS (SELECT DISTINCT c_nationkey AS image, (round(abs(c_acctbal) * 100)::BIGINT % 192 + 4 + a.d)::INTEGER AS y, ((c_custkey * 7919) % 191 + 4 + (c_custkey // 2500) * 200 + b.d)::INTEGER AS x
@@ -85,7 +91,8 @@ def i18_peaks(spark, sf_dir):
 @query()
 def i18_split_objects(spark, sf_dir):
     """Touching disks apart. SQL has no flood; tests compare it with a flood by a heap."""
-    return R.split_objects(_plots(spark, sf_dir), "image", spacing=3, least=1.0, h=0.5, smallest=4, size=64)
+    px, rows = _painted(spark, sf_dir)
+    return R.split_objects(px, "image", spacing=3, least=1.0, h=0.5, smallest=4, size=64, rows=rows)
 
 
 # --- branches: mask b of every crop as a skeleton ---
