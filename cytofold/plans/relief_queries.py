@@ -66,7 +66,8 @@ def _depth(spark, sf_dir):
 )
 def i18_h_maxima(spark, sf_dir):
     """Maxima of the distance that rise by 0.75; the SQL follows the ways from each maximum that stay within 0.75 of it."""
-    return R.h_maxima(_depth(spark, sf_dir), "image", 0.75, size=64)
+    px, rows = _painted(spark, sf_dir)
+    return R.depth_maxima(px, "image", 0.75, size=64, rows=rows)
 
 
 @query(
