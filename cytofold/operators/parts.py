@@ -5,14 +5,14 @@ than a task should hold is left to the ways over blocks."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from cytofold.operators.graph import connected_components, ensure_checkpoint_dir, local_components, spread
 from cytofold.operators.raster import in_groups
@@ -86,7 +86,7 @@ def by_parts(px: DataFrame, key: str, reach: int, work: Callable[[Pixels], tuple
     """(key, y, x, name) that ``work`` makes of whole parts, and the pixels of the parts above ``most`` pixels (None if there are none).
 
     ``px``: key, y, x, height, width and, if named, ``value`` (unknown ones are no pixels). Pixels within ``reach`` along
-    both axes are in one part. ``work`` gets many parts at once and returns places of its pixels and a whole number for
+    both axes are in one part. ``work`` gets many parts at once and returns places of its pixels, in order, and a whole number for
     each. Repeated pixels count once; rows with a null place or outside the image are left out. ``rows`` may be rough.
 
     Squares are solved where they are; parts that may go on in another square are tied by
@@ -106,6 +106,21 @@ def by_parts(px: DataFrame, key: str, reach: int, work: Callable[[Pixels], tuple
     def made(part: pa.Table, p: Pixels, row: np.ndarray, found: np.ndarray) -> pa.Table:
         return pa.table({key: part.column(key).take(pa.array(row)), "y": pa.array(p.y.astype(np.int32)), "x": pa.array(p.x.astype(np.int32)), name: pa.array(found, pa.int64())})
 
+    def packed(part: pa.Table, p: Pixels, row: np.ndarray, found: np.ndarray) -> pa.Table:
+        """One row a square, since what is solved is only kept until the rest is."""
+        number = p.wide >> 41
+        start = np.flatnonzero(np.r_[True, number[1:] != number[:-1]][: len(p)])
+        data = [np.stack(z).tobytes() for z in zip(np.split(p.code, start[1:]), np.split(found, start[1:]), strict=True)][: len(start)]
+        none = lambda t: pa.nulls(len(start), t)
+        return pa.table({key: part.column(key).take(pa.array(row[start])), "y": none(pa.int32()), "x": none(pa.int32()), "_open": none(kind), "_solved": pa.array(data, pa.binary())})
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, data in enumerate(batch.column(1)):
+                code, found = np.frombuffer(data.as_buffer(), np.int64).reshape(2, -1)
+                own = batch.column(0).take(pa.array(np.full(len(code), k)))
+                yield from pa.table({key: own, "y": pa.array((code >> 20).astype(np.int32)), "x": pa.array((code & ((1 << 20) - 1)).astype(np.int32)), name: pa.array(found)}).to_batches()
+
     def first(part: pa.Table) -> pa.Table:
         p, row = _taken(part)
         cell = p.cells(side)
@@ -120,12 +135,11 @@ def by_parts(px: DataFrame, key: str, reach: int, work: Callable[[Pixels], tuple
         own, rest = np.flatnonzero(~goes_on[cell]), np.flatnonzero(goes_on[cell])
         whole = p.only(own)
         place, found = work(whole)
-        closed = made(part, whole.only(place), row[own[place]], found)
         open_ = p.only(rest)
         columns = {"height": open_.height, "width": open_.width, "_part": p.code[least[cell[rest]]], "_value": open_.value}
-        packed = pa.StructArray.from_arrays([pa.array(columns[f.name]) for f in more], fields=list(kind))
-        left = made(part, open_, row[rest], np.zeros(len(rest), np.int64)).append_column("_open", packed)
-        return pa.concat_tables([closed.append_column("_open", pa.nulls(len(place), kind)), left])
+        extent = pa.StructArray.from_arrays([pa.array(columns[f.name]) for f in more], fields=list(kind))
+        left = made(part, open_, row[rest], np.zeros(len(rest), np.int64)).drop_columns([name]).append_column("_open", extent).append_column("_solved", pa.nulls(len(rest), pa.binary()))
+        return pa.concat_tables([packed(part, whole.only(place), row[own[place]], found), left])
 
     def second(part: pa.Table) -> pa.Table:
         p, row = _taken(part)
@@ -133,13 +147,13 @@ def by_parts(px: DataFrame, key: str, reach: int, work: Callable[[Pixels], tuple
         return made(part, p.only(place), row[place], found)
 
     result = StructType([*at, StructField(name, LongType())])
-    both = in_groups(px, [key, "_by", "_bx"], ["y", "x"], first, StructType([*result.fields, StructField("_open", StructType(more))]), AT_ONCE).checkpoint()
-    solved = both.where("_open is null").select(key, "y", "x", name)
+    both = in_groups(px, [key, "_by", "_bx"], ["y", "x"], first, StructType([*at, StructField("_open", StructType(more)), StructField("_solved", BinaryType())]), AT_ONCE).checkpoint()
+    solved = both.where("_solved is not null").select(key, "_solved").mapInArrow(unpacked, result)
     open_ = both.where("_open is not null").select(key, "y", "x", "_open.*")
     edge = F.lit(False)
     for c in ("y", "x"):
         edge = edge | (F.col(c) % square < 2 * side) | (F.col(c) % square >= square - 2 * side)
-    cells = open_.where(edge).select(key, F.floor(F.col("y") / side).alias("cy"), F.floor(F.col("x") / side).alias("cx"), F.struct(F.col(key).alias("key"), F.col("_part").alias("part")).alias("src")).distinct()
+    cells = open_.where(edge).select(key, F.floor(F.col("y") / side).alias("cy"), F.floor(F.col("x") / side).alias("cx"), F.struct(F.col(key).alias("key"), F.col("_part").alias("part")).alias("src")).distinct().checkpoint()
     steps = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 0), *_HALF))))
     sent = cells.withColumn("s", steps).select(key, (F.col("cy") + F.col("s.dy")).alias("cy"), (F.col("cx") + F.col("s.dx")).alias("cx"), "src")
     met = sent.join(cells.withColumnRenamed("src", "dst"), [key, "cy", "cx"]).where("src <> dst")
